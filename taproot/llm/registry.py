@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import substring_dedup
+from taproot.llm import ngram_join, substring_dedup
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op3_token_files": op3_token_files,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
 }
