@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import ngram_join, substring_dedup
+from taproot.llm import ngram_join, substring_dedup, toxicity
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op3_token_files": op3_token_files,
