@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import ngram_join, substring_dedup, toxicity
+from taproot.llm import link_graph, ngram_join, sharding, substring_dedup, toxicity
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op2_url_filter": link_graph.op2_url_filter,
+    "op6_sharding": sharding.op6_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
