@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import link_graph, ngram_join, sharding, substring_dedup, toxicity
+from taproot.llm import fingerprints, link_graph, ngram_join, sharding, substring_dedup, toxicity
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_url_filter": link_graph.op2_url_filter,
     "op6_sharding": sharding.op6_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
