@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import decontaminate, fingerprints, link_graph, ngram_join, sharding, substring_dedup, toxicity
+from taproot.llm import decontaminate, fingerprints, link_graph, ngram_join, sharding, substring_dedup, surrogates, toxicity
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op10_pii_surrogates": surrogates.op10_pii_surrogates,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_url_filter": link_graph.op2_url_filter,
