@@ -13,7 +13,7 @@ n_links (the other documents at or above the threshold, copies included).
 
 Null texts count as empty. Empty texts are copies of each other and link to nothing else. A text of one to four words
 is one shingle of all its words. Rows without a doc_id get null class_id and copy_of and no links. Repeated rows count
-as copies. An empty table gives an empty table; other columns are ignored.
+as copies; a doc_id names one node, so different texts under one doc_id share a class. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,6 +201,22 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return known.union(none)
 
 
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each group of linked ones (the least doc_id), with the columns that it had.
+
+    Of repeated rows of one doc_id one stays; rows without a doc_id stay.
+    """
+    found = common.stored(ngram_join(docs, threshold).select("doc_id", "class_id"))
+    gone = common.small(common.stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()))
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    twice = common.stored(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
+    if not twice.limit(1).count():
+        return kept
+    twice = common.small(twice)
+    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
+    return once.unionByName(kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(common.table(spark, sf_dir, "documents"))
 
