@@ -2,5 +2,375 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from taproot.functions import hashing, text
+from taproot.operators import dataflow, graph, relations, similarity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _key(prefix: str, column: str) -> F.Column:
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def tables_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between rows: region, nation, customer and supplier, order, part and supplier."""
+    pair = lambda df, a, x, b, y: df.select(_key(a, x).alias("src"), _key(b, y).alias("dst"))
+    nation, items = _t(spark, d, "nation"), _t(spark, d, "lineitem")
+    parts = [
+        pair(nation, "R", "n_regionkey", "N", "n_nationkey"),
+        pair(_t(spark, d, "customer"), "N", "c_nationkey", "C", "c_custkey"),
+        pair(_t(spark, d, "supplier"), "N", "s_nationkey", "S", "s_suppkey"),
+        pair(_t(spark, d, "orders"), "C", "o_custkey", "O", "o_orderkey"),
+        pair(items, "O", "l_orderkey", "P", "l_partkey"),
+        pair(items, "O", "l_orderkey", "S", "l_suppkey"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return graph.dedupe_edges(out)
+
+
+_EDGES = """edges AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
+ UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier UNION SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders
+ UNION SELECT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem UNION SELECT 'O' || l_orderkey, 'S' || l_suppkey FROM lineitem)"""
+
+
+def _roots(spark: SparkSession, *rows: tuple[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "root_set string, node string")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 'R0' UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
+def q_bfs_reachable(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reachable(tables_graph(spark, d), _roots(spark, ("a", "R0"))).select("node")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 'R0' UNION SELECT dst FROM r JOIN edges ON src = node), n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node FROM n WHERE node NOT IN (SELECT node FROM r)")
+def q_bfs_unreachable(spark: SparkSession, d: str) -> DataFrame:
+    edges = tables_graph(spark, d)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graph.unreachable(nodes, edges, _roots(spark, ("a", "R0"))).select("node")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, a(node) AS (SELECT 'R0' UNION SELECT dst FROM a JOIN edges ON src = node), b(node) AS (SELECT unnest(['R0', 'R1']) UNION SELECT dst FROM b JOIN edges ON src = node) SELECT node FROM b WHERE node NOT IN (SELECT node FROM a)")
+def q_two_root_sets(spark: SparkSession, d: str) -> DataFrame:
+    return graph.only_reached_by(tables_graph(spark, d), _roots(spark, ("tests", "R0"), ("tests", "R1"), ("production", "R0")), "tests", "production")
+
+
+@query("SELECT l_orderkey AS src, count(DISTINCT l_partkey) AS out_degree FROM lineitem GROUP BY 1")
+def q_edge_dedupe_outdegree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.out_degree(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    pair = lambda df, a, x, b, y: df.select(_key(a, x).alias("node"), _key(b, y).alias("parent"))
+    return pair(_t(spark, d, "orders"), "O", "o_orderkey", "C", "o_custkey").union(pair(_t(spark, d, "customer"), "C", "c_custkey", "N", "c_nationkey")).union(pair(_t(spark, d, "nation"), "N", "n_nationkey", "R", "n_regionkey"))
+
+
+_TREE = "tree AS (SELECT 'O' || o_orderkey AS node, 'C' || o_custkey AS parent FROM orders UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"
+
+
+@query(f"WITH RECURSIVE {_TREE}, up AS (SELECT node, parent AS ancestor, 1 AS depth FROM tree UNION ALL SELECT up.node, tree.parent, depth + 1 FROM up JOIN tree ON tree.node = up.ancestor) SELECT node, ancestor, depth FROM up")
+def q_scope_chain(spark: SparkSession, d: str) -> DataFrame:
+    return graph.ancestors(_tree(spark, d))
+
+
+@query(f"WITH RECURSIVE {_TREE}, up AS (SELECT node, parent AS ancestor FROM tree UNION ALL SELECT up.node, tree.parent FROM up JOIN tree ON tree.node = up.ancestor), a AS (SELECT node, node AS ancestor FROM tree UNION ALL SELECT node, ancestor FROM up) SELECT node, min(CAST(substr(ancestor, 2) AS BIGINT) % 6) AS rank FROM a WHERE node LIKE 'O%' GROUP BY node")
+def q_effective_access(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d)
+    nodes = tree.select("node").union(tree.where("parent LIKE 'R%'").select("parent")).distinct()
+    levels = nodes.withColumn("rank", F.substring("node", 2, 20).cast("long") % 6)
+    return graph.effective_rank(levels, graph.ancestors(tree)).where("node LIKE 'O%'")
+
+
+@query("WITH RECURSIVE c(name, ancestor) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 1 UNION SELECT name, ancestor // 2 FROM c WHERE ancestor > 1) SELECT name, ancestor FROM c")
+def q_transitive_conformance(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(_t(spark, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("name"), F.expr("p_partkey div 2").alias("parent")))
+
+
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of a file per user."""
+    return _t(spark, d, "events").select("event_id", "event_type", F.col("user_id").alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("line"))
+
+
+_LINES = "lines AS (SELECT event_id, event_type, user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events)"
+
+
+@query(f"WITH {_LINES} SELECT a.event_id AS decl, count(*) AS n_refs FROM lines a JOIN lines b ON a.file = b.file AND b.line BETWEEN a.line AND a.line + 5 WHERE a.event_type = 'signup' GROUP BY 1")
+def q_interval_refs(spark: SparkSession, d: str) -> DataFrame:
+    lines = event_lines(spark, d)
+    spans = lines.where("event_type = 'signup'").select(F.col("event_id").alias("decl"), "file", F.col("line").alias("first"), (F.col("line") + 5).alias("last"))
+    return relations.references_in_range(spans, lines.select(F.col("event_id").alias("ref"), "file", "line")).groupBy("decl").agg(F.count("*").alias("n_refs"))
+
+
+_TOKENS = "list_filter(string_split_regex({}, '[^A-Za-z0-9_]+'), lambda t: regexp_matches(t, '^[A-Za-z_]'))"
+
+
+@query(f"WITH decl AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS name FROM benchmark), uses AS (SELECT DISTINCT conv_id, unnest({_TOKENS.format('text')}) AS name FROM conversations) SELECT item_id AS dst, count(DISTINCT conv_id) AS n_users FROM decl JOIN uses USING (name) GROUP BY 1")
+def q_name_join(spark: SparkSession, d: str) -> DataFrame:
+    names = lambda t, key, out: _t(spark, d, t).select(F.col(key).alias(out), F.explode(text.identifier_tokens(F.col("text"), True)).alias("name"))
+    edges = relations.name_edges(names("benchmark", "item_id", "decl").distinct(), names("conversations", "conv_id", "src"))
+    return edges.groupBy("dst").agg(F.count("*").alias("n_users"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS name FROM documents) SELECT DISTINCT item_id, b.name FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS name FROM benchmark) b WHERE EXISTS (SELECT 1 FROM t WHERE t.name = b.name)")
+def q_string_token_semi(spark: SparkSession, d: str) -> DataFrame:
+    names = lambda t: _t(spark, d, t).select("*", F.explode(text.identifier_tokens(F.col("text"), True)).alias("name"))
+    return names("benchmark").select("item_id", "name").distinct().join(names("documents").select("name").distinct(), "name", "left_semi").select("item_id", "name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def q_name_antijoin_unused(spark: SparkSession, d: str) -> DataFrame:
+    return relations.unused_names(_t(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("name")), _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("name"))).select("c_custkey")
+
+
+@query("SELECT o_orderkey AS file, o_custkey AS module FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = o_custkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = o_custkey)")
+def q_import_unused(spark: SparkSession, d: str) -> DataFrame:
+    refs = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("identifier"), F.col("l_suppkey").alias("qualifier"))
+    return relations.unused_imports(_t(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("module")), refs)
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1 HAVING bool_and(l_returnflag = 'N')")
+def q_assign_only(spark: SparkSession, d: str) -> DataFrame:
+    return relations.assign_only(_t(spark, d, "lineitem").where("l_quantity > 40"), "l_partkey", F.col("l_returnflag") == "N")
+
+
+_ROOTS_SQL = "CASE WHEN p_size = 1 THEN 'entry' WHEN p_brand = 'Brand#11' THEN 'public' WHEN p_type LIKE '%STEEL%' THEN 'exported' WHEN starts_with(p_name, 'a') THEN 'test' WHEN p_size > 45 THEN 'large' END"
+
+
+@query(f"SELECT p_partkey, {_ROOTS_SQL} AS root_reason FROM part WHERE p_size BETWEEN 1 AND 40 OR p_size > 45")
+def q_kind_gate_roots(spark: SparkSession, d: str) -> DataFrame:
+    # Ordered: the first reason that holds wins.
+    reasons = [(F.col("p_size") == 1, "entry"), (F.col("p_brand") == "Brand#11", "public"), (F.col("p_type").contains("STEEL"), "exported"), (F.col("p_name").startswith("a"), "test"), (F.col("p_size") > 45, "large")]
+    return _t(spark, d, "part").where("p_size BETWEEN 1 AND 40 OR p_size > 45").select("p_partkey", F.coalesce(*(F.when(c, r) for c, r in reasons)).alias("root_reason"))
+
+
+_CATALOGUE = [(k, k % 3 == 0, f"need{k % 4}") for k in range(20)]
+_CATALOGUE_SQL = "(VALUES " + ", ".join(f"({k}, {str(known).lower()}, '{n}')" for k, known, n in _CATALOGUE) + ") AS c(n, known, need)"
+
+
+@query(f"WITH u AS (SELECT s_suppkey, (s_suppkey + i) % 25 AS n FROM supplier, (SELECT unnest([0, 3]) AS i)), j AS (SELECT s_suppkey, coalesce(known, false) AS known, need FROM u LEFT JOIN {_CATALOGUE_SQL} USING (n)) SELECT s_suppkey AS type, CASE WHEN bool_and(known) THEN array_to_string(list_sort(list(DISTINCT need)), ',') END AS needs FROM j GROUP BY 1")
+def q_catalog_unknown_exempt(spark: SparkSession, d: str) -> DataFrame:
+    # A type's requirements are known only if each of its conformances is: null means exempt.
+    uses = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("type"), F.explode(F.array(F.col("s_suppkey") % 25, (F.col("s_suppkey") + 3) % 25)).alias("n"))
+    catalogue = spark.createDataFrame(_CATALOGUE, "n long, known boolean, need string")
+    found = uses.join(F.broadcast(catalogue), "n", "left").groupBy("type").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all"), F.array_sort(F.collect_set("need")).alias("needs"))
+    return found.select("type", F.when(F.col("all"), F.array_join("needs", ",")).alias("needs"))
+
+
+@query("SELECT page_id, list_contains(string_split(url, '/'), 'en') OR ends_with(url, '.html') AS is_test FROM pages")
+def q_test_scope(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", (text.has_component(F.col("url"), "en") | F.col("url").endswith(".html")).alias("is_test"))
+
+
+@query(r"SELECT page_id FROM pages WHERE regexp_full_match(url, '(?:.*/)?en/[^/]*\.html')")
+def q_glob_match(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").where(text.glob_match(F.col("url"), "**/en/*.html")).select("page_id")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT ends_with(p_name, 'n') AND NOT contains(p_name, 'red') AND NOT regexp_matches(p_name, '^[a-c]')")
+def q_fp_filter(spark: SparkSession, d: str) -> DataFrame:
+    name = F.col("p_name")
+    return _t(spark, d, "part").where(~name.endswith("n") & ~text.excluded(name, ["red", ""]) & ~text.matches_any(name, ["^[a-c]", "(a+)+b"])).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+def q_collapse(spark: SparkSession, d: str) -> DataFrame:
+    flagged = _t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"))
+    return relations.collapsed(_t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("owner")), flagged).select("o_orderkey")
+
+
+_STEP = "CASE confidence WHEN 4 THEN 3 WHEN 3 THEN 2 ELSE 1 END"
+
+
+@query(f"WITH b AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 3 WHEN p_size < 30 THEN 2 ELSE 1 END AS confidence, p_brand, p_type FROM part), s AS (SELECT DISTINCT p_brand FROM part WHERE p_size = 50) SELECT p_partkey, CAST(CASE WHEN p_brand IN (SELECT p_brand FROM s) THEN 1 WHEN p_type LIKE '%BRASS%' THEN {_STEP} ELSE confidence END AS INTEGER) AS confidence FROM b")
+def q_confidence_demote(spark: SparkSession, d: str) -> DataFrame:
+    part = _t(spark, d, "part")
+    base = part.select("p_partkey", F.expr("CASE WHEN p_size < 10 THEN 3 WHEN p_size < 30 THEN 2 ELSE 1 END").alias("confidence"), "p_brand", "p_type")
+    named = part.where("p_size = 50").select("p_brand").distinct().withColumn("named", F.lit(True))
+    found = base.join(named, "p_brand", "left")
+    return found.select("p_partkey", F.when(F.col("named"), 1).when(F.col("p_type").contains("BRASS"), F.expr(_STEP)).otherwise(F.col("confidence")).cast("int").alias("confidence"))
+
+
+_RULES = [("unused-function", True, "warning"), ("unused-type", True, "error"), ("dead-store", False, "warning")]
+_ROUTE = "CASE WHEN o_orderstatus = 'F' THEN 'dead-store' WHEN o_orderpriority LIKE '1%' THEN 'unused-type' ELSE 'unused-function' END"
+
+
+@query(f"SELECT o_orderkey, rule, severity FROM (SELECT o_orderkey, {_ROUTE} AS rule FROM orders) o JOIN (VALUES {', '.join(f'({r!r}, {str(e).lower()}, {s!r})' for r, e, s in _RULES)}) AS r(rule, enabled, severity) USING (rule) WHERE enabled")
+def q_rule_route(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(_RULES, "rule string, enabled boolean, severity string")
+    return _t(spark, d, "orders").select("o_orderkey", F.expr(_ROUTE).alias("rule")).join(F.broadcast(rules.where("enabled")), "rule").select("o_orderkey", "rule", "severity")
+
+
+@query(f"WITH {_LINES} SELECT event_id FROM lines f WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM lines a WHERE a.event_type = 'click' AND a.file = f.file AND f.line - a.line IN (0, 1))")
+def q_suppress_point(spark: SparkSession, d: str) -> DataFrame:
+    lines = event_lines(spark, d)
+    return relations.suppressed_at_point(lines.where("event_type = 'purchase'"), lines.where("event_type = 'click'")).select("event_id")
+
+
+@query("WITH s AS (SELECT event_id, event_type, last_value(CASE event_type WHEN 'error' THEN 'off' WHEN 'signup' THEN 'on' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM events) SELECT event_id, coalesce(state = 'off', false) AS suppressed FROM s WHERE event_type = 'purchase'")
+def q_suppress_region_asof(spark: SparkSession, d: str) -> DataFrame:
+    toggle = F.expr("CASE event_type WHEN 'error' THEN 'off' WHEN 'signup' THEN 'on' END")
+    state = relations.region_state(None, "user_id", [F.col("ts"), F.col("event_id")], toggle)
+    return _t(spark, d, "events").withColumn("state", state).where("event_type = 'purchase'").select("event_id", F.coalesce(F.col("state") == "off", F.lit(False)).alias("suppressed"))
+
+
+_COMMENT = "'// @tr:' || CASE o_orderkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'disable' WHEN 2 THEN 'enable' ELSE 'nothing' END || ' ' || CASE o_orderkey % 3 WHEN 0 THEN 'unused-type, dead-store' WHEN 1 THEN 'no-such-rule' ELSE '' END || ' -- by ' || o_orderpriority"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, {_COMMENT} AS comment FROM orders), p AS (SELECT o_orderkey, regexp_extract(comment, '@tr:([a-z-]+)', 1) AS verb, list_filter(string_split_regex(regexp_replace(regexp_extract(comment, '@tr:[a-z-]+\\s*(.*)$', 1), '--.*$', ''), '[,\\s]+'), lambda r: r <> '') AS named, regexp_extract(comment, '--\\s*(.*)$', 1) AS reason FROM c)
+SELECT o_orderkey, verb, array_to_string(list_filter(named, lambda r: r IN ('unused-function', 'unused-type', 'dead-store')), ',') AS rules, reason FROM p WHERE verb IN ('accept', 'disable', 'enable') AND (len(named) = 0 OR len(list_filter(named, lambda r: r IN ('unused-function', 'unused-type', 'dead-store'))) > 0)""")
+def q_directive_parse(spark: SparkSession, d: str) -> DataFrame:
+    comments = _t(spark, d, "orders").select("o_orderkey", F.expr(_COMMENT).alias("comment"))
+    found = comments.withColumn("d", text.directive(F.col("comment"), [r for r, *_ in _RULES])).where("d IS NOT NULL")
+    return found.select("o_orderkey", "d.verb", F.array_join("d.rules", ",").alias("rules"), "d.reason")
+
+
+@query("SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS in_scope FROM orders")
+def q_scope_split(spark: SparkSession, d: str) -> DataFrame:
+    scope = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    inside, outside = relations.split_by(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), scope, ["o_custkey"])
+    return inside.select("o_orderkey", F.lit(True).alias("in_scope")).union(outside.select("o_orderkey", F.lit(False)))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus || '|' || o_orderpriority || '|' || (o_custkey % 50) NOT IN (SELECT o_orderstatus || '|' || o_orderpriority || '|' || (o_custkey % 50) FROM orders WHERE o_orderkey % 40 = 0)")
+def q_baseline_filter(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders").select("o_orderkey", hashing.finding_fingerprint(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey") % 50, F.lit(1), F.lit("")).alias("fingerprint"))
+    _, new = relations.split_by(orders, orders.where("o_orderkey % 40 = 0").select("fingerprint").distinct(), ["fingerprint"])
+    return new.select("o_orderkey")
+
+
+@query("SELECT p_partkey, lower(hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT))) AS fingerprint FROM part")
+def q_fnv1a_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", hashing.fnv1a64_hex(F.col("p_name")).alias("fingerprint"))
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'pruned' WHEN a.t = b.t THEN 'hit' ELSE 'miss' END AS state FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS t FROM documents WHERE doc_id % 13 <> 0) b USING (doc_id) WHERE coalesce(a.doc_id, b.doc_id) IS NOT NULL")
+def q_cache_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    mark = lambda t: F.concat(F.sha2(t.cast("binary"), 256), F.lit("-"), F.octet_length(t).cast("string"))
+    old = docs.where("path % 11 <> 0").select("path", mark(F.col("text")).alias("fingerprint"))
+    edited = F.concat("text", F.when(F.col("path") % 7 == 0, "!").otherwise(""))
+    return relations.cache_plan(old, docs.where("path % 13 <> 0").select("path", mark(edited).alias("fingerprint")))
+
+
+@query(f"WITH {_LINES}, m AS (SELECT p.event_id AS id, c.event_id AS other, abs(p.line - c.line) AS distance, c.line AS cline FROM lines p JOIN lines c ON p.file = c.file AND abs(p.line - c.line) <= 5 WHERE p.event_type = 'purchase' AND c.event_type = 'click') SELECT id, other, CAST(distance AS INTEGER) AS distance FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cline, other) = 1")
+def q_nearest_line(spark: SparkSession, d: str) -> DataFrame:
+    lines = event_lines(spark, d)
+    left = lines.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("file").alias("key"), "line")
+    return relations.nearest(left, lines.where("event_type = 'click'").select(F.col("event_id").alias("other"), F.col("file").alias("key"), F.col("line").alias("at")), 5)
+
+
+@query("SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, count(DISTINCT l_partkey) AS n_parts, bool_and(l_linestatus = 'O') AS only_open FROM lineitem GROUP BY 1")
+def q_usage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"), F.countDistinct("l_partkey").alias("n_parts"), F.bool_and(F.col("l_linestatus") == "O").alias("only_open"))
+
+
+@query("SELECT DISTINCT a.p_partkey AS requirement, b.p_partkey AS member FROM part a JOIN lineitem ON l_partkey = a.p_partkey JOIN part b ON b.p_brand = a.p_brand AND b.p_size = l_suppkey % 50 WHERE a.p_size = 7")
+def q_protocol_witness(spark: SparkSession, d: str) -> DataFrame:
+    part, items = _t(spark, d, "part"), _t(spark, d, "lineitem")
+    requirements = part.where("p_size = 7").select(F.col("p_partkey").alias("requirement"), F.col("p_partkey").alias("protocol"), F.col("p_brand").alias("name"))
+    conformances = items.select(F.col("l_partkey").alias("protocol"), (F.col("l_suppkey") % 50).cast("int").alias("type")).distinct()
+    return relations.witnesses(requirements, part.select(F.col("p_partkey").alias("member"), F.col("p_size").alias("type"), F.col("p_brand").alias("name")), conformances)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 UNION SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000) UNION SELECT l_orderkey FROM lineitem WHERE l_quantity = 50")
+def q_forced_set(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders")
+    rich = _t(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
+    parts = [orders.where("o_totalprice > 300000").select("o_orderkey"), orders.join(rich, "o_custkey", "left_semi").select("o_orderkey"), _t(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS errors, count(*) FILTER (WHERE o_orderstatus = 'O') AS warnings, count(DISTINCT o_custkey) AS files, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS max_severity FROM orders")
+def q_summary(spark: SparkSession, d: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return _t(spark, d, "orders").agg(F.count_if(status == "F").alias("errors"), F.count_if(status == "O").alias("warnings"), F.countDistinct("o_custkey").alias("files"), F.max(F.when(status == "F", 2).when(status == "O", 1).otherwise(0)).alias("max_severity"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey) AS place FROM orders")
+def q_total_order(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.in_order(_t(spark, d, "orders"), "o_custkey", ["o_orderpriority", "o_orderstatus", "o_orderkey"]).select("o_orderkey", F.col("pos").alias("place"))
+
+
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_STATEMENTS = f"stmts AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS pos, l_partkey % 4 AS def, l_suppkey % 4 AS use FROM lineitem)"
+_FLOW = "flow AS (SELECT fn, pos AS src, pos + 1 AS dst FROM stmts s WHERE pos < (SELECT max(pos) FROM stmts m WHERE m.fn = s.fn) UNION SELECT fn, max(pos), 1 FROM stmts GROUP BY fn)"
+
+
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    rows = dataflow.in_order(_t(spark, d, "lineitem"), "l_orderkey", _ORDER)
+    return rows.select(F.col("l_orderkey").alias("fn"), "pos", (F.col("l_partkey") % 4).alias("def"), (F.col("l_suppkey") % 4).alias("use"))
+
+
+def _flow(statements: DataFrame) -> DataFrame:
+    """Each statement to the next, and the last back to the first."""
+    following = F.coalesce(F.lead("pos").over(Window.partitionBy("fn").orderBy("pos")), F.lit(1))
+    return statements.select("fn", F.col("pos").alias("src"), following.alias("dst"))
+
+
+@query(f"WITH {_STATEMENTS}, u AS (SELECT fn, use AS var, min(pos) AS first_use FROM stmts GROUP BY 1, 2), d AS (SELECT fn, def AS var, min(pos) AS first_def FROM stmts GROUP BY 1, 2) SELECT fn, var, first_use FROM u LEFT JOIN d USING (fn, var) WHERE first_def IS NULL OR first_use <= first_def")
+def q_use_def_exposed(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.exposed_uses(_statements(spark, d))
+
+
+@query(f"WITH RECURSIVE {_STATEMENTS}, {_FLOW}, live(fn, pos, var) AS (SELECT fn, pos, use FROM stmts UNION SELECT f.fn, f.src, l.var FROM live l JOIN flow f ON f.fn = l.fn AND f.dst = l.pos JOIN stmts s ON s.fn = f.fn AND s.pos = f.src WHERE s.def <> l.var) SELECT s.fn, s.pos, s.def AS var FROM stmts s WHERE s.def <> s.use AND NOT EXISTS (SELECT 1 FROM flow f JOIN live l ON l.fn = f.fn AND l.pos = f.dst WHERE f.fn = s.fn AND f.src = s.pos AND l.var = s.def)")
+def q_liveness(spark: SparkSession, d: str) -> DataFrame:
+    statements = _statements(spark, d)
+    flow = _flow(statements)
+    return dataflow.dead_stores(statements, flow, dataflow.live_in(statements, flow))
+
+
+@query(f"WITH RECURSIVE {_STATEMENTS}, {_FLOW}, r(fn, pos, var, def_at) AS (SELECT s.fn, f.dst, s.def, s.pos FROM stmts s JOIN flow f ON f.fn = s.fn AND f.src = s.pos UNION SELECT r.fn, f.dst, r.var, r.def_at FROM r JOIN stmts s ON s.fn = r.fn AND s.pos = r.pos JOIN flow f ON f.fn = s.fn AND f.src = s.pos WHERE s.def <> r.var) SELECT fn, pos, count(*) AS n_reaching FROM r GROUP BY 1, 2")
+def q_reaching_defs(spark: SparkSession, d: str) -> DataFrame:
+    statements = _statements(spark, d)
+    return dataflow.reaching(statements, _flow(statements)).groupBy("fn", "pos").agg(F.count("*").alias("n_reaching"))
+
+
+@query("SELECT l_partkey, CASE WHEN min(l_discount) = max(l_discount) THEN min(l_discount) END AS constant FROM lineitem GROUP BY 1")
+def q_sccp_meet(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.meet(_t(spark, d, "lineitem"), "l_partkey", "l_discount")
+
+
+@query("""WITH g AS (SELECT item_id, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substr(text, i, 3))) AS gram FROM benchmark WHERE length(text) >= 3),
+d AS (SELECT gram, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(gram)), '..'), lambda x: CAST('0x' || x AS BIGINT)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM (SELECT DISTINCT gram FROM g))
+SELECT item_id, CAST(h % 128 AS INTEGER) AS bucket, count(*) AS n FROM g JOIN d USING (gram) GROUP BY 1, 2""")
+def q_ngram_embed(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.gram_counts(_t(spark, d, "benchmark"), "text", "item_id")
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id), t AS (SELECT id, s FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) <= 5) SELECT id, round(greatest(0, least(1, 1 - avg(s))), 4) AS anomaly FROM t GROUP BY 1")
+def q_knn_outlier(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.anomaly(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).select("id", F.round("anomaly", 4).alias("anomaly"))
+
+
+def synthetic_vocabulary() -> dict[str, int]:
+    """Special tokens, every letter, digit and mark, and frequent pairs of letters, each at a word's start and within."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?'\"()-"
+    pairs = [a + b for a in "abcdefghilmnoprstuw" for b in "aeionrst"]
+    return {t: i for i, t in enumerate(dict.fromkeys(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *("##" + c for c in letters), *pairs, *("##" + p for p in pairs)]))}
+
+
+@query()
+def q_wordpiece(spark: SparkSession, d: str) -> DataFrame:
+    turns = _t(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    return similarity.wordpiece(turns, "text", "key", synthetic_vocabulary())
