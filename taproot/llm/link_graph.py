@@ -71,7 +71,7 @@ def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
         state = held.read()
         start = state
         for _ in range(STRIDE):
-            moved = state.join(links, (state["host"] == links["src"]) & (state["kind"] == links["kind"])).groupBy(links["kind"], F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("came"))
+            moved = state.select("kind", F.col("host").alias("src"), "score").join(links, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("came"))
             own = state.select("kind", "host", "mass").where("mass > 0")
             state = own.join(moved, ["kind", "host"], "full").select("kind", "host", F.coalesce("mass", F.lit(0.0)).alias("mass"), (F.coalesce("mass", F.lit(0.0)) + F.coalesce("came", F.lit(0.0))).alias("score"))
         following = common.Stored(state)
