@@ -1,4 +1,4 @@
-"""Connected components by joins: least labels over edges, with pointer jumping, stored between rounds."""
+"""Connected components by joins: contraction to least neighbours, stored between rounds."""
 
 from __future__ import annotations
 
@@ -8,26 +8,36 @@ from pyspark.sql import functions as F
 from taproot.llm.common import Stored
 
 
+def _up(labels: DataFrame, of: DataFrame) -> DataFrame:
+    """``labels`` with each label replaced by its own label in ``of``, where it has one."""
+    return labels.join(of.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its least node.
 
-    Null ends and loops give nothing. Each round is two joins and a minimum by node, so a node with very many edges
-    is a skewed join side, which adaptive execution splits, and never a list in one task.
+    Null ends and loops give nothing. Each round points every node at its least neighbour (a minimum by node, no
+    join), follows the pointers twice, and keeps the edges between what is left, which shrink fast. A node with very
+    many edges is a skewed join side, which adaptive execution splits, and never a list in one task.
     """
-    plain = edges.select("a", "b").where("a <> b")
-    both = Stored(plain.union(plain.select("b", "a")).distinct())
-    e = both.read()
-    held = Stored(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    e = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found: DataFrame | None = None
     while True:
-        labels = held.read()
-        near = e.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = new.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        following = Stored(new)
-        changed = following.read().where("label <> old").limit(1).count()
-        held.drop()
-        held = following
-        if not changed:
-            both.drop()
-            return held.read().select("node", F.col("label").alias("component"))
+        own = e.read()
+        both = own.union(own.select("b", "a"))
+        parent = Stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+        once = Stored(_up(parent.read(), parent.read()))
+        labels = Stored(_up(once.read(), once.read())).read()
+        found = labels if found is None else _up(found, labels)
+        at_a = own.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("la", "b")
+        moved = at_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("la", "lb")
+        rest = labels.select(F.col("label").alias("node"), "label").distinct()
+        rest = _up(rest, labels).select(F.col("node").alias("la"), F.col("label").alias("lb"))
+        left = moved.union(rest).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        following = Stored(left)
+        e.drop()
+        parent.drop()
+        once.drop()
+        e = following
+        if not e.read().limit(1).count():
+            return found.withColumnRenamed("label", "component")
