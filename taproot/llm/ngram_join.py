@@ -188,9 +188,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = classes.where("n > 0").select("node", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
     hubs = met.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "hub")
     near = components(met.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b"))
-    blocks = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Only components of several blocks are looked up; all others have one.
+    blocks = common.small(common.stored(near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")))
     keyed = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("_x"))
-    candidates = near.join(blocks, "component").join(classes.select("node", "weight"), "node").join(keyed.distinct(), "node")
+    candidates = near.join(blocks, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(classes.select("node", "weight"), "node").join(keyed.distinct(), "node")
     found = common.stored(verified(candidates, rows, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
