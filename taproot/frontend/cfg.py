@@ -24,6 +24,8 @@ class Statement:
     uses: list[str] = field(default_factory=list)
     value: str | None = None
     closure_writes: list[str] = field(default_factory=list)
+    #: What the statement declares; only such variables are judged.
+    declared: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -282,6 +284,8 @@ class Builder:
                 (s.closure_writes if after == "=" or after in _COMPOUND else s.uses).append(x.text)
             elif before in ("let", "var", "case") and i <= 2 or after == "=" and i == 0:
                 s.defs.append(x.text)
+                if before:
+                    s.declared.append(x.text)
                 rest = tokens[i + 1 :]
                 if rest and rest[0].text == ":":
                     cut = next((k for k, y in enumerate(rest) if y.text == "="), len(rest))
@@ -307,7 +311,8 @@ def constants(blocks: list[Block]) -> dict[str, str]:
                 values.setdefault(d, set()).add(v if known else "?")
             for d in s.closure_writes:
                 values.setdefault(d, set()).add("?")
-    return {k: next(iter(v)) for k, v in values.items() if len(v) == 1 and "?" not in v}
+    own = {d for b in blocks for s in b.statements for d in s.declared}
+    return {k: next(iter(v)) for k, v in values.items() if k in own and len(v) == 1 and "?" not in v}
 
 
 def dead_branches(blocks: list[Block]) -> list[dict]:
@@ -332,6 +337,7 @@ def dead_branches(blocks: list[Block]) -> list[dict]:
 def dead_stores(blocks: list[Block]) -> list[dict]:
     """Definitions that nothing reads afterwards, by liveness over the blocks; what closures touch is always live."""
     escaped = {d for b in blocks for s in b.statements for d in s.closure_writes}
+    own = {d for b in blocks for s in b.statements for d in s.declared}
     entry: dict[int, set[str]] = {b.id: set() for b in blocks}
     changed = True
     while changed:
@@ -346,7 +352,7 @@ def dead_stores(blocks: list[Block]) -> list[dict]:
     for b in blocks:
         live = set().union(*(entry[s] for s in b.successors)) if b.successors else set()
         for s in reversed(b.statements):
-            out += [{"line": s.line, "variable": d} for d in s.defs if d not in live and d not in s.uses and d not in escaped]
+            out += [{"line": s.line, "variable": d} for d in s.defs if d in own and d not in live and d not in s.uses and d not in escaped]
             live = (live - set(s.defs)) | set(s.uses)
     return sorted(out, key=lambda r: (r["line"], r["variable"]))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from taproot.frontend import cfg
 from taproot.frontend.lexer import Lexer, Token
 
 ACCESS = ("private", "fileprivate", "internal", "package", "public", "open")
@@ -40,6 +41,8 @@ class Facts:
     references: list[dict] = field(default_factory=list)
     tokens: set[str] = field(default_factory=set)
     comments: list[tuple[int, str]] = field(default_factory=list)
+    #: Verdicts of control flow: rule, line, what, and the function's name.
+    flow: list[dict] = field(default_factory=list)
     degraded: str | None = None
 
 
@@ -244,7 +247,21 @@ class Collector:
                 break
             last = t.line
             self.expression_token("type")
-        row["last_line"] = self.block(inner) if self.peek().text == "{" else last
+        if self.peek().text == "{":
+            self.judge(self.t[self.at + 1 : self.closing(self.at)], name.text)
+            last = self.block(inner)
+        row["last_line"] = last
+
+    def judge(self, body: list[Token], name: str) -> None:
+        """Dead branches and stores of a body; a body over the bound is noted and left out."""
+        built = cfg.Builder(body)
+        if built.count > cfg.MOST_STATEMENTS:
+            self.facts.degraded = self.facts.degraded or f"{name} has more than {cfg.MOST_STATEMENTS} statements"
+            return
+        for r in cfg.dead_branches(built.blocks):
+            self.facts.flow.append({"rule": "dead-branch", "line": r["line"], "what": f"{r['dead']} of {r['condition']}", "function": name})
+        for r in cfg.dead_stores(built.blocks):
+            self.facts.flow.append({"rule": "dead-store", "line": r["line"], "what": r["variable"], "function": name})
 
     def parameters(self, inner: Scope, end: int, scope: Scope) -> None:
         self.take()

@@ -157,6 +157,31 @@ def findings(dead: DataFrame, tokens: DataFrame, config: Configuration) -> DataF
     return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message")))
 
 
+def flow_findings(facts: DataFrame, config: Configuration) -> DataFrame:
+    """Findings of dead branches (certain) and dead stores (high), per line of their function."""
+    own = facts.select("path", F.explode("flow").alias("f")).select("path", "f.*").where(F.col("rule").isin(*(r for r in ("dead-branch", "dead-store") if config.enabled(r))))
+    branch = F.col("rule") == "dead-branch"
+    message = F.when(branch, F.concat(F.lit("branch '"), F.col("what"), F.lit("' never runs in "), F.col("function"))).otherwise(F.concat(F.lit("value stored in '"), F.col("what"), F.lit("' is never read in "), F.col("function")))
+    severity = F.create_map(*(F.lit(x) for r in RULES for x in (r, config.severity(r))))
+    confidence = F.when(branch, "certain").otherwise("high")
+    out = own.select("rule", severity[F.col("rule")].alias("severity"), "path", "line", F.lit(1).alias("column"), message.alias("message"), F.concat(F.lit("confidence "), confidence).alias("note"), confidence.alias("confidence"))
+    return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message"))).dropDuplicates(["fingerprint"])
+
+
+def opt_in_findings(facts: DataFrame, decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFrame:
+    """Unused imports and properties that are only written, where these rules are on."""
+    imports = decls.where((F.col("kind") == "import") & ~F.array_contains("attributes", "_exported"))
+    unused_ = relations.unused_imports(imports.select("path", "line", "column", F.col("path").alias("file"), F.col("name").alias("module")), refs.withColumn("file", F.col("path")))
+    found = unused_.select(F.lit("unused-import").alias("rule"), "path", "line", "column", F.concat(F.lit("import '"), F.col("module"), F.lit("' is never used in this file")).alias("message"))
+    written = relations.assign_only(refs, "identifier", F.col("context") == "write").select(F.col("identifier").alias("name"))
+    only = decls.where("kind IN ('variable', 'constant') AND NOT local").join(written, "name", "left_semi")
+    found = found.unionByName(only.select(F.lit("assign-only-property").alias("rule"), "path", "line", "column", F.concat(F.lit("property '"), F.col("name"), F.lit("' is written and never read")).alias("message")))
+    on = [r for r in ("unused-import", "assign-only-property") if config.enabled(r)]
+    severity = F.create_map(*(F.lit(x) for r in RULES for x in (r, config.severity(r))))
+    out = found.where(F.col("rule").isin(*on)).select("rule", severity[F.col("rule")].alias("severity"), "path", "line", "column", "message", F.lit("confidence medium").alias("note"), F.lit("medium").alias("confidence"))
+    return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message")))
+
+
 def suppression(found: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed) by accepting comments on the line or the one before, and by the last toggle above."""
     comments = facts.select("path", F.explode("comments").alias("c")).select("path", F.col("c.line").alias("at"), text.directive(F.col("c.text"), list(RULES)).alias("d")).where("d IS NOT NULL").select("path", "at", "d.verb", "d.rules")
@@ -171,6 +196,9 @@ def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Con
     """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant)."""
     facts = stored(files.facts(sources))
     decls, refs = stored(with_effective_access(files.declarations(facts))), files.references(facts)
-    found = stored(findings(unused(decls, refs, config), files.string_tokens(facts), config))
+    found = findings(unused(decls, refs, config), files.string_tokens(facts), config).unionByName(flow_findings(facts, config))
+    if any(map(config.enabled, ("unused-import", "assign-only-property"))):
+        found = found.unionByName(opt_in_findings(facts, decls, refs, config))
+    found = stored(found)
     kept, gone = suppression(found, facts)
     return Report(kept, gone, facts.where("degraded IS NOT NULL").select("path", "degraded"))

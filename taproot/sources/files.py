@@ -16,7 +16,7 @@ SKIPPED = frozenset({"DerivedData", "checkouts"})
 
 DECLARATION = "struct<name: string, kind: string, line: int, column: int, first_line: int, last_line: int, access: string, modifiers: array<string>, attributes: array<string>, conformances: array<string>, scope: string, enclosing: array<int>, enclosing_type: string, enclosing_kind: string, local: boolean, ordinal: int>"
 REFERENCE = "struct<identifier: string, qualifier: string, line: int, column: int, context: string>"
-FACTS = f"path string, declarations array<{DECLARATION}>, references array<{REFERENCE}>, tokens array<string>, comments array<struct<line: int, text: string>>, degraded string"
+FACTS = f"path string, declarations array<{DECLARATION}>, references array<{REFERENCE}>, tokens array<string>, comments array<struct<line: int, text: string>>, flow array<struct<rule: string, line: int, what: string, function: string>>, degraded string"
 
 
 def _excluded(path: str, entries: Iterable[str]) -> bool:
@@ -75,11 +75,11 @@ def facts(sources: DataFrame) -> DataFrame:
             rows = []
             for path, source, error in zip(f["path"], f["source"], f["error"], strict=True):
                 if source is None:
-                    rows.append((path, [], [], [], [], error or "unreadable"))
+                    rows.append((path, [], [], [], [], [], error or "unreadable"))
                     continue
                 x = of(path, source)
-                rows.append((path, x.declarations, x.references, sorted(x.tokens), [{"line": n, "text": t} for n, t in x.comments], x.degraded))
-            yield pd.DataFrame(rows, columns=["path", "declarations", "references", "tokens", "comments", "degraded"])
+                rows.append((path, x.declarations, x.references, sorted(x.tokens), [{"line": n, "text": t} for n, t in x.comments], x.flow, x.degraded))
+            yield pd.DataFrame(rows, columns=["path", "declarations", "references", "tokens", "comments", "flow", "degraded"])
 
     return sources.select("path", "source", "error").mapInPandas(collect, FACTS)
 

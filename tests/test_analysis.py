@@ -57,6 +57,14 @@ def test_single_file_and_reports(spark):
     assert sinks.exit_status(rows) == 0 and sinks.exit_status(rows, strict=True) == 1
 
 
+def test_flow_and_opt_in_rules(spark):
+    source = "import Foundation\nimport Kit\n@main struct A {\n    var total = 0\n    static func main() {\n        if false { go() }\n        var x = 1\n        x = 2\n        print(x, Kit.self)\n        total = 3\n    }\n}\n"
+    rows = files.in_memory(spark, [("a.swift", source)])
+    assert {(r.rule, r.line) for r in analyze(spark, rows).ordered()} == {("dead-branch", 6)}
+    on = Configuration(rules={r: {"enabled": True} for r in ("unused-import", "assign-only-property", "dead-store")})
+    assert {(r.rule, r.line) for r in analyze(spark, rows, on).ordered()} == {("dead-branch", 6), ("dead-store", 7), ("unused-import", 1), ("assign-only-property", 4)}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.swift").write_text("func f() {}\n")
     (tmp_path / ".build").mkdir()
