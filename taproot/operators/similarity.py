@@ -101,6 +101,14 @@ class WordPiece:
         return ids[:most] if most else ids
 
 
+def vocabulary(content: str) -> dict[str, int]:
+    """Token ids by line number of a vocabulary file; the first of equal lines wins."""
+    out: dict[str, int] = {}
+    for i, line in enumerate(content.splitlines()):
+        out.setdefault(line.rstrip("\r"), i)
+    return out
+
+
 def wordpiece(rows: DataFrame, text: str, key: str, vocabulary: dict[str, int], most: int = 128) -> DataFrame:
     """(key, ids): word-piece ids of each text, cut off after ``most``."""
 
