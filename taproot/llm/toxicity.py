@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taproot.llm import common
 from taproot.llm.ngram_join import signatures
@@ -297,7 +298,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["row", "toxicity"])
 
-    return flat.mapInArrow(score, f"row {docs.schema.simpleString()}, toxicity double")
+    return flat.mapInArrow(score, T.StructType([T.StructField("row", docs.schema), T.StructField("toxicity", T.DoubleType())]))
 
 
 def training(labels: DataFrame) -> DataFrame:
