@@ -20,6 +20,15 @@ ENTRY_CONFORMANCES = ("App", "AppIntent", "Widget", "WidgetBundle", "ParsableCom
 BUILDER_ATTRIBUTES = ("IBAction", "IBOutlet", "IBDesignable", "IBInspectable", "IBSegueAction")
 RANK = {"private": 0, "fileprivate": 1, "internal": 2, "package": 3, "public": 4, "open": 5}
 
+# Requirements of the standard library's protocols that code elsewhere calls. Raw types have none.
+EXTERNAL = {
+    "Equatable": "==", "Hashable": "== hash hashValue", "Comparable": "== < <= > >=", "Codable": "init encode CodingKeys", "Encodable": "encode CodingKeys", "Decodable": "init CodingKeys",
+    "CustomStringConvertible": "description", "CustomDebugStringConvertible": "debugDescription", "Identifiable": "id", "Error": "", "LocalizedError": "errorDescription failureReason recoverySuggestion helpAnchor", "Sendable": "",
+    "CaseIterable": "allCases", "RawRepresentable": "rawValue init", "OptionSet": "rawValue init", "Sequence": "makeIterator underestimatedCount", "IteratorProtocol": "next", "Collection": "startIndex endIndex subscript index makeIterator",
+    "ExpressibleByStringLiteral": "init", "ExpressibleByIntegerLiteral": "init", "ExpressibleByArrayLiteral": "init", "ExpressibleByDictionaryLiteral": "init", "AnyObject": "", "Actor": "", "Copyable": "",
+    "String": "", "Int": "", "Character": "", "Double": "", "UInt8": "", "UInt16": "", "UInt32": "", "UInt64": "", "Int8": "", "Int16": "", "Int32": "", "Int64": "", "Float": "", "UInt": "",
+}
+
 
 @dataclass(frozen=True)
 class Configuration:
@@ -72,6 +81,22 @@ def root_reason(config: Configuration) -> Column:
     return F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), name) for test, name in reasons))
 
 
+def external_witnesses(decls: DataFrame) -> DataFrame:
+    """(decl) of members that code outside the corpus may call through a protocol or base type of theirs.
+
+    A type's outside requirements are known only if each of its outside conformances, over all its extensions, is in
+    the catalogue; otherwise all of its members but private ones are exempt.
+    """
+    spark = decls.sparkSession
+    catalogue = spark.createDataFrame([(k, v.split()) for k, v in EXTERNAL.items()], "base string, needs array<string>")
+    inside = decls.where("kind IN ('protocol', 'class', 'actor', 'struct', 'enum', 'typealias')").select(F.col("name").alias("base")).distinct()
+    types = decls.where("kind IN ('class', 'struct', 'enum', 'actor', 'extension')").select(F.col("name").alias("enclosing_type"), F.explode("conformances").alias("text"))
+    outside = types.select("enclosing_type", F.explode(F.split("text", "&")).alias("one")).select("enclosing_type", text.base_name(F.col("one")).alias("base")).distinct().join(inside, "base", "left_anti")
+    found = outside.join(F.broadcast(catalogue), "base", "left").groupBy("enclosing_type").agg(F.bool_and(F.col("needs").isNotNull()).alias("known"), F.flatten(F.collect_list("needs")).alias("needs"))
+    exempt = F.when(F.col("known"), F.array_contains("needs", F.col("name"))).otherwise(access_rank(F.col("access")) > RANK["fileprivate"])
+    return decls.where("kind <> 'parameter'").join(found, "enclosing_type").where(exempt).select("decl")
+
+
 def with_effective_access(decls: DataFrame) -> DataFrame:
     """The least access of a declaration and of all that enclose it, extensions aside."""
     inner = decls.select("decl", "path", F.explode("enclosing").alias("ordinal"))
@@ -125,7 +150,9 @@ def unused(decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFram
     if config.single_file:
         dead = relations.unused_names(plain.where("root IS NULL AND NOT (enclosing_kind <=> 'protocol')"), refs.select(F.col("identifier").alias("name")))
         return dead.withColumn("reason", F.lit("never referenced"))
-    known = stored(known)
+    outer = external_witnesses(decls).distinct().withColumn("outer", F.lit("external witness"))
+    known = stored(known.join(outer, "decl", "left").withColumn("root", F.coalesce("root", "outer")).drop("outer"))
+    plain = known.where((F.col("name") != "_") & ~F.col("name").startswith("`") & ~F.col("name").rlike("Tests?$"))
     edges = dependency_edges(known, refs)
     roots = known.where("root IS NOT NULL").select(F.lit("all").alias("root_set"), F.col("decl").alias("node"))
     if config.production:

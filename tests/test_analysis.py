@@ -65,6 +65,23 @@ def test_flow_and_opt_in_rules(spark):
     assert {(r.rule, r.line) for r in analyze(spark, rows, on).ordered()} == {("dead-branch", 6), ("dead-store", 7), ("unused-import", 1), ("assign-only-property", 4)}
 
 
+def test_what_outside_code_calls(spark):
+    source = """@main struct A { static func main() { _ = K(); _ = V(); _ = E.one } }
+struct K: Hashable {
+    func hash(into h: inout Hasher) {}
+    func other() {}
+}
+class V: UnknownView {
+    func layout() {}
+    private func lost() {}
+}
+enum E: String, CaseIterable { case one }
+extension K: CustomStringConvertible { var description: String { "" } }
+"""
+    got = names(analyze(spark, files.in_memory(spark, [("a.swift", source)])))
+    assert got == {("unused-function", "lost"), ("unused-function", "other")}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.swift").write_text("func f() {}\n")
     (tmp_path / ".build").mkdir()
