@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, and exact weighted similarity.
 
 1. Each text is lowered and cut into words. A Bloom filter of the benchmark's five-word shingles (of bounded size)
-   tells which positions may hold one. A window is kept if it begins with a shingle that some item begins with, ends
-   with one that some item ends with, and is as long as some item may be: without that its similarity can't reach the
-   threshold. All of it happens within the row, so texts are not shuffled.
+   tells within the row which positions may hold one; a join of their hashes with the benchmark's tells which do. A
+   window is kept if it begins and ends where runs of items' shingles do, begins with a shingle that some item begins
+   with, ends with one that some item ends with, and is as long as some item may be. Texts are not shuffled, only the
+   hashes of those with hits.
 2. Different windows only (a passage in a third of all documents counts once) get a 64-bit SimHash of their weighted
    shingles, as every item does.
 3. Fingerprints are cut into four blocks of 16 bits. Two within `RADIUS` bits differ by at most RADIUS // 4 bits in
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from taproot.llm import common
 
 N, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 15, 4
-#: Bits of a Bloom filter: so many per shingle, within these bounds. A full filter only lets more windows through.
+#: Bits of the Bloom filter: so many per shingle, within these bounds. A full filter only sends more positions to the join.
 BITS_EACH, BITS_MIN, BITS_MAX = 160, 1 << 12, 1 << 22
 _WORDS = r"split(regexp_replace(lower(coalesce({}, '')), r'^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', ''), r'[\x09-\x0D\x20]+')"
 _NONE = "cast(array() as array<bigint>)"
@@ -72,22 +73,36 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return own.select("item_id", F.size("w").alias("n"), F.posexplode(F.expr(shingle_hashes("w"))).alias("at", "h")).withColumn("last", F.col("n") - N)
 
 
-def windows(docs: DataFrame, shingles: DataFrame, shortest: int, longest: int, threshold: float) -> DataFrame:
-    """(doc_id, start, n_words, window, hashes) of the windows that may match; ``window`` names equal sets of hashes."""
+def places(shingles: DataFrame, threshold: float) -> DataFrame:
+    """(h, items, opens, closes): each shingle once, a hash of the set of items that have it, and whether one may begin or end with it."""
     margin = F.ceil((1 - threshold) * (F.col("last") + 1))
-    anywhere, first, last = Bloom(shingles), Bloom(shingles.where(F.col("at") <= margin)), Bloom(shingles.where(F.col("last") - F.col("at") <= margin))
+    own = shingles.groupBy("h", "item_id").agg(F.max(F.col("at") <= margin).alias("opens"), F.max(F.col("last") - F.col("at") <= margin).alias("closes"))
+    return own.groupBy("h").agg(F.bit_xor(F.xxhash64("item_id")).alias("items"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+
+
+def windows(docs: DataFrame, known: DataFrame, shortest: int, longest: int, threshold: float) -> DataFrame:
+    """(doc_id, start, n_words, window, hashes) of the windows that may match; ``window`` names equal sets of hashes."""
+    anywhere = Bloom(known)
     least = max(1, int(threshold / 2 * (shortest - N + 1)))
     least_long, most_long = int(shortest * threshold), int(longest / threshold) + 1
-    none = "cast(array() as array<struct<start: int, n_words: int, hashes: array<bigint>>>)"
-    pairs = f"flatten(transform(starts, s -> transform(filter(ends, e -> e - s + {N} BETWEEN {least_long} AND {most_long}), e -> struct(s AS start, e - s + {N} AS n_words, array_sort(array_distinct(slice(h, s + 1, e - s + 1))) AS hashes))))"
-    # A run of shingles that items begin with gives its first place as a start, one that they end with its last as an end.
-    starts = f"filter(hits, i -> {first.has('bloom_first', 'h[i]')} AND (i = 0 OR NOT {first.has('bloom_first', 'h[greatest(i - 1, 0)]')}))"
-    ends = f"filter(hits, i -> {last.has('bloom_last', 'h[i]')} AND (i = size(h) - 1 OR NOT {last.has('bloom_last', 'h[least(i + 1, size(h) - 1)]')}))"
-    found = let("bloom_first", first.literal, let("bloom_last", last.literal, let("starts", starts, let("ends", ends, pairs))))
+    none = "cast(array() as array<struct<h: array<bigint>, hits: array<int>>>)"
     hits = f"filter(transform(h, (x, i) -> if({anywhere.has('bloom', 'x')}, i, -1)), i -> i >= 0)"
-    whole = let("w", _WORDS.format("text"), let("h", shingle_hashes("w"), let("bloom", anywhere.literal, let("hits", hits, f"if(size(hits) < {least}, {none}, {found})"))))
+    whole = let("w", _WORDS.format("text"), let("h", shingle_hashes("w"), let("bloom", anywhere.literal, let("hits", hits, f"if(size(hits) < {least}, {none}, array(struct(h, hits)))"))))
     # The outer array keeps the optimiser from copying the expression into a filter.
     own = docs.select("doc_id", F.explode(F.array(F.expr(whole))).alias("x")).select("doc_id", F.explode("x").alias("x"))
+    rows = common.stored(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.h", "x.hits"))
+    # What the filter lets through is looked up, so a place is a hit only if some item has its shingle.
+    met = rows.select("row", F.explode(F.expr("transform(hits, i -> struct(i AS at, h[i] AS h))")).alias("x")).select("row", "x.at", "x.h").join(common.small(known), "h")
+    met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "items", "opens", "closes"))).alias("k")).where(F.size("k") >= least)
+    # The best window of an item begins where a run of its shingles begins, and ends where one ends. There the set of
+    # items changes from one place to the next.
+    starts = "transform(filter(sequence(0, size(k) - 1), j -> k[j].opens AND (j = 0 OR k[greatest(j - 1, 0)].at < k[j].at - 1 OR k[greatest(j - 1, 0)].items <> k[j].items)), j -> k[j].at)"
+    ends = "transform(filter(sequence(0, size(k) - 1), j -> k[j].closes AND (j = size(k) - 1 OR k[least(j + 1, size(k) - 1)].at > k[j].at + 1 OR k[least(j + 1, size(k) - 1)].items <> k[j].items)), j -> k[j].at)"
+    pairs = f"flatten(transform(starts, s -> transform(filter(ends, e -> e - s + {N} BETWEEN {least_long} AND {most_long}), e -> struct(s AS start, e - s + {N} AS n_words, array_sort(array_distinct(slice(h, s + 1, e - s + 1))) AS hashes))))"
+    # No shingle weighs more than one that no item has, so a window of too few hits can't reach the threshold.
+    enough = f"filter(pairs, x -> size(array_intersect(x.hashes, held)) >= {threshold} * size(x.hashes) - 1e-6)"
+    found = let("held", "transform(k, x -> h[x.at])", let("starts", starts, let("ends", ends, let("pairs", pairs, enough))))
+    own = rows.select("row", "doc_id", "h").join(met, "row").select("doc_id", F.explode(F.array(F.expr(found))).alias("x")).select("doc_id", F.explode("x").alias("x"))
     return own.select("doc_id", "x.start", "x.n_words", F.xxhash64("x.hashes").alias("window"), "x.hashes")
 
 
@@ -121,7 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     shortest, longest = shingles.agg(F.min("n"), F.max("n")).first()
     if shortest is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double")
-    found = common.stored(windows(docs, shingles, shortest, longest, threshold))
+    found = common.stored(windows(docs, common.stored(places(shingles, threshold)), shortest, longest, threshold))
     weights = shingles.select("item_id", "h").distinct().groupBy("h").agg((1 + 1 / F.count("*")).alias("w"))
     item_weights = common.stored(shingles.select("item_id", "h").distinct().join(weights, "h"))
     different = found.groupBy("window").agg(F.first("hashes").alias("hashes")).select("window", F.explode("hashes").alias("h"))

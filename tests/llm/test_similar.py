@@ -93,3 +93,19 @@ def test_blocks_find_all_within_the_radius(spark):
     got = {tuple(r) for r in decontaminate.near(q, i, 15).collect()}
     want = {(w, k) for w, x in queries for k, b in enumerate(base) if ((x ^ b) & (2**64 - 1)).bit_count() <= 15}
     assert got == want
+
+
+def test_a_full_filter_loses_no_match(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS_MIN", 1 << 6)
+    monkeypatch.setattr(decontaminate, "BITS_MAX", 1 << 6)
+    items = [(i, prose(1200 + i, 30 + i)) for i in range(30)]
+    rows = [(i, prose(1300 + i, 25) + " " + t + " " + prose(1400 + i, 25)) for i, t in items] + [(100, prose(1500, 200))]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.start, r.n_words, r.similarity) for r in found.collect()} == {(i, i, 25, 30 + i, 1.0) for i, _ in items}
+
+
+def test_an_item_within_a_longer_one_is_found(spark):
+    inner = prose(1600, 60)
+    items = [(1, inner), (2, prose(1601, 25) + " " + inner + " " + prose(1602, 25))]
+    found = decontaminate.matches(spark.createDataFrame([(1, prose(1603, 30) + " " + items[1][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.item_id, r.start, r.n_words) for r in found.collect()} == {(1, 55, 60), (2, 30, 110)}
