@@ -2,9 +2,9 @@
 
 1. Each text is lowered and cut into words. A Bloom filter of the benchmark's five-word shingles (of bounded size)
    tells within the row which positions may hold one; a join of their hashes with the benchmark's tells which do. A
-   window is kept if it begins and ends where runs of items' shingles do, begins with a shingle that some item begins
-   with, ends with one that some item ends with, and is as long as some item may be. Texts are not shuffled, only the
-   hashes of those with hits.
+   window is kept if it begins and ends where runs of items' shingles do, wherever in the item these lie, and has as
+   many of them as the weights below ask for. It has no more words than the longest item and what the threshold lets
+   come on top. Texts are not shuffled, only the hashes of those with hits.
 2. Different windows only (a passage in a third of all documents counts once) get a 64-bit SimHash of their weighted
    shingles, as every item does.
 3. Fingerprints are cut into four blocks of 16 bits. Two within `RADIUS` bits differ by at most RADIUS // 4 bits in
@@ -68,23 +68,27 @@ class Bloom:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """(item_id, n, last, at, h): the shingles of each item in place, n words, ``last`` the place of its last."""
+    """(item_id, n, h): the shingles of each item as often as they occur, n words."""
     own = items.select("item_id", F.explode(F.array(F.expr(_WORDS.format("text")))).alias("w"))
-    return own.select("item_id", F.size("w").alias("n"), F.posexplode(F.expr(shingle_hashes("w"))).alias("at", "h")).withColumn("last", F.col("n") - N)
+    return own.select("item_id", F.size("w").alias("n"), F.explode(F.expr(shingle_hashes("w"))).alias("h"))
 
 
-def places(shingles: DataFrame, threshold: float) -> DataFrame:
-    """(h, items, opens, closes): each shingle once, a hash of the set of items that have it, and whether one may begin or end with it."""
-    margin = F.ceil((1 - threshold) * (F.col("last") + 1))
-    own = shingles.groupBy("h", "item_id").agg(F.max(F.col("at") <= margin).alias("opens"), F.max(F.col("last") - F.col("at") <= margin).alias("closes"))
-    return own.groupBy("h").agg(F.bit_xor(F.xxhash64("item_id")).alias("items"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+def bounds(item_weights: DataFrame, threshold: float) -> tuple[int, int]:
+    """(how many different shingles a window shares with any item at least, how many it has beyond an item's at most)."""
+    own = item_weights.groupBy("item_id").agg(F.sum("w").alias("total"), F.max("w").alias("most"))
+    # A shingle weighs more than 1, and none of an item's more than its heaviest.
+    shared = F.ceil(threshold * F.col("total") / F.col("most") - 1e-6)
+    beyond = F.floor((1 / threshold - 1) * F.col("total") + 1e-6)
+    return tuple(int(x) for x in own.agg(F.min(shared), F.max(beyond)).first())
 
 
-def windows(docs: DataFrame, known: DataFrame, shortest: int, longest: int, threshold: float) -> DataFrame:
-    """(doc_id, start, n_words, window, hashes) of the windows that may match; ``window`` names equal sets of hashes."""
+def windows(docs: DataFrame, known: DataFrame, least: int, most_long: int, threshold: float) -> DataFrame:
+    """(doc_id, start, n_words, window, hashes) of the windows that may match; ``window`` names equal sets of hashes.
+
+    known: (h, items), each shingle once with a hash of the set of items that have it. A window has ``least`` different
+    shingles of items at least and ``most_long`` words at most.
+    """
     anywhere = Bloom(known)
-    least = max(1, int(threshold / 2 * (shortest - N + 1)))
-    least_long, most_long = int(shortest * threshold), int(longest / threshold) + 1
     none = "cast(array() as array<struct<h: array<bigint>, hits: array<int>>>)"
     hits = f"filter(transform(h, (x, i) -> if({anywhere.has('bloom', 'x')}, i, -1)), i -> i >= 0)"
     whole = let("w", _WORDS.format("text"), let("h", shingle_hashes("w"), let("bloom", anywhere.literal, let("hits", hits, f"if(size(hits) < {least}, {none}, array(struct(h, hits)))"))))
@@ -93,12 +97,12 @@ def windows(docs: DataFrame, known: DataFrame, shortest: int, longest: int, thre
     rows = common.stored(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.h", "x.hits"))
     # What the filter lets through is looked up, so a place is a hit only if some item has its shingle.
     met = rows.select("row", F.explode(F.expr("transform(hits, i -> struct(i AS at, h[i] AS h))")).alias("x")).select("row", "x.at", "x.h").join(common.small(known), "h")
-    met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "items", "opens", "closes"))).alias("k")).where(F.size("k") >= least)
+    met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("k")).where(F.size("k") >= least)
     # The best window of an item begins where a run of its shingles begins, and ends where one ends. There the set of
     # items changes from one place to the next.
-    starts = "transform(filter(sequence(0, size(k) - 1), j -> k[j].opens AND (j = 0 OR k[greatest(j - 1, 0)].at < k[j].at - 1 OR k[greatest(j - 1, 0)].items <> k[j].items)), j -> k[j].at)"
-    ends = "transform(filter(sequence(0, size(k) - 1), j -> k[j].closes AND (j = size(k) - 1 OR k[least(j + 1, size(k) - 1)].at > k[j].at + 1 OR k[least(j + 1, size(k) - 1)].items <> k[j].items)), j -> k[j].at)"
-    pairs = f"flatten(transform(starts, s -> transform(filter(ends, e -> e - s + {N} BETWEEN {least_long} AND {most_long}), e -> struct(s AS start, e - s + {N} AS n_words, array_sort(array_distinct(slice(h, s + 1, e - s + 1))) AS hashes))))"
+    starts = "transform(filter(sequence(0, size(k) - 1), j -> j = 0 OR k[greatest(j - 1, 0)].at < k[j].at - 1 OR k[greatest(j - 1, 0)].items <> k[j].items), j -> k[j].at)"
+    ends = "transform(filter(sequence(0, size(k) - 1), j -> j = size(k) - 1 OR k[least(j + 1, size(k) - 1)].at > k[j].at + 1 OR k[least(j + 1, size(k) - 1)].items <> k[j].items), j -> k[j].at)"
+    pairs = f"flatten(transform(starts, s -> transform(filter(ends, e -> e - s + {N} BETWEEN {least + N - 1} AND {most_long}), e -> struct(s AS start, e - s + {N} AS n_words, array_sort(array_distinct(slice(h, s + 1, e - s + 1))) AS hashes))))"
     # No shingle weighs more than one that no item has, so a window of too few hits can't reach the threshold.
     enough = f"filter(pairs, x -> size(array_intersect(x.hashes, held)) >= {threshold} * size(x.hashes) - 1e-6)"
     found = let("held", "transform(k, x -> h[x.at])", let("starts", starts, let("ends", ends, let("pairs", pairs, enough))))
@@ -133,12 +137,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     shingles = common.stored(item_shingles(items))
-    shortest, longest = shingles.agg(F.min("n"), F.max("n")).first()
-    if shortest is None:
+    longest = shingles.agg(F.max("n")).first()[0]
+    if longest is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double")
-    found = common.stored(windows(docs, common.stored(places(shingles, threshold)), shortest, longest, threshold))
-    weights = shingles.select("item_id", "h").distinct().groupBy("h").agg((1 + 1 / F.count("*")).alias("w"))
+    known = common.stored(shingles.select("item_id", "h").distinct().groupBy("h").agg((1 + 1 / F.count("*")).alias("w"), F.bit_xor(F.xxhash64("item_id")).alias("items")))
+    weights = known.select("h", "w")
     item_weights = common.stored(shingles.select("item_id", "h").distinct().join(weights, "h"))
+    least, beyond = bounds(item_weights, threshold)
+    found = common.stored(windows(docs, known.select("h", "items"), least, longest + beyond, threshold))
     different = found.groupBy("window").agg(F.first("hashes").alias("hashes")).select("window", F.explode("hashes").alias("h"))
     window_weights = common.stored(different.join(weights, "h", "left").withColumn("w", F.coalesce("w", F.lit(2.0))))
     pairs = near(simhash(window_weights, "window"), simhash(item_weights, "item_id"))

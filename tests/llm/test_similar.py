@@ -109,3 +109,18 @@ def test_an_item_within_a_longer_one_is_found(spark):
     items = [(1, inner), (2, prose(1601, 25) + " " + inner + " " + prose(1602, 25))]
     found = decontaminate.matches(spark.createDataFrame([(1, prose(1603, 30) + " " + items[1][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.item_id, r.start, r.n_words) for r in found.collect()} == {(1, 55, 60), (2, 30, 110)}
+
+
+def test_an_item_without_its_shared_part_is_found(spark):
+    shared = prose(1700, 60)
+    own = [prose(1701 + i, 144) for i in range(20)]
+    bench = spark.createDataFrame([(i, shared + " " + t) for i, t in enumerate(own)] + [(100 + i, t + " " + shared) for i, t in enumerate(prose(1750 + i, 144) for i in range(20))], "item_id long, text string")
+    last = bench.where("item_id = 103").first().text.split()[:144]
+    rows = [(1, prose(1800, 40) + " " + own[3] + " " + prose(1801, 40)), (2, prose(1802, 40) + " " + " ".join(last) + " " + prose(1803, 40)), (3, shared + " " + prose(1804, 144))]
+    sets = {r.item_id: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in bench.collect() for w in [r.text.split()]}
+    often = Counter(g for s in sets.values() for g in s)
+    weight = lambda s: sum(1 + 1 / often[g] for g in s)
+    words = own[3].split()
+    assert weight({tuple(words[k : k + 5]) for k in range(140)}) / weight(sets[3]) >= 0.8
+    got = {(r.doc_id, r.item_id, r.start, r.n_words) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 3, 40, 144), (2, 103, 40, 144)}
