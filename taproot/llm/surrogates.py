@@ -4,14 +4,15 @@ Types: e-mail addresses, IPv4 addresses, phone, card, social security and accoun
 a label such as ``password=``, and persons named behind a title. A surrogate depends on the key and the entity only, so
 one entity has one surrogate in all documents (coreference). Distinct entities keep distinct surrogates:
 
-* numbers and IPv4 addresses go through a keyed Feistel network over their digits (bits), which is a bijection; the
-  digits alone decide, so two spellings of a number stay one number; the punctuation, a country code and a card's
-  first digit stay;
+* numbers and IPv4 addresses go through a keyed Feistel network over their digits (bits), a step of one, and the network's
+  inverse, which is a bijection that maps none to itself; the digits alone decide, so two spellings of a number stay
+  one number; the punctuation, a country code and a card's first digit stay;
 * all others are spelled from 60 bits of a keyed SHA-256, each letter as a letter of its case, each digit as a digit;
-  short local parts of addresses are lengthened; given names come from a list of the title's gender and the name's
-  script, family names from syllables of that script;
-* a check over all distinct entities looks for two that share a surrogate, or one that is its own; if there is any,
-  the next salt is tried for all.
+  local parts and secrets with few letters and digits are lengthened; given names come from a list of the title's gender
+  and the name's script, family names from eight syllables of that script;
+* a check over all distinct entities looks for those that share a surrogate, or are their own; all but one of them take
+  their next salt, round by round until none is left. If any is left after `ROUNDS`, as where more entities than surrogates
+  of a format exist, an error is raised.
 
 Texts are taken apart by one regular expression and put together again within the row, so they aren't shuffled;
 only distinct entities are. All is done by SQL functions.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from taproot.llm import common
 from taproot.llm.decontaminate import let
 
-KEY, SALTS = "taproot", 8
+KEY, ROUNDS = "taproot", 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -75,11 +76,18 @@ def _number(parts: str) -> str:
 
 
 def _feistel(high: str, low: str, high_size: str, low_size: str, secret: str, then: str) -> str:
-    """SQL: ``then`` with x and y bound to two halves after keyed rounds. Each round adds to one half what the other and the key give."""
+    """SQL: ``then`` with x and y bound to two halves after keyed rounds, a step of one, and the same rounds undone.
+
+    Each round adds to one half what the other and the key give. As the step moves every value, so does the whole.
+    """
     sql = then
-    for r in reversed(range(4)):
+    steps = [(r, "+") for r in range(4)] + [(None, "+")] + [(r, "-") for r in reversed(range(4))]
+    for r, sign in reversed(steps):
+        if r is None:
+            sql = let("x", f"pmod(x + 1L, {high_size})", sql)
+            continue
         moved, other, size_ = ("x", "y", high_size) if r % 2 == 0 else ("y", "x", low_size)
-        added = f"pmod({moved} + pmod({_number(f'concat({secret}, {_lit(str(r))}, {other})')}, {size_}), {size_})"
+        added = f"pmod({moved} {sign} pmod({_number(f'concat({secret}, {_lit(str(r))}, {other})')}, {size_}), {size_})"
         sql = let(moved, added, sql)
     return let("x", high, let("y", low, sql))
 
@@ -92,14 +100,23 @@ def _spelled(value: str, base: str, hexadecimal: str = "false") -> str:
     return f"array_join(transform(sequence(1, greatest(length({value}), 1)), i -> CASE WHEN {c} BETWEEN '0' AND '9' THEN cast({draw(10)} as string) WHEN {c} BETWEEN 'a' AND 'z' THEN {lower} WHEN {c} BETWEEN 'A' AND 'Z' THEN upper({lower}) ELSE {c} END), '')"
 
 
-def surrogate(e: str, key: str, salt: int) -> str:
-    """SQL for the surrogate of an entity expression (a bound name)."""
-    secret = lambda kind: _lit(f"{key}|{salt}|{kind}|")
+_ACCESS, _VALUE, _WHOLE = "^(?:AKIA|ASIA)[A-Z0-9]{16}$", r"([A-Za-z0-9+/_.-]{8,})$", r"^\p{L}+[.]? (.*)$"
+
+
+def identity(e: str) -> str:
+    """SQL: what makes two spelled entities one, whatever their case, spaces, label or title. Numbers stand for themselves."""
+    return f"CASE WHEN {e} LIKE '%@%' THEN lower({e}) WHEN {e} RLIKE {_lit(_ACCESS)} THEN {e} WHEN {e} RLIKE {_lit('^' + _LABEL)} THEN concat('=', regexp_extract({e}, {_lit(_VALUE)}, 1)) WHEN {e} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN replace({e}, ' ', '') WHEN {e} RLIKE '^[+0-9(]' THEN {e} ELSE regexp_extract({e}, {_lit(_WHOLE)}, 1) END"
+
+
+def surrogate(e: str, key: str, salt: str = "'0'") -> str:
+    """SQL for the surrogate of an entity expression (a bound name); ``salt`` is SQL of a string, which domains and numbers ignore."""
+    secret = lambda kind: _lit(f"{key}|0|{kind}|") if kind in ("domain", "ip", "number") else f"concat({_lit(f'{key}|')}, {salt}, {_lit(f'|{kind}|')})"
     base = lambda kind, value: _number(f"concat({secret(kind)}, {value})")
     extract = lambda pattern, group: f"regexp_extract({e}, {_lit(pattern)}, {group})"
 
     domain = let("d", extract(r"@(.*)\.[^.]*$", 1), let("b", base("domain", "lower(d)"), _spelled("d", "b")))
-    local = let("v", f"rpad({extract('^([^@]*)@', 1)}, greatest(12, length({extract('^([^@]*)@', 1)})), 'x')", let("b", base("mail", f"lower({e})"), _spelled("v", "b")))
+    longer = lambda value, n: f"concat({value}, repeat('x', greatest({n} - length(regexp_replace({value}, '[^A-Za-z0-9]', '')), 0)))"
+    local = let("v", longer(extract("^([^@]*)@", 1), 12), let("b", base("mail", f"lower({e})"), _spelled("v", "b")))
     mail = f"concat({local}, '@', {domain}, {extract(r'(\.[^.]*)$', 1)})"
 
     octets = let("o", f"transform(split({e}, '[.]'), p -> cast(p as bigint))", _feistel("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536L", "65536L", secret("ip"), "concat_ws('.', cast(x div 256 as string), cast(x % 256 as string), cast(y div 256 as string), cast(y % 256 as string))"))
@@ -113,17 +130,17 @@ def surrogate(e: str, key: str, salt: int) -> str:
 
     access = let("b", base("key", e), f"concat(substring({e}, 1, 4), {_spelled(f'substring({e}, 5)', 'b')})")
     account = let("b", base("account", f"replace({e}, ' ', '')"), let("s", f"replace({e}, ' ', '')", let("q", f"concat(substring(s, 1, 2), {_spelled('substring(s, 3)', 'b')})", f"array_join(transform(sequence(1, length({e})), i -> if(substring({e}, i, 1) = ' ', ' ', substring(q, length(replace(substring({e}, 1, i), ' ', '')), 1))), '')")))
-    value = extract(r"([A-Za-z0-9+/_.-]{8,})$", 1)
-    secret_value = let("v", value, let("b", base("secret", "v"), f"concat(substring({e}, 1, length({e}) - length(v)), {_spelled('v', 'b', 'v RLIKE ' + _lit('^[0-9a-f]+$'))})"))
+    value = extract(_VALUE, 1)
+    secret_value = let("v", value, let("b", base("secret", "v"), f"concat(substring({e}, 1, length({e}) - length(v)), {let('u', longer('v', 8), _spelled('u', 'b', 'v RLIKE ' + _lit('^[0-9a-f]+$')))})"))
 
     gender = f"CASE WHEN {e} RLIKE {_lit(rf'^(?:{_WOMEN})[. ]')} THEN 'f' WHEN {e} RLIKE {_lit(rf'^(?:{_MEN})[. ]')} THEN 'm' ELSE 'x' END"
     script = f"if({e} RLIKE {_lit(r' \p{IsCyrillic}')}, 'cyrillic', 'latin')"
     given = "map(" + ", ".join(f"{_lit(s + g)}, split({_lit(names)}, ' ')" for (s, g), names in NAMES.items()) + ")"
     parts = "map(" + ", ".join(f"{_lit(s)}, split({_lit(v)}, ' ')" for s, v in SYLLABLES.items()) + ")"
-    family = lambda b: f"initcap(array_join(transform(sequence(1, 5), i -> {parts}[s][cast(pmod(xxhash64({b}, i), 26) as int)]), ''))"
-    whole = extract(r"^\p{L}+[.]? (.*)$", 1)
+    family = lambda b: f"initcap(array_join(transform(sequence(1, 8), i -> {parts}[s][cast(pmod(xxhash64({b}, i), 26) as int)]), ''))"
+    whole = extract(_WHOLE, 1)
     person = let("s", script, let("w", f"split({whole}, ' ')", let("b", base("person", whole), f"concat({extract(r'^(\p{L}+[.]? )', 1)}, if(size(w) > 1, concat({given}[concat(s, {gender})][cast(pmod(b, 20) as int)], ' '), ''), {family('b')})")))
-    return f"CASE WHEN {e} LIKE '%@%' THEN {mail} WHEN {e} RLIKE {_lit('^(?:AKIA|ASIA)[A-Z0-9]{16}$')} THEN {access} WHEN {e} RLIKE {_lit('^' + _LABEL)} THEN {secret_value} WHEN {e} RLIKE {_lit('^' + _IP + '$')} THEN {octets} WHEN {e} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN {account} WHEN {e} RLIKE '^[+0-9(]' THEN {number} ELSE {person} END".replace("{{2}}", "{2}")
+    return f"CASE WHEN {e} LIKE '%@%' THEN {mail} WHEN {e} RLIKE {_lit(_ACCESS)} THEN {access} WHEN {e} RLIKE {_lit('^' + _LABEL)} THEN {secret_value} WHEN {e} RLIKE {_lit('^' + _IP + '$')} THEN {octets} WHEN {e} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN {account} WHEN {e} RLIKE '^[+0-9(]' THEN {number} ELSE {person} END".replace("{{2}}", "{2}")
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -132,26 +149,42 @@ def entities(docs: DataFrame) -> DataFrame:
     return own.select(F.explode("found").alias("value"))
 
 
-def safe_salt(docs: DataFrame, key: str) -> int:
-    """The first salt with which no two entities share a surrogate and none is its own."""
-    values = common.Stored(entities(docs).distinct())
-    for salt in range(SALTS):
-        made = values.read().select("value", F.explode(F.array(F.expr(surrogate("value", key, salt)))).alias("made"))
-        # Spellings of one number share their digits on purpose.
-        clash = made.groupBy("made").agg(F.count("*").alias("n")).where("n > 1")
-        if not clash.limit(1).count() and not made.where("value = made").limit(1).count():
+def salts(docs: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame | None:
+    """(id, salt) of the entities that need another salt than 0, so that none share a surrogate and none is its own; None if no entity does."""
+    drawn = lambda df: df.select("value", "id", "salt", F.explode(F.array(F.expr(surrogate("value", key, "cast(salt as string)")))).alias("made"))
+    own = entities(docs).distinct().select("value", F.expr(identity("value")).alias("id"), F.lit(0).alias("salt"))
+    held = common.Stored(drawn(own))
+    for turn in range(rounds):
+        now = held.read()
+        # One of those that share a surrogate keeps it.
+        shared = now.groupBy("made").agg(F.min("id").alias("first"), F.max("id").alias("other")).where("first <> other").select("made", "first")
+        again = common.Stored(now.join(shared, "made").where("id <> first").select("id").union(now.where("value = made").select("id")).distinct())
+        if not again.read().limit(1).count():
+            again.drop()
             break
-    values.drop()
-    return salt
+        bad = again.read()
+        following = common.Stored(now.join(bad, "id", "left_anti").select("value", "id", "salt", "made").union(drawn(now.join(bad, "id", "left_semi").withColumn("salt", F.lit(turn + 1)))))
+        again.drop()
+        held.drop()
+        held = following
+    else:
+        raise ValueError(f"entities still share surrogates after {rounds} rounds")
+    found = common.stored(held.read().where("salt > 0").select("id", "salt").distinct()) if turn else None
+    held.drop()
+    return found
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in text, n_chars set anew if there, and n_entities added."""
-    salt = safe_salt(docs.select("text"), key)
-    joined = "array_join(zip_with(split(text, r, -1), transform(regexp_extract_all(text, r, 0), e -> made), (a, b) -> concat(a, coalesce(b, ''))), '')".replace("made", surrogate("e", key, salt))
+    other = salts(docs.select("text"), key)
+    salt = "'0'" if other is None else f"cast(coalesce(try_element_at(_salts, {identity('e')}), 0) as string)"
+    names = docs.columns
+    if other is not None:  # one row: the few entities whose first surrogate was taken
+        docs = docs.crossJoin(F.broadcast(other.agg(F.map_from_entries(F.collect_list(F.struct("id", "salt"))).alias("_salts"))))
+    joined = "array_join(zip_with(split(text, r, -1), transform(regexp_extract_all(text, r, 0), e -> made), (a, b) -> concat(a, coalesce(b, ''))), '')".replace("made", let("salt", salt, surrogate("e", key, "salt")))
     whole = f"if(text RLIKE {_lit(HINT)}, {let('r', _lit(ENTITY), f'struct(size(regexp_extract_all(text, r, 0)) AS n, {joined} AS made)')}, struct(0 AS n, text AS made))"
     own = docs.withColumn("_made", F.explode(F.array(F.expr(whole))))
-    columns = [F.col("_made.made").alias("text") if c == "text" else F.length("_made.made").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col("_made.made").alias("text") if c == "text" else F.length("_made.made").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
     return own.select(*columns, F.coalesce(F.col("_made.n"), F.lit(0)).alias("n_entities"))
 
 

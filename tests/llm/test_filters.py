@@ -120,3 +120,18 @@ def test_numbers_stay_distinct(spark):
     assert surrogates.replaced(df, key="k").select("text").distinct().count() == 3000
     assert surrogates.replaced(df, key="k").select("text").intersect(surrogates.replaced(df, key="other").select("text")).count() < 30
     assert df.select(F.max("doc_id")).first()[0] == 2999
+
+
+def test_many_names_and_secrets_stay_distinct(spark):
+    names = [f"Mr. K{''.join('abcdefghij'[int(d)] for d in str(100000 + i))}" for i in range(30000)]
+    pins = [f"password={10000000 + 37 * i}" for i in range(60000)]
+    rows = list(enumerate([*names, *pins, "password=........", "PWD: 10000037"]))
+    out = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(set(out.values())) == len(rows) and all(out[i] != t for i, t in rows)
+    assert out[90001].split()[1] == out[30001].split("=")[1]
+
+
+def test_no_number_is_its_own_surrogate(spark):
+    df = spark.createDataFrame([(i, f"+123 {i // 100:02d} {i % 100:02d}") for i in range(10000)], "doc_id long, text string")
+    both = surrogates.replaced(df).join(df.withColumnRenamed("text", "was"), "doc_id")
+    assert both.where("text = was").count() == 0 and both.select("text").distinct().count() == 10000
