@@ -4,10 +4,11 @@ Documents are linked through hubs (here: equal texts), so a group of any size co
 document starts with a label by hash. Each round joins the labels with the links: a hub takes the label that most
 of its members have, and members want to move there. What wants to move from shard to shard is summed up (one row
 per pair of shards), and quotas by pair admit as much as keeps every shard within `SLACK` of the mean; who is admitted
-goes by the hub's hash, so groups move as wholes where they can. Rounds end when nobody wants to move.
+goes by the hub's hash, so groups move as wholes where they can. Rounds end when nobody wants to move, or after `ROUNDS`;
+what is still split then takes the label that most of its rows have.
 
 The law `rows` then holds exactly: documents are ranked by (label, hub, doc_id) and cut at equal counts, which
-moves few documents and splits a group at a cut only; a group larger than a shard spans several.
+splits a group at a cut only; a group larger than a shard spans several.
 
 Null texts count as empty. Null doc_ids come first within their group; repeated rows are documents of their own. An
 empty table gives an empty table; other columns are ignored.
@@ -74,6 +75,14 @@ def propagate(nodes: DataFrame, links: DataFrame, k: int = SHARDS, rounds: int =
     return held.read().select("node", "label")
 
 
+def united(placed: DataFrame) -> DataFrame:
+    """``placed`` (hub, label, ...) with one label per hub, the one that most of its rows have."""
+    votes = placed.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    split = votes.groupBy("hub").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("m")).where("k > 1").select("hub", F.col("m.label").alias("_most"))
+    # Only hubs with several labels are looked up; all others have theirs.
+    return placed.join(common.small(common.stored(split)), "hub", "left").withColumn("label", F.coalesce("_most", "label")).drop("_most")
+
+
 def shard(docs: DataFrame, k: int = SHARDS) -> DataFrame:
     """Per row of (doc_id, text): doc_id, size, text_crc32, shard, slot, hub. Counts of shards differ by one at most."""
     text: Column = F.coalesce("text", F.lit(""))
@@ -82,7 +91,7 @@ def shard(docs: DataFrame, k: int = SHARDS) -> DataFrame:
     nodes = own.read().select(F.xxhash64("doc_id", "hub").alias("node"), F.lit(1).cast("long").alias("weight"), "hub")
     labels = propagate(nodes.groupBy("node").agg(F.sum("weight").alias("weight")), nodes.select("node", "hub").distinct(), k)
     placed = own.read().withColumn("node", F.xxhash64("doc_id", "hub")).join(labels, "node", "left").withColumn("label", F.coalesce("label", F.pmod(F.xxhash64("node"), F.lit(k)).cast("int"))).drop("node")
-    ranked = common.ranked(placed, [F.col("label"), F.col("hub"), F.col("doc_id")])
+    ranked = common.ranked(united(common.stored(placed)), [F.col("label"), F.col("hub"), F.col("doc_id")])
     n = own.read().count()
     # The first n % k shards hold one document more.
     small, more = divmod(n, k)

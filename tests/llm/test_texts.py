@@ -139,3 +139,13 @@ def test_a_group_larger_than_a_shard_is_split_and_others_stay_whole(spark):
         shards[r.hub].add(r.shard)
     assert sum(len(s) > 1 for s in shards.values()) <= 8
     assert Counter(Counter(r.shard for r in got).values()) == {15: 8}
+
+
+def test_small_groups_beside_a_hot_third_stay_whole(spark):
+    df = spark.createDataFrame([(i, "same") for i in range(6000)] + [(10_000 + i, f"group {i % 3000}") for i in range(12_000)], "doc_id long, text string")
+    got = sharding.shard(df, 8).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.hub].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 7
+    assert Counter(Counter(r.shard for r in got).values()) == {2250: 8}
