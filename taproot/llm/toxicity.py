@@ -103,8 +103,13 @@ class Lexicon:
         fuzzy = [w for w in self.words if len(w) >= 5]
         cut = lambda w, k: [w[i * len(w) // (k + 1) : (i + 1) * len(w) // (k + 1)] for i in range(k + 1)]
         self.exact, self.prefixes = frozenset(self.words), tuple(self.stems)
-        self.heads = tuple({cut(w, 1)[0] for w in fuzzy})
-        self.tails = tuple({cut(w, 1)[1] for w in fuzzy})
+        swap = lambda w, c: w[: c - 1] + w[c] + w[c - 1] + w[c + 1 :]
+        # An edit leaves one half of a term whole, two leave a third, but a swap over a cut breaks both sides: what it
+        # makes is looked up itself, and its halves are where a second edit may follow.
+        swapped = {swap(w, c) for w in fuzzy if len(w) >= 9 for c in (len(w) // 3, 2 * len(w) // 3)}
+        self.heads = tuple({cut(w, 1)[0] for w in (*fuzzy, *swapped)})
+        self.tails = tuple({cut(w, 1)[1] for w in (*fuzzy, *swapped)})
+        self.swaps = frozenset(swap(w, len(w) // 2) for w in (*fuzzy, *swapped))
         self.middles = tuple({p for w in fuzzy if len(w) >= 9 for p in cut(w, 2)})
 
     @staticmethod
@@ -131,7 +136,7 @@ class Lexicon:
             return 0
         if word in self.exact or (self.prefixes and word.startswith(self.prefixes)):
             return 1
-        near = (self.heads and (word.startswith(self.heads) or word.endswith(self.tails))) or any(m in word for m in self.middles)
+        near = (self.heads and (word.startswith(self.heads) or word.endswith(self.tails))) or word in self.swaps or any(m in word for m in self.middles)
         return 2 if near and len(word) >= 4 and word not in self.ordinary and self.fuzzy(word) else 0
 
 

@@ -135,3 +135,24 @@ def test_no_number_is_its_own_surrogate(spark):
     df = spark.createDataFrame([(i, f"+123 {i // 100:02d} {i % 100:02d}") for i in range(10000)], "doc_id long, text string")
     both = surrogates.replaced(df).join(df.withColumnRenamed("text", "was"), "doc_id")
     assert both.where("text = was").count() == 0 and both.select("text").distinct().count() == 10000
+
+
+def test_match_finds_every_misspelling_in_reach():
+    assert toxicity.Lexicon(["idiot"]).match("iidot") == toxicity.Lexicon(["moron"]).match("mroon") == 2
+    rnd = random.Random(4)
+
+    def edited(w):
+        i, kind = rnd.randrange(len(w)), rnd.randrange(4)
+        if kind == 3:
+            i = rnd.randrange(len(w) - 1)
+            return w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+        return w[:i] + ("", "z", w[i] + "y")[kind] + w[i + 1 :]
+
+    for n in range(5, 14):
+        term = "abcdefghijklm"[:n]
+        lexicon = toxicity.Lexicon([term])
+        for _ in range(600):
+            word = edited(term)
+            word = edited(word) if n >= 9 and rnd.random() < 0.7 else word
+            if word != term and lexicon.fuzzy(word):
+                assert lexicon.match(word) == 2, (term, word)
