@@ -46,18 +46,28 @@ RIDGE = 0.05
 CUES = frozenset("said says wrote quote quoted quotes called word term sagte schrieb zitat wort dit écrit citation mot dijo escribió cita palabra".split())
 OPENING, CLOSING = "\"“„«‹'‘", "\"”“»›'’"
 _SIGNS = str.maketrans("@$!013457", "asioieast")
-_WORD = re.compile(r"[\w@$!]+")
+_WORD, _JOINED = re.compile(r"[\w@$!]+"), re.compile(r"[@$!_]+")
 
 
-def normal(piece: str) -> str:
-    """The word in a piece of text: lower case, outer signs off, digits and signs between letters undone."""
+def readings(piece: str) -> list[list[str]]:
+    """The words in a piece of text: lower case, outer signs off, digits and signs between letters undone.
+
+    A sign or underscore may stand for a letter or between two words, so each place gives its words apart and then,
+    where that differs, as one.
+    """
     w = piece.lower().strip(" \t\n.,;:!?%&*#()[]{}<>|/\\\"“”„«»‹›'‘’-–—_+=~`^")
-    if not w.isalpha():
-        if any(c.isalpha() for c in w):
-            w = w.translate(_SIGNS)
-        found = _WORD.findall(w)
-        w = max(found, key=len) if found else ""
-    return w
+    if w.isalpha():
+        return [[w]]
+    undone = lambda x: x.translate(_SIGNS) if any(c.isalpha() for c in x) else x
+    found = []
+    for x in _WORD.findall(w):
+        apart = [undone(y) for y in _JOINED.split(x) if y]
+        found.append(apart if apart == [undone(x)] else [*apart, undone(x)])
+    return found
+
+
+def words(piece: str) -> list[str]:
+    return [w for place in readings(piece) for w in place]
 
 
 class Automaton:
@@ -140,12 +150,22 @@ class Lexicon:
         return 2 if near and len(word) >= 4 and word not in self.ordinary and self.fuzzy(word) else 0
 
 
+    def hits(self, piece: str) -> tuple[int, ...]:
+        """What each word of a piece matches, without those that match none; joined words count only where none alone does."""
+        out: list[int] = []
+        for place in readings(piece):
+            kinds = [self.match(w) for w in place]
+            apart = [k for k in kinds[:-1] if k]
+            out += apart or [k for k in kinds[-1:] if k]
+        return tuple(out)
+
+
 class Judge:
     """Features and scores of texts by one lexicon, with a bounded memo of pieces."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def kinds(self, pieces: list[str]) -> list[tuple[int, int]]:
         memo = self.memo
@@ -154,12 +174,12 @@ class Judge:
         try:
             found = [memo[p] for p in pieces]
         except KeyError:
-            match = self.lexicon.match
+            hits = self.lexicon.hits
             for p in pieces:
                 if p not in memo:
-                    memo[p] = match(normal(p))
+                    memo[p] = hits(p)
             found = [memo[p] for p in pieces]
-        return [(i, k) for i, k in enumerate(found) if k] if any(found) else []
+        return [(i, k) for i, kinds in enumerate(found) for k in kinds] if any(found) else []
 
     @staticmethod
     def quoted(pieces: list[str], i: int) -> bool:
@@ -167,7 +187,7 @@ class Judge:
         opened = any(p[0] in OPENING for p in before) and not any(p.rstrip(".,;:!?")[-1:] in CLOSING for p in before[:-1])
         if opened and any(p.rstrip(".,;:!?")[-1:] in CLOSING for p in after):
             return True
-        return any(normal(p) in CUES for p in before[-4:-1])
+        return any(w in CUES for p in before[-4:-1] for w in words(p))
 
     def features(self, text: str | None) -> tuple[int, int, int]:
         """Hits as abuse by exact terms and by misspelled ones, and as quotations."""
@@ -199,9 +219,9 @@ def fit(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 def terms(text: str) -> set[str]:
     """The words of a text and their stems with a star; what it has twice or more comes again after a caret."""
-    words = Counter(w for p in text.split() if len(w := normal(p)) >= 3)
-    found = Counter(words)
-    for w, k in words.items():
+    own = Counter(w for p in text.split() for w in words(p) if len(w) >= 3)
+    found = Counter(own)
+    for w, k in own.items():
         for n in STEMS:
             if len(w) > n:
                 found[w[:n] + "*"] += k

@@ -156,3 +156,11 @@ def test_match_finds_every_misspelling_in_reach():
             word = edited(word) if n >= 9 and rnd.random() < 0.7 else word
             if word != term and lexicon.fuzzy(word):
                 assert lexicon.match(word) == 2, (term, word)
+
+
+def test_every_word_of_a_piece_counts():
+    judge = toxicity.Judge(toxicity.Lexicon(["idiot", "moron", "scum"]))
+    for text in ("understand,idiot", "disgusting-scum", "whatever/moron", "understood—idiot", "everybody!moron", "complete_idiot", "(well)idiot.Afterwards", "1d!ot"):
+        assert judge.features(text) == (1, 0, 0), text
+    assert judge.features("scum,idiot/mroon") == judge.features("scum_idiot!mroon") == (2, 1, 0)
+    assert {"understand", "idiot"} <= toxicity.terms("understand,idiot")
