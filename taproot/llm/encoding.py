@@ -1,22 +1,30 @@
 """Whole-text encoding by the tokenizers library, with a bounded memo of the ids of words.
 
-Both tokenizers split a text into pieces before they merge, and never across the cuts made here, so the ids of a
-text are the ids of its cut pieces in order. The memo spares encoding a word again; it is emptied when it is full.
+The ids are those of the library's plain ``encode(text, add_special_tokens=False)``. Both tokenizers split a text into
+pieces before they merge, and never across the cuts made here, so the ids of a text are the ids of its words in
+order. Arrow splits the texts of a group into words, numbers the distinct ones and takes their closing punctuation off;
+only what is distinct then goes to the memo or the library. The memo keeps two generations of words, so what is used
+often stays when the older one is dropped.
+
+A text that holds the string of a special (added) token is encoded whole by the library, which takes it for that token;
+so is every text under a tokenizer whose added tokens match normalised text.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import filterfalse
+from collections.abc import Iterator
 
-#: Entries that the memo holds.
-MEMO = 300_000
-#: Texts that are encoded at once are cut into groups of so many characters.
-GROUP = 2_000_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]| [ \\n]|\\n[ \\n]|^[ \\n]|[ \\n]\\Z")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#]*)")
+#: Words in a generation of the memo.
+MEMO = 400_000
+#: Bytes of text that are encoded at once; a longer text is taken alone.
+GROUP = 8_000_000
+
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_MARKS = ".,;:!?%$&*#"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,101 +35,184 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[0x20]
 
 
-def _as_bytes(s: str) -> str:
-    return s.encode().decode("latin-1").translate(_LETTERS)
+def strings(a: pa.Array) -> list[str]:
+    """As `to_pylist`, several times faster."""
+    return a.to_numpy(zero_copy_only=False).tolist()
 
 
-def cut_words(text: str) -> list[str]:
-    """For a tokenizer that drops white space: cut at every space and newline."""
-    return text.replace("\n", " ").split(" ")
+class Memo(dict):
+    """What ``learn`` gives for each key, kept for the last ``most`` to ``2 * most`` keys asked for."""
 
+    def __init__(self, learn, most: int) -> None:
+        super().__init__()
+        self.learn, self.most, self.older = learn, most, {}
 
-def cut_spaced(text: str) -> list[str]:
-    """For a byte-level tokenizer whose pieces may begin with one space.
-
-    A single space or newline between two characters that aren't white space always begins a piece, and a newline
-    there is a piece of its own. Texts with other white space are cut at single spaces only.
-    """
-    if _OTHER_SPACE.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
-    """ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    Pieces of Latin-1 letters and plain punctuation go to the library's model directly, word by word: normalising
-    them is to lower them at most, and letters and punctuation are always apart. All others go through the library's
-    whole tokenizer.
+    Words of Latin-1 letters and plain punctuation go to the library's model directly, letters and punctuation apart,
+    as the two never merge. All others go through the library's whole tokenizer.
     """
 
-    def __init__(self, path: str, cut=cut_words) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.cut = cut
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        memo, parts, rest, plain, tokenize, low = self.memo, self.parts, [], _PLAIN.fullmatch, self.model.tokenize, self.cut is cut_words
-        for w in pieces:
-            if not (m := plain(w)):
-                rest.append(w)
-                continue
-            letters, marks = m.groups()
-            if (ids := parts.get(letters)) is None:
-                own = letters.lower() if low else letters
-                ids = parts[letters] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(own if own.isascii() and own[0] != " " else _as_bytes(own))])
-            if marks:
-                if (more := parts.get(marks)) is None:
-                    more = parts[marks] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(marks)])
-                ids += more
-            memo[w] = ids
-        for i in range(0, len(rest), 4096):
-            these = rest[i : i + 4096]
-            for w, e in zip(these, self.tokenizer.encode_batch(these, add_special_tokens=False), strict=True):
-                memo[w] = b"".join([x.to_bytes(4, "little") for x in e.ids])
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        memo, fresh = self.memo, set()
-        for c in cuts:
-            fresh.update(filterfalse(memo.__contains__, c))
-        self._learn(fresh)
-        return [b"".join(map(memo.__getitem__, c)) for c in cuts]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null texts count as empty. Long lists are taken in groups, so memory follows GROUP and the longest text."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + (self._group(group) if group else [])
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, cut) -> Encoder:
+        self.codes = [i.to_bytes(4, "little") for i in range(self.size())]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
+        self.always_whole = any(t.normalized for t in added)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters, self.others = Memo(self._merged, memo), Memo(self.whole, memo // 10)
+
+    def size(self) -> int:
+        """All ids are less than this."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+    def _merged(self, letters: str) -> bytes:
+        as_bytes = letters.replace(" ", _SPACE) if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.tokenize(as_bytes)])
+
+    def whole(self, text: str) -> bytes:
+        codes = self.codes
+        return b"".join([codes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(lists of words, which texts can't be split)."""
+        raise NotImplementedError
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        """What the model takes for words of letters only."""
+        raise NotImplementedError
+
+    def _other(self, word: str) -> bytes:
+        return self.others[word]
+
+    def _first(self, word: str) -> bytes:
+        """The first word of a text."""
+        return self._other(word)
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words."""
+        own = pc.utf8_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(own, _LATIN).to_numpy(zero_copy_only=False)
+        numbered = self._letters(own.filter(pa.array(plain))).dictionary_encode()
+        known = list(map(self.letters.__getitem__, strings(numbered.dictionary)))
+        found = [b""] * len(words)
+        for i, k in zip(np.flatnonzero(plain).tolist(), numbered.indices.to_numpy().tolist(), strict=True):
+            found[i] = known[k]
+        for i, w in zip(np.flatnonzero(~plain).tolist(), strings(words.filter(pa.array(~plain))), strict=True):
+            found[i] = self._other(w)
+        size = pc.utf8_length(own).to_numpy()
+        marked = np.flatnonzero(plain & (pc.utf8_length(words).to_numpy() > size))
+        marks = self.letters
+        for i, w, n in zip(marked.tolist(), strings(words.take(pa.array(marked))), size[marked].tolist(), strict=True):
+            found[i] += marks[w[n:]]
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """(the ids of all texts in a row, how many each has), with ``end_id`` after each text. Null texts count as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.full(len(texts), self.always_whole)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        lists, unfit = self._split(texts)
+        odd |= unfit
+        if odd.any():
+            # They are encoded whole, below.
+            lists, _ = self._split(pc.if_else(pa.array(odd), "", texts))
+        words = lists.flatten()
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        starts = (np.concatenate([[0], ends[:-1]])).astype(np.int64)[: len(ends)]
+        numbered = words.dictionary_encode()
+        found = self._words(numbered.dictionary)
+        index = numbered.indices.to_numpy().copy()
+        # The first word of each text is looked up by itself: it may differ, or stand for the whole text.
+        index[starts] = len(found) + np.arange(len(starts))
+        found += [self._first(w) for w in strings(words.take(pa.array(starts)))]
+        for i in np.flatnonzero(odd).tolist():
+            found[len(numbered.dictionary) + i] = self.whole(texts[i].as_py())
+        order = np.insert(index, ends, len(found))
+        found.append(end_id.to_bytes(4, "little"))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        upto = np.cumsum(sizes[order])[ends + np.arange(len(ends))]
+        return b"".join(map(found.__getitem__, order.tolist())), np.diff(upto, prepend=0)
+
+
+class LoweredWords(Encoder):
+    """For a tokenizer that lowers letters and drops white space: a text is cut at every space and newline."""
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), np.zeros(len(texts), bool)
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        return pc.utf8_lower(words)
+
+
+class SpacedWords(Encoder):
+    """For a byte-level tokenizer whose pieces may begin with one space.
+
+    A single space or newline between two characters that aren't white space always begins a piece, and a newline there
+    is a piece of its own. Texts with other white space are encoded whole.
+    """
+
+    _UNFIT = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+
+    def __init__(self, path: str, memo: int = MEMO) -> None:
+        super().__init__(path, memo)
+        self.newline = self.whole("\n")
+
+    def _other(self, word: str) -> bytes:
+        # A word after a newline keeps it, so that it is told from one after a space.
+        return self.newline + self.others[word[1:]] if word[:1] == "\n" else self.others[" " + word]
+
+    def _first(self, word: str) -> bytes:
+        return self.others[word]
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        unfit = pc.match_substring_regex(texts, self._UNFIT).to_numpy(zero_copy_only=False)
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "), unfit
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        large = lambda x: pa.scalar(x, pa.large_string())
+        return pc.binary_join_element_wise(large(" "), words, large(""))
+
+
+def groups(batch: pa.RecordBatch, column: int, size: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text in a column each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+_encoders: dict[tuple[str, type], Encoder] = {}
+
+
+def encoder(path: str, kind: type[Encoder]) -> Encoder:
     """One encoder per worker process."""
-    key = (path, cut.__name__)
+    key = (path, kind)
     if key not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[key] = Encoder(path, cut)
+        _encoders[key] = kind(path)
     return _encoders[key]

@@ -7,8 +7,9 @@ that window in O(log capacity).
 Every partition packs its own documents, `GROUP` at a time, so nothing is shuffled and a task holds the lengths of
 one group. The cost is at most a few windows per group.
 
-Null texts count as empty, an empty text is the end id alone, repeated rows are packed as often as they occur, an
-empty table gives no piece; other columns are ignored.
+Null texts count as empty, an empty text is the end id alone, repeated rows are packed as often as they occur, pieces
+of one length (ties) keep the order of their rows, a very long text is cut into full windows (a task's memory follows
+the longest text), an empty table gives no piece; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taproot.llm import common
-from taproot.llm.encoding import cut_spaced, encoder
+from taproot.llm.encoding import SpacedWords, encoder, groups
 
 #: Documents whose remainders are packed together.
 GROUP = 200_000
@@ -82,14 +84,14 @@ def padded(length: int, capacity: int) -> int:
     return length if length & (length - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, cut=cut_spaced, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, words=SpacedWords, group: int = GROUP) -> DataFrame:
     """The pieces of (doc_id, text) and their places. A sequence_id is the task's number times 2^40 plus a count."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        enc, end = encoder(tokenizer, cut), end_id.to_bytes(4, "little")
+        enc = encoder(tokenizer, words)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "padding"]
         types = [pa.int64()] * len(names)
         rest: list[tuple] = []
@@ -106,17 +108,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, cut
                 yield batch(own[i : i + 10_000])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                ids, texts = (b.column(k).slice(i, 256).to_pylist() for k in (0, 1))
-                full = []
-                for doc, code in zip(ids, enc.encode(texts), strict=True):
-                    code += end
-                    n = len(code) // 4
-                    for at in range(0, n - n % capacity, capacity):
-                        full.append((doc, at, capacity, zlib.crc32(code[4 * at : 4 * (at + capacity)]), n, first, 0, capacity, 0))
+            for g in groups(b, 1):
+                codes, sizes = enc.encode(g.column(1), end_id)
+                view, begin, full = memoryview(codes), 0, []
+                for doc, n in zip(g.column(0).to_numpy(zero_copy_only=False).tolist() if not g.column(0).null_count else g.column(0).to_pylist(), sizes.tolist(), strict=True):
+                    cut = n - n % capacity
+                    for at in range(0, cut, capacity):
+                        full.append((doc, at, capacity, zlib.crc32(view[4 * (begin + at) : 4 * (begin + at + capacity)]), n, first, 0, capacity, 0))
                         first += 1
-                    if left := n % capacity:
-                        rest.append((doc, n - left, left, zlib.crc32(code[4 * (n - left) :]), n))
+                    if cut < n:
+                        rest.append((doc, cut, n - cut, zlib.crc32(view[4 * (begin + cut) : 4 * (begin + n)]), n))
+                    begin += n
                 if full:
                     yield batch(full)
                 if len(rest) >= group:
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, cut
         if rest:
             yield from packed()
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECE_SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 A shard is a row of a Parquet table (zstd): the bit-planes of a wavelet matrix over its ids, the zeros of each
 plane, a rank directory of a count per 4096 bits, and the ids' bounds by document. From that row alone `WaveletMatrix`
 answers access (the id at a position), rank (occurrences of an id before a position), count and select (the
-position of its k-th occurrence), and gives the whole sequence back.
+position of its k-th occurrence), and gives the whole sequence back. `counts` and `occurrences` ask all stored shards,
+`tokens` the one that holds a position. An id that needs more bits than a shard has planes is an error.
 
 Null texts count as empty, an empty text is the end id alone, repeated rows are encoded as often as they occur, ties
-of doc_id lie in any order, an empty table gives an empty table; other columns are ignored.
+of doc_id lie in any order, a very long text makes a shard of its own (a task's memory follows the longest text), an
+empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm import common
-from taproot.llm.encoding import cut_words, encoder
+from taproot.llm.encoding import LoweredWords, encoder, groups
 
 #: Ids after which a shard is closed; a shard holds whole documents.
 SHARD_IDS = 1 << 19
@@ -38,6 +41,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"an id of {int(ids.max())} needs more than {bits} bits")
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for bit in reversed(range(bits)):
@@ -104,6 +109,17 @@ class WaveletMatrix:
             at = self._select(level, at - self.zeros[level], 1) if value >> (self.bits - 1 - level) & 1 else self._select(level, at, 0)
         return at
 
+    def positions(self, value: int) -> np.ndarray:
+        """All positions of ``value``, ascending: `select` for every occurrence at once."""
+        lo, hi = self._range(value, self.n)
+        at = np.arange(lo, hi)
+        for level in reversed(range(self.bits)):
+            if not len(at):
+                break
+            one = np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n, bitorder="little").view(bool)
+            at = np.flatnonzero(one)[at - self.zeros[level]] if value >> (self.bits - 1 - level) & 1 else np.flatnonzero(~one)[at]
+        return at
+
     def _select(self, level: int, k: int, bit: int) -> int:
         ends = self.ranks[level].astype(np.int64)
         if not bit:
@@ -114,47 +130,76 @@ class WaveletMatrix:
         return block * RANK_BITS + int(found[k - int(ends[block])])
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: int = 16, cut=cut_words, shard_ids: int = SHARD_IDS) -> common.Stored:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: int | None = None, words=LoweredWords, shard_ids: int = SHARD_IDS) -> common.Stored:
     """Encodes ``text`` of (doc_id, text) in ascending doc_id order and stores the shards.
 
     One range shuffle of the texts; each task then holds one group of texts and one shard at a time. ``part`` ascends
-    with doc_id, ``shard`` within a part, ``start`` counts the ids before a shard within its part.
+    with doc_id, ``shard`` within a part, ``start`` counts the ids before a shard within its part. ``bits`` are as many
+    as the tokenizer's ids and the end id need, unless given.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(tokenizer, cut), end_id.to_bytes(4, "little")
-        ids: list[int | None] = []
-        codes: list[bytes] = []
-        held = 0
+        enc = encoder(tokenizer, words)
+        planes = bits or max(enc.size() - 1, end_id, 1).bit_length()
+        docs_held: list[pa.Array] = []
+        ids_held: list[np.ndarray] = []
+        sizes_held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal shard, start, ids, codes, held
-            lengths = np.array([len(c) // 4 for c in codes], "<u4")
-            w = WaveletMatrix.build(np.frombuffer(b"".join(codes), "<u4"), bits)
+            nonlocal shard, start
+            doc = pa.concat_arrays(docs_held)
+            w = WaveletMatrix.build(np.concatenate(ids_held), planes)
             row = {
-                "part": part, "shard": shard, "start": start, "n_ids": w.n, "bits": bits, "zeros": w.zeros, "planes": w.planes, "ranks": [r.tobytes() for r in w.ranks],
-                "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "doc_nulls": np.packbits([x is None for x in ids]).tobytes(), "lengths": lengths.tobytes(),
-            }
-            shard, start, ids, codes, held = shard + 1, start + w.n, [], [], 0
+                "part": part,
+                "shard": shard,
+                "start": start,
+                "n_ids": w.n,
+                "bits": planes,
+                "zeros": w.zeros,
+                "planes": w.planes,
+                "ranks": [r.tobytes() for r in w.ranks],
+                "doc_ids": pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes(),
+                "doc_nulls": np.packbits(doc.is_null().to_numpy(zero_copy_only=False)).tobytes(),
+                "lengths": np.concatenate(sizes_held).astype("<u4").tobytes(),
+            }
+            shard, start = shard + 1, start + w.n
+            for held in (docs_held, ids_held, sizes_held):
+                held.clear()
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("zeros", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("lengths", pa.binary())])
+        schema = pa.schema(
+            [
+                *((n, pa.int32()) for n in ("part", "shard")),
+                *((n, pa.int64()) for n in ("start", "n_ids")),
+                ("bits", pa.int32()),
+                ("zeros", pa.list_(pa.int32())),
+                *((n, pa.list_(pa.binary())) for n in ("planes", "ranks")),
+                *((n, pa.binary()) for n in ("doc_ids", "doc_nulls", "lengths")),
+            ]
+        )
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                own, texts = (b.column(k).slice(i, 256).to_pylist() for k in (0, 1))
-                for doc, code in zip(own, enc.encode(texts), strict=True):
-                    ids.append(doc)
-                    codes.append(code + end)
-                    held += len(code) // 4 + 1
-                    if held >= shard_ids:
+            for g in groups(b, 1):
+                codes, sizes = enc.encode(g.column(1), end_id)
+                ids, ends, first = np.frombuffer(codes, "<u4"), np.cumsum(sizes), 0
+                while first < len(sizes):
+                    before = int(ends[first - 1]) if first else 0
+                    held = sum(map(len, ids_held))
+                    # The first document that fills the shard closes it.
+                    last = min(len(sizes), int(np.searchsorted(ends, before + shard_ids - held)) + 1)
+                    docs_held.append(g.column(0).slice(first, last - first))
+                    ids_held.append(ids[before : int(ends[last - 1])])
+                    sizes_held.append(sizes[first:last])
+                    if held + len(ids_held[-1]) >= shard_ids:
                         yield close()
-        if ids:
+                    first = last
+        if docs_held:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(common.partitions(docs), order).sortWithinPartitions(order)
     return common.Stored(ordered.mapInArrow(shards, SHARD_SCHEMA), compression="zstd")
 
 
@@ -187,8 +232,66 @@ def starts(shards: DataFrame) -> DataFrame:
     return shards.sparkSession.createDataFrame(rows, "part int, before long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int, bits: int = 16, cut=cut_words) -> DataFrame:
-    shards = write_shards(docs, tokenizer, end_id, bits, cut).read()
+_MATRIX = ("n_ids", "bits", "zeros", "planes", "ranks")
+
+
+def _matrix(r: dict) -> WaveletMatrix:
+    return WaveletMatrix(*(r[n] for n in _MATRIX))
+
+
+def counts(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, count) over all stored shards, by rank; an id that occurs nowhere counts 0. ``ids`` is the caller's own short list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                w = _matrix(r)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w.count(i) if i >> w.bits == 0 else 0 for i in ids], pa.int64())], names=["id", "n"])
+
+    asked = shards.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id long")
+    found = shards.select(*_MATRIX).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return asked.join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("count"))
+
+
+def occurrences(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, doc_id, position, part, shard) of every occurrence, by select; ``position`` counts the ids before it in all shards."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "doc_id", "local", "part", "shard"]
+        for b in batches:
+            for r in b.to_pylist():
+                w, lengths = _matrix(r), np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+                ends, null = np.cumsum(lengths), np.unpackbits(np.frombuffer(r["doc_nulls"], np.uint8), count=len(lengths)).astype(bool)
+                doc_ids = np.frombuffer(r["doc_ids"], "<i8")
+                for i in dict.fromkeys(ids):
+                    at = w.positions(i) if i >> w.bits == 0 else np.zeros(0, np.int64)
+                    doc, n = np.searchsorted(ends, at, "right"), len(at)
+                    columns = [pa.array([i] * n, pa.int64()), pa.array(doc_ids[doc], mask=null[doc]), pa.array(at + r["start"], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([r["part"]] * n, pa.int32()), pa.array([r["shard"]] * n, pa.int32())], names=names)
+
+    own = shards.select(*_MATRIX, "part", "shard", "start", "lengths", "doc_ids", "doc_nulls")
+    found = own.mapInArrow(find, "id long, doc_id long, local long, part int, shard int")
+    return found.join(F.broadcast(starts(shards)), "part").select("id", "doc_id", (F.col("before") + F.col("local")).alias("position"), "part", "shard")
+
+
+def tokens(shards: DataFrame, positions: list[int]) -> DataFrame:
+    """(position, id) at some positions of the whole sequence, by access in the shards that hold them; others give no row."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                first = r["before"] + r["start"]
+                own = [p for p in positions if first <= p < first + r["n_ids"]]
+                w = _matrix(r)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([w.access(p - first) for p in own], pa.int64())], names=["position", "id"])
+
+    first = F.col("before") + F.col("start")
+    held = F.exists(F.lit(positions) if positions else F.array().cast("array<long>"), lambda p: (p >= first) & (p < first + F.col("n_ids")))
+    return shards.join(F.broadcast(starts(shards)), "part").where(held).select(*_MATRIX, "start", "before").mapInArrow(look, "position long, id long")
+
+
+def token_files(docs: DataFrame, tokenizer: str, end_id: int, bits: int | None = None, words=LoweredWords) -> DataFrame:
+    shards = write_shards(docs, tokenizer, end_id, bits, words).read()
     found = read_shards(shards).join(F.broadcast(starts(shards)), "part")
     return found.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "shard")
 

@@ -1,16 +1,18 @@
 """Fingerprints, token files, packing and sharding against plain Python."""
 
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from taproot.llm import fingerprints, packing, sharding, token_files
+from taproot.llm import encoding, fingerprints, packing, sharding, token_files
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,9 +22,7 @@ def crc(ids):
 
 
 def coded(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_fingerprints(docs, rows, none):
@@ -105,6 +105,65 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, BYTE, 0).count() == 0
 
 
+ODD = [
+    *"the The Don't ÀÉ straße İstanbul ΣΑΣ été e\u0301 \u0301 3.14 a,b .\" ... !!! $5 <|endoftext|> <|startoftext|> <|endo 日本 Привет x\x00y \x1c 's _ word, word.*** ﬁ ǆ \u212a ª".split(" "),
+    "",
+]
+SPACES = [" ", " ", " ", "\n", "\n", "  ", "\n\n", "\t", "\r\n", " \n", "\n ", "\xa0", "\u2003", "\x85", "", "\x1d"]
+
+
+@pytest.mark.parametrize("path, kind", [(WORD, encoding.LoweredWords), (BYTE, encoding.SpacedWords)])
+def test_encoding_equals_the_library(path, kind):
+    rnd = random.Random(3)
+    texts: list = [None, ""]
+    for i in range(3000):
+        spaces = SPACES if i % 2 else SPACES[:5]
+        t = "".join(rnd.choice(ODD) + rnd.choice(spaces) for _ in range(rnd.randrange(0, 8)))
+        texts.append(t if i % 3 else t.strip())
+    plain = Tokenizer.from_file(path)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 9] for t in texts]
+    codes, sizes = kind(path, memo=50).encode(pa.array(texts), 9)
+    at = np.cumsum(sizes) - sizes
+    ids = np.frombuffer(codes, "<u4")
+    assert [ids[a : a + n].tolist() for a, n in zip(at.tolist(), sizes.tolist(), strict=True)] == want
+    assert kind(path).encode(pa.array([], pa.string()), 9)[1].tolist() == []
+
+
+def test_special_tokens_are_encoded_as_the_library_does(spark):
+    texts = ["<|startoftext|>", "one <|endoftext|>two", "<|endoftext|>" * 300, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.token_files(df, WORD, 1).collect()}
+    assert got == {i: (len(ids), crc(ids)) for i, t in enumerate(texts) for ids in [[*coded(WORD, t), 1]]}
+    whole = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(df, BYTE, 0).collect()}
+    assert whole == {i: (len(ids), crc(ids)) for i, t in enumerate(texts) for ids in [[*coded(BYTE, t), 0]]}
+
+
+def test_lookups_in_stored_shards(docs, rows, none):
+    shards = token_files.write_shards(docs, WORD, 1, shard_ids=500).read()
+    own = [r for r in token_files.read_shards(shards).join(token_files.starts(shards), "part").collect()]
+    assert len({(r.part, r.shard) for r in own}) > 5
+    sequence = {}
+    texts = Counter(rows)
+    for r in own:
+        t = next(t for (i, t) in texts if i == r.doc_id and crc([*coded(WORD, t), 1]) == r.ids_crc32)
+        sequence |= {r.before + r.local + k: (r.doc_id, x) for k, x in enumerate([*coded(WORD, t), 1])}
+    often = [x for x, _ in Counter(x for _, x in sequence.values()).most_common(3)]
+    asked = [*often, 49407, 70_000]
+    assert {tuple(r) for r in token_files.counts(shards, asked).collect()} == {(a, sum(x == a for _, x in sequence.values())) for a in asked}
+    found = {(r.id, r.doc_id, r.position) for r in token_files.occurrences(shards, asked).collect()}
+    assert found == {(x, d, p) for p, (d, x) in sequence.items() if x in often}
+    places = [0, 7, 499, 500, 501, len(sequence) - 1, len(sequence), -1]
+    assert {tuple(r) for r in token_files.tokens(shards, places).collect()} == {(p, sequence[p][1]) for p in places if p in sequence}
+    empty = token_files.write_shards(none, WORD, 1).read()
+    assert token_files.occurrences(empty, [5]).count() == 0 and token_files.counts(empty, [5]).first()["count"] == 0
+
+
+def test_an_id_beyond_the_planes_is_an_error():
+    with pytest.raises(ValueError, match="70000"):
+        token_files.WaveletMatrix.build(np.array([1, 70_000]), 16)
+    assert token_files.WaveletMatrix.build(np.array([1, 70_000]), 17).all().tolist() == [1, 70_000]
+
+
 @pytest.mark.parametrize("capacity", [8, 16, 100])
 def test_best_fit_takes_the_tightest_window(capacity):
     rnd = np.random.default_rng(capacity)
