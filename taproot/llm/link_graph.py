@@ -1,18 +1,22 @@
-"""URL filter: host and path rules, then trust and distrust spread over the link graph of hosts.
+"""URL filter: host and path rules, then trust and distrust spread over the graph of hosts.
 
 Seeds are the rules' own verdicts: a host is trusted by the share of its pages that rules allow, and distrusted by the
 share that they block. Trust is a personalised PageRank from the trusted seeds along links; distrust is one from the
-blocked seeds along reversed links, so that hosts that link to blocked ones take some of it. Both are linear and
-divided by the teleport share: a host whose pages are all blocked has distrust 1 at least, without any link. A
-host is blocked if its distrust reaches the threshold and is more than its trust.
+blocked seeds along reversed links, so that hosts that link to blocked ones take some of it. Beside each goes the
+PageRank with a uniform teleport on the same graph, and a host's trust (distrust) is the part of that which comes from
+the seeds: between 0 and 1 whatever the graph's cycles hold, and a seed's own share where a host has no link. A host is
+blocked if its distrust reaches the threshold and is more than its trust. Ranks move until no host's changes by more
+than the tolerance; if that takes more than `ROUNDS` rounds an error is raised. The mass of hosts without links ends there.
 
-Edges are hosts' absolute and protocol-relative `<a href>` links, aggregated by pair of hosts before the shuffle and
-weighted by the share of the source's links; a host's links to itself are left out. Ranks move by joins on hosts, and
-each round is stored. The mass of hosts without links ends there.
+Edges, aggregated by pair of hosts and weighted by the share of the source's: hosts' absolute and protocol-relative
+`<a href>` links, and one from each host to its parent domain and back (www.a.org and a.org; not to a top level, not for
+addresses). A host's links to itself are left out. Each round joins ranks and links by host; links of a host with very
+many are split in parts, so no host is one task's work.
 
 A null or malformed url has an empty host and path; no rule fits it, and it is judged as a host without pages: allowed.
-A null html has no links. Repeated rows count as pages of their own. An empty table gives an empty table. Extra
-columns are ignored.
+A null html has no links; very long ones are read whole. Repeated rows count as pages of their own. Of rules of one
+length that fit (ties) the last in order of host and path counts. An empty table gives an empty table. Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 from taproot.llm import common
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-4, 0.5
-#: Rounds between two stored states.
-STRIDE = 4
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 300, 1e-4, 0.4
+#: Rounds between two stored states; links of a host in one part.
+STRIDE, PART = 10, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -48,40 +52,65 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, from (host, html)."""
+def parent_of(host: Column) -> Column:
+    """The domain above a host; null for one of two labels or fewer and for addresses."""
+    above = F.regexp_extract(host, r"^[^.]+\.([^.]+\..+)$", 1)
+    return F.when((above != "") & ~host.rlike(r"^[\d.:\[\]]+$"), above)
+
+
+def edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, n): links between different hosts, from (host, html) and (host)."""
     links = pages.where(F.col("html").contains("//") & (F.col("host") != "")).select("host", F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("to"))
-    links = links.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst"))
-    return links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = links.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> dst")
+    up = hosts.select(F.col("host").alias("src"), parent_of(F.col("host")).alias("dst")).where("dst IS NOT NULL")
+    return links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def shares(links: DataFrame) -> DataFrame:
-    """(src, dst, w): each link's share of all of its source's."""
-    total = links.groupBy("src").agg(F.sum("n").alias("total"))
-    return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"))
+def _weighted(links: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+    """((src, part, dst, w) with each link's share of all of its source's, (host, parts) of the sources)."""
+    total = links.groupBy("src").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    own = links.join(total, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", (F.col("n") / F.col("total")).alias("w"))
+    return own, total.select(F.col("src").alias("host"), "parts")
 
 
-def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(kind, host, score) from seeds (kind, host, mass) over links (kind, src, dst, w): PageRank by each kind.
+def propagated(seeds: DataFrame, pairs: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, allowed, blocked: 0 to 1) and links (src, dst, n).
 
-    score = mass + DAMPING * sum of w * score(src): linear, scaled so that a seed of mass 1 scores 1 at least.
+    rank = seed + DAMPING * sum of w * rank(src), for the seeds and for a seed of 1 at every host.
     """
-    held = common.Stored(seeds.select("kind", "host", "mass", F.col("mass").alias("score")))
-    for _ in range(0, ROUNDS, STRIDE):
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    kinds = []
+    for kind, links in (("trust", pairs), ("distrust", back)):
+        kinds.append([df.withColumn("kind", F.lit(kind)) for df in _weighted(links, part)])
+    links = common.Stored(kinds[0][0].unionByName(kinds[1][0]))
+    parts = kinds[0][1].unionByName(kinds[1][1])
+    hosts = seeds.select("host").union(pairs.select("src")).union(pairs.select("dst")).distinct().join(seeds, "host", "left")
+    mass = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.coalesce(c, F.lit(0.0)).alias("mass"))
+    nodes = hosts.select("host", F.explode(F.array(mass("trust", F.col("allowed")), mass("distrust", F.col("blocked")))).alias("x")).select("x.kind", "host", "x.mass")
+    nodes = common.Stored(nodes.join(parts, ["kind", "host"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    moves = common.small(links.read())
+    own = nodes.read().select("kind", "host", F.col("mass").alias("rank"), F.lit(1.0).alias("whole"), "parts")
+    held = common.Stored(own)
+    for _ in range(0, rounds, STRIDE):
         state = held.read()
-        start = state
         for _ in range(STRIDE):
-            moved = state.select("kind", F.col("host").alias("src"), "score").join(links, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("came"))
-            own = state.select("kind", "host", "mass").where("mass > 0")
-            state = own.join(moved, ["kind", "host"], "full").select("kind", "host", F.coalesce("mass", F.lit(0.0)).alias("mass"), (F.coalesce("mass", F.lit(0.0)) + F.coalesce("came", F.lit(0.0))).alias("score"))
+            sent = state.select("kind", F.col("host").alias("src"), "rank", "whole", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            flow = lambda c: (DAMPING * F.col("w") * F.col(c)).alias(c)
+            came = sent.join(moves, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), flow("rank"), flow("whole"), F.lit(1).alias("parts"))
+            # One shuffle a round: what a host starts with is summed with what comes.
+            state = came.unionByName(own).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("whole").alias("whole"), F.max("parts").alias("parts"))
         following = common.Stored(state)
-        before = start.select("kind", "host", F.col("score").alias("was"))
-        change = following.read().join(before, ["kind", "host"], "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        before = held.read().select("kind", "host", F.col("rank").alias("was"), F.col("whole").alias("was_whole"))
+        moved = F.greatest(F.abs(F.col("rank") - F.col("was")), F.abs(F.col("whole") - F.col("was_whole"))) / F.col("whole")
+        change = following.read().join(before, ["kind", "host"]).agg(F.max(moved)).first()[0]
         held.drop()
         held = following
-        if change is None or change < TOLERANCE:
-            break
-    return held.read().select("kind", "host", "score")
+        if change is None or change < tolerance:
+            links.drop()
+            nodes.drop()
+            of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank") / F.col("whole"))).alias(kind)
+            return held.read().groupBy("host").agg(of("trust"), of("distrust"))
+    raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,18 +119,9 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     named = named.withColumn("rule", rule).withColumn("own", verdict)
     share = lambda kind: F.avg(F.when(F.col("own") == kind, 1.0).otherwise(0.0))
-    hosts = named.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    pairs = common.Stored(edges(named))
-    any_links = pairs.read().limit(1).count()
-    seeds = hosts.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("mass")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("mass")))).alias("s")).select("s.*").where("mass > 0")
-    if any_links:
-        forward = shares(pairs.read()).withColumn("kind", F.lit("trust"))
-        back = shares(pairs.read().select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumn("kind", F.lit("distrust"))
-        scores = propagated(seeds, common.stored(forward.unionByName(back)))
-    else:
-        scores = seeds.select("kind", "host", F.col("mass").alias("score"))
-    table = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
-    table = common.small(common.stored(table))
+    seeds = common.stored(named.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
+    pairs = common.stored(edges(named, seeds.select("host")))
+    table = common.small(common.stored(propagated(seeds, pairs)))
     found = named.drop("html").join(table, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("own", by_host).alias("verdict"), "trust", "distrust")
