@@ -16,9 +16,14 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where it is unset, a local session takes a temporary folder of its own; on a cluster that would be an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="taproot-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -54,12 +59,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined_by_hub(rows: DataFrame, hubs: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with one row per key, of which ``count`` tells how many rows it has and ``total`` their sum.
+
+    A small side is broadcast. Else keys with very many rows (at most `BROADCAST_ROWS` of them, by ``total``) are broadcast,
+    and all others are joined by a shuffle, in which no key is hot.
+    """
+    if hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(hubs), key)
+    most = -(-total // BROADCAST_ROWS)
+    hot = F.broadcast(hubs.where(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(hubs.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes (as the plan knows them) that a partition of an explicit shuffle has at most, about.
+PARTITION_BYTES = 512 << 20
+
+
 def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many partitions a shuffle of all of ``df`` takes: the session's number, or more where its size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # plans over tables in memory know no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES) if known else 1)
 
 
 def crc32_of_id(c: Column) -> Column:

@@ -3,17 +3,20 @@
 1. Every text gets MinHash values of its five-word shingles; `BANDS` bands of `ROWS` values each are shuffled on their
    hashes. At similarity s two texts meet with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8.
 2. Texts that meet form candidate components (links to the least text of a band's group, never pairs).
-3. Each component is cut into blocks of about `BLOCK` texts; every pair of blocks is one group of rows, in which the
-   exact similarities of all pairs are computed from the full sets as one matrix product. So no pair becomes a row,
-   a component of any size is spread over many tasks, and no link between different texts is lost there.
+3. Each component is cut into blocks of about `BLOCK` texts or `BLOCK_SHINGLES` shingles; a text goes to the pairs of its
+   block with those blocks that hold a text of one of its bands, and every pair of blocks is one group of rows, in which
+   the exact similarities are computed from the full sets as one matrix product. So no pair becomes a row, texts are
+   compared only where blocks share a band, a component of any size is spread over many tasks, and no link between
+   texts that share a band is lost there.
 
-Equal texts are one class and only its representative (least doc_id) is compared. The result has a row per document:
-doc_id, class_id (least doc_id of all documents that links connect), copy_of (least doc_id of the equal texts) and
-n_links (the other documents at or above the threshold, copies included).
+Equal texts are one class, the node of all joins. The result has a row per document: doc_id, class_id (least doc_id of
+all documents that links connect), copy_of (least doc_id of the equal texts) and n_links (the other documents at or
+above the threshold, copies included).
 
 Null texts count as empty. Empty texts are copies of each other and link to nothing else. A text of one to four words
-is one shingle of all its words. Rows without a doc_id get null class_id and copy_of and no links. Repeated rows count
-as copies; a doc_id names one node, so different texts under one doc_id share a class. An empty table gives an empty table; other columns are ignored.
+is one shingle of all its words; very long texts are taken whole. Rows without a doc_id get null class_id and copy_of and
+no links. Repeated rows count as copies; different texts under one doc_id are different nodes. A similarity of exactly
+the threshold (a tie) links. An empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from taproot.llm.wordhash import U64, Words, mix
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-BLOCK = 128
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 #: Texts that are hashed at once have so many characters, about.
 GROUP = 2_000_000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64))
@@ -65,14 +68,14 @@ def shingles(texts: list, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts
 
 
-def bands(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of band hashes per text, as signed; texts without shingles get zeros."""
+def bands(codes: np.ndarray, counts: np.ndarray, n: int = BANDS) -> np.ndarray:
+    """A row of the first ``n`` band hashes per text, as signed; texts without shingles get zeros."""
     full = counts > 0
     firsts = (np.cumsum(counts) - counts)[full]
-    out = np.zeros((len(counts), BANDS), np.int64)
+    out = np.zeros((len(counts), n), np.int64)
     if not len(firsts):
         return out
-    for band in range(BANDS):
+    for band in range(n):
         h = np.full(len(firsts), band + 1, U64)
         for k in range(band * ROWS, (band + 1) * ROWS):
             h = mix(h ^ np.minimum.reduceat((codes ^ _SEEDS[k]) * _FACTORS[k], firsts))
@@ -81,18 +84,20 @@ def bands(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, b0..): a 128-bit hash of the text, how many shingles it has, its band hashes."""
-    names = ["doc_id", "text_key", "n", *(f"b{i}" for i in range(BANDS))]
+    """(doc_id, x, text_key, n, b0..): two hashes of the text, the second of 128 bits, how many shingles it has, its band hashes."""
+    names = ["doc_id", "x", "text_key", "n", *(f"b{i}" for i in range(BANDS))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for at, texts in groups(list(range(b.num_rows)), b.column(2).to_pylist()):
                 codes, counts = shingles(texts)
                 found = bands(codes, counts)
                 keys = [xxhash.xxh3_128_digest(t or "") for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=names)
+                own = b.slice(at[0], len(at))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys, pa.binary()), pa.array(counts), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+    return rows.mapInArrow(sign, "doc_id long, x long, text_key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
 def linked(sets: list[np.ndarray], first: int, threshold: float) -> np.ndarray:
@@ -133,7 +138,7 @@ def roots(link: np.ndarray, first: int, square: bool, ids: np.ndarray) -> np.nda
 
 
 def verified(candidates: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) per text and block pair, from candidates (node, text_key, weight, component, blocks)."""
+    """(node, links, root) per text and block pair, from candidates (node, copy_of, x, weight, component, block, others)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,10 +149,9 @@ def verified(candidates: DataFrame, docs: DataFrame, threshold: float) -> DataFr
                 own = b.slice(rows[0], len(rows))
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(b.num_columns) if i != at), pa.array(parts, pa.binary())], names=[*(n for n in b.schema.names if n != "text"), "shingles"])
 
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("_x", F.xxhash64("text"))
-    joined = candidates.select("node", "weight", "component", "blocks", "_x").join(texts, (F.col("node") == F.col("doc_id")) & candidates["_x"].eqNullSafe(texts["_x"])).select("node", "weight", "component", "blocks", "text")
-    own = joined.mapInArrow(sets, "node long, weight long, component long, blocks int, shingles binary")
-    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("copy_of"), "text", F.xxhash64("text").alias("x")).where("copy_of IS NOT NULL")
+    own = candidates.join(texts, ["copy_of", "x"]).select("node", "weight", "component", "block", "others", "text")
+    own = own.mapInArrow(sets, "node long, weight long, component long, block int, others array<int>, shingles binary").withColumn("other", F.explode("others"))
     own = own.select("node", "weight", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,42 +184,67 @@ def verified(candidates: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     return dealt.mapInArrow(check, "node long, links long, root long")
 
 
+def placed(near: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, component, block, others): each candidate's block, and the blocks that hold a text of one of its bands."""
+    sized = near.join(classes.select("node", "n"), "node")
+    needed = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    # Only components of several blocks are looked up; all others have one.
+    large = common.small(common.stored(needed))
+    one = near.join(large.select("component"), "component", "left_anti").select("node", "component", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others"))
+    own = common.stored(near.join(large, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    of_band = own.join(met, "node")
+    held = of_band.groupBy("band").agg(F.collect_set("block").alias("held"))  # block numbers, not texts
+    others = of_band.join(held, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("others"))  # of a text's few bands
+    return one.unionByName(own.join(others, "node"))
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    return joined_rows(docs, threshold).select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def joined_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, x, class_node, class_id, copy_of, n_links): `ngram_join` with each row's hash of the text and what names its class."""
     rows = docs.select("doc_id", "text")
     signed = common.stored(signatures(rows))
-    alike = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.max("n").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
-    classes = common.stored(alike)
+    alike = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("copy_of"), F.min("x").alias("x"), F.count("*").alias("weight"), F.max("n").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
+    classes = common.stored(alike.withColumn("node", F.monotonically_increasing_id()))
     met = classes.where("n > 0").select("node", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
     hubs = met.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "hub")
-    near = components(met.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b"))
-    # Only components of several blocks are looked up; all others have one.
-    blocks = common.small(common.stored(near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")))
-    keyed = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("_x"))
-    candidates = near.join(blocks, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(classes.select("node", "weight"), "node").join(keyed.distinct(), "node")
+    near = common.stored(components(met.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")).select("node", "component"))
+    candidates = placed(near, classes, met).join(classes.select("node", "copy_of", "x", "weight"), "node")
     found = common.stored(verified(candidates, rows, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.select("text_key", "node", "weight").join(links, "node", "left").join(joined, "node", "left")
-    named = named.select("text_key", F.coalesce("component", "node").alias("class_id"), F.col("node").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    known = signed.where("doc_id IS NOT NULL").select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "copy_of", "n_links")
-    none = signed.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return known.union(none)
+    least = joined.join(classes.select("node", "copy_of"), "node").groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    joined = joined.join(least, "component").select("node", "component", "class_id")
+    named = classes.select("text_key", "node", "weight", "copy_of").join(links, "node", "left").join(joined, "node", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    named = named.select("text_key", F.coalesce("component", "node").alias("class_node"), F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", n_links)
+    known = signed.where("doc_id IS NOT NULL").select("doc_id", "x", "text_key").join(named, "text_key").drop("text_key")
+    null = lambda name: F.lit(None).cast("long").alias(name)
+    none = signed.where("doc_id IS NULL").select("doc_id", "x", null("class_node"), null("class_id"), null("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    return known.unionByName(none)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group of linked ones (the least doc_id), with the columns that it had.
+    """One document of each group of linked ones (the least doc_id, then the least hash of its text), with the columns that it had.
 
-    Of repeated rows of one doc_id one stays; rows without a doc_id stay.
+    Of repeated rows one stays; rows without a doc_id stay.
     """
-    found = common.stored(ngram_join(docs, threshold).select("doc_id", "class_id"))
-    gone = common.small(common.stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    twice = common.stored(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
+    found = common.stored(joined_rows(docs, threshold).where("doc_id IS NOT NULL").select("class_node", F.struct("doc_id", "x").alias("row")))
+    first = found.groupBy("class_node").agg(F.min("row").alias("first"), F.count("*").alias("k")).where("k > 1")
+    first = common.stored(first.select("class_node", "first"))
+    grouped = found.join(common.small(first), "class_node")
+    names = lambda df, kind: df.select(F.col("row.doc_id").alias(f"{kind}_id"), F.col("row.x").alias(f"{kind}_x"))
+    gone = common.small(common.stored(names(grouped.where("row <> first"), "_gone").distinct()))
+    same = lambda df, other, kind: (df["doc_id"] == other[f"{kind}_id"]) & (F.xxhash64(df["text"]) == other[f"{kind}_x"])
+    kept = docs.join(gone, same(docs, gone, "_gone"), "left_anti")
+    twice = common.stored(names(grouped.where("row = first").groupBy("row").count().where("count > 1"), "_twice"))
     if not twice.limit(1).count():
         return kept
     twice = common.small(twice)
-    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    return once.unionByName(kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(twice, same(kept, twice, "_twice"), "left_anti")
+    return once.unionByName(kept.join(twice, same(kept, twice, "_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

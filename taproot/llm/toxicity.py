@@ -243,7 +243,7 @@ def unlike(texts: DataFrame) -> DataFrame:
     """(doc) of one text per label and family of near copies, so that a copy's words don't count again."""
     seen: set[tuple[int, int]] = set()
     keep = []
-    signed = signatures(texts.select(F.xxhash64("text").alias("doc_id"), "text")).drop("text_key", "n")
+    signed = signatures(texts.select(F.xxhash64("text").alias("doc_id"), "text")).drop("text_key", "n", "x")
     rows = signed.join(texts.select(F.xxhash64("text").alias("doc_id"), "toxic"), "doc_id").orderBy("doc_id").collect()  # at most the sample
     for doc, *found, label in rows:
         met = {(label, b) for b in found}

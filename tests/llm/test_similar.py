@@ -53,7 +53,28 @@ def test_join_equals_brute_force(spark, docs, rows, none):
     assert sorted(x for x in ids if x is not None) == [1, 4, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16] and ids.count(None) == 2
 
 
-def test_a_large_group_of_near_copies_loses_no_link(spark):
+def test_different_texts_under_one_id_are_different_nodes(spark):
+    a, b = prose(60, 100), prose(61, 100)
+    near = lambda t: " ".join([*t.split()[:99], "x"])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, prose(62, 100))]
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 2, 1), (3, 1, 3, 1), (4, 4, 4, 0)]
+    more = [*rows, (4, near(a)), (1, a)]
+    kept = ngram_join.deduplicated(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([(1, a), (1, b), (4, rows[4][1])])
+
+
+def test_blocks_without_a_common_band_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    words = prose(63, 700).split()
+    rows = [(i, " ".join(words[5 * i : 5 * i + 150])) for i in range(100)]  # a chain: only neighbours are alike
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = brute_links(rows)
+    assert {r.doc_id: r.n_links for r in ngram_join.ngram_join(df).collect()} == {i: len(links[i]) for i in range(100)}
+
+
+def test_a_large_group_of_near_copies_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
     base = prose(50, 100).split()
     rows = [(i, " ".join([*base[:k], f"w{i}", *base[k + 1 :]])) for i in range(300) for k in [i % 97]]
     rows += [(1000 + i, prose(100 + i, 100)) for i in range(50)]

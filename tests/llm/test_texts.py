@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taproot.llm import encoding, fingerprints, packing, sharding, token_files
+from taproot.llm import common, encoding, fingerprints, packing, sharding, token_files
+from tests.llm.conftest import prose
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -50,9 +52,43 @@ def test_fingerprints(docs, rows, none):
 
 
 def test_differing_branches(spark):
-    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX"), ("same", "same"), ("", "new")], "a string, b string")
-    got = df.select(fingerprints.differing(fingerprints.tree(df.a), fingerprints.tree(df.b)).alias("d")).collect()
-    assert [[(x.section, x.paragraph) for x in r.d] for r in got] == [[(1, 1)], [], [(0, 0)]]
+    cases = [
+        ("a\nb\n\nc\nd", "a\nb\n\nc\nX", [(1, 1, "removed"), (1, 1, "added")]),
+        ("same", "same", []),
+        ("", "new", [(0, 0, "removed"), (0, 0, "added")]),
+        ("a\nb\n\nc\nd\n", "new\na\nb\n\nc\nd\n", [(0, 0, "added")]),
+        ("a\nb\nc\nd\ne\n", "a\nc\nd\nx\ne\n", [(0, 1, "removed"), (0, 3, "added")]),
+        ("a\n\nb\n\nc", "b\n\na\n\nc", [(0, 0, "removed"), (0, 1, "removed"), (1, 0, "added"), (1, 1, "added")]),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i long, a string, b string")
+    got = df.select("i", fingerprints.tree(df.a).alias("x"), fingerprints.tree(df.b).alias("y")).select("i", fingerprints.differing("x", "y").alias("d")).orderBy("i").collect()
+    for r, (_, _, want) in zip(got[:5], cases, strict=False):
+        assert [tuple(x) for x in r.d] == want, r
+    moved = Counter(x.change for x in got[5].d)
+    assert moved["added"] == moved["removed"] > 0
+
+
+def test_one_more_word_changes_few_codes(spark):
+    words = [w for i in range(40) for w in prose(i, 10).split()]
+    df = spark.createDataFrame([(" ".join(words), " ".join([*words[:7], "word", *words[7:]]))], "a string, b string")
+    made = fingerprints.fingerprints(fingerprints.fingerprints(df, "a", "a_"), "b", "b_")
+    r = made.select(fingerprints.likeness(F.col("a_root"), F.col("a_codes"), F.col("b_root"), F.col("b_codes")).alias("like"), F.size("a_codes").alias("n")).first()
+    assert r.like > 0.95 and r.n > 60
+
+
+def test_successors_equal_a_plain_sort(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUNS", 3)
+    rnd = random.Random(9)
+    ids = [rnd.randrange(-(2**63), 2**63) for _ in range(150)] + [7] * 90 + [2**63 - 1, 2**63 - 1, -(2**63)] + list(range(100, 140))
+    rows = [(i, prose(5000 + k, rnd.randrange(1, 30))) for k, i in enumerate(ids)] + [(None, prose(6000 + k, 9)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = Counter()
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(t) // 3
+        want[i, len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited(df).collect()) == want
 
 
 def test_wavelet_matrix():
@@ -208,3 +244,29 @@ def test_small_groups_beside_a_hot_third_stay_whole(spark):
         shards[r.hub].add(r.shard)
     assert sum(len(s) > 1 for s in shards.values()) <= 7
     assert Counter(Counter(r.shard for r in got).values()) == {2250: 8}
+
+
+def test_near_copies_meet_and_cut_links_fall(spark):
+    rnd = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(120):
+        base = rnd.choice(words, 80).tolist()
+        rows += [(100 * g + i, " ".join([*base[: 40 + i], f"x{i}", *base[41 + i :]])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in sharding.shard(df, 8).collect()}
+    assert Counter(Counter(r.shard for r in got.values()).values()) == {90: 8}
+    whole = sum(len({got[100 * g + i].shard for i in range(6)}) == 1 for g in range(120))
+    assert whole >= 90
+    links = sharding.links_of(df.selectExpr("doc_id AS node", "text"))
+    before = sharding.cut_links(links, df.selectExpr("doc_id AS node").withColumn("label", sharding.first_label(8)))
+    after = sharding.cut_links(links, spark.createDataFrame([(i, r.shard) for i, r in got.items()], "node long, label int"))
+    assert before[0] == after[0] > 1000 and after[1] < before[1] / 4
+    alike = [(i, "one") for i in range(5)] + [(10 + i, "two") for i in range(3)]
+    rows, hubs = spark.createDataFrame(alike, "i long, key string"), spark.createDataFrame([("one", 5), ("two", 3), ("three", 0)], "key string, n long")
+    want = rows.join(hubs, "key").collect()
+    common.BROADCAST_ROWS, held = 2, common.BROADCAST_ROWS
+    try:
+        assert sorted(common.joined_by_hub(rows, hubs, "key", "n", 8).collect()) == sorted(want)
+    finally:
+        common.BROADCAST_ROWS = held
