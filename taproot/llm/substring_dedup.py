@@ -7,15 +7,18 @@ positions. Hence:
 
 1. Only anchors at cover positions are hashed and shuffled; a hash that occurs twice marks its positions.
 2. Windows around marked anchors are candidates: the match is extended to the whole window by a 96-bit hash of its
-   words, shuffled the same way. Only windows that occur twice count.
+   words (64 and 32 bits, from two unlike hashes of the words' bytes), shuffled the same way. Only windows that occur
+   twice count.
 3. Each document drops the words that such windows cover.
 
 Texts travel in chunks of about `CHUNK` bytes, stored once. A chunk asks each bucket of hashes with the sorted distinct
 hashes that it has there, and gets a bitmap back, so no pair of positions is made, a passage in a third of all rows
 is asked once per chunk, and what is shuffled is a few bytes per anchor.
 
-Null texts have no words; texts shorter than a window keep all of them; a window that repeats within its own document
-counts; repeated rows are each other's copies; an empty table gives an empty table; other columns are ignored.
+Null texts have no words; texts shorter than a window keep all of them; a very long text is a chunk of its own (a task's
+memory follows the longest text); a window that repeats within its own document counts; of equal windows (ties) none is
+kept; repeated rows are each other's copies; an empty table gives an empty table; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -111,23 +114,29 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, counts > 1, inverse.reshape(-1)
 
 
-def asked(chunk: int, kind: int, codes: np.ndarray, more: np.ndarray | None, buckets: int) -> Iterator[dict]:
-    """A row per bucket with the chunk's distinct codes there; with ``more``, 4 bytes of a second hash each."""
+def dealt(codes: np.ndarray, more: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes as rows of bytes, whether each occurs twice, the distinct code of each, the order by bucket, the buckets in it)."""
     if more is None:
-        own, twice, _ = distinct(codes)
+        own, twice, inverse = distinct(codes)
         rows = own[:, None].view(np.uint8).reshape(-1, 8)[:, :6]  # the bucket and 48 bits; false anchors are only candidates
-        place = own >> U64(48)
+        place = own >> U64(32)
     else:
         both = np.empty(len(codes), dtype=[("a", "<u8"), ("b", "<u4")])
         both["a"], both["b"] = codes, more.astype(np.uint32)
-        own, twice, _ = distinct(both)
-        rows, place = own.view(np.uint8).reshape(-1, 12), own["a"] >> U64(48)
+        own, twice, inverse = distinct(both)
+        rows, place = own.view(np.uint8).reshape(-1, 12), own["a"] >> U64(32)
     bucket = (place % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        i = order[cuts[b] : cuts[b + 1]]
-        yield {"bucket": b, "chunk": chunk, "kind": kind, "n": len(i), "hashes": rows[i].tobytes(), "twice": np.packbits(twice[i]).tobytes()}
+    return rows, twice, inverse, order, bucket[order]
+
+
+def asked(chunk: int, kind: int, codes: np.ndarray, more: np.ndarray | None, buckets: int) -> Iterator[dict]:
+    """A row per bucket with the chunk's distinct codes there; with ``more``, 4 bytes of a second hash each."""
+    rows, twice, _, order, bucket = dealt(codes, more, buckets)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i = order[a:b]
+        yield {"bucket": int(bucket[a]), "chunk": chunk, "kind": kind, "n": len(i), "hashes": rows[i].tobytes(), "twice": np.packbits(twice[i]).tobytes()}
 
 
 def answered(asked_rows: DataFrame) -> DataFrame:
@@ -158,20 +167,10 @@ def answered(asked_rows: DataFrame) -> DataFrame:
 
 def told(codes: np.ndarray, more: np.ndarray | None, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     """Which of the chunk's codes occur twice, from the bitmaps that answer `asked`."""
-    if more is None:
-        own, _, inverse = distinct(codes)
-        place = own >> U64(48)
-    else:
-        both = np.empty(len(codes), dtype=[("a", "<u8"), ("b", "<u4")])
-        both["a"], both["b"] = codes, more.astype(np.uint32)
-        own, _, inverse = distinct(both)
-        place = own["a"] >> U64(48)
-    bucket = (place % U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    found = np.zeros(len(own), bool)
+    rows, _, inverse, order, bucket = dealt(codes, more, buckets)
+    found = np.zeros(len(rows), bool)
     for b, bits in answers.items():
-        i = order[cuts[b] : cuts[b + 1]]
+        i = order[slice(*np.searchsorted(bucket, (b, b + 1)))]
         found[i] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(i)).astype(bool)
     return found[inverse]
 
@@ -185,7 +184,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window has at least {PERIOD} words")
     chunks = chunked(docs)
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = int(max(1, min(60_000, size * len(COVER) // (6 * PERIOD) // BUCKET + 1)))
+    buckets = min(size * len(COVER) // (6 * PERIOD) // BUCKET + 1, 1 << 31)  # all that 32 bits name: 9 PB of text
     ask_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("twice", pa.binary())])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +209,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out += asked(chunk, 1, p.w.windows(at, window), p.w.windows2(at, window), buckets)
         return pa.Table.from_pylist(out, ask_schema)
 
-    grouped = chunks.select("chunk", "payload").groupBy("chunk")
+    grouped = chunks.select("chunk", "payload").repartition(common.partitions(docs), "chunk").groupBy("chunk")
     second = answered(grouped.cogroup(first.groupBy("chunk")).applyInArrow(windows, ASK))
 
     def cut(own: pa.Table, answers: pa.Table) -> pa.Table:

@@ -11,10 +11,11 @@
 4. A logistic score weighs abuse by exact terms, abuse by misspelled ones, and quotations. It is fitted on the same
    sample by ridge regression towards a prior, so it is defined without any label.
 
-Learning uses a bounded sample: at most `SAMPLE` labelled documents, the least by hash of their doc_id (a lexicon of
-at most `TERMS` terms). Scoring covers every whole text. Null texts count as empty; empty texts score as those without
-hits. Repeated labels of a document count as toxic if one is; null labels are ignored. Without labels nothing is in
-the lexicon, and every score is the prior's. An empty table gives an empty table.
+Learning uses a bounded sample: at most `SAMPLE` labelled documents, the least by hash of their doc_id (ties by doc_id).
+Scoring covers every whole text, very long ones too. Null texts count as empty; empty texts score as those without hits.
+Repeated rows score alike. Repeated labels of a document count as toxic if one is; null labels are ignored. Without
+labels nothing is in the lexicon, and every score is the prior's. An empty table gives an empty table. Extra columns,
+whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from taproot.llm import common
 from taproot.llm.ngram_join import signatures
 
-#: Labelled documents to learn from, and terms in the lexicon, at most.
-SAMPLE, TERMS = 20_000, 1_000
+#: Labelled documents to learn from, at most; they bound the lexicon too.
+SAMPLE = 20_000
 THRESHOLD = 0.7
 #: Words on each side of a hit that are its context.
 CONTEXT = 6
@@ -228,14 +229,23 @@ def terms(text: str) -> set[str]:
     return {*found, *("^" + t for t, k in found.items() if k > 1)}
 
 
-def chosen(support: dict[str, int], most: int) -> list[str]:
+def chosen(support: dict[str, int]) -> list[str]:
     """The terms that no more frequent one explains: longer words under a stem, and stems that only one word has."""
     out: list[str] = []
+    stems: set[str] = set()
+    most: dict[str, int] = {}  # the best support of a chosen word by its stems
     for t in sorted(support, key=lambda t: (-support[t], t[-1] == "*", -len(t), t)):
-        under = any(t.startswith(s[:-1]) for s in out if s[-1] == "*")
-        over = t[-1] == "*" and any(w.startswith(t[:-1]) and support[w] >= 0.9 * support[t] for w in out)
-        if not under and not over and len(out) < most:
-            out.append(t)
+        is_stem, own = t[-1] == "*", t.rstrip("*")
+        under = any(own[:n] in stems for n in STEMS if n <= len(own))
+        if under or (is_stem and most.get(own, 0) >= 0.9 * support[t]):
+            continue
+        out.append(t)
+        if is_stem:
+            stems.add(own)
+        else:
+            for n in STEMS:
+                if n <= len(own):
+                    most[own[:n]] = max(most.get(own[:n], 0), support[t])
     return out
 
 
@@ -289,8 +299,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         need = max(3, math.ceil(math.log(0.05 / max(tried, 1)) / math.log(min(toxic / total, 0.9))))
         found = kind.where((F.col("bad") >= need) & (F.col("good") <= 0.02 * F.col("bad"))).withColumn("term", F.regexp_replace("term", r"^\^", "")).select("term")
         own = rows.join(found, "term").where(F.col("good") <= 0.02 * F.col("bad"))
-        support |= {r["term"]: r["bad"] for r in own.orderBy(F.desc("bad"), "term").limit(20 * TERMS).collect()}
-    cover = chosen(support, TERMS)
+        support |= {r["term"]: r["bad"] for r in own.select("term", "bad").collect()}  # of the sample
+    cover = chosen(support)
     lexicon = Lexicon([t for t in cover if t[-1] != "*"], [t[:-1] for t in cover if t[-1] == "*"])
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,8 +60,9 @@ class Words:
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
     def windows2(self, at: np.ndarray, size: int) -> np.ndarray:
-        """A second hash of the same windows, from other word hashes."""
+        """A second hash of the same windows, from another hash of the words' bytes."""
         if not hasattr(self, "_sums2"):
             up, _ = powers(max(len(self.hashes), 1))
-            self._sums2 = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.hashes ^ U64(0xA5A5A5A5DEADBEEF)) * up[: len(self.hashes)], dtype=U64)])
+            second = np.fromiter((h for w in self.words for h in map(xxhash.xxh3_64_intdigest, w)), U64, len(self.hashes))
+            self._sums2 = np.concatenate([np.zeros(1, U64), np.cumsum(second * up[: len(second)], dtype=U64)])
         return mix((self._sums2[at + size] - self._sums2[at]) * self.down[at])

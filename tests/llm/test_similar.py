@@ -21,6 +21,12 @@ def test_repeats(docs, rows, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_many_buckets_give_the_same(docs, monkeypatch):
+    want = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("spans").collect())
+    monkeypatch.setattr(substring_dedup, "BUCKET", 10)
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("spans").collect()) == want
+
+
 def test_every_residue_is_a_difference():
     p, c = substring_dedup.PERIOD, substring_dedup.COVER
     assert {(a - b) % p for a in c for b in c} == set(range(p))
