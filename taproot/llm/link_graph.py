@@ -66,50 +66,55 @@ def edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _weighted(links: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
-    """((src, part, dst, w) with each link's share of all of its source's, (host, parts) of the sources)."""
-    total = links.groupBy("src").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    own = links.join(total, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", (F.col("n") / F.col("total")).alias("w"))
-    return own, total.select(F.col("src").alias("host"), "parts")
+#: The node that every host's teleport comes from; no host is empty.
+_SOURCE = ""
+
+
+def _moves(seeds: DataFrame, pairs: DataFrame, part: int) -> DataFrame:
+    """(kind, src, part, dst, parts, rank, whole): what goes from src to dst each round, of the seeds' rank and of the
+    uniform one; ``parts`` are those of dst as a source."""
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    both = pairs.withColumn("kind", F.lit("trust")).unionByName(back.withColumn("kind", F.lit("distrust")))
+    share = DAMPING * F.col("n") / F.col("total")
+    links = both.join(both.groupBy("kind", "src").agg(F.sum("n").alias("total")), ["kind", "src"]).select("kind", "src", "dst", share.alias("rank"), share.alias("whole"))
+    hosts = seeds.select("host").union(pairs.select("src")).union(pairs.select("dst")).distinct().join(seeds, "host", "left")
+    mass = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.coalesce(c, F.lit(0.0)).alias("rank"))
+    given = hosts.select("host", F.explode(F.array(mass("trust", F.col("allowed")), mass("distrust", F.col("blocked")))).alias("x"))
+    given = given.select("x.kind", F.lit(_SOURCE).alias("src"), F.col("host").alias("dst"), "x.rank", F.lit(1.0).alias("whole"))
+    stays = seeds.sparkSession.createDataFrame([(k, _SOURCE, _SOURCE, 1.0, 1.0) for k in ("trust", "distrust")], given.schema)
+    every = common.stored(links.unionByName(given).unionByName(stays))
+    parts = common.small(common.stored(every.groupBy("kind", "src").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")))
+    own = every.join(parts, ["kind", "src"], "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return common.stored(own.join(parts.withColumnRenamed("src", "dst"), ["kind", "dst"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
 
 
 def propagated(seeds: DataFrame, pairs: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
     """(host, trust, distrust) from seeds (host, allowed, blocked: 0 to 1) and links (src, dst, n).
 
-    rank = seed + DAMPING * sum of w * rank(src), for the seeds and for a seed of 1 at every host.
+    rank = seed + DAMPING * sum of w * rank(src), for the seeds and for a seed of 1 at every host. Where all moves are few,
+    they are broadcast and the rounds between two stored states run in one task; else each round is a shuffle.
     """
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    kinds = []
-    for kind, links in (("trust", pairs), ("distrust", back)):
-        kinds.append([df.withColumn("kind", F.lit(kind)) for df in _weighted(links, part)])
-    links = common.Stored(kinds[0][0].unionByName(kinds[1][0]))
-    parts = kinds[0][1].unionByName(kinds[1][1])
-    hosts = seeds.select("host").union(pairs.select("src")).union(pairs.select("dst")).distinct().join(seeds, "host", "left")
-    mass = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.coalesce(c, F.lit(0.0)).alias("mass"))
-    nodes = hosts.select("host", F.explode(F.array(mass("trust", F.col("allowed")), mass("distrust", F.col("blocked")))).alias("x")).select("x.kind", "host", "x.mass")
-    nodes = common.Stored(nodes.join(parts, ["kind", "host"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
-    moves = common.small(links.read())
-    own = nodes.read().select("kind", "host", F.col("mass").alias("rank"), F.lit(1.0).alias("whole"), "parts")
-    held = common.Stored(own)
+    moves = _moves(seeds, pairs, part)
+    few = moves.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
+    step = F.broadcast(moves) if few else moves
+    step = step.withColumnsRenamed({"rank": "wr", "whole": "ww", "parts": "to_parts"})
+    first = F.when(F.col("dst") == _SOURCE, 1.0).otherwise(F.col("rank"))
+    held = common.Stored(moves.where(F.col("src") == _SOURCE).select("kind", F.col("dst").alias("host"), first.alias("rank"), F.lit(1.0).alias("whole"), "parts"))
     for _ in range(0, rounds, STRIDE):
-        state = held.read()
+        state = held.read().coalesce(1) if few else held.read()
         for _ in range(STRIDE):
             sent = state.select("kind", F.col("host").alias("src"), "rank", "whole", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            flow = lambda c: (DAMPING * F.col("w") * F.col(c)).alias(c)
-            came = sent.join(moves, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), flow("rank"), flow("whole"), F.lit(1).alias("parts"))
-            # One shuffle a round: what a host starts with is summed with what comes.
-            state = came.unionByName(own).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("whole").alias("whole"), F.max("parts").alias("parts"))
+            came = sent.join(step, ["kind", "src", "part"]).groupBy("kind", F.col("dst").alias("host"))
+            state = came.agg(F.sum(F.col("wr") * F.col("rank")).alias("rank"), F.sum(F.col("ww") * F.col("whole")).alias("whole"), F.max("to_parts").alias("parts"))
         following = common.Stored(state)
         before = held.read().select("kind", "host", F.col("rank").alias("was"), F.col("whole").alias("was_whole"))
         moved = F.greatest(F.abs(F.col("rank") - F.col("was")), F.abs(F.col("whole") - F.col("was_whole"))) / F.col("whole")
-        change = following.read().join(before, ["kind", "host"]).agg(F.max(moved)).first()[0]
+        change = following.read().join(F.broadcast(before) if few else before, ["kind", "host"]).agg(F.max(moved)).first()[0]
         held.drop()
         held = following
         if change is None or change < tolerance:
-            links.drop()
-            nodes.drop()
             of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank") / F.col("whole"))).alias(kind)
-            return held.read().groupBy("host").agg(of("trust"), of("distrust"))
+            return held.read().where(F.col("host") != _SOURCE).groupBy("host").agg(of("trust"), of("distrust"))
     raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
 
 
