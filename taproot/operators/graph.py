@@ -32,11 +32,18 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return visited
 
 
+#: Root sets that `unreachable` takes at once.
+ROOT_SETS = 1_000
+
+
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root_set, node) of the nodes that a root set doesn't reach."""
-    sets = roots.select("root_set").distinct()
+    """(root_set, node) of the nodes that a root set doesn't reach; at most `ROOT_SETS` sets are asked at once."""
+    sets = [r["root_set"] for r in roots.select("root_set").distinct().limit(ROOT_SETS + 1).collect()]
+    if len(sets) > ROOT_SETS:
+        raise ValueError(f"more than {ROOT_SETS} root sets")
     found = reachable(edges, roots)
-    return nodes.select("node").distinct().join(F.broadcast(sets)).join(found, ["root_set", "node"], "left_anti")
+    asked = F.explode(F.array(*map(F.lit, sets)) if sets else F.array().cast("array<string>")).alias("root_set")
+    return nodes.select("node").distinct().select(asked, "node").join(found, ["root_set", "node"], "left_anti")
 
 
 def only_reached_by(edges: DataFrame, roots: DataFrame, more: str, fewer: str) -> DataFrame:
@@ -59,13 +66,17 @@ def closure(pairs: DataFrame) -> DataFrame:
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of a parent-pointer tree (node, parent): depth 1 is the parent."""
+    """(node, ancestor, depth) of a parent-pointer tree (node, parent): depth 1 is the parent.
+
+    On a cycle each ancestor counts once, at its least depth.
+    """
     tree = stored(tree.select("node", "parent").where("parent IS NOT NULL"))
     level = tree.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     found, depth = level, 1
     while level.limit(1).count():
         depth += 1
-        level = stored(level.join(tree.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")))
+        above = level.join(tree.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = stored(above.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         found = found.union(level)
     return found
 

@@ -96,3 +96,15 @@ def test_word_pieces():
     t = similarity.WordPiece({"[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "hello": 1, "wor": 2, "##ld": 3, ",": 4})
     assert t.encode("Héllo, world zz") == [101, 1, 4, 2, 3, 100, 102]
     assert t.encode(None) == [101, 102] and t.encode("x" * 101) == [101, 100, 102]
+
+
+def test_ancestors_of_a_cycle_end(spark):
+    tree = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "node string, parent string")
+    got = {tuple(r) for r in graph.ancestors(tree).collect()}
+    assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "b", 2), ("c", "b", 1), ("c", "c", 2)}
+
+
+def test_unreachable_of_each_root_set(spark):
+    nodes, edges = spark.createDataFrame([(x,) for x in "abcd"], "node string"), spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string")
+    roots = spark.createDataFrame([("one", "a"), ("two", "a"), ("two", "c")], "root_set string, node string")
+    assert {tuple(r) for r in graph.unreachable(nodes, edges, roots).collect()} == {("one", "c"), ("one", "d")}
