@@ -1,13 +1,21 @@
 """Dataflow over statements as relations.
 
-A function's statements are (fn, pos, def, use); its flow is (fn, src, dst). Facts grow by joins until nothing is
-new, each round stored, all functions at once.
+A function's statements are (fn, pos, def, use); its flow is (fn, src, dst). Functions are solved one by one, in the tasks
+that one shuffle deals them to; functions too large for that grow their facts by joins until nothing is new.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from taproot.storage import stored
 
@@ -19,8 +27,107 @@ def exposed_uses(statements: DataFrame) -> DataFrame:
     return uses.join(defs, ["fn", "var"], "left").where("first_def IS NULL OR first_use <= first_def").select("fn", "var", "first_use")
 
 
-def live_in(statements: DataFrame, flow: DataFrame) -> DataFrame:
-    """(fn, pos, var): variables live before a statement: used there, or live after it and not defined there."""
+#: A function with at most so many statements and flow edges is solved in one task; larger ones by joins.
+LARGE = 100_000
+#: Rows per Arrow batch of the results.
+BATCH = 1 << 16
+
+
+def _schema(statements: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField(c, statements.schema[c].dataType) for c in ("fn", "pos")] + list(more))
+
+
+def _by_function(statements: DataFrame, flow: DataFrame, schema: T.StructType, solve: Callable, by_joins: Callable) -> DataFrame:
+    """Functions don't depend on each other: one shuffle brings a function's rows together, and each is solved alone.
+
+    Functions beyond `LARGE` rows are solved by joins, all of them at once. Rows without a function are left out.
+    """
+    steps = flow.select("fn", F.col("src").alias("pos"), "dst").where("pos IS NOT NULL AND dst IS NOT NULL")
+    rows = stored(statements.withColumn("is_flow", F.lit(False)).unionByName(steps.withColumn("is_flow", F.lit(True)), allowMissingColumns=True).where("fn IS NOT NULL"))
+    large = stored(rows.groupBy("fn").count().where(F.col("count") > LARGE).select("fn"))
+    target = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(n).to_pylist() for n in ("fn", "pos", "def", "use", "dst", "is_flow")), strict=True)
+
+        def solved() -> Iterator[tuple]:
+            for fn, own in groupby(flat(), key=itemgetter(0)):
+                stmts, edges = [], []
+                for _, pos, d, u, dst, is_flow in own:
+                    edges.append((pos, dst)) if is_flow else stmts.append((pos, d, u))
+                for row in solve(stmts, edges):
+                    yield fn, *row
+
+        found = solved()
+        while part := list(islice(found, BATCH)):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), target, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    some_large = large.limit(1).count() > 0
+    small = rows.join(large, "fn", "left_anti") if some_large else rows
+    out = small.repartition("fn").sortWithinPartitions("fn").select("fn", "pos", "def", "use", "dst", "is_flow").mapInArrow(each, schema)
+    if some_large:
+        rest = rows.join(large, "fn", "left_semi")
+        hard = by_joins(rest.where("NOT is_flow").select("fn", "pos", "def", "use"), rest.where("is_flow").select("fn", F.col("pos").alias("src"), "dst"))
+        out = out.unionByName(hard)
+    return stored(out)
+
+
+def _walk(starts: set, to: dict[object, set], stops: Callable[[object], bool]) -> set:
+    """What ``starts`` reach, themselves included; nothing is entered that ``stops``."""
+    seen, todo = set(starts), list(starts)
+    while todo:
+        for pos in to.get(todo.pop(), ()):
+            if pos not in seen and not stops(pos):
+                seen.add(pos)
+                todo.append(pos)
+    return seen
+
+
+def _definitions(stmts: list[tuple]) -> dict[object, set]:
+    defs = defaultdict(set)
+    for pos, d, _ in stmts:
+        defs[pos].add(d)
+    return defs
+
+
+def _live_in(stmts: list[tuple], edges: list[tuple]) -> Iterator[tuple]:
+    """(pos, var) one variable after the other: back from its uses, over statements that don't define it."""
+    defs, back, uses = _definitions(stmts), defaultdict(set), defaultdict(set)
+    for pos, dst in edges:
+        if pos in defs:
+            back[dst].add(pos)
+    for pos, _, use in stmts:
+        if use is not None:
+            uses[use].add(pos)
+    for var, starts in uses.items():
+        for pos in _walk(starts, back, lambda p, only={var}: defs[p] == only):
+            yield pos, var
+
+
+def _reaching(stmts: list[tuple], edges: list[tuple]) -> Iterator[tuple]:
+    """(pos, var, at) one definition after the other: on from it, until a statement defines its variable again."""
+    defs, on = _definitions(stmts), defaultdict(set)
+    for pos, dst in edges:
+        if pos in defs:
+            on[pos].add(dst)
+    for at, variables in defs.items():
+        for var in variables - {None}:
+            seen, todo = set(), list(on.get(at, ()))
+            while todo:
+                pos = todo.pop()
+                if pos not in seen:
+                    seen.add(pos)
+                    if defs.get(pos) != {var}:
+                        todo.extend(on.get(pos, ()))
+            for pos in seen:
+                yield pos, var, at
+
+
+def _live_in_by_joins(statements: DataFrame, flow: DataFrame) -> DataFrame:
+    """`live_in` of any size, one shuffle a step."""
     stmts, back = stored(statements.select("fn", "pos", "def", "use")), stored(flow.select("fn", F.col("src").alias("pos"), F.col("dst").alias("next")))
     into = stored(back.join(stmts.select("fn", "pos", "def"), ["fn", "pos"]))
     found = frontier = stored(stmts.where("use IS NOT NULL").select("fn", "pos", F.col("use").alias("var")).distinct())
@@ -31,6 +138,14 @@ def live_in(statements: DataFrame, flow: DataFrame) -> DataFrame:
     return found
 
 
+def live_in(statements: DataFrame, flow: DataFrame) -> DataFrame:
+    """(fn, pos, var): variables live before a statement: used there, or live after it and not defined there."""
+    stmts = statements.select("fn", "pos", "def", "use")
+    var = statements.schema["use"].dataType
+    schema = _schema(statements, T.StructField("var", var))
+    return _by_function(stmts, flow, schema, _live_in, _live_in_by_joins)
+
+
 def dead_stores(statements: DataFrame, flow: DataFrame, live: DataFrame) -> DataFrame:
     """(fn, pos, var) of definitions that no later statement reads and their own statement doesn't use."""
     after = flow.select("fn", F.col("src").alias("pos"), F.col("dst").alias("next")).join(live.select("fn", F.col("pos").alias("next"), "var"), ["fn", "next"]).select("fn", "pos", "var").distinct()
@@ -38,8 +153,8 @@ def dead_stores(statements: DataFrame, flow: DataFrame, live: DataFrame) -> Data
     return stores.join(after, ["fn", "pos", "var"], "left_anti")
 
 
-def reaching(statements: DataFrame, flow: DataFrame) -> DataFrame:
-    """(fn, pos, var, at): the definition of var at ``at`` reaches the entry of the statement at pos."""
+def _reaching_by_joins(statements: DataFrame, flow: DataFrame) -> DataFrame:
+    """`reaching` of any size, one shuffle a step."""
     stmts = stored(statements.select("fn", "pos", "def"))
     edges = stored(flow.select("fn", F.col("src").alias("pos"), "dst").join(stmts, ["fn", "pos"]))
     found = frontier = stored(edges.where("def IS NOT NULL").select("fn", F.col("dst").alias("pos"), F.col("def").alias("var"), F.col("pos").alias("at")).distinct())
@@ -50,6 +165,13 @@ def reaching(statements: DataFrame, flow: DataFrame) -> DataFrame:
     return found
 
 
+def reaching(statements: DataFrame, flow: DataFrame) -> DataFrame:
+    """(fn, pos, var, at): the definition of var at ``at`` reaches the entry of the statement at pos."""
+    stmts = statements.select("fn", "pos", "def", F.lit(None).alias("use"))
+    schema = _schema(statements, T.StructField("var", statements.schema["def"].dataType), T.StructField("at", statements.schema["pos"].dataType))
+    return _by_function(stmts, flow, schema, _reaching, _reaching_by_joins)
+
+
 def unused_variables(statements: DataFrame) -> DataFrame:
     defs = statements.where("def IS NOT NULL").select("fn", F.col("def").alias("var")).distinct()
     return defs.join(statements.where("use IS NOT NULL").select("fn", F.col("use").alias("var")).distinct(), ["fn", "var"], "left_anti")

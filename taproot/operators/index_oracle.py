@@ -66,7 +66,7 @@ def usage(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Per symbol its references, whether only its own file has any, and whether tests do."""
     skipped = F.col("name").rlike(r"^(\$.*|init|deinit|CodingKeys)$")
     own = symbols.where(~skipped).select("usr", "name", F.col("path").alias("home"))
-    uses = occurrences.where("role <> 'definition'").groupBy("usr").agg(F.count("*").alias("n"), F.collect_set("path").alias("paths"))
-    found = own.join(uses, "usr", "left")
-    paths = F.coalesce("paths", F.array().cast("array<string>"))
-    return found.select("usr", "name", F.coalesce("n", F.lit(0)).alias("n_references"), (F.size(F.array_except(paths, F.array("home"))) == 0).alias("self_only"), F.exists(paths, lambda p: F.array_contains(F.split(p, "/"), "Tests") | p.endswith("Tests.swift")).alias("in_tests"))
+    test = F.coalesce(F.array_contains(F.split("path", "/"), "Tests") | F.col("path").endswith("Tests.swift"), F.lit(False))
+    uses = occurrences.where("role <> 'definition'").groupBy("usr").agg(F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"), F.bool_or(test).alias("tests"))
+    alone = F.coalesce((F.col("first") == F.col("home")) & (F.col("last") == F.col("home")), F.lit(True))
+    return own.join(uses, "usr", "left").select("usr", "name", F.coalesce("n", F.lit(0)).alias("n_references"), alone.alias("self_only"), F.coalesce("tests", F.lit(False)).alias("in_tests"))

@@ -27,6 +27,17 @@ def name_edges(declarations: DataFrame, uses: DataFrame) -> DataFrame:
     return uses.select("src", "name").distinct().join(declarations.select(F.col("decl").alias("dst"), "name"), "name").select("src", "dst").distinct()
 
 
+def name_hops(declarations: DataFrame, uses: DataFrame) -> DataFrame:
+    """(src, dst): uses (src, name) lead to a node of the name, and that to every declaration (decl, name) of it.
+
+    What reaches what is as with `name_edges`, but a common name costs its users plus its declarations, not their product.
+    A name's node starts with a character that no id of a declaration has.
+    """
+    node = F.concat(F.lit("\0"), F.col("name"))
+    used = uses.select("src", "name").distinct().join(declarations.select("name").distinct(), "name", "left_semi")
+    return used.select("src", node.alias("dst")).unionByName(declarations.select(node.alias("src"), F.col("decl").alias("dst")).distinct())
+
+
 def nearest(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """Each left row (id, key, line) with the nearest right row (other, key, at) within ``most`` lines.
 
@@ -40,15 +51,15 @@ def nearest(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return best.select("id", "m.other", "m.distance")
 
 
-def suppressed_at_point(findings: DataFrame, accepts: DataFrame) -> DataFrame:
-    """Findings (id, file, line) that an accepting comment (file, line) on their line or the one before covers."""
-    lines = accepts.select("file", F.explode(F.array(F.col("line"), F.col("line") + 1)).alias("line")).distinct()
-    return findings.join(lines, ["file", "line"], "left_semi")
+def suppressed_at_point(findings: DataFrame, accepts: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Findings (…, *keys, line) that an accepting comment (*keys, line) on their line or the one before covers."""
+    lines = accepts.select(*keys, F.explode(F.array(F.col("line"), F.col("line") + 1)).alias("line")).distinct()
+    return findings.join(lines, [*keys, "line"], "left_semi")
 
 
-def region_state(rows: DataFrame, file: str, order: list[Column], toggle: Column) -> Column:
+def region_state(file: str | list[str], order: list[Column], toggle: Column) -> Column:
     """The last non-null toggle at or before each row of a file, in order: an as-of join without a join."""
-    return F.last(toggle, ignorenulls=True).over(Window.partitionBy(file).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(toggle, ignorenulls=True).over(Window.partitionBy(*([file] if isinstance(file, str) else file)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def split_by(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taproot.functions import text
 from taproot.functions.hashing import finding_fingerprint
-from taproot.operators import graph, relations
+from taproot.operators import graph, policy, relations
 from taproot.sources import files
 from taproot.storage import stored
 
@@ -18,6 +18,7 @@ OFF_BY_DEFAULT = frozenset({"unused-import", "unused-public-api", "assign-only-p
 # Entry-point conformances and interface-builder attributes of the platform.
 ENTRY_CONFORMANCES = ("App", "AppIntent", "Widget", "WidgetBundle", "ParsableCommand", "AsyncParsableCommand", "UIApplicationDelegate", "NSApplicationDelegate", "UISceneDelegate", "XCTestCase")
 BUILDER_ATTRIBUTES = ("IBAction", "IBOutlet", "IBDesignable", "IBInspectable", "IBSegueAction")
+LEVELS = ("low", "medium", "high", "certain")
 RANK = {"private": 0, "fileprivate": 1, "internal": 2, "package": 3, "public": 4, "open": 5}
 
 # Requirements of the standard library's protocols that code elsewhere calls. Raw types have none.
@@ -43,6 +44,9 @@ class Configuration:
     def severity(self, rule: str) -> str:
         return self.rules.get(rule, {}).get("severity", "warning")
 
+    def routes(self) -> list[tuple[str, bool, str]]:
+        return [(r, self.enabled(r), self.severity(r)) for r in RULES]
+
 
 def access_rank(access: Column) -> Column:
     return F.coalesce(*(F.when(access == a, r) for a, r in RANK.items()))
@@ -78,7 +82,7 @@ def root_reason(config: Configuration) -> Column:
     ]
     if config.single_file:
         reasons.append((c("effective") > RANK["fileprivate"], "visible outside the file"))
-    return F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), name) for test, name in reasons))
+    return policy.first_reason(reasons)
 
 
 def external_witnesses(decls: DataFrame) -> DataFrame:
@@ -91,8 +95,8 @@ def external_witnesses(decls: DataFrame) -> DataFrame:
     catalogue = spark.createDataFrame([(k, v.split()) for k, v in EXTERNAL.items()], "base string, needs array<string>")
     inside = decls.where("kind IN ('protocol', 'class', 'actor', 'struct', 'enum', 'typealias')").select(F.col("name").alias("base")).distinct()
     types = decls.where("kind IN ('class', 'struct', 'enum', 'actor', 'extension')").select(F.col("name").alias("enclosing_type"), F.explode("conformances").alias("text"))
-    outside = types.select("enclosing_type", F.explode(F.split("text", "&")).alias("one")).select("enclosing_type", text.base_name(F.col("one")).alias("base")).distinct().join(inside, "base", "left_anti")
-    found = outside.join(F.broadcast(catalogue), "base", "left").groupBy("enclosing_type").agg(F.bool_and(F.col("needs").isNotNull()).alias("known"), F.flatten(F.collect_list("needs")).alias("needs"))
+    outside = types.select(F.col("enclosing_type").alias("type"), F.explode(F.split("text", "&")).alias("one")).select("type", text.base_name(F.col("one")).alias("base")).join(inside, "base", "left_anti")
+    found = policy.known_needs(outside, catalogue).withColumnRenamed("type", "enclosing_type")
     exempt = F.when(F.col("known"), F.array_contains("needs", F.col("name"))).otherwise(access_rank(F.col("access")) > RANK["fileprivate"])
     return decls.where("kind <> 'parameter'").join(found, "enclosing_type").where(exempt).select("decl")
 
@@ -107,12 +111,12 @@ def with_effective_access(decls: DataFrame) -> DataFrame:
 
 
 def dependency_edges(decls: DataFrame, refs: DataFrame) -> DataFrame:
-    """(src, dst): what lies in a declaration's lines depends on every declaration of a name used there; a protocol on
-    its requirements, and a requirement on its witnesses."""
+    """(src, dst): what lies in a declaration's lines depends, through a node of the name, on every declaration of a name
+    used there; a protocol on its requirements, and a requirement on its witnesses."""
     spans = decls.select("decl", F.col("path").alias("file"), F.col("first_line").alias("first"), F.col("last_line").alias("last"))
     names = refs.select(F.col("path").alias("file"), "line", F.explode(F.array_compact(F.array("identifier", "qualifier"))).alias("ref")).distinct()
     used = relations.references_in_range(spans, names).select(F.col("decl").alias("src"), F.col("ref").alias("name"))
-    by_name = relations.name_edges(decls.select("decl", "name"), used)
+    by_name = relations.name_hops(decls.select("decl", "name"), used)
     protocols = decls.where("kind = 'protocol'").select(F.col("decl").alias("src"), F.col("name").alias("enclosing_type"))
     requirements = decls.where("enclosing_kind = 'protocol'")
     own = protocols.join(requirements.select(F.col("decl").alias("dst"), "enclosing_type"), "enclosing_type").select("src", "dst")
@@ -166,32 +170,40 @@ def unused(decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFram
     return dead.unionByName(tested.withColumn("reason", F.lit("only tested")))
 
 
-def findings(dead: DataFrame, tokens: DataFrame, config: Configuration) -> DataFrame:
-    """Collapsed, routed, weighed and worded findings."""
+def runtime_members(decls: DataFrame) -> DataFrame:
+    """(decl) of members without ``objc`` whose type is NSObject's or descends from it: a runtime may call them by name."""
+    edges = decls.where("kind <> 'parameter'").select(F.explode(F.transform("conformances", text.base_name)).alias("src"), F.coalesce(F.when(F.col("kind") != "extension", F.col("name")), "enclosing_type", "name").alias("dst"))
+    root = decls.sparkSession.createDataFrame([("runtime", "NSObject")], "root_set string, node string")
+    types = graph.reachable(edges, root).select(F.col("node").alias("enclosing_type"))
+    return decls.where(~_has(F.col("attributes"), "objc")).join(types, "enclosing_type", "left_semi").select("decl")
+
+
+def findings(dead: DataFrame, tokens: DataFrame, runtime: DataFrame, config: Configuration) -> DataFrame:
+    """Collapsed, routed, weighed and worded findings; ``runtime`` has the (decl) that a runtime may call."""
     gated = dead.where(F.col("kind").isin("constant", "variable", "function", "method", "class", "enum", "protocol", "struct", "actor", "typealias", "enumCase"))
     flagged = dead.where(F.col("kind").isin(*("class", "struct", "enum", "protocol", "actor"))).select("path", F.col("ordinal").alias("owner"))
     inside = gated.select("decl", "path", F.explode("enclosing").alias("owner")).join(flagged, ["path", "owner"], "left_semi").select("decl").distinct()
     own = gated.join(inside, "decl", "left_anti").withColumn("rule", _rule())
-    own = own.where(F.col("rule").isin(*(r for r in RULES if config.enabled(r))))
-    base = F.when(F.col("effective") <= RANK["fileprivate"], "high").when(F.col("effective") == RANK["internal"], "medium").otherwise("low")
+    own = policy.routed(own, config.routes())
+    base = F.when(F.col("effective") <= RANK["fileprivate"], 3).when(F.col("effective") == RANK["internal"], 2).otherwise(1)
     named = tokens.select(F.col("token").alias("name"), F.lit(True).alias("named"))
-    own = own.join(named, "name", "left").withColumn("confidence", F.when(F.col("named"), "low").otherwise(base))
-    severity = F.create_map(*(F.lit(x) for r in RULES for x in (r, config.severity(r))))
+    level = policy.demoted(base, F.coalesce("named", F.lit(False)), F.coalesce("runtime_visible", F.lit(False)))
+    own = own.join(named, "name", "left").join(runtime.distinct().withColumn("runtime_visible", F.lit(True)), "decl", "left").withColumn("confidence", F.array(*map(F.lit, LEVELS))[level - 1])
     word = F.when(F.col("kind") == "enumCase", "enum case").when(F.col("kind").isin("variable", "constant"), "property").otherwise(F.col("kind"))
     message = F.concat(word, F.lit(" '"), F.col("name"), F.lit("' is "), F.when(F.col("reason") == "only tested", "used by tests only").otherwise("never used" + (" in this file" if config.single_file else "")))
-    note = F.concat(F.lit("confidence "), F.col("confidence"), F.when(F.col("named"), "; its name is in a string").otherwise(""))
-    out = own.select("rule", severity[F.col("rule")].alias("severity"), "path", "line", "column", message.alias("message"), note.alias("note"), "confidence")
+    note = F.concat(F.lit("confidence "), F.col("confidence"), F.when(F.col("named"), "; its name is in a string").when(F.col("runtime_visible"), "; a runtime may call it by name").otherwise(""))
+    out = own.select("rule", "severity", "path", "line", "column", message.alias("message"), note.alias("note"), "confidence")
     return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message")))
 
 
 def flow_findings(facts: DataFrame, config: Configuration) -> DataFrame:
     """Findings of dead branches (certain) and dead stores (high), per line of their function."""
-    own = facts.select("path", F.explode("flow").alias("f")).select("path", "f.*").where(F.col("rule").isin(*(r for r in ("dead-branch", "dead-store") if config.enabled(r))))
+    own = facts.select("path", F.explode("flow").alias("f")).select("path", "f.*").where(F.col("rule").isin("dead-branch", "dead-store"))
+    own = policy.routed(own, config.routes())
     branch = F.col("rule") == "dead-branch"
     message = F.when(branch, F.concat(F.lit("branch '"), F.col("what"), F.lit("' never runs in "), F.col("function"))).otherwise(F.concat(F.lit("value stored in '"), F.col("what"), F.lit("' is never read in "), F.col("function")))
-    severity = F.create_map(*(F.lit(x) for r in RULES for x in (r, config.severity(r))))
     confidence = F.when(branch, "certain").otherwise("high")
-    out = own.select("rule", severity[F.col("rule")].alias("severity"), "path", "line", F.lit(1).alias("column"), message.alias("message"), F.concat(F.lit("confidence "), confidence).alias("note"), confidence.alias("confidence"))
+    out = own.select("rule", "severity", "path", "line", F.lit(1).alias("column"), message.alias("message"), F.concat(F.lit("confidence "), confidence).alias("note"), confidence.alias("confidence"))
     return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message"))).dropDuplicates(["fingerprint"])
 
 
@@ -203,19 +215,24 @@ def opt_in_findings(facts: DataFrame, decls: DataFrame, refs: DataFrame, config:
     written = relations.assign_only(refs, "identifier", F.col("context") == "write").select(F.col("identifier").alias("name"))
     only = decls.where("kind IN ('variable', 'constant') AND NOT local").join(written, "name", "left_semi")
     found = found.unionByName(only.select(F.lit("assign-only-property").alias("rule"), "path", "line", "column", F.concat(F.lit("property '"), F.col("name"), F.lit("' is written and never read")).alias("message")))
-    on = [r for r in ("unused-import", "assign-only-property") if config.enabled(r)]
-    severity = F.create_map(*(F.lit(x) for r in RULES for x in (r, config.severity(r))))
-    out = found.where(F.col("rule").isin(*on)).select("rule", severity[F.col("rule")].alias("severity"), "path", "line", "column", "message", F.lit("confidence medium").alias("note"), F.lit("medium").alias("confidence"))
+    out = policy.routed(found, config.routes()).select("rule", "severity", "path", "line", "column", "message", F.lit("confidence medium").alias("note"), F.lit("medium").alias("confidence"))
     return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message")))
 
 
 def suppression(found: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed) by accepting comments on the line or the one before, and by the last toggle above."""
-    comments = facts.select("path", F.explode("comments").alias("c")).select("path", F.col("c.line").alias("at"), text.directive(F.col("c.text"), list(RULES)).alias("d")).where("d IS NOT NULL").select("path", "at", "d.verb", "d.rules")
-    met = found.select("fingerprint", "path", "line", "rule").join(comments, "path").where("(size(rules) = 0 OR array_contains(rules, rule)) AND at <= line")
-    point = F.col("verb").isin("accept", "accept-next", "expect") & (F.col("line") - F.col("at")).isin(0, 1)
-    state = met.groupBy("fingerprint").agg(F.bool_or(point).alias("point"), F.max_by(F.when(F.col("verb").isin("disable", "enable"), F.col("verb")), F.when(F.col("verb").isin("disable", "enable"), F.col("at"))).alias("last"))
-    gone = state.where("point OR last <=> 'disable'").select("fingerprint")
+    comments = facts.select("path", F.explode("comments").alias("c")).select("path", F.col("c.line").alias("line"), text.directive(F.col("c.text"), list(RULES)).alias("d")).where("d IS NOT NULL")
+    every = F.when(F.size("d.rules") > 0, F.col("d.rules")).otherwise(F.array(*map(F.lit, RULES)))
+    said = comments.select("path", "line", "d.verb", F.explode(every).alias("rule"))
+    asked = found.select("path", "rule", "line", "fingerprint")
+    point = relations.suppressed_at_point(asked, said.where("verb IN ('accept', 'accept-next', 'expect')"), ("path", "rule")).select("fingerprint")
+    toggles = said.where("verb IN ('disable', 'enable')").select("path", "rule", "line", F.lit(None).cast("string").alias("fingerprint"), "verb")
+    rows = asked.withColumn("verb", F.lit(None).cast("string")).unionByName(toggles)
+    # Toggles come before the findings of their line; of two on one line, that which enables is the last.
+    order = [F.col("line"), F.col("fingerprint").isNotNull(), F.col("verb")]
+    last = relations.region_state(["path", "rule"], order, F.col("verb"))
+    off = rows.withColumn("last", last).where("fingerprint IS NOT NULL AND last = 'disable'").select("fingerprint")
+    gone = point.union(off).distinct()
     return found.join(gone, "fingerprint", "left_anti"), found.join(gone, "fingerprint", "left_semi")
 
 
@@ -223,7 +240,7 @@ def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Con
     """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant)."""
     facts = stored(files.facts(sources))
     decls, refs = stored(with_effective_access(files.declarations(facts))), files.references(facts)
-    found = findings(unused(decls, refs, config), files.string_tokens(facts), config).unionByName(flow_findings(facts, config))
+    found = findings(unused(decls, refs, config), files.string_tokens(facts), runtime_members(decls), config).unionByName(flow_findings(facts, config))
     if any(map(config.enabled, ("unused-import", "assign-only-property"))):
         found = found.unionByName(opt_in_findings(facts, decls, refs, config))
     found = stored(found)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taproot.functions import hashing, text
-from taproot.operators import dataflow, graph, relations, similarity
+from taproot.operators import dataflow, graph, index_oracle, policy, relations, similarity
+from taproot.plans import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,7 +162,7 @@ _ROOTS_SQL = "CASE WHEN p_size = 1 THEN 'entry' WHEN p_brand = 'Brand#11' THEN '
 def q_kind_gate_roots(spark: SparkSession, d: str) -> DataFrame:
     # Ordered: the first reason that holds wins.
     reasons = [(F.col("p_size") == 1, "entry"), (F.col("p_brand") == "Brand#11", "public"), (F.col("p_type").contains("STEEL"), "exported"), (F.col("p_name").startswith("a"), "test"), (F.col("p_size") > 45, "large")]
-    return _t(spark, d, "part").where("p_size BETWEEN 1 AND 40 OR p_size > 45").select("p_partkey", F.coalesce(*(F.when(c, r) for c, r in reasons)).alias("root_reason"))
+    return _t(spark, d, "part").where("p_size BETWEEN 1 AND 40 OR p_size > 45").select("p_partkey", policy.first_reason(reasons).alias("root_reason"))
 
 
 _CATALOGUE = [(k, k % 3 == 0, f"need{k % 4}") for k in range(20)]
@@ -171,10 +172,9 @@ _CATALOGUE_SQL = "(VALUES " + ", ".join(f"({k}, {str(known).lower()}, '{n}')" fo
 @query(f"WITH u AS (SELECT s_suppkey, (s_suppkey + i) % 25 AS n FROM supplier, (SELECT unnest([0, 3]) AS i)), j AS (SELECT s_suppkey, coalesce(known, false) AS known, need FROM u LEFT JOIN {_CATALOGUE_SQL} USING (n)) SELECT s_suppkey AS type, CASE WHEN bool_and(known) THEN array_to_string(list_sort(list(DISTINCT need)), ',') END AS needs FROM j GROUP BY 1")
 def q_catalog_unknown_exempt(spark: SparkSession, d: str) -> DataFrame:
     # A type's requirements are known only if each of its conformances is: null means exempt.
-    uses = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("type"), F.explode(F.array(F.col("s_suppkey") % 25, (F.col("s_suppkey") + 3) % 25)).alias("n"))
-    catalogue = spark.createDataFrame(_CATALOGUE, "n long, known boolean, need string")
-    found = uses.join(F.broadcast(catalogue), "n", "left").groupBy("type").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all"), F.array_sort(F.collect_set("need")).alias("needs"))
-    return found.select("type", F.when(F.col("all"), F.array_join("needs", ",")).alias("needs"))
+    uses = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("type"), F.explode(F.array(F.col("s_suppkey") % 25, (F.col("s_suppkey") + 3) % 25)).alias("base"))
+    catalogue = spark.createDataFrame([(k, [need]) for k, known, need in _CATALOGUE if known], "base long, needs array<string>")
+    return policy.known_needs(uses, catalogue).select("type", F.when(F.col("known"), F.array_join("needs", ",")).alias("needs"))
 
 
 @query("SELECT page_id, list_contains(string_split(url, '/'), 'en') OR ends_with(url, '.html') AS is_test FROM pages")
@@ -208,7 +208,7 @@ def q_confidence_demote(spark: SparkSession, d: str) -> DataFrame:
     base = part.select("p_partkey", F.expr("CASE WHEN p_size < 10 THEN 3 WHEN p_size < 30 THEN 2 ELSE 1 END").alias("confidence"), "p_brand", "p_type")
     named = part.where("p_size = 50").select("p_brand").distinct().withColumn("named", F.lit(True))
     found = base.join(named, "p_brand", "left")
-    return found.select("p_partkey", F.when(F.col("named"), 1).when(F.col("p_type").contains("BRASS"), F.expr(_STEP)).otherwise(F.col("confidence")).cast("int").alias("confidence"))
+    return found.select("p_partkey", policy.demoted(F.col("confidence"), F.col("named"), F.col("p_type").contains("BRASS")).alias("confidence"))
 
 
 _RULES = [("unused-function", True, "warning"), ("unused-type", True, "error"), ("dead-store", False, "warning")]
@@ -217,8 +217,7 @@ _ROUTE = "CASE WHEN o_orderstatus = 'F' THEN 'dead-store' WHEN o_orderpriority L
 
 @query(f"SELECT o_orderkey, rule, severity FROM (SELECT o_orderkey, {_ROUTE} AS rule FROM orders) o JOIN (VALUES {', '.join(f'({r!r}, {str(e).lower()}, {s!r})' for r, e, s in _RULES)}) AS r(rule, enabled, severity) USING (rule) WHERE enabled")
 def q_rule_route(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(_RULES, "rule string, enabled boolean, severity string")
-    return _t(spark, d, "orders").select("o_orderkey", F.expr(_ROUTE).alias("rule")).join(F.broadcast(rules.where("enabled")), "rule").select("o_orderkey", "rule", "severity")
+    return policy.routed(_t(spark, d, "orders").select("o_orderkey", F.expr(_ROUTE).alias("rule")), _RULES)
 
 
 @query(f"WITH {_LINES} SELECT event_id FROM lines f WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM lines a WHERE a.event_type = 'click' AND a.file = f.file AND f.line - a.line IN (0, 1))")
@@ -230,7 +229,7 @@ def q_suppress_point(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT event_id, event_type, last_value(CASE event_type WHEN 'error' THEN 'off' WHEN 'signup' THEN 'on' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM events) SELECT event_id, coalesce(state = 'off', false) AS suppressed FROM s WHERE event_type = 'purchase'")
 def q_suppress_region_asof(spark: SparkSession, d: str) -> DataFrame:
     toggle = F.expr("CASE event_type WHEN 'error' THEN 'off' WHEN 'signup' THEN 'on' END")
-    state = relations.region_state(None, "user_id", [F.col("ts"), F.col("event_id")], toggle)
+    state = relations.region_state("user_id", [F.col("ts"), F.col("event_id")], toggle)
     return _t(spark, d, "events").withColumn("state", state).where("event_type = 'purchase'").select("event_id", F.coalesce(F.col("state") == "off", F.lit(False)).alias("suppressed"))
 
 
@@ -267,10 +266,9 @@ def q_fnv1a_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'pruned' WHEN a.t = b.t THEN 'hit' ELSE 'miss' END AS state FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS t FROM documents WHERE doc_id % 13 <> 0) b USING (doc_id) WHERE coalesce(a.doc_id, b.doc_id) IS NOT NULL")
 def q_cache_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
-    mark = lambda t: F.concat(F.sha2(t.cast("binary"), 256), F.lit("-"), F.octet_length(t).cast("string"))
-    old = docs.where("path % 11 <> 0").select("path", mark(F.col("text")).alias("fingerprint"))
+    old = docs.where("path % 11 <> 0").select("path", hashing.content_fingerprint(F.col("text")).alias("fingerprint"))
     edited = F.concat("text", F.when(F.col("path") % 7 == 0, "!").otherwise(""))
-    return relations.cache_plan(old, docs.where("path % 13 <> 0").select("path", mark(edited).alias("fingerprint")))
+    return relations.cache_plan(old, docs.where("path % 13 <> 0").select("path", hashing.content_fingerprint(edited).alias("fingerprint")))
 
 
 @query(f"WITH {_LINES}, m AS (SELECT p.event_id AS id, c.event_id AS other, abs(p.line - c.line) AS distance, c.line AS cline FROM lines p JOIN lines c ON p.file = c.file AND abs(p.line - c.line) <= 5 WHERE p.event_type = 'purchase' AND c.event_type = 'click') SELECT id, other, CAST(distance AS INTEGER) AS distance FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cline, other) = 1")
@@ -301,10 +299,51 @@ def q_forced_set(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
+_SYMBOL_PATH = "'src/' || ({} % 3) || '.swift'"
+_USE_PATH = f"CASE WHEN l_partkey % 50 = 0 THEN 'Tests/x.swift' ELSE {_SYMBOL_PATH.format('l_suppkey')} END"
+
+
+@query(f"""WITH u AS (SELECT l_suppkey AS usr, {_USE_PATH} AS path FROM lineitem WHERE l_linenumber > 1)
+SELECT s_suppkey AS usr, count(path) AS n_references, count(*) FILTER (WHERE path <> {_SYMBOL_PATH.format("s_suppkey")}) = 0 AS self_only, coalesce(bool_or(starts_with(path, 'Tests/')), false) AS in_tests FROM supplier LEFT JOIN u ON usr = s_suppkey GROUP BY s_suppkey""")
+def q_symbol_usage(spark: SparkSession, d: str) -> DataFrame:
+    symbols = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("usr"), _key("f", "s_suppkey").alias("name"), F.expr(_SYMBOL_PATH.format("s_suppkey")).alias("path"))
+    occurrences = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("usr"), F.expr(_USE_PATH).alias("path"), F.expr("CASE l_linenumber WHEN 1 THEN 'definition' ELSE 'call' END").alias("role"))
+    return index_oracle.usage(symbols, occurrences).drop("name")
+
+
+@query("SELECT p_partkey AS decl FROM part WHERE p_size = 13 OR p_partkey % 3 = 1 OR (p_partkey % 3 = 0 AND p_size * 7 % 50 IN (SELECT p_size FROM part WHERE p_size % 10 = 0))")
+def q_index_forced(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.expr("CASE WHEN p_size % 10 = 0 THEN 'protocol' ELSE 'function' END").alias("kind")
+    within = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'extension' WHEN 1 THEN 'protocol' END").alias("enclosing_kind")
+    decls = _t(spark, d, "part").select(F.col("p_partkey").alias("decl"), kind, F.col("p_size").alias("name"), within, (F.col("p_size") * 7 % 50).alias("enclosing_type"), (F.col("p_size") == 13).alias("local"))
+    return index_oracle.forced(decls)
+
+
+def generated_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source per part: a function that may call the next part's; an entry type and accepting comments in some."""
+    k = F.col("p_partkey")
+    calls = F.when((k + 1) % 5 != 0, F.concat(F.lit("f"), (k + 1).cast("string"), F.lit("()"))).otherwise("")
+    entry = F.when(k % 10 == 0, F.concat(F.lit("@main struct M"), k.cast("string"), F.lit(" {\n    static func main() { f"), k.cast("string"), F.lit("() }\n}\n"))).otherwise("")
+    accept = F.when(k % 10 == 7, "// @tr:accept unused-function -- kept\n").otherwise("")
+    source = F.concat(accept, F.lit("func f"), k.cast("string"), F.lit("() { "), calls, F.lit(" }\n"), entry)
+    return _t(spark, d, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".swift")).alias("path"), source.alias("source"), F.lit(None).cast("string").alias("error"))
+
+
+_ANALYZED = """SELECT 'unused-function' AS rule, 'src/p' || p_partkey || '.swift' AS path, CASE p_partkey % 10 WHEN 7 THEN 2 ELSE 1 END AS line, 'medium' AS confidence, p_partkey % 10 = 7 AS suppressed FROM part
+WHERE p_partkey % 10 >= 5 OR p_partkey - p_partkey % 10 NOT IN (SELECT p_partkey FROM part)"""
+
+
+@query(_ANALYZED)
+def q_analyze(spark: SparkSession, d: str) -> DataFrame:
+    report = analysis.analyze(spark, generated_sources(spark, d))
+    rows = lambda df, gone: df.select("rule", "path", F.col("line").cast("int"), "confidence", F.lit(gone).alias("suppressed"))
+    return rows(report.findings, False).unionByName(rows(report.suppressed, True))
+
+
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS errors, count(*) FILTER (WHERE o_orderstatus = 'O') AS warnings, count(DISTINCT o_custkey) AS files, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS max_severity FROM orders")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return _t(spark, d, "orders").agg(F.count_if(status == "F").alias("errors"), F.count_if(status == "O").alias("warnings"), F.countDistinct("o_custkey").alias("files"), F.max(F.when(status == "F", 2).when(status == "O", 1).otherwise(0)).alias("max_severity"))
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning")
+    return policy.summary(_t(spark, d, "orders"), severity, F.col("o_custkey"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey) AS place FROM orders")

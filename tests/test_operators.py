@@ -86,6 +86,36 @@ def test_liveness_of_a_small_loop(spark):
     assert {(r.pos, r["var"], r["at"]) for r in dataflow.reaching(statements, flow).collect()} == {(2, "x", 1), (3, "x", 1), (2, "y", 2), (3, "y", 2), (2, "x", 3), (3, "x", 3)} - {(3, "x", 1)} | {(3, "x", 1)}
 
 
+def test_dataflow_by_function_equals_that_by_joins(spark, monkeypatch):
+    rnd = random.Random(5)
+    var = lambda: rnd.choice(["x", "y", "z", None])
+    stmts = [(fn, pos, var(), var()) for fn in range(12) for pos in range(8) for _ in range(rnd.choice([1, 1, 1, 2]))]
+    edges = [(fn, rnd.randrange(9), rnd.randrange(9)) for fn in range(12) for _ in range(12)] + [(None, 1, 2), (1, None, 2), (1, 2, None)]
+    statements = spark.createDataFrame(stmts + [(None, 1, "x", "y")], "fn int, pos int, def string, use string")
+    flow = spark.createDataFrame(edges, "fn int, src int, dst int")
+    for solve in (dataflow.live_in, dataflow.reaching):
+        got = {}
+        for large in (0, 25, 100_000):  # all by joins, some, none
+            monkeypatch.setattr(dataflow, "LARGE", large)
+            rows = [tuple(r) for r in solve(statements, flow).collect()]
+            got[large] = set(rows)
+            assert len(rows) == len(got[large])
+        assert got[0] and got[0] == got[25] == got[100_000]
+    empty = dataflow.live_in(statements.limit(0), flow.limit(0))
+    assert empty.count() == 0 and empty.columns == ["fn", "pos", "var"]
+
+
+def test_names_lead_through_one_node_each(spark):
+    decls = spark.createDataFrame([(f"d{i}", n) for i, n in enumerate(["init"] * 3 + ["b", None])], "decl string, name string")
+    uses = spark.createDataFrame([(f"u{i}", n) for i, n in enumerate(["init"] * 4 + ["b", "none", None])], "src string, name string")
+    hops = relations.name_hops(decls, uses)
+    assert hops.where("src IS NOT NULL AND dst IS NOT NULL").count() == 4 + 3 + 1 + 1
+    roots = spark.createDataFrame([("a", "u0"), ("b", "u4"), ("c", "u6")], "root_set string, node string")
+    got = {(r[0], r[1]) for r in graph.reachable(hops, roots).collect() if not r[1].startswith("\0")}
+    pairs = graph.reachable(relations.name_edges(decls, uses), roots)
+    assert got == {(r[0], r[1]) for r in pairs.collect()} == {("a", "u0"), ("a", "d0"), ("a", "d1"), ("a", "d2"), ("b", "u4"), ("b", "d3"), ("c", "u6")}
+
+
 def test_outlier_scores_highest(spark):
     rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(4)] + [(9, [0.0, 0.0, 1.0]), (10, [0.0, 0.0, 0.0])]
     got = dict(map(tuple, similarity.anomaly(spark.createDataFrame(rows, "id long, v array<double>"), 2).collect()))
