@@ -31,12 +31,23 @@ EXTERNAL = {
 }
 
 
+MEMBERS = ("function", "method", "variable", "constant", "subscript", "typealias", "initializer", "associatedtype")
+# Raw types, and protocols that make or list an enum's cases.
+CONSTRUCTING = (
+    "String", "Character", "Int", "Int8", "Int16", "Int32", "Int64", "UInt", "UInt8", "UInt16", "UInt32", "UInt64", "Double", "Float",
+    "Codable", "Decodable", "Encodable", "CaseIterable", "RawRepresentable", "CodingKey",
+)
+# Property wrappers through which the platform reads or writes a property.
+IMPLIED_WRAPPERS = ("AppStorage", "Binding", "Environment", "EnvironmentObject", "FocusState", "GestureState", "Namespace", "ObservedObject", "Published", "SceneStorage", "State", "StateObject")
+
+
 @dataclass(frozen=True)
 class Configuration:
     rules: dict[str, dict] = field(default_factory=dict)
     public_is_root: bool = True
     production: bool = False
     single_file: bool = False
+    minimum_confidence: str = "low"
 
     def enabled(self, rule: str) -> bool:
         return self.rules.get(rule, {}).get("enabled", rule not in OFF_BY_DEFAULT)
@@ -63,7 +74,7 @@ def root_reason(config: Configuration) -> Column:
     bases = F.transform("conformances", text.base_name)
     reasons: list[tuple[Column, str]] = [
         (_has(c("attributes"), "main", "UIApplicationMain", "NSApplicationMain"), "main"),
-        (function & (c("name") == "main"), "main"),
+        ((c("name") == "main") & (function | F.array_contains("modifiers", "static")), "main"),
         ((c("kind") == "operator") | (function & text.is_operator_name(c("name"))), "operator"),
     ]
     if config.public_is_root:
@@ -77,6 +88,7 @@ def root_reason(config: Configuration) -> Column:
         (c("name").isin("wrappedValue", "projectedValue"), "property wrapper"),
         (_has(c("conformances"), *ENTRY_CONFORMANCES), "entry point"),
         (_has(bases, "View", "ViewModifier", "PreviewProvider"), "interface"),
+        (c("kind").isin("variable", "constant") & _has(F.transform("attributes", text.base_name), *IMPLIED_WRAPPERS), "wrapped property"),
         (c("kind").isin("variable", "constant") & (c("name") == "body"), "body"),
         (F.array_contains("modifiers", "override"), "override"),
     ]
@@ -85,20 +97,38 @@ def root_reason(config: Configuration) -> Column:
     return policy.first_reason(reasons)
 
 
-def external_witnesses(decls: DataFrame) -> DataFrame:
-    """(decl) of members that code outside the corpus may call through a protocol or base type of theirs.
+def member_roots(decls: DataFrame) -> DataFrame:
+    """(decl, outer) of members that something outside the corpus uses through their type, with the first reason that holds.
 
-    A type's outside requirements are known only if each of its outside conformances, over all its extensions, is in
-    the catalogue; otherwise all of its members but private ones are exempt.
+    - "constructed case": a case of an enum with a raw type, or with a conformance that makes or lists cases;
+    - "result builder": a member of a type with that attribute;
+    - "coding": a property of a type whose coding is synthesised;
+    - "external witness": code outside may call it through a protocol or base type of theirs. A type's outside
+      requirements are known only if each of its outside conformances, over all its extensions, is in the catalogue;
+      otherwise all of its members but private ones are exempt.
     """
     spark = decls.sparkSession
     catalogue = spark.createDataFrame([(k, v.split()) for k, v in EXTERNAL.items()], "base string, needs array<string>")
     inside = decls.where("kind IN ('protocol', 'class', 'actor', 'struct', 'enum', 'typealias')").select(F.col("name").alias("base")).distinct()
-    types = decls.where("kind IN ('class', 'struct', 'enum', 'actor', 'extension')").select(F.col("name").alias("enclosing_type"), F.explode("conformances").alias("text"))
-    outside = types.select(F.col("enclosing_type").alias("type"), F.explode(F.split("text", "&")).alias("one")).select("type", text.base_name(F.col("one")).alias("base")).join(inside, "base", "left_anti")
-    found = policy.known_needs(outside, catalogue).withColumnRenamed("type", "enclosing_type")
-    exempt = F.when(F.col("known"), F.array_contains("needs", F.col("name"))).otherwise(access_rank(F.col("access")) > RANK["fileprivate"])
-    return decls.where("kind <> 'parameter'").join(found, "enclosing_type").where(exempt).select("decl")
+    types = decls.where("kind IN ('class', 'struct', 'enum', 'actor', 'extension')")
+    written = types.select(F.col("name").alias("type"), F.explode("conformances").alias("text"))
+    bases = written.select("type", F.explode(F.split("text", "&")).alias("one")).select("type", text.base_name(F.col("one")).alias("base")).distinct()
+    outside = bases.join(inside, "base", "left_anti")
+    constructs, codes = F.bool_or(F.col("base").isin(*CONSTRUCTING)), F.bool_or(F.col("base").isin("Codable", "Encodable", "Decodable"))
+    made = bases.groupBy("type").agg(constructs.alias("constructs"))
+    found = policy.known_needs(outside, catalogue).join(outside.groupBy("type").agg(codes.alias("codes")), "type")
+    builders = types.groupBy(F.col("name").alias("type")).agg(F.bool_or(_has(F.col("attributes"), "resultBuilder")).alias("builds"))
+    per_type = builders.join(made, "type", "left").join(found, "type", "left").withColumnRenamed("type", "enclosing_type")
+    member = F.col("kind").isin(*MEMBERS)
+    open_ = access_rank(F.col("access")) > RANK["private"]
+    reason = policy.first_reason([
+        ((F.col("kind") == "enumCase") & F.col("constructs"), "constructed case"),
+        (member & F.col("builds"), "result builder"),
+        (F.col("kind").isin("variable", "constant") & F.col("codes"), "coding"),
+        (member & open_ & F.when(F.col("known"), F.array_contains("needs", F.col("name"))).otherwise(F.col("known").isNotNull()), "external witness"),
+    ])
+    own = decls.where(F.col("kind").isin(*MEMBERS, "enumCase")).select("decl", "name", "kind", "access", "enclosing_type")
+    return own.join(per_type, "enclosing_type").select("decl", reason.alias("outer")).where("outer IS NOT NULL").distinct()
 
 
 def with_effective_access(decls: DataFrame) -> DataFrame:
@@ -149,14 +179,12 @@ class Report:
 
 def unused(decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFrame:
     """Declarations that no root reaches, with a reason."""
-    known = decls.withColumn("root", root_reason(config)).withColumn("in_tests", test_scoped())
+    known = decls.withColumn("root", root_reason(config)).withColumn("in_tests", test_scoped()).join(member_roots(decls), "decl", "left")
+    known = stored(known.withColumn("root", F.coalesce("root", "outer")).drop("outer"))
     plain = known.where((F.col("name") != "_") & ~F.col("name").startswith("`") & ~F.col("name").rlike("Tests?$"))
     if config.single_file:
         dead = relations.unused_names(plain.where("root IS NULL AND NOT (enclosing_kind <=> 'protocol')"), refs.select(F.col("identifier").alias("name")))
         return dead.withColumn("reason", F.lit("never referenced"))
-    outer = external_witnesses(decls).distinct().withColumn("outer", F.lit("external witness"))
-    known = stored(known.join(outer, "decl", "left").withColumn("root", F.coalesce("root", "outer")).drop("outer"))
-    plain = known.where((F.col("name") != "_") & ~F.col("name").startswith("`") & ~F.col("name").rlike("Tests?$"))
     edges = dependency_edges(known, refs)
     roots = known.where("root IS NOT NULL").select(F.lit("all").alias("root_set"), F.col("decl").alias("node"))
     if config.production:
@@ -243,6 +271,7 @@ def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Con
     found = findings(unused(decls, refs, config), files.string_tokens(facts), runtime_members(decls), config).unionByName(flow_findings(facts, config))
     if any(map(config.enabled, ("unused-import", "assign-only-property"))):
         found = found.unionByName(opt_in_findings(facts, decls, refs, config))
-    found = stored(found)
+    floor = LEVELS.index(config.minimum_confidence)
+    found = stored(found.where(F.col("confidence").isin(*LEVELS[floor:])))
     kept, gone = suppression(found, facts)
     return Report(kept, gone, facts.where("degraded IS NOT NULL").select("path", "degraded"))

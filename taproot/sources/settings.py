@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Iterable
 
-from taproot.plans.analysis import OFF_BY_DEFAULT, RULES, Configuration
+from taproot.plans.analysis import LEVELS, OFF_BY_DEFAULT, RULES, Configuration
 
 CONFIG_BYTES, SCOPE_BYTES = 1 << 20, 4 << 20
 
@@ -41,7 +41,10 @@ def load(path: str, production: bool | None = None) -> tuple[Configuration, list
         if r.get("severity", "warning") not in ("warning", "error"):
             raise ValueError(f"{name}: unknown severity {r['severity']}")
     on = data.get("production", False) if production is None else production
-    return Configuration(rules=rules, production=on), list(data.get("exclude", []))
+    least = data.get("minimumConfidence", "low")
+    if least not in LEVELS:
+        raise ValueError(f"unknown confidence {least}")
+    return Configuration(rules=rules, production=on, minimum_confidence=least), list(data.get("exclude", []))
 
 
 def scope_list(content: str) -> list[str]:

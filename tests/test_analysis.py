@@ -92,3 +92,47 @@ def test_files(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in found] == ["a.swift", "c.swift"] and files.discover([str(tmp_path)], ["**/skip/*"]) == found[:1]
     report = analyze(spark, files.read(spark, [*found, str(tmp_path / "gone.swift")]))
     assert {r.path.rsplit("/", 1)[1] for r in report.degraded.collect()} == {"c.swift", "gone.swift"}
+
+
+ROOTS = """import Foundation
+@main struct Program { static func main() { _ = Kept(); touch() } }
+struct Kept: Codable { var stored = 1; private var hidden = 2; func unusedHelper() {} }
+enum Raw: String { case first, second }
+enum Plain { case lonely }
+enum Later { case late }
+extension Later: CaseIterable {}
+@resultBuilder struct Builder { static func buildBlock(_ x: Int) -> Int { x } }
+final class Screen { @State private var shown = false; @Environment(\\.locale) var locale; var lost = 1 }
+func touch() { _ = Plain.self; _ = Raw.self; _ = Later.self; _ = Screen(); _ = Builder(); _ = Derived(); _ = Value() }
+@objc class Exported: NSObject { }
+class Base: NSObject { func quiet() {} }
+final class Derived: Base { private func quieter() {}; @objc func loud() {} }
+struct Value { private func silent() {} }
+// @tr:disable unused-function
+private func hushed() {}
+// @tr:enable unused-function
+private func heard() {}
+"""
+
+
+def test_members_used_from_outside_are_roots(spark):
+    from taproot.plans.analysis import member_roots
+
+    decls = files.declarations(files.facts(files.in_memory(spark, [("R.swift", ROOTS)])))
+    got = {(r["name"], r.outer) for r in decls.join(member_roots(decls), "decl").select("name", "outer").collect()}
+    assert {("stored", "coding"), ("hidden", "coding"), ("first", "constructed case"), ("second", "constructed case"), ("late", "constructed case"), ("buildBlock", "result builder")} <= got
+    assert not {"lonely", "unusedHelper", "lost", "silent", "shown"} & {n for n, _ in got}
+    assert ("quiet", "external witness") in got
+
+
+def test_wrapped_properties_runtime_members_regions_and_the_floor(spark):
+    sources = files.in_memory(spark, [("R.swift", ROOTS)])
+    report = analyze(spark, sources)
+    found = {r.message.split("'")[1]: r.confidence for r in report.findings.collect()}
+    assert not {"shown", "locale", "hushed", "stored", "main"} & set(found)
+    assert found["heard"] == "high" and found["lost"] == "medium"
+    # Private members of a class that descends from NSObject lose one step; those of a plain type don't.
+    assert found["quieter"] == "medium" and found["silent"] == "high"
+    assert {r.message.split("'")[1] for r in report.suppressed.collect()} == {"hushed"}
+    high = analyze(spark, sources, Configuration(minimum_confidence="high"))
+    assert {r.confidence for r in high.findings.collect()} == {"high"}
