@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from taproot.llm.packing import op9_packing
-from taproot.llm import decontaminate, fingerprints, link_graph, ngram_join, sharding, substring_dedup, surrogates, toxicity
+from taproot.llm import bpe, conversations, decontaminate, fill_middle, fingerprints, link_graph, ngram_join, sharding, substring_dedup, surrogates, toxicity
 from taproot.llm.token_files import op3_token_files
 
 QUERIES = {
@@ -17,8 +17,13 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op3_token_files": op3_token_files,
     "op9_packing": op9_packing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_bpe": bpe.op13_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_conversation_repair": conversations.ORACLE_SQL,
 }
