@@ -98,10 +98,11 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
         yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
 
 
-def ranked(df: DataFrame, keys: list[Column], name: str = "rank", ranges: list[Column] | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[Column], name: str = "rank", ranges: list[Column] | None = None, parts: int | None = None) -> DataFrame:
     """A gapless rank from 0 in the order of ``keys``, without a single-task window.
 
-    ``ranges`` are narrower keys in the same order that the range partition looks at; equal ones stay in one task.
+    ``ranges`` are narrower keys in the same order that the range partition looks at; equal ones stay in one task. ``parts`` tells how
+    many partitions to take where the plan's own estimate is no use, as behind a join.
 
     Rows are range-partitioned and sorted; each partition counts its own rows, and the counts (one row per
     partition) give every partition its first rank. The numbered rows are stored, so the ranks are stable.
@@ -118,7 +119,7 @@ def ranked(df: DataFrame, keys: list[Column], name: str = "rank", ranges: list[C
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), local], names=[*b.schema.names, "_part", "_local"])
             at += n
 
-    one = stored(df.repartitionByRange(partitions(df), *(ranges or keys)).sortWithinPartitions(*keys).mapInArrow(number, schema))
+    one = stored(df.repartitionByRange(parts or partitions(df), *(ranges or keys)).sortWithinPartitions(*keys).mapInArrow(number, schema))
     counts = {r["_part"]: r["n"] for r in one.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per partition
     starts, at = [], 0
     for p in sorted(counts):

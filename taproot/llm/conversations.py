@@ -158,10 +158,10 @@ def faulted(rows: DataFrame) -> DataFrame:
     return met.select("conv_id", "turn", "role", "text", "copies", "fault", kind.alias("kind"))
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Rows of `faulted` with their rank over all conversations and the run that it lies in, stored."""
+def ordered(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows of `faulted` with their rank over all conversations and the run that it lies in, stored. ``parts``: tasks to sort them in."""
     keys = ["conv_id", "turn", "role"]
-    ranked = common.ranked(rows, [*map(F.col, keys), F.col("text")], ranges=[*map(F.col, keys), F.left("text", F.lit(RANGE_CHARS))])
+    ranked = common.ranked(rows, [*map(F.col, keys), F.col("text")], ranges=[*map(F.col, keys), F.left("text", F.lit(RANGE_CHARS))], parts=parts)
     return ranked.withColumn("run", F.floor(F.col("rank") / RUN))
 
 
@@ -391,7 +391,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = common.table(spark, sf_dir, "conversations")
-    rows = ordered(faulted(damaged(given)))
+    rows = ordered(faulted(damaged(given)), common.partitions(given))
     summaries = run_summaries(rows)
     verdicts = common.stored(judged(totals(summaries)))
     same = lambda c: F.col("id").eqNullSafe(F.col(c))
