@@ -29,11 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm import common
-from taproot.llm.encoding import _LATIN, _LETTERS, _MARKS, MEMO, Memo, encoder, groups, strings
+from taproot.llm.encoding import _LATIN, _LETTERS, _MARKS, Memo, encoder, groups, strings
 
 #: Longer pieces and fragments aren't kept, and longer fragments are merged by a heap.
 KEPT = 256
 
+#: Bytes of text that are encoded at once, and of ids that are decoded at once; a longer row is taken alone.
+GROUP = 4_000_000
+#: Fragments in a generation of the memo.
+FRAGMENTS = 200_000
+
 _SPACE = 0x20
 _BYTES = {ord(letter): byte for byte, letter in _LETTERS.items()}
 _NEVER = 1 << 60
@@ -45,9 +50,9 @@ def _large(text: str) -> pa.Scalar:
 
 
 class ForcedBoundaries:
-    """Encodes and decodes with the BPE vocabulary of a tokenizer file that has an end-of-word suffix and byte letters."""
+    """Encodes with the BPE vocabulary of a tokenizer file that has an end-of-word suffix and byte letters."""
 
-    def __init__(self, path: str, memo: int = MEMO) -> None:
+    def __init__(self, path: str, memo: int = FRAGMENTS) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -70,10 +75,6 @@ class ForcedBoundaries:
         self.rank = {ids[a] * self.size + ids[b]: i for i, (a, b) in enumerate(merges)}
         self.made = [ids[a + b] for a, b in merges]
         self.joined = self._joined(ids, end)
-        tokens = [""] * self.size
-        for token, i in [*ids.items(), *self.special.items()]:
-            tokens[i] = token
-        self.spaced = pa.array([t + " " for t in tokens], pa.large_string())
         self.fragments, self.split = Memo(self._merged, memo), Memo(self._split, memo // 4)
 
     @staticmethod
@@ -182,6 +183,18 @@ class ForcedBoundaries:
         upto = np.concatenate([[0], np.cumsum(sizes[index])])
         return b"".join(map(known.__getitem__, index.tolist())), np.diff(upto[ends])
 
+
+class Decoder:
+    """Decodes with the vocabulary of a tokenizer file that has no decoder."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        if file["decoder"]:
+            raise ValueError("a tokenizer with a decoder of its own")
+        known = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        self.spaced = pa.array([known.get(i, "") + " " for i in range(max(known) + 1)], pa.large_string())
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The text, in UTF-8, of each run of ``sizes`` ids."""
         found = self.spaced.take(pa.array(ids))
@@ -193,7 +206,7 @@ class ForcedBoundaries:
 def _each(docs: DataFrame, schema: str, solve) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g in groups(b, 1):
+            for g in groups(b, 1, GROUP):
                 yield solve(g)
 
     return docs.mapInArrow(run, schema)
@@ -218,7 +231,7 @@ def decoded(rows: DataFrame, tokenizer: str) -> DataFrame:
         ids = g.column(1)
         sizes = pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         flat = np.frombuffer(b"".join(x or b"" for x in ids.to_pylist()), "<u4")
-        texts = encoder(tokenizer, ForcedBoundaries).decode(flat, sizes)
+        texts = encoder(tokenizer, Decoder).decode(flat, sizes)
         return pa.RecordBatch.from_arrays([g.column(0), ids, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     return _each(rows.select("doc_id", "ids"), "doc_id long, ids binary, decoded string", solve)
