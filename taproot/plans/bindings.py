@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taproot.functions import hashing, text
-from taproot.operators import dataflow, graph, index_oracle, policy, relations, similarity
+from taproot.operators import constants, dataflow, graph, index_oracle, policy, relations, similarity
 from taproot.plans import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,6 +385,143 @@ def q_reaching_defs(spark: SparkSession, d: str) -> DataFrame:
     return dataflow.reaching(statements, _flow(statements)).groupBy("fn", "pos").agg(F.count("*").alias("n_reaching"))
 
 
+# Bodies that end: each statement leads to the next, some also over it, some back; the last one is the exit.
+_BODY = f"""{_STATEMENTS},
+lasts AS (SELECT fn, max(pos) AS n FROM stmts GROUP BY fn),
+body AS (SELECT fn, pos AS src, pos + 1 AS dst FROM stmts JOIN lasts USING (fn) WHERE pos < n
+  UNION SELECT fn, pos, pos + 2 FROM stmts JOIN lasts USING (fn) WHERE pos + 2 <= n AND def = 1
+  UNION SELECT fn, pos, pos - 1 FROM stmts WHERE pos > 1 AND use = 3)"""
+_REACHING = """reach(fn, pos, var, def_at) AS (SELECT s.fn, f.dst, s.def, s.pos FROM stmts s JOIN body f ON f.fn = s.fn AND f.src = s.pos
+  UNION SELECT r.fn, f.dst, r.var, r.def_at FROM reach r JOIN stmts s ON s.fn = r.fn AND s.pos = r.pos JOIN body f ON f.fn = s.fn AND f.src = s.pos WHERE s.def <> r.var)"""
+_OPEN = """open(fn, pos, var) AS (SELECT DISTINCT fn, 1::BIGINT, use FROM stmts
+  UNION SELECT o.fn, f.dst, o.var FROM open o JOIN stmts s ON s.fn = o.fn AND s.pos = o.pos JOIN body f ON f.fn = s.fn AND f.src = s.pos WHERE s.def <> o.var)"""
+_LIVE = """live(fn, pos, var) AS (SELECT fn, pos, use FROM stmts
+  UNION SELECT f.fn, f.src, l.var FROM live l JOIN body f ON f.fn = l.fn AND f.dst = l.pos JOIN stmts s ON s.fn = f.fn AND s.pos = f.src WHERE s.def <> l.var)"""
+
+
+def _bodies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statements, flow, exits)."""
+    statements = _statements(spark, d)
+    n = F.max("pos").over(Window.partitionBy("fn"))
+    placed = statements.withColumn("n", n)
+    on = F.when(F.col("pos") < F.col("n"), F.col("pos") + 1)
+    over = F.when((F.col("pos") + 2 <= F.col("n")) & (F.col("def") == 1), F.col("pos") + 2)
+    back = F.when((F.col("pos") > 1) & (F.col("use") == 3), F.col("pos") - 1)
+    flow = placed.select("fn", F.col("pos").alias("src"), F.explode(F.array_distinct(F.array(on, over, back))).alias("dst")).where("dst IS NOT NULL")
+    return statements, flow, placed.where("pos = n").select("fn", "pos")
+
+
+@query(f"WITH RECURSIVE {_BODY}, {_REACHING} SELECT s.fn, s.pos, s.use AS var, r.def_at AS at FROM stmts s JOIN reach r ON r.fn = s.fn AND r.pos = s.pos AND r.var = s.use")
+def q_def_use(spark: SparkSession, d: str) -> DataFrame:
+    statements, flow, _ = _bodies(spark, d)
+    return dataflow.def_use(statements, flow)
+
+
+@query(f"""WITH RECURSIVE {_BODY}, {_REACHING}, {_OPEN}
+SELECT s.fn, s.pos, s.use AS var, NOT EXISTS (SELECT 1 FROM reach r WHERE r.fn = s.fn AND r.pos = s.pos AND r.var = s.use) AS never
+FROM stmts s JOIN open o ON o.fn = s.fn AND o.pos = s.pos AND o.var = s.use""")
+def q_uninitialised(spark: SparkSession, d: str) -> DataFrame:
+    statements, flow, _ = _bodies(spark, d)
+    entries = statements.where("pos = 1").select("fn", "pos")
+    return dataflow.uninitialised(statements, flow, entries, dataflow.def_use(statements, flow))
+
+
+@query(f"""WITH RECURSIVE {_BODY}, {_REACHING}, {_LIVE}
+SELECT s.fn, s.pos, s.def AS var FROM stmts s JOIN lasts l USING (fn)
+WHERE s.def <> s.use AND s.pos <> l.n
+  AND NOT EXISTS (SELECT 1 FROM body f JOIN live v ON v.fn = f.fn AND v.pos = f.dst WHERE f.fn = s.fn AND f.src = s.pos AND v.var = s.def)
+  AND NOT EXISTS (SELECT 1 FROM reach r JOIN stmts e ON e.fn = r.fn AND e.pos = r.pos
+    WHERE r.fn = s.fn AND r.pos = l.n AND r.var = s.def AND r.def_at = s.pos AND e.def <> r.var)""")
+def q_dead_stores(spark: SparkSession, d: str) -> DataFrame:
+    statements, flow, exits = _bodies(spark, d)
+    live, reaching = dataflow.live_in(statements, flow), dataflow.reaching(statements, flow)
+    return dataflow.overwritten_stores(statements, flow, exits, live, reaching)
+
+
+# Blocks of one step each: literals, sums, products, copies and calls set one of four variables, and every other block ends in a test.
+_STEPS = f"""placed AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS pos,
+    count(*) OVER (PARTITION BY l_orderkey) AS n, 'v' || (l_partkey % 4) AS target, l_suppkey % 6 AS kind, l_linenumber AS k, (l_partkey + l_suppkey) % 2 = 0 AS tested FROM lineitem),
+steps AS (SELECT *, CASE kind WHEN 2 THEN '+' WHEN 3 THEN '*' WHEN 5 THEN 'call' END AS op, CASE WHEN kind IN (2, 3, 4) THEN 'v' || (k % 4) END AS lv,
+    CASE WHEN kind < 2 THEN (k % 3)::VARCHAR END AS l, CASE WHEN kind = 3 THEN 'v' || ((k + 1) % 4) END AS rv, CASE WHEN kind = 2 THEN '1' END AS r,
+    'v' || ((k + 2) % 4) AS cv, CASE WHEN pos < n THEN pos + 1 ELSE 0 END AS next, CASE WHEN k % 2 = 0 THEN pos * 3 % n + 1 ELSE least(pos + 2, n) END AS other FROM placed)"""
+
+
+def _folded_sql(op: str, a: str, b: str) -> str:
+    number = f"CASE {op} WHEN '+' THEN ({a}::BIGINT + {b}::BIGINT)::VARCHAR WHEN '*' THEN ({a}::BIGINT * {b}::BIGINT)::VARCHAR WHEN '<' THEN ({a}::BIGINT < {b}::BIGINT)::VARCHAR END"
+    return f"CASE WHEN {op} = 'call' THEN '?' WHEN {a} IS NULL OR {op} IS NOT NULL AND {b} IS NULL THEN NULL WHEN {op} IS NULL THEN {a} WHEN {a} = '?' OR {b} = '?' THEN '?' ELSE {number} END"
+
+
+def _fixpoint_sql() -> str:
+    """A row per function and round: values v0 to v3 and the executable ways (src * 1000 + dst); all steps of a function are taken at once."""
+    of = lambda c: f"CASE {c} WHEN 'v0' THEN v0 WHEN 'v1' THEN v1 WHEN 'v2' THEN v2 WHEN 'v3' THEN v3 END"
+    low = lambda i: f"least(any_value(v{i}), min(val) FILTER (target = 'v{i}'))"
+    high = lambda i: f"greatest(any_value(v{i}), max(val) FILTER (target = 'v{i}'))"
+    met = ", ".join(f"CASE WHEN {low(i)} = {high(i)} AND {low(i)} <> '?' THEN {low(i)} WHEN {low(i)} IS NOT NULL THEN '?' END AS n{i}" for i in range(4))
+    same = " AND ".join([*(f"n{i} IS NOT DISTINCT FROM o{i}" for i in range(4)), "new_ways = ways"])
+    return f"""{_STEPS},
+state(fn, round, settled, v0, v1, v2, v3, ways) AS (
+  SELECT DISTINCT fn, 0, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, []::BIGINT[] FROM steps
+  UNION ALL
+  SELECT fn, round + 1, {same}, n0, n1, n2, n3, new_ways FROM (
+    SELECT fn, any_value(round) AS round, any_value(settled) AS settled, {", ".join(f"any_value(v{i}) AS o{i}" for i in range(4))}, any_value(ways) AS ways, {met},
+      list_sort(list_distinct(list_concat(any_value(ways), coalesce(list(pos * 1000 + next) FILTER (NOT tested OR said IN ('true', '?')), []),
+        coalesce(list(pos * 1000 + other) FILTER (tested AND said IN ('false', '?')), [])))) AS new_ways
+    FROM (SELECT *, {_folded_sql("op", "a", "b")} AS val, coalesce({_folded_sql("'<'", "c", "'2'")}, CASE WHEN settled THEN '?' END) AS said
+      FROM (SELECT s.*, t.pos, t.n, t.target, t.op, t.tested, t.next, t.other, CASE WHEN t.lv IS NULL THEN t.l ELSE {of("t.lv")} END AS a,
+          CASE WHEN t.rv IS NULL THEN t.r ELSE {of("t.rv")} END AS b, {of("t.cv")} AS c
+        FROM state s JOIN steps t ON t.fn = s.fn AND (t.pos = 1 OR list_contains(list_transform(s.ways, lambda w: w % 1000), t.pos))))
+    GROUP BY fn) WHERE NOT (settled AND {same})),
+final AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY fn ORDER BY round DESC) = 1),
+ways AS (SELECT fn, way // 1000 AS src, way % 1000 AS dst FROM (SELECT fn, unnest(ways) AS way FROM final)),
+known AS (SELECT fn, unnest(['v0', 'v1', 'v2', 'v3']) AS name, unnest([v0, v1, v2, v3]) AS value FROM final)"""
+
+
+_FIXPOINT = _fixpoint_sql()
+
+
+def _steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(flow, steps) of `constants`."""
+    c, text = F.col, lambda x: x.cast("string")
+    variable = lambda by: F.concat(F.lit("v"), text((c("l_linenumber") + by) % 4))
+    placed = dataflow.in_order(_t(spark, d, "lineitem"), "l_orderkey", _ORDER).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    kind = c("l_suppkey") % 6
+    own = placed.select(
+        c("l_orderkey").alias("fn"), c("pos").alias("block"), "n", c("l_linenumber").alias("k"), F.concat(F.lit("v"), text(c("l_partkey") % 4)).alias("target"),
+        F.when(kind == 2, "+").when(kind == 3, "*").when(kind == 5, "call").alias("op"), F.when(kind.isin(2, 3, 4), variable(0)).alias("left_var"),
+        F.when(kind < 2, text(c("l_linenumber") % 3)).alias("left"), F.when(kind == 3, variable(1)).alias("right_var"), F.when(kind == 2, "1").alias("right"),
+        variable(2).alias("tested_var"), ((c("l_partkey") + c("l_suppkey")) % 2 == 0).alias("tested"),
+    )
+    null, false = F.lit(None).cast("string"), F.lit(False).alias("loop")
+    tests = own.where("tested").select("fn", "block", null.alias("target"), F.lit("<").alias("op"), c("tested_var").alias("left_var"), null.alias("left"), null.alias("right_var"), F.lit("2").alias("right"), false)
+    steps = own.select("fn", "block", "target", *constants.OPERANDS, false).unionByName(tests)
+    on = F.when(c("block") < c("n"), c("block") + 1).otherwise(0)
+    other = F.when(c("k") % 2 == 0, c("block") * 3 % c("n") + 1).otherwise(F.least(c("block") + 2, c("n")))
+    ways = F.when(c("tested"), F.array(F.struct(on.alias("dst"), F.lit("true").alias("side")), F.struct(other.alias("dst"), F.lit("false").alias("side")))).otherwise(F.array(F.struct(on.alias("dst"), null.alias("side"))))
+    inner = own.select("fn", c("block").alias("src"), F.explode(ways).alias("w")).select("fn", "src", "w.*")
+    entry = own.where("block = 1").select("fn", F.lit(None).cast("long").alias("src"), F.lit(1).cast("long").alias("dst"), null.alias("side"))
+    return inner.unionByName(entry), steps
+
+
+@query(f"WITH RECURSIVE {_FIXPOINT} SELECT fn, src, dst FROM ways")
+def q_sccp_edges(spark: SparkSession, d: str) -> DataFrame:
+    return constants.executable_edges(constants.propagated(*_steps(spark, d)))
+
+
+@query(f"WITH RECURSIVE {_FIXPOINT} SELECT fn, name, value FROM known WHERE value IS NOT NULL")
+def q_sccp_values(spark: SparkSession, d: str) -> DataFrame:
+    return constants.values(constants.propagated(*_steps(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {_FIXPOINT},
+dead AS (SELECT t.fn, t.pos, t.next, t.other, (k.value::BIGINT < 2)::VARCHAR AS value FROM steps t JOIN known k ON k.fn = t.fn AND k.name = t.cv
+  WHERE t.tested AND k.value <> '?' AND (t.pos = 1 OR EXISTS (SELECT 1 FROM ways w WHERE w.fn = t.fn AND w.dst = t.pos)))
+SELECT fn, pos AS block, CASE value WHEN 'true' THEN 'false' ELSE 'true' END AS side, value FROM dead d
+WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.fn = d.fn AND w.src = d.pos AND w.dst = CASE value WHEN 'true' THEN d.other ELSE d.next END)""")
+def q_dead_branches(spark: SparkSession, d: str) -> DataFrame:
+    flow, steps = _steps(spark, d)
+    return constants.dead_branches(flow, steps, constants.propagated(flow, steps))
+
+
 @query("SELECT l_partkey, CASE WHEN min(l_discount) = max(l_discount) THEN min(l_discount) END AS constant FROM lineitem GROUP BY 1")
 def q_sccp_meet(spark: SparkSession, d: str) -> DataFrame:
     return dataflow.meet(_t(spark, d, "lineitem"), "l_partkey", "l_discount")
