@@ -1,13 +1,12 @@
-"""Control flow of function bodies and what constants make of it.
+"""Control flow of function bodies.
 
 A body's statements become blocks: ``if``/``guard``/``while``/``repeat``/``for``/``switch`` branch, ``return``/``throw``/``break``/``continue``
-leave. Conditions are known if they are ``true`` or ``false``, or a variable whose only values in the body are one
-constant: a variable that a closure or ``&`` may write, or that gets an unknown value, is none. `dead_branches` reports the
-side of a condition that can't run; a ``while true`` is a loop on purpose.
+leave. `rows` gives them as tables, from which `taproot.plans.control_flow` finds dead branches and stores.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from taproot.frontend.lexer import Lexer, Token
@@ -300,61 +299,71 @@ class Builder:
         self.here().statements.append(s)
 
 
-def constants(blocks: list[Block]) -> dict[str, str]:
-    """Variables with one known value (true, false, a number or a string) wherever the body sets them."""
-    values: dict[str, set[str]] = {}
-    for b in blocks:
-        for s in b.statements:
-            for d in s.defs:
-                v = s.value or ""
-                known = v in ("true", "false") or v.lstrip("- ").replace("_", "").isdigit() or (len(v) > 1 and v[0] == v[-1] == '"' and "\\(" not in v)
-                values.setdefault(d, set()).add(v if known else "?")
-            for d in s.closure_writes:
-                values.setdefault(d, set()).add("?")
-    own = {d for b in blocks for s in b.statements for d in s.declared}
-    return {k: next(iter(v)) for k, v in values.items() if k in own and len(v) == 1 and "?" not in v}
+_NAME, _NUMBER = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d[\d_]*")
+_LITERALS = ("true", "false", "nil")
+_BINARY = ("+", "-", "*", "/", "%", "==", "!=", "<", "<=", ">", ">=", "&&", "||")
 
 
-def dead_branches(blocks: list[Block]) -> list[dict]:
-    known, out = constants(blocks), []
-    for b in blocks:
-        if b.condition is None:
-            continue
-        c = b.condition.strip("() ").strip()
-        negated = c.startswith("! ")
-        value = known.get(c[2:] if negated else c, c[2:] if negated else c)
-        if value not in ("true", "false"):
-            continue
-        taken = (value == "true") != negated
-        if b.kind == "while" and taken:
-            continue
-        if taken and b.kind == "if" and not b.has_else:
-            continue
-        out.append({"line": b.line, "condition": c, "dead": "else" if taken else "then"})
-    return sorted(out, key=lambda r: r["line"])
-
-
-def dead_stores(blocks: list[Block]) -> list[dict]:
-    """Definitions that nothing reads afterwards, by liveness over the blocks; what closures touch is always live."""
+def _operand(text: str) -> tuple[str | None, str | None] | None:
+    """(variable, literal) of a token."""
+    if text in _LITERALS:
+        return None, text
+    if _NUMBER.fullmatch(text):
+        return None, text.replace("_", "")
+    return (text, None) if _NAME.fullmatch(text) else None
+
+
+def expression(text: str) -> tuple:
+    """(op, left variable, left, right variable, right) of an expression's tokens; a call if it isn't one operation at most."""
+    if len(text) > 1 and text[0] == text[-1] == '"' and '"' not in text[1:-1] and "\\(" not in text:
+        return None, None, text, None, None
+    parts = text.split(" ")
+    while len(parts) > 2 and parts[0] == "(" and parts[-1] == ")":
+        parts = parts[1:-1]
+    if len(parts) == 1 and (x := _operand(parts[0])):
+        return None, *x, None, None
+    if len(parts) == 2 and parts[0] in ("!", "-") and (x := _operand(parts[1])):
+        return "!" if parts[0] == "!" else "negate", *x, None, None
+    if len(parts) == 3 and parts[1] in _BINARY and (x := _operand(parts[0])) and (y := _operand(parts[2])):
+        return parts[1], *x, *y
+    return "call", None, None, None, None
+
+
+#: Places of a block: its head, and its statements from 1 on.
+PLACES = 100_000
+ENTRY, EXIT = 0, 1
+
+
+def rows(blocks: list[Block]) -> list[dict]:
+    """The tables of a body in one list: what is flow, step, test, statement or hop (flow between statements).
+
+    Variables that closures or ``&`` may write, or that the body doesn't declare, vary from the entry on; no store to them is judged.
+    """
     escaped = {d for b in blocks for s in b.statements for d in s.closure_writes}
     own = {d for b in blocks for s in b.statements for d in s.declared}
-    entry: dict[int, set[str]] = {b.id: set() for b in blocks}
-    changed = True
-    while changed:
-        changed = False
-        for b in reversed(blocks):
-            live = set().union(*(entry[s] for s in b.successors)) if b.successors else set()
-            for s in reversed(b.statements):
-                live = (live - set(s.defs)) | set(s.uses)
-            if live != entry[b.id]:
-                entry[b.id], changed = live, True
-    out = []
+    names = ("op", "left_var", "left", "right_var", "right")
+    out = [{"what": "flow", "dst": ENTRY}]
+    for d in sorted(escaped | {d for b in blocks for s in b.statements for d in s.defs if d not in own}):
+        out.append({"what": "step", "block": ENTRY, "target": d, "op": "call"})
     for b in blocks:
-        live = set().union(*(entry[s] for s in b.successors)) if b.successors else set()
-        for s in reversed(b.statements):
-            out += [{"line": s.line, "variable": d} for d in s.defs if d in own and d not in live and d not in s.uses and d not in escaped]
-            live = (live - set(s.defs)) | set(s.uses)
-    return sorted(out, key=lambda r: (r["line"], r["variable"]))
+        tested = b.condition is not None and len(b.successors) == 2 and b.kind in ("if", "guard", "while", "repeat")
+        if tested:
+            said = b.condition.strip("() ").strip()
+            out.append({"what": "step", "block": b.id, "loop": b.kind in ("while", "repeat")} | dict(zip(names, expression(said), strict=True)))
+            out.append({"what": "test", "block": b.id, "line": b.line, "target": said, "loop": b.kind == "if" and not b.has_else})
+        for i, dst in enumerate(b.successors):
+            out.append({"what": "flow", "block": b.id, "dst": dst, "side": ("true", "false")[i] if tested else None})
+        here = b.id * PLACES
+        out.append({"what": "statement", "block": here})
+        for s in b.statements:
+            out.append({"what": "hop", "block": here, "dst": here + 1})
+            here += 1
+            for d in s.defs or [None]:
+                judged = d in own and d not in escaped and d not in s.uses
+                out += [{"what": "statement", "block": here, "line": s.line, "target": d, "left_var": u, "loop": judged} for u in s.uses or [None]]
+            out += [{"what": "step", "block": b.id, "target": d} | dict(zip(names, expression(s.value or ""), strict=True)) for d in s.defs]
+        out += [{"what": "hop", "block": here, "dst": dst * PLACES} for dst in b.successors]
+    return out
 
 
 def of_source(body: str) -> list[Block]:

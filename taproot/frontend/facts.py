@@ -41,7 +41,7 @@ class Facts:
     references: list[dict] = field(default_factory=list)
     tokens: set[str] = field(default_factory=set)
     comments: list[tuple[int, str]] = field(default_factory=list)
-    #: Verdicts of control flow: rule, line, what, and the function's name.
+    #: Tables of the bodies' control flow, with a number for each body and the function's name.
     flow: list[dict] = field(default_factory=list)
     degraded: str | None = None
 
@@ -52,6 +52,7 @@ class Collector:
         lexer = Lexer(source)
         self.t = lexer.tokens()
         self.facts = Facts(comments=[(c.line, c.text) for c in lexer.comments], degraded=lexer.degraded)
+        self.bodies = 0
         self.scopes = 0
         self.at = 0
 
@@ -253,15 +254,13 @@ class Collector:
         row["last_line"] = last
 
     def judge(self, body: list[Token], name: str) -> None:
-        """Dead branches and stores of a body; a body over the bound is noted and left out."""
+        """The control flow of a body; a body over the bound is noted and left out."""
         built = cfg.Builder(body)
         if built.count > cfg.MOST_STATEMENTS:
             self.facts.degraded = self.facts.degraded or f"{name} has more than {cfg.MOST_STATEMENTS} statements"
             return
-        for r in cfg.dead_branches(built.blocks):
-            self.facts.flow.append({"rule": "dead-branch", "line": r["line"], "what": f"{r['dead']} of {r['condition']}", "function": name})
-        for r in cfg.dead_stores(built.blocks):
-            self.facts.flow.append({"rule": "dead-store", "line": r["line"], "what": r["variable"], "function": name})
+        self.bodies += 1
+        self.facts.flow += [{"fn": self.bodies, "function": name} | r for r in cfg.rows(built.blocks)]
 
     def parameters(self, inner: Scope, end: int, scope: Scope) -> None:
         self.take()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from taproot.functions import text
 from taproot.functions.hashing import finding_fingerprint
 from taproot.operators import graph, policy, relations
+from taproot.plans import control_flow
 from taproot.sources import files
 from taproot.storage import stored
 
@@ -226,10 +227,14 @@ def findings(dead: DataFrame, tokens: DataFrame, runtime: DataFrame, config: Con
 
 def flow_findings(facts: DataFrame, config: Configuration) -> DataFrame:
     """Findings of dead branches (certain) and dead stores (high), per line of their function."""
-    own = facts.select("path", F.explode("flow").alias("f")).select("path", "f.*").where(F.col("rule").isin("dead-branch", "dead-store"))
-    own = policy.routed(own, config.routes())
+    rows, found = control_flow.bodies(facts), None
+    for rule, of in (("dead-branch", control_flow.dead_branches), ("dead-store", control_flow.dead_stores)):
+        if config.enabled(rule):
+            own = of(rows).withColumn("rule", F.lit(rule))
+            found = own if found is None else found.unionByName(own)
+    own = policy.routed(found, config.routes())
     branch = F.col("rule") == "dead-branch"
-    message = F.when(branch, F.concat(F.lit("branch '"), F.col("what"), F.lit("' never runs in "), F.col("function"))).otherwise(F.concat(F.lit("value stored in '"), F.col("what"), F.lit("' is never read in "), F.col("function")))
+    message = F.when(branch, F.concat(F.lit("branch '"), F.col("what"), F.lit("' never runs in "), F.col("function"))).otherwise(F.concat(F.lit("value stored in '"), F.col("what"), F.lit("' is overwritten before any read in "), F.col("function")))
     confidence = F.when(branch, "certain").otherwise("high")
     out = own.select("rule", "severity", "path", "line", F.lit(1).alias("column"), message.alias("message"), F.concat(F.lit("confidence "), confidence).alias("note"), confidence.alias("confidence"))
     return out.withColumn("fingerprint", finding_fingerprint(F.col("rule"), F.col("path"), F.col("line"), F.col("column"), F.col("message"))).dropDuplicates(["fingerprint"])
@@ -268,7 +273,9 @@ def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Con
     """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant)."""
     facts = stored(files.facts(sources))
     decls, refs = stored(with_effective_access(files.declarations(facts))), files.references(facts)
-    found = findings(unused(decls, refs, config), files.string_tokens(facts), runtime_members(decls), config).unionByName(flow_findings(facts, config))
+    found = findings(unused(decls, refs, config), files.string_tokens(facts), runtime_members(decls), config)
+    if any(map(config.enabled, ("dead-branch", "dead-store"))):
+        found = found.unionByName(flow_findings(facts, config))
     if any(map(config.enabled, ("unused-import", "assign-only-property"))):
         found = found.unionByName(opt_in_findings(facts, decls, refs, config))
     floor = LEVELS.index(config.minimum_confidence)

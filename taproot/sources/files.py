@@ -16,7 +16,8 @@ SKIPPED = frozenset({"DerivedData", "checkouts"})
 
 DECLARATION = "struct<name: string, kind: string, line: int, column: int, first_line: int, last_line: int, access: string, modifiers: array<string>, attributes: array<string>, conformances: array<string>, scope: string, enclosing: array<int>, enclosing_type: string, enclosing_kind: string, local: boolean, ordinal: int>"
 REFERENCE = "struct<identifier: string, qualifier: string, line: int, column: int, context: string>"
-FACTS = f"path string, declarations array<{DECLARATION}>, references array<{REFERENCE}>, tokens array<string>, comments array<struct<line: int, text: string>>, flow array<struct<rule: string, line: int, what: string, function: string>>, degraded string"
+FLOW = "struct<fn: int, function: string, what: string, line: int, block: long, dst: long, side: string, target: string, op: string, left_var: string, left: string, right_var: string, right: string, loop: boolean>"
+FACTS = f"path string, declarations array<{DECLARATION}>, references array<{REFERENCE}>, tokens array<string>, comments array<struct<line: int, text: string>>, flow array<{FLOW}>, degraded string"
 
 
 def _excluded(path: str, entries: Iterable[str]) -> bool:
@@ -42,23 +43,27 @@ def discover(paths: Iterable[str], exclude: Iterable[str] = (), suffix: str = ".
     return sorted(found)
 
 
+def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = []
+        for p in f["path"]:
+            try:
+                if os.path.getsize(p) > MOST_BYTES:
+                    raise OSError(f"larger than {MOST_BYTES} bytes")
+                with open(p, "rb") as h:
+                    source = h.read(MOST_BYTES + 1)
+                if len(source) > MOST_BYTES:  # it has grown meanwhile
+                    raise OSError(f"larger than {MOST_BYTES} bytes")
+                rows.append((p, source.decode("utf-8", "replace"), None))
+            except OSError as e:
+                rows.append((p, None, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "source", "error"])
+
+
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, source, error) of whole files; a file over the limit or that can't be read is a row with an error."""
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for p in f["path"]:
-                try:
-                    if os.path.getsize(p) > MOST_BYTES:
-                        raise OSError(f"larger than {MOST_BYTES} bytes")
-                    with open(p, "rb") as h:
-                        rows.append((p, h.read(MOST_BYTES + 1).decode("utf-8", "replace"), None))
-                except OSError as e:
-                    rows.append((p, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "source", "error"])
-
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 256))).mapInPandas(load, "path string, source string, error string")
+    given = spark.createDataFrame([(p,) for p in paths], "path string")
+    return given.repartition(max(1, min(len(paths), 256))).mapInPandas(load, "path string, source string, error string")
 
 
 def in_memory(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame:
