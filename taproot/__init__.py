@@ -1,3 +1,3 @@
 """Whole-program reachability and dataflow analytics on Spark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.3.0"

@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from taproot.operators import policy
 from taproot.operators.relations import split_by
 from taproot.plans.analysis import RULES, Configuration, analyze
 from taproot.sources import files, settings, sinks
@@ -31,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--only-from")
     a.add_argument("--baseline")
     a.add_argument("--write-baseline")
+    a.add_argument("--index", help="a folder with an index as tables")
+    a.add_argument("--cache", help="a folder for snapshots of facts")
+    a.add_argument("--relative-to", help="spell paths relative to this folder")
     r = sub.add_parser("rules")
     r.add_argument("id", nargs="?")
     return p
@@ -65,20 +69,32 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
         print(f"no such path: {e}", file=sys.stderr)
         return 64
     spark = spark or SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
-    report = analyze(spark, files.read(spark, paths), config)
+    sources = files.read(spark, paths)
+    below = os.path.commonpath([os.path.dirname(p) for p in paths]) if paths else os.getcwd()
+    root = os.path.abspath(args.relative_to) if args.relative_to else settings.repository_root(below)
+    report = analyze(spark, sources, config, index=args.index, cache_at=args.cache, anchor=root)
     found = report.findings
     if scope is not None:  # an empty scope reports nothing; none at all reports everything
         keys = spark.createDataFrame([(os.path.normpath(os.path.abspath(s)),) for s in scope], "path string")
         found, _ = split_by(found, keys, ["path"])
-    rows = found.orderBy("path", "line", "column", "rule").collect()
+    report.findings = found
+    if args.relative_to:
+        report = report.relative_to(root)
+    rows = report.findings.orderBy("path", "line", "column", "rule").collect()
     if args.write_baseline:
         with open(args.write_baseline, "w", encoding="utf-8") as f:
             f.write(sinks.baseline(rows))
     rows = [r for r in rows if r.fingerprint not in known]
     degraded = report.degraded.orderBy("path").collect()
     print({"xcode": lambda: sinks.as_text(rows, degraded), "json": lambda: sinks.as_json(rows), "sarif": lambda: sinks.as_sarif(rows, RULES)}[args.format](), file=out)
-    errors = sum(r.severity == "error" for r in rows)
-    print(f"{errors} errors, {len(rows) - errors} warnings, {len(paths)} files, {report.suppressed.select(F.count('*')).first()[0]} suppressed, {len(degraded)} degraded", file=sys.stderr)
+    for note in report.notes:
+        print(f"note: {note}", file=sys.stderr)
+    fresh = spark.createDataFrame([(f,) for f in known], "fingerprint string") if known else None
+    judged = report.findings.join(fresh, "fingerprint", "left_anti") if known else report.findings
+    s = policy.summary(judged, F.col("severity"), F.col("path")).first()
+    parts = [f"{s.errors} errors", f"{s.warnings} warnings", f"{s.files} of {len(paths)} files", f"{report.suppressed.count()} suppressed", f"{len(degraded)} degraded"]
+    parts += [f"{n} {word} in the cache" for word, n in report.cached.items()]
+    print(", ".join(parts), file=sys.stderr)
     return sinks.exit_status(rows, args.strict)
 
 

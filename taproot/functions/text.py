@@ -102,3 +102,9 @@ def directive(comment: Column, rules: list[str], prefix: str = "tr") -> Column:
     known = F.filter(named, lambda r: r.isin(*rules))
     valid = verb.isin(*VERBS) & ((F.size(named) == 0) | (F.size(known) > 0))
     return F.when(valid, F.struct(verb.alias("verb"), known.alias("rules"), reason.alias("reason")))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below a root without it; other paths as they are."""
+    prefix = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)

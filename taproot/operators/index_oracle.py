@@ -7,10 +7,15 @@ other symbol. Native index stores aren't read; any source that gives these table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taproot.functions import text
 from taproot.operators import graph, relations
+from taproot.storage import stored
 
 #: Lines that a declaration and its symbol may be apart.
 NEAREST = 5
@@ -45,21 +50,88 @@ def mapped(declarations: DataFrame, symbols: DataFrame) -> DataFrame:
     return relations.nearest(left, right, NEAREST).select(F.col("id").alias("decl"), F.col("other").alias("usr"))
 
 
+TYPES = ("class", "struct", "enum", "protocol", "actor", "typealias")
+
+
 def forced(declarations: DataFrame) -> DataFrame:
-    """Declarations that an index can't judge: locals, requirements and members of protocol extensions."""
+    """(decl) of declarations that an index can't judge.
+
+    Locals, requirements and members of protocol extensions; and, where declarations come with their conformances, types that others
+    build on, and members that meet a requirement of a protocol of their type: dispatch leaves no reference by name.
+    """
     protocols = declarations.where("kind = 'protocol'").select(F.col("name").alias("enclosing_type")).distinct()
     in_extension = declarations.where("enclosing_kind = 'extension'").join(protocols, "enclosing_type", "left_semi").select("decl")
-    return declarations.where("local OR enclosing_kind <=> 'protocol'").select("decl").union(in_extension).distinct()
+    out = declarations.where("local OR enclosing_kind <=> 'protocol'").select("decl").union(in_extension)
+    if "conformances" in declarations.columns:
+        base = text.base_name(F.trim("one"))
+        written = declarations.select(F.coalesce(F.when(F.col("kind") != "extension", F.col("name")), "enclosing_type", "name").alias("type"), F.explode("conformances").alias("all"))
+        uses = written.select("type", F.explode(F.split("all", "&")).alias("one")).select("type", base.alias("base")).distinct()
+        bases = declarations.where(F.col("kind").isin(*TYPES)).join(uses.select(F.col("base").alias("name")).distinct(), "name", "left_semi").select("decl")
+        wanted = declarations.where("enclosing_kind = 'protocol'").select(F.col("enclosing_type").alias("protocol"), "name", F.lit(None).alias("requirement")).distinct()
+        members = declarations.where("enclosing_type IS NOT NULL AND NOT enclosing_kind <=> 'protocol'").select(F.col("decl").alias("member"), F.col("enclosing_type").alias("type"), "name")
+        met = relations.witnesses(wanted, members, uses.withColumnRenamed("base", "protocol")).select(F.col("member").alias("decl"))
+        out = out.union(bases).union(met)
+    return out.distinct()
+
+
+def verdicts(declarations: DataFrame, roots: DataFrame, symbols: DataFrame, occurrences: DataFrame, syntax: DataFrame | None = None) -> DataFrame:
+    """(root_set, decl, provenance) of what each root set (root_set, decl) reaches.
+
+    Declarations with a symbol are judged by the index, from the symbols of roots and of forced declarations, which are always
+    reached. Those without one are judged by ``syntax`` (root_set, decl) if it is given, else they count as reached: a gap of the
+    index accuses nobody.
+    """
+    pairs, held = stored(mapped(declarations, symbols)), stored(forced(declarations))
+    sets = roots.select("root_set").distinct()
+    edges = symbol_edges(occurrences).select("src", "dst").unionByName(protocol_witnesses(symbols, occurrences))
+    names = [r["root_set"] for r in sets.collect()]  # as many as the analysis has modes: one or two
+    every = F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("root_set")
+    always = held.select(every, "decl")
+    start = roots.select("root_set", "decl").union(always).join(pairs, "decl").select("root_set", F.col("usr").alias("node"))
+    live = graph.reachable(edges, start).select("root_set", F.col("node").alias("usr")).join(pairs, "usr").select("root_set", "decl", F.lit("index").alias("provenance"))
+    unmapped = declarations.select("decl").join(pairs, "decl", "left_anti").join(held, "decl", "left_anti")
+    if syntax is None:
+        rest = unmapped.select(every, "decl", F.lit("unmapped").alias("provenance"))
+    else:
+        rest = syntax.select("root_set", "decl").join(unmapped, "decl", "left_semi").select("root_set", "decl", F.lit("syntax").alias("provenance"))
+    sure = always.withColumn("provenance", F.lit("forced"))
+    return stored(live.join(held, "decl", "left_anti").unionByName(sure).unionByName(rest).distinct())
+
+
+def stale(files: DataFrame, units: DataFrame) -> DataFrame:
+    """(path) of files (path, modified) that are newer than their last unit (path, indexed), or have none; unknown times are none."""
+    last = units.groupBy("path").agg(F.max("indexed").alias("indexed"))
+    return files.where("modified IS NOT NULL").join(last, "path", "left").where("indexed IS NULL OR modified > indexed").select("path")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index as tables; ``units`` (path, indexed: seconds) tells when files were indexed."""
+
+    symbols: DataFrame
+    occurrences: DataFrame
+    units: DataFrame | None = None
+
+
+def opened(spark: SparkSession, path: str) -> tuple[Index | None, str]:
+    """The index of a folder with symbols.parquet, occurrences.parquet and maybe units.parquet, or none and the reason."""
+    try:
+        symbols, occurrences = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("symbols", "occurrences"))
+        if missing := {"usr", "name", "kind", "path", "line"} - set(symbols.columns) | {"usr", "path", "line", "role", "relation", "related"} - set(occurrences.columns):
+            return None, f"index at {path} has no {', '.join(sorted(missing))}"
+    except AnalysisException:
+        return None, f"no index at {path}"
+    try:
+        units = spark.read.parquet(f"{path}/units.parquet")
+    except AnalysisException:
+        units = None
+    return Index(symbols, occurrences, units), ""
 
 
 def unreached(declarations: DataFrame, roots: DataFrame, symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Declarations with a symbol that neither roots (decl) nor forced ones reach; those without one count as reached."""
-    pairs = mapped(declarations, symbols)
-    edges = symbol_edges(occurrences).select("src", "dst").unionByName(protocol_witnesses(symbols, occurrences))
-    start = roots.select("decl").union(forced(declarations)).distinct().join(pairs, "decl").select(F.lit("index").alias("root_set"), F.col("usr").alias("node"))
-    live = graph.reachable(edges, start).select(F.col("node").alias("usr"))
-    dead = pairs.join(live, "usr", "left_anti").select("decl")
-    return declarations.join(dead, "decl", "left_semi")
+    found = verdicts(declarations, roots.select(F.lit("index").alias("root_set"), "decl"), symbols, occurrences)
+    return declarations.join(found, "decl", "left_anti")
 
 
 def usage(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from taproot.functions import text
 from taproot.functions.hashing import finding_fingerprint
-from taproot.operators import graph, policy, relations
+from taproot.operators import graph, index_oracle, policy, relations
 from taproot.plans import control_flow
-from taproot.sources import files
+from taproot.sources import cache, files
 from taproot.storage import stored
 
 RULES = ("unused-function", "unused-type", "unused-property", "unused-enum-case", "unused-import", "unused-public-api", "assign-only-property", "only-tested", "dead-branch", "dead-store")
@@ -49,6 +50,8 @@ class Configuration:
     production: bool = False
     single_file: bool = False
     minimum_confidence: str = "low"
+    #: Judge declarations that an index doesn't know: "reached" or by "syntax".
+    unmapped: str = "reached"
 
     def enabled(self, rule: str) -> bool:
         return self.rules.get(rule, {}).get("enabled", rule not in OFF_BY_DEFAULT)
@@ -174,12 +177,49 @@ class Report:
     suppressed: DataFrame
     degraded: DataFrame
 
+    #: What a user should know about the run: which oracle judged, and why.
+    notes: list[str] = field(default_factory=list)
+    #: Files taken from the cache, analysed anew and gone, where a cache is used.
+    cached: dict[str, int] = field(default_factory=dict)
+
     def ordered(self) -> list:
         return self.findings.orderBy("path", "line", "column", "rule").collect()
 
+    def relative_to(self, root: str) -> Report:
+        """The same with paths below ``root`` relative to it, in paths, messages, notes and degraded rows, and in fingerprints."""
+        prefix = root.rstrip("/") + "/"
+        cut = {c: F.replace(F.col(c), F.lit(prefix), F.lit("")) for c in ("message", "note")}
+
+        def short(df: DataFrame) -> DataFrame:
+            return anchored(df.withColumns(cut | {"path": text.relative_path(F.col("path"), root)}), root)
+
+        degraded = self.degraded.withColumns({"path": text.relative_path(F.col("path"), root), "degraded": F.replace("degraded", F.lit(prefix), F.lit(""))})
+        return Report(short(self.findings), short(self.suppressed), degraded, self.notes, self.cached)
+
+
+def anchored(found: DataFrame, root: str) -> DataFrame:
+    """Findings whose fingerprints spell paths relative to ``root``, so that they are the same on every machine."""
+    path = text.relative_path(F.col("path"), root)
+    return found.withColumn("fingerprint", finding_fingerprint(F.col("rule"), path, F.col("line"), F.col("column"), F.col("message")))
+
 
-def unused(decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFrame:
-    """Declarations that no root reaches, with a reason."""
+def common_root(paths: DataFrame) -> str:
+    """The folder that holds all paths: what the least and the greatest have in common, all have."""
+    ends = paths.agg(F.min("path").alias("least"), F.max("path").alias("most")).first()
+    return os.path.dirname(os.path.commonprefix([ends["least"] or "/", ends["most"] or "/"]) + "x")
+
+
+def reached_by_index(known: DataFrame, roots: DataFrame, syntax: DataFrame, config: Configuration, index: index_oracle.Index) -> DataFrame | None:
+    """(root_set, node) by the index, or None if it covers none of the declarations."""
+    if not index_oracle.mapped(known, index.symbols).limit(1).count():
+        return None
+    given = syntax.select("root_set", F.col("node").alias("decl")) if config.unmapped == "syntax" else None
+    found = index_oracle.verdicts(known, roots.select("root_set", F.col("node").alias("decl")), index.symbols, index.occurrences, given)
+    return found.select("root_set", F.col("decl").alias("node"))
+
+
+def unused(decls: DataFrame, refs: DataFrame, config: Configuration, index: index_oracle.Index | None = None, notes: list[str] | None = None) -> DataFrame:
+    """Declarations that no root reaches, with a reason. ``notes`` gets which oracle judged."""
     known = decls.withColumn("root", root_reason(config)).withColumn("in_tests", test_scoped()).join(member_roots(decls), "decl", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "outer")).drop("outer"))
     plain = known.where((F.col("name") != "_") & ~F.col("name").startswith("`") & ~F.col("name").rlike("Tests?$"))
@@ -191,6 +231,10 @@ def unused(decls: DataFrame, refs: DataFrame, config: Configuration) -> DataFram
     if config.production:
         roots = roots.where("root_set = 'all'").union(known.where("in_tests").select(F.lit("all"), "decl")).union(known.where("root IS NOT NULL AND NOT in_tests").select(F.lit("production"), "decl"))
     found = stored(graph.reachable(edges, roots))
+    if index is not None:
+        judged = reached_by_index(known, roots, found, config, index)
+        (notes if notes is not None else []).append("the index judges" if judged is not None else "the index covers none of the files; names judge")
+        found = found if judged is None else judged
     all_ = found.where("root_set = 'all'").select(F.col("node").alias("decl"))
     dead = plain.join(all_, "decl", "left_anti").withColumn("reason", F.lit("never referenced"))
     if not config.production:
@@ -269,16 +313,28 @@ def suppression(found: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
     return found.join(gone, "fingerprint", "left_anti"), found.join(gone, "fingerprint", "left_semi")
 
 
-def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Configuration()) -> Report:
-    """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant)."""
-    facts = stored(files.facts(sources))
+def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Configuration(), index: index_oracle.Index | str | None = None, cache_at: str | None = None, anchor: str | None = None) -> Report:
+    """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant).
+
+    An ``index`` (or the folder of one) judges what is reached; if it can't be read or covers none of the files, names do, with a note.
+    ``cache_at`` names a folder of snapshots, from which unchanged files' facts come. Fingerprints spell paths relative to ``anchor``.
+    """
+    notes: list[str] = []
+    if isinstance(index, str):
+        index, why = index_oracle.opened(spark, index)
+        notes += [f"{why}; names judge"] if why else []
+    if index is not None and index.units is not None and "modified" in sources.columns:
+        n = index_oracle.stale(sources, index.units).count()
+        notes += [f"the index is older than {n} of the files"] if n else []
+    facts, counts = cache.facts_through(spark, sources, cache_at) if cache_at else (stored(files.facts(sources)), {})
     decls, refs = stored(with_effective_access(files.declarations(facts))), files.references(facts)
-    found = findings(unused(decls, refs, config), files.string_tokens(facts), runtime_members(decls), config)
+    dead = unused(decls, refs, config, index, notes)
+    found = findings(dead, files.string_tokens(facts), runtime_members(decls), config)
     if any(map(config.enabled, ("dead-branch", "dead-store"))):
         found = found.unionByName(flow_findings(facts, config))
     if any(map(config.enabled, ("unused-import", "assign-only-property"))):
         found = found.unionByName(opt_in_findings(facts, decls, refs, config))
     floor = LEVELS.index(config.minimum_confidence)
-    found = stored(found.where(F.col("confidence").isin(*LEVELS[floor:])))
-    kept, gone = suppression(found, facts)
-    return Report(kept, gone, facts.where("degraded IS NOT NULL").select("path", "degraded"))
+    found = found.where(F.col("confidence").isin(*LEVELS[floor:]))
+    kept, gone = suppression(stored(anchored(found, anchor) if anchor else found), facts)
+    return Report(kept, gone, facts.where("degraded IS NOT NULL").select("path", "degraded"), notes, counts)

@@ -340,6 +340,41 @@ def q_analyze(spark: SparkSession, d: str) -> DataFrame:
     return rows(report.findings, False).unionByName(rows(report.suppressed, True))
 
 
+def generated_index(spark: SparkSession, d: str) -> index_oracle.Index:
+    """An index of the generated sources: it knows fewer calls than names suggest, and every seventh function not at all."""
+    k = F.col("p_partkey")
+    text_ = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    path, own = text_("src/p", k, ".swift"), _t(spark, d, "part")
+    line = F.when(k % 10 == 7, 2).otherwise(1)
+    functions = own.where(k % 7 != 3).select(text_("f", k).alias("usr"), text_("f", k, "()").alias("name"), F.lit("function").alias("kind"), path.alias("path"), line.alias("line"))
+    mains = own.where(k % 10 == 0).select(text_("m", k).alias("usr"), F.lit("main()").alias("name"), F.lit("function").alias("kind"), path.alias("path"), F.lit(3).alias("line"))
+    types = own.where(k % 10 == 0).select(text_("t", k).alias("usr"), text_("M", k).alias("name"), F.lit("struct").alias("kind"), path.alias("path"), F.lit(2).alias("line"))
+    use = lambda df, used, user: df.select(used.alias("usr"), path.alias("path"), line.alias("line"), F.lit("call").alias("role"), F.lit("containedBy").alias("relation"), user.alias("related"))
+    calls = use(own.where(((k + 1) % 5 != 0) & (k % 3 != 0)), text_("f", k + 1), text_("f", k))
+    return index_oracle.Index(functions.unionByName(mains).unionByName(types), calls.unionByName(use(own.where(k % 10 == 0), text_("f", k), text_("m", k))))
+
+
+_BY_NAMES = "p_partkey % 10 >= 5 OR p_partkey - p_partkey % 10 NOT IN (SELECT p_partkey FROM part)"
+_BY_INDEX = f"({_BY_NAMES} OR EXISTS (SELECT 1 FROM range(p_partkey % 10) r(i) WHERE (p_partkey - p_partkey % 10 + i) % 3 = 0))"
+_FOUND = "SELECT 'unused-function' AS rule, 'src/p' || p_partkey || '.swift' AS path, CASE p_partkey % 10 WHEN 7 THEN 2 ELSE 1 END AS line, p_partkey % 10 = 7 AS suppressed FROM part"
+
+
+def _analyzed_by_index(spark: SparkSession, d: str, unmapped: str) -> DataFrame:
+    report = analysis.analyze(spark, generated_sources(spark, d), analysis.Configuration(unmapped=unmapped), generated_index(spark, d))
+    rows = lambda df, gone: df.select("rule", "path", F.col("line").cast("int"), F.lit(gone).alias("suppressed"))
+    return rows(report.findings, False).unionByName(rows(report.suppressed, True))
+
+
+@query(f"{_FOUND} WHERE p_partkey % 7 <> 3 AND {_BY_INDEX}")
+def q_index_analyze(spark: SparkSession, d: str) -> DataFrame:
+    return _analyzed_by_index(spark, d, "reached")
+
+
+@query(f"{_FOUND} WHERE CASE WHEN p_partkey % 7 <> 3 THEN {_BY_INDEX} ELSE {_BY_NAMES} END")
+def q_index_partial(spark: SparkSession, d: str) -> DataFrame:
+    return _analyzed_by_index(spark, d, "syntax")
+
+
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS errors, count(*) FILTER (WHERE o_orderstatus = 'O') AS warnings, count(DISTINCT o_custkey) AS files, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS max_severity FROM orders")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
     severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning")

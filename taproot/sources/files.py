@@ -16,6 +16,8 @@ SKIPPED = frozenset({"DerivedData", "checkouts"})
 
 DECLARATION = "struct<name: string, kind: string, line: int, column: int, first_line: int, last_line: int, access: string, modifiers: array<string>, attributes: array<string>, conformances: array<string>, scope: string, enclosing: array<int>, enclosing_type: string, enclosing_kind: string, local: boolean, ordinal: int>"
 REFERENCE = "struct<identifier: string, qualifier: string, line: int, column: int, context: string>"
+#: ``modified`` is in seconds; sources in memory have none.
+SOURCES = "path string, source string, error string, modified double"
 FLOW = "struct<fn: int, function: string, what: string, line: int, block: long, dst: long, side: string, target: string, op: string, left_var: string, left: string, right_var: string, right: string, loop: boolean>"
 FACTS = f"path string, declarations array<{DECLARATION}>, references array<{REFERENCE}>, tokens array<string>, comments array<struct<line: int, text: string>>, flow array<{FLOW}>, degraded string"
 
@@ -54,20 +56,20 @@ def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     source = h.read(MOST_BYTES + 1)
                 if len(source) > MOST_BYTES:  # it has grown meanwhile
                     raise OSError(f"larger than {MOST_BYTES} bytes")
-                rows.append((p, source.decode("utf-8", "replace"), None))
+                rows.append((p, source.decode("utf-8", "replace"), None, os.path.getmtime(p)))
             except OSError as e:
-                rows.append((p, None, str(e)))
-        yield pd.DataFrame(rows, columns=["path", "source", "error"])
+                rows.append((p, None, str(e), None))
+        yield pd.DataFrame(rows, columns=["path", "source", "error", "modified"]).astype({"modified": "float64"})
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, source, error) of whole files; a file over the limit or that can't be read is a row with an error."""
+    """(path, source, error, modified) of whole files; a file over the limit or that can't be read is a row with an error."""
     given = spark.createDataFrame([(p,) for p in paths], "path string")
-    return given.repartition(max(1, min(len(paths), 256))).mapInPandas(load, "path string, source string, error string")
+    return given.repartition(max(1, min(len(paths), 256))).mapInPandas(load, SOURCES)
 
 
 def in_memory(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame([(p, s, None) for p, s in dict(sources).items()], "path string, source string, error string")
+    return spark.createDataFrame([(p, s, None, None) for p, s in dict(sources).items()], SOURCES)
 
 
 def facts(sources: DataFrame) -> DataFrame:
