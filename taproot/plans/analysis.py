@@ -17,20 +17,64 @@ from taproot.storage import stored
 
 RULES = ("unused-function", "unused-type", "unused-property", "unused-enum-case", "unused-import", "unused-public-api", "assign-only-property", "only-tested", "dead-branch", "dead-store")
 OFF_BY_DEFAULT = frozenset({"unused-import", "unused-public-api", "assign-only-property", "dead-store"})
-# Entry-point conformances and interface-builder attributes of the platform.
-ENTRY_CONFORMANCES = ("App", "AppIntent", "Widget", "WidgetBundle", "ParsableCommand", "AsyncParsableCommand", "UIApplicationDelegate", "NSApplicationDelegate", "UISceneDelegate", "XCTestCase")
+# Conformances whose types the system makes by itself, and interface-builder attributes of the platform.
+ENTRY_CONFORMANCES = (
+    "AppShortcutsProvider", "AppIntent", "AudioPlaybackIntent", "WidgetBundle", "Widget", "ControlWidget", "LiveActivity",
+    "AppEntity", "EntityQuery", "TransientAppEntity",
+)
 BUILDER_ATTRIBUTES = ("IBAction", "IBOutlet", "IBDesignable", "IBInspectable", "IBSegueAction")
 LEVELS = ("low", "medium", "high", "certain")
 RANK = {"private": 0, "fileprivate": 1, "internal": 2, "package": 3, "public": 4, "open": 5}
 
-# Requirements of the standard library's protocols that code elsewhere calls. Raw types have none.
-EXTERNAL = {
-    "Equatable": "==", "Hashable": "== hash hashValue", "Comparable": "== < <= > >=", "Codable": "init encode CodingKeys", "Encodable": "encode CodingKeys", "Decodable": "init CodingKeys",
-    "CustomStringConvertible": "description", "CustomDebugStringConvertible": "debugDescription", "Identifiable": "id", "Error": "", "LocalizedError": "errorDescription failureReason recoverySuggestion helpAnchor", "Sendable": "",
-    "CaseIterable": "allCases", "RawRepresentable": "rawValue init", "OptionSet": "rawValue init", "Sequence": "makeIterator underestimatedCount", "IteratorProtocol": "next", "Collection": "startIndex endIndex subscript index makeIterator",
-    "ExpressibleByStringLiteral": "init", "ExpressibleByIntegerLiteral": "init", "ExpressibleByArrayLiteral": "init", "ExpressibleByDictionaryLiteral": "init", "AnyObject": "", "Actor": "", "Copyable": "",
-    "String": "", "Int": "", "Character": "", "Double": "", "UInt8": "", "UInt16": "", "UInt32": "", "UInt64": "", "Int8": "", "Int16": "", "Int32": "", "Int64": "", "Float": "", "UInt": "",
-}
+# Names that code outside uses of a type with a conformance, by protocols of the standard library, the interface
+# framework and the argument parser. Raw types have none.
+EXTERNAL: dict[str, tuple[str, ...]] = {
+    "Equatable": ("==",),
+    "Hashable": ("==", "hash", "hashValue"),
+    "Comparable": ("==", "<", "<=", ">", ">="),
+    "Codable": ("init", "encode", "CodingKeys"),
+    "Encodable": ("encode", "CodingKeys"),
+    "Decodable": ("init", "CodingKeys"),
+    "CodingKey": ("stringValue", "intValue", "init"),
+    "Error": (),
+    "LocalizedError": ("errorDescription", "failureReason", "recoverySuggestion", "helpAnchor"),
+    "CustomStringConvertible": ("description",),
+    "CustomDebugStringConvertible": ("debugDescription",),
+    "Identifiable": ("id", "ID"),
+    "RawRepresentable": ("rawValue", "init", "RawValue"),
+    "CaseIterable": ("allCases", "AllCases"),
+    "Sendable": (),
+    "OptionSet": ("rawValue", "init", "RawValue"),
+    "Sequence": ("makeIterator", "underestimatedCount", "Iterator", "Element"),
+    "IteratorProtocol": ("next", "Element"),
+    "AsyncSequence": ("makeAsyncIterator", "AsyncIterator", "Element"),
+    "Collection": ("startIndex", "endIndex", "subscript", "index", "makeIterator", "Index", "Element"),
+    "ExpressibleByStringLiteral": ("init",),
+    "ExpressibleByIntegerLiteral": ("init",),
+    "ExpressibleByArrayLiteral": ("init",),
+    "ExpressibleByDictionaryLiteral": ("init",),
+    "ExpressibleByNilLiteral": ("init",),
+    "ExpressibleByBooleanLiteral": ("init",),
+    "ExpressibleByFloatLiteral": ("init",),
+    "View": ("body", "Body"),
+    "ViewModifier": ("body", "Body"),
+    "App": ("body", "Body", "init"),
+    "Scene": ("body", "Body"),
+    "PreviewProvider": ("previews", "platform"),
+    "DynamicProperty": ("update",),
+    "EnvironmentKey": ("defaultValue", "Value"),
+    "PreferenceKey": ("defaultValue", "reduce", "Value"),
+    "ObservableObject": ("objectWillChange", "ObjectWillChangePublisher"),
+    "ParsableCommand": ("configuration", "run", "init"),
+    "AsyncParsableCommand": ("configuration", "run", "init"),
+    "ParsableArguments": ("init", "validate"),
+    "ExpressibleByArgument": ("init", "defaultValueDescription", "allValueStrings"),
+} | dict.fromkeys(
+    (
+        "AnyObject", "Actor", "Copyable", "String", "Character", "Int", "Int8", "Int16", "Int32", "Int64",
+        "UInt", "UInt8", "UInt16", "UInt32", "UInt64", "Double", "Float",
+    ), (),
+)
 
 
 MEMBERS = ("function", "method", "variable", "constant", "subscript", "typealias", "initializer", "associatedtype")
@@ -112,7 +156,7 @@ def member_roots(decls: DataFrame) -> DataFrame:
       otherwise all of its members but private ones are exempt.
     """
     spark = decls.sparkSession
-    catalogue = spark.createDataFrame([(k, v.split()) for k, v in EXTERNAL.items()], "base string, needs array<string>")
+    catalogue = spark.createDataFrame([(k, list(v)) for k, v in EXTERNAL.items()], "base string, needs array<string>")
     inside = decls.where("kind IN ('protocol', 'class', 'actor', 'struct', 'enum', 'typealias')").select(F.col("name").alias("base")).distinct()
     types = decls.where("kind IN ('class', 'struct', 'enum', 'actor', 'extension')")
     written = types.select(F.col("name").alias("type"), F.explode("conformances").alias("text"))
@@ -136,11 +180,19 @@ def member_roots(decls: DataFrame) -> DataFrame:
 
 
 def with_effective_access(decls: DataFrame) -> DataFrame:
-    """The least access of a declaration and of all that enclose it, extensions aside."""
+    """The least access of a declaration and of all that enclose it.
+
+    An extension counts as the one type of its name, if there is one, else as internal; its own access only if that is more.
+    """
+    nominal = decls.where(F.col("kind").isin("class", "struct", "enum", "actor", "protocol", "typealias"))
+    types = nominal.groupBy("name").agg(F.count("*").alias("types"), F.min(access_rank(F.col("access"))).alias("rank"))
+    extended = types.where("types = 1").select(F.col("name"), F.col("rank").alias("extended"))
+    outer = decls.where(F.col("kind").isin("class", "struct", "enum", "actor", "protocol", "extension")).join(extended, "name", "left")
+    own = access_rank(F.col("access"))
+    through = F.greatest(own, F.coalesce("extended", F.lit(RANK["internal"])))
+    above = outer.select("path", "ordinal", F.when(F.col("kind") == "extension", through).otherwise(own).alias("above"))
     inner = decls.select("decl", "path", F.explode("enclosing").alias("ordinal"))
-    above = decls.where("kind <> 'extension'").select("path", "ordinal", access_rank(F.col("access")).alias("above"))
     least = inner.join(above, ["path", "ordinal"]).groupBy("decl").agg(F.min("above").alias("above"))
-    own = access_rank(F.col("access"))
     return decls.join(least, "decl", "left").withColumn("effective", F.least(own, F.coalesce("above", own))).drop("above")
 
 
@@ -161,9 +213,26 @@ def dependency_edges(decls: DataFrame, refs: DataFrame) -> DataFrame:
     return graph.dedupe_edges(by_name.unionByName(own).unionByName(witness))
 
 
-def test_scoped() -> Column:
-    in_test = F.col("enclosing_type").endswith("Tests") | _has(F.transform("conformances", text.base_name), "XCTestCase")
-    return F.coalesce(text.is_test_path(F.col("path")), F.lit(False)) | _has(F.col("attributes"), "Test", "Suite") | F.coalesce(in_test, F.lit(False))
+def test_containers(decls: DataFrame) -> DataFrame:
+    """(path, ordinal) of types and extensions that hold tests: suites, and what descends from XCTestCase over types of the corpus."""
+    types = decls.where(F.col("kind").isin("class", "struct", "enum", "actor", "extension", "protocol"))
+    bases = types.select(F.col("name").alias("dst"), F.explode("conformances").alias("all")).select("dst", F.explode(F.split("all", "&")).alias("one"))
+    root = decls.sparkSession.createDataFrame([("tests", "XCTestCase")], "root_set string, node string")
+    descends = graph.reachable(bases.select(text.base_name(F.trim("one")).alias("src"), "dst"), root).select(F.col("node").alias("name"))
+    own = types.where("kind <> 'protocol'")
+    suites = own.where(_has(F.col("attributes"), "Suite")).select("path", "ordinal")
+    return suites.unionByName(own.join(descends, "name", "left_semi").select("path", "ordinal")).distinct()
+
+
+def with_test_scope(decls: DataFrame) -> DataFrame:
+    """``in_tests``: in a test file, marked as a test, named like one, or in or itself a container of tests, however deep."""
+    containers = test_containers(decls)
+    inner = decls.select("decl", "path", F.explode(F.concat("enclosing", F.array("ordinal"))).alias("ordinal"))
+    inside = inner.join(containers, ["path", "ordinal"], "left_semi").select("decl").distinct().withColumn("contained", F.lit(True))
+    named = F.col("kind").isin("function", "method") & F.col("name").startswith("test")
+    marked = _has(F.col("attributes"), "Test", "Suite")
+    scoped = F.coalesce(text.is_test_path(F.col("path")), F.lit(False)) | marked | named | F.coalesce("contained", F.lit(False))
+    return decls.join(inside, "decl", "left").withColumn("in_tests", scoped).drop("contained")
 
 
 def _rule() -> Column:
@@ -220,7 +289,8 @@ def reached_by_index(known: DataFrame, roots: DataFrame, syntax: DataFrame, conf
 
 def unused(decls: DataFrame, refs: DataFrame, config: Configuration, index: index_oracle.Index | None = None, notes: list[str] | None = None) -> DataFrame:
     """Declarations that no root reaches, with a reason. ``notes`` gets which oracle judged."""
-    known = decls.withColumn("root", root_reason(config)).withColumn("in_tests", test_scoped()).join(member_roots(decls), "decl", "left")
+    known = decls.withColumn("root", root_reason(config)).join(member_roots(decls), "decl", "left")
+    known = with_test_scope(known) if config.production else known.withColumn("in_tests", F.lit(False))
     known = stored(known.withColumn("root", F.coalesce("root", "outer")).drop("outer"))
     plain = known.where((F.col("name") != "_") & ~F.col("name").startswith("`") & ~F.col("name").rlike("Tests?$"))
     if config.single_file:

@@ -375,6 +375,41 @@ def q_index_partial(spark: SparkSession, d: str) -> DataFrame:
     return _analyzed_by_index(spark, d, "syntax")
 
 
+# Four parts are a file: an extension, a type and a member of each; names of types repeat where the table is large.
+_DECLARED = """decls AS (SELECT p_partkey AS decl, p_partkey // 4 AS file, p_partkey % 4 AS place, p_size % 6 AS own,
+  'T' || (CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 7 + 1 ELSE p_partkey END % 401) AS name, 'T' || (p_partkey * 11 % 401) AS base,
+  p_size % 9 = 0 AS suite, p_size % 5 = 0 AS derived FROM part)"""
+
+
+def declared(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), lambda x: F.concat(F.lit("T"), (x % 401).cast("string"))
+    kind = F.when(k % 4 == 0, "extension").when(k % 4 == 1, "class").otherwise("method")
+    access = F.array(*map(F.lit, analysis.RANK))[(F.col("p_size") % 6).cast("int")]
+    holder = F.when(k % 4 >= 2, F.array((k - 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    base = F.when(F.col("p_size") % 5 == 0, F.when(k % 3 == 0, "XCTestCase").otherwise(n(k * 11)))
+    types = k % 4 < 2
+    return _t(spark, d, "part").select(
+        k.alias("decl"), F.concat(F.lit("src/p"), F.floor(k / 4).cast("string"), F.lit(".swift")).alias("path"), k.cast("int").alias("ordinal"), n(F.when(k % 4 == 0, k * 7 + 1).otherwise(k)).alias("name"), kind.alias("kind"),
+        access.alias("access"), holder.alias("enclosing"), F.when(types & base.isNotNull(), F.array(base)).otherwise(F.array().cast("array<string>")).alias("conformances"),
+        F.when(types & (F.col("p_size") % 9 == 0), F.array(F.lit("Suite"))).otherwise(F.array().cast("array<string>")).alias("attributes"),
+    )
+
+
+@query(f"""WITH {_DECLARED}, types AS (SELECT name, min(own) AS extended FROM decls WHERE place = 1 GROUP BY name HAVING count(*) = 1),
+above AS (SELECT d.decl, CASE WHEN place = 0 THEN greatest(own, coalesce(extended, 2)) ELSE own END AS above FROM decls d LEFT JOIN types USING (name) WHERE place < 2)
+SELECT d.decl, least(own, coalesce(above, own)) AS effective FROM decls d LEFT JOIN above a ON d.place >= 2 AND a.decl = d.decl - 2""")
+def q_extension_access(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.with_effective_access(declared(spark, d)).select("decl", "effective")
+
+
+@query(f"""WITH RECURSIVE {_DECLARED}, bases AS (SELECT name, CASE WHEN decl % 3 = 0 THEN 'XCTestCase' ELSE base END AS base FROM decls WHERE place < 2 AND derived),
+descends(name) AS (SELECT 'XCTestCase' UNION SELECT b.name FROM descends x JOIN bases b ON b.base = x.name),
+holds AS (SELECT decl FROM decls WHERE place < 2 AND (suite OR name IN (SELECT name FROM descends)))
+SELECT d.decl FROM decls d JOIN holds h ON h.decl = CASE WHEN d.place >= 2 THEN d.decl - 2 ELSE d.decl END""")
+def q_test_containers(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.with_test_scope(declared(spark, d)).where("in_tests").select("decl")
+
+
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS errors, count(*) FILTER (WHERE o_orderstatus = 'O') AS warnings, count(DISTINCT o_custkey) AS files, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS max_severity FROM orders")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
     severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning")

@@ -136,3 +136,38 @@ def test_wrapped_properties_runtime_members_regions_and_the_floor(spark):
     assert {r.message.split("'")[1] for r in report.suppressed.collect()} == {"hushed"}
     high = analyze(spark, sources, Configuration(minimum_confidence="high"))
     assert {r.confidence for r in high.findings.collect()} == {"high"}
+
+
+PLATFORM = """
+struct Ask: AppEntity { var title = 1 }
+struct Find: EntityQuery {}
+struct Plain: SomethingElse {}
+struct Ages: AsyncSequence { func makeAsyncIterator() -> Int { 1 }; func other() {} }
+struct Keys: EnvironmentKey { static let defaultValue = 1; static let spare = 2 }
+@main struct M { static func main() { _ = Ages(); _ = Keys(); _ = Hidden(); _ = Known() } }
+struct Hidden {}
+public struct Known {}
+extension Hidden { public func shown() {} }
+extension Known { public func offered() {} }
+"""
+
+
+def test_what_the_platform_makes_and_what_extensions_show(spark):
+    got = names(analyze(spark, files.in_memory(spark, [("/p/a.swift", PLATFORM)])))
+    assert got == {("unused-type", "Plain"), ("unused-function", "other"), ("unused-property", "spare"), ("unused-function", "shown")}
+
+
+SCOPED = """
+class Base: XCTestCase {}
+class Middle: Base { struct Inner { func deep() { onlyDeep() } } }
+extension Middle { func more() { onlyMore() } }
+@Suite struct S { func check() { onlySuite() } }
+@main struct M { static func main() { used() } }
+"""
+
+
+def test_test_scope_descends(spark):
+    helpers = "".join(f"func {n}() {{}}\n" for n in ("onlyDeep", "onlyMore", "onlySuite", "used"))
+    sources = files.in_memory(spark, [("/p/cases.swift", SCOPED), ("/p/helpers.swift", helpers)])
+    got = names(analyze(spark, sources, Configuration(production=True)))
+    assert {x for x in got if x[0] == "only-tested"} == {("only-tested", n) for n in ("onlyDeep", "onlyMore", "onlySuite")}
