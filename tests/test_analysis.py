@@ -159,9 +159,13 @@ def test_what_the_platform_makes_and_what_extensions_show(spark):
 
 SCOPED = """
 class Base: XCTestCase {}
+
 class Middle: Base { struct Inner { func deep() { onlyDeep() } } }
+
 extension Middle { func more() { onlyMore() } }
+
 @Suite struct S { func check() { onlySuite() } }
+let gap = 1  // a declaration begins where the one before ends
 @main struct M { static func main() { used() } }
 """
 
