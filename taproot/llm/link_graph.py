@@ -5,12 +5,13 @@ share that they block. Trust is a personalised PageRank from the trusted seeds a
 blocked seeds along reversed links, so that hosts that link to blocked ones take some of it. Beside each goes the
 PageRank with a uniform teleport on the same graph, and a host's trust (distrust) is the part of that which comes from
 the seeds: between 0 and 1 whatever the graph's cycles hold, and a seed's own share where a host has no link. A host is
-blocked if its distrust reaches the threshold and is more than its trust. Ranks move until no host's changes by more
-than the tolerance; if that takes more than `ROUNDS` rounds an error is raised. The mass of hosts without links ends there.
+blocked if its distrust is more than its trust, and more than `LIFT` times the mean of all hosts': in a graph whose links say nothing
+about blocking every host's distrust comes to that mean, so what lies above it is nearer to blocked hosts than by chance.
+Ranks move until no host's changes by more than the tolerance; if that takes more than `ROUNDS` rounds an error is raised. The mass of hosts without links ends there.
 
 Edges, aggregated by pair of hosts and weighted by the share of the source's: hosts' absolute and protocol-relative
-`<a href>` links, and one from each host to its parent domain and back (www.a.org and a.org; not to a top level, not for
-addresses). A host's links to itself are left out. Each round joins ranks and links by host; links of a host with very
+`<a href>` links, and one from each host to its parent domain and back, from there to the next one, and so on (x.www.a.org, www.a.org
+and a.org; not to a top level, not for addresses), so hosts of one domain reach each other whether or not what lies between has pages. A host's links to itself are left out. Each round joins ranks and links by host; links of a host with very
 many are split in parts, so no host is one task's work.
 
 A null or malformed url has an empty host and path; no rule fits it, and it is judged as a host without pages: allowed.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from taproot.llm import common
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 300, 1e-4, 0.4
+DAMPING, ROUNDS, TOLERANCE, LIFT = 0.85, 300, 1e-4, 1.0
 #: Rounds between two stored states; links of a host in one part.
 STRIDE, PART = 10, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,17 +53,20 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def parent_of(host: Column) -> Column:
-    """The domain above a host; null for one of two labels or fewer and for addresses."""
-    above = F.regexp_extract(host, r"^[^.]+\.([^.]+\..+)$", 1)
-    return F.when((above != "") & ~host.rlike(r"^[\d.:\[\]]+$"), above)
+def domains_of(host: Column) -> Column:
+    """Pairs (src, dst) of a host and the domain above it, and of that and the next, down to two labels; none for addresses."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    suffix = lambda i: F.array_join(F.slice(labels, i + 1, n - i), ".")
+    pairs = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(suffix(i).alias("src"), suffix(i + 1).alias("dst")))
+    return F.when((n >= 3) & ~host.rlike(r"^[\d.:\[\]]+$|^\.|\.\.|\.$"), pairs)
 
 
 def edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, from (host, html) and (host)."""
     links = pages.where(F.col("html").contains("//") & (F.col("host") != "")).select("host", F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("to"))
     links = links.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> dst")
-    up = hosts.select(F.col("host").alias("src"), parent_of(F.col("host")).alias("dst")).where("dst IS NOT NULL")
+    up = hosts.select(F.explode(domains_of(F.col("host"))).alias("up")).select("up.*").distinct()
     return links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -118,7 +122,7 @@ def propagated(seeds: DataFrame, pairs: DataFrame, tolerance: float = TOLERANCE,
     raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
 
 
-def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, lift: float = LIFT) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of (page_id, url, html)."""
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -126,9 +130,11 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     share = lambda kind: F.avg(F.when(F.col("own") == kind, 1.0).otherwise(0.0))
     seeds = common.stored(named.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
     pairs = common.stored(edges(named, seeds.select("host")))
-    table = common.small(common.stored(propagated(seeds, pairs)))
+    ranks = common.stored(propagated(seeds, pairs))
+    mean = ranks.agg(F.avg("distrust")).first()[0] or 0.0
+    table = common.small(ranks)
     found = named.drop("html").join(table, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    by_host = F.when((F.col("distrust") > lift * mean) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("own", by_host).alias("verdict"), "trust", "distrust")
 
 
