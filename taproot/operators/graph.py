@@ -107,7 +107,7 @@ def closure(pairs: DataFrame) -> DataFrame:
 
 
 #: Trees are climbed so far without a look at cycles.
-DEPTH = 64
+DEPTH = 24
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
