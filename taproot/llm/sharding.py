@@ -130,7 +130,7 @@ def shard(docs: DataFrame, k: int = SHARDS) -> DataFrame:
     labels = common.joined_by_hub(own, common.stored(labels.join(nodes, "node").select("node", "label", "near", "weight")), "node", "weight", own.count())
     alone = own.join(links.select("node").distinct(), "node", "left_anti")
     placed = labels.select(*own.columns, "label", "near").unionByName(alone.select(*own.columns, first_label(k).alias("label"), F.col("node").alias("near")))
-    ranked = common.ranked(placed, [F.col("label"), F.col("near"), F.col("node"), F.col("doc_id")])
+    ranked = common.ranked(placed, [F.col("label"), F.col("near"), F.col("node"), F.col("doc_id")], parts=common.partitions(own))
     n = own.count()
     # The first n % k shards hold one document more.
     small, more = divmod(n, k)
