@@ -127,11 +127,12 @@ def shard(docs: DataFrame, k: int = SHARDS) -> DataFrame:
     nodes = common.stored(own.groupBy("node").agg(F.count("*").alias("weight")))
     links = common.stored(links_of(rows))
     labels = propagate(nodes, links, k).join(links.groupBy("node").agg(F.min("hub").alias("near")), "node")
-    labels = common.joined_by_hub(own, common.stored(labels.join(nodes, "node").select("node", "label", "near", "weight")), "node", "weight", own.count())
-    alone = own.join(links.select("node").distinct(), "node", "left_anti")
+    n = own.count()
+    labels = common.joined_by_hub(own, common.stored(labels.join(nodes, "node").select("node", "label", "near", "weight")), "node", "weight", n)
+    alone = common.stored(nodes.join(links.select("node").distinct(), "node", "left_anti"))
+    alone = common.joined_by_hub(own, alone, "node", "weight", n)
     placed = labels.select(*own.columns, "label", "near").unionByName(alone.select(*own.columns, first_label(k).alias("label"), F.col("node").alias("near")))
     ranked = common.ranked(placed, [F.col("label"), F.col("near"), F.col("node"), F.col("doc_id")], parts=common.partitions(own))
-    n = own.count()
     # The first n % k shards hold one document more.
     small, more = divmod(n, k)
     big = more * (small + 1)
