@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--index", help="a folder with an index as tables")
     a.add_argument("--cache", help="a folder for snapshots of facts")
     a.add_argument("--relative-to", help="spell paths relative to this folder")
+    a.add_argument("--output", help="a new folder for a report in parts, of any size, instead of one on standard output")
     r = sub.add_parser("rules")
     r.add_argument("id", nargs="?")
     return p
@@ -80,22 +81,24 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
     report.findings = found
     if args.relative_to:
         report = report.relative_to(root)
-    rows = report.findings.orderBy("path", "line", "column", "rule").collect()
     if args.write_baseline:
         with open(args.write_baseline, "w", encoding="utf-8") as f:
-            f.write(sinks.baseline(rows))
-    rows = [r for r in rows if r.fingerprint not in known]
-    degraded = report.degraded.orderBy("path").collect()
-    print({"xcode": lambda: sinks.as_text(rows, degraded), "json": lambda: sinks.as_json(rows), "sarif": lambda: sinks.as_sarif(rows, RULES)}[args.format](), file=out)
+            f.write(sinks.baseline(report.findings.select("fingerprint").distinct().collect()))
+    if known:
+        report.findings = report.findings.join(spark.createDataFrame([(f,) for f in known], "fingerprint string"), "fingerprint", "left_anti")
+    n_degraded = report.degraded.count()
+    if args.output:
+        sinks.write(report.findings, args.output, args.format)
+    else:
+        rows, degraded = report.ordered(), report.degraded.orderBy("path").collect()
+        print({"xcode": lambda: sinks.as_text(rows, degraded), "json": lambda: sinks.as_json(rows), "sarif": lambda: sinks.as_sarif(rows, RULES)}[args.format](), file=out)
     for note in report.notes:
         print(f"note: {note}", file=sys.stderr)
-    fresh = spark.createDataFrame([(f,) for f in known], "fingerprint string") if known else None
-    judged = report.findings.join(fresh, "fingerprint", "left_anti") if known else report.findings
-    s = policy.summary(judged, F.col("severity"), F.col("path")).first()
-    parts = [f"{s.errors} errors", f"{s.warnings} warnings", f"{s.files} of {len(paths)} files", f"{report.suppressed.count()} suppressed", f"{len(degraded)} degraded"]
+    s = policy.summary(report.findings, F.col("severity"), F.col("path")).first()
+    parts = [f"{s.errors} errors", f"{s.warnings} warnings", f"{s.files} of {len(paths)} files", f"{report.suppressed.count()} suppressed", f"{n_degraded} degraded"]
     parts += [f"{n} {word} in the cache" for word, n in report.cached.items()]
     print(", ".join(parts), file=sys.stderr)
-    return sinks.exit_status(rows, args.strict)
+    return int(s.max_severity > (0 if args.strict else 1))
 
 
 if __name__ == "__main__":

@@ -95,15 +95,25 @@ def only_reached_by(edges: DataFrame, roots: DataFrame, more: str, fewer: str) -
 
 def closure(pairs: DataFrame) -> DataFrame:
     """(name, ancestor): the transitive closure of (name, parent), safe against cycles; a name is no ancestor of itself
-    unless it lies on one."""
+    unless it lies on one. Few pairs are broadcast to each level; levels are written together now and then, as in `reachable`."""
     edges = stored(pairs.select("name", "parent").where("parent IS NOT NULL").distinct())
-    step = edges.select(F.col("name"), F.col("parent").alias("ancestor"))
-    found = frontier = stored(step)
-    while frontier.limit(1).count():
-        near = frontier.join(edges.select(F.col("name").alias("ancestor"), "parent"), "ancestor").select("name", F.col("parent").alias("ancestor")).distinct()
+    up = _small(edges).select(F.col("name").alias("ancestor"), "parent")
+    frontier = edges.select("name", F.col("parent").alias("ancestor"))
+    levels = [frontier]
+    while frontier.count():
+        found = levels[0]
+        for level in levels[1:]:
+            found = found.union(level)
+        if len(levels) >= LEVELS:
+            found = stored(found)
+            levels = [found]
+        near = frontier.join(up, "ancestor").select("name", F.col("parent").alias("ancestor")).distinct()
         frontier = stored(near.join(found, ["name", "ancestor"], "left_anti"))
-        found = found.union(frontier)
-    return found
+        levels.append(frontier)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
 #: Trees are climbed so far without a look at cycles.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from taproot.functions import hashing, text
 from taproot.operators import constants, dataflow, graph, index_oracle, policy, relations, similarity
 from taproot.plans import analysis
+from taproot.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -410,6 +411,18 @@ def q_test_containers(spark: SparkSession, d: str) -> DataFrame:
     return analysis.with_test_scope(declared(spark, d)).where("in_tests").select("decl")
 
 
+@query("""SELECT 'src/' || o_custkey || '.swift:' || o_orderkey || ':' || o_orderkey % 80 || ': ' || CASE o_orderstatus WHEN 'F' THEN 'error' ELSE 'warning' END || ': [unused-' || lower(o_orderpriority[3:]) || '] total ' || o_orderkey
+|| CASE WHEN o_orderstatus = 'P' THEN '' ELSE ' — status ' || o_orderstatus END AS line FROM orders""")
+def q_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    text_ = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    rows = _t(spark, d, "orders").select(
+        text_("src/", F.col("o_custkey"), ".swift").alias("path"), key.alias("line"), (key % 80).alias("column"), F.when(status == "F", "error").otherwise("warning").alias("severity"),
+        text_("unused-", F.lower(F.substring("o_orderpriority", 3, 99))).alias("rule"), text_("total ", key).alias("message"), F.when(status != "P", text_("status ", status)).alias("note"),
+    )
+    return rows.select(sinks.text_line().alias("line"))
+
+
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS errors, count(*) FILTER (WHERE o_orderstatus = 'O') AS warnings, count(DISTINCT o_custkey) AS files, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS max_severity FROM orders")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
     severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning")

@@ -1,4 +1,5 @@
 import io
+import json
 import os
 
 import pytest
@@ -192,3 +193,34 @@ def test_deep_trees(spark, monkeypatch):
     assert {tuple(r) for r in graph.ancestors(tree).collect()} == want
     monkeypatch.setattr(graph, "DEPTH", 4)
     assert {tuple(r) for r in graph.ancestors(tree).collect()} == want
+
+
+def test_reports_in_parts_equal_whole_ones(spark, tmp_path):
+    rows = [(r, "error" if i % 3 else "warning", f"/p/{i % 7}.swift", i, 1 + i % 2, f"say \"{i}\" — é", None if i % 4 == 0 else f"note {i}", "high", f"{i:016x}") for i in range(40) for r in ("unused-type", "dead-store")]
+    names = "rule string, severity string, path string, line int, column int, message string, note string, confidence string, fingerprint string"
+    df = spark.createDataFrame(rows, names).repartition(4)
+    whole = analysis.Report(df, df.limit(0), df).ordered()
+    lines = {}
+    for form in sinks.LINES:
+        folder = str(tmp_path / form)
+        manifest = sinks.write(df, folder, form).collect()
+        found = []
+        for m in sorted(manifest):
+            with open(os.path.join(folder, "parts", m.part), encoding="utf-8") as f:
+                own = f.read().splitlines()
+            assert len(own) == m.rows
+            found += own
+        lines[form] = found
+    assert "\n".join(lines["xcode"]) == sinks.as_text(whole)
+    assert [json.loads(x) for x in lines["json"]] == json.loads(sinks.as_json(whole))["findings"]
+    assert [json.loads(x) for x in lines["sarif"]] == json.loads(sinks.as_sarif(whole, []))["runs"][0]["results"]
+    sinks.write_baseline(df, str(tmp_path / "baseline"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "baseline")).orderBy("value").collect()] == sorted({r.fingerprint for r in whole})
+    assert sinks.write(df.limit(0), str(tmp_path / "none"), "json").count() == 0
+
+
+def test_command_line_writes_parts(spark, tmp_path):
+    (tmp_path / "a.swift").write_text("private func dead() {}\n")
+    out = io.StringIO()
+    assert cli.run(["analyze", str(tmp_path), "--strict", "--output", str(tmp_path / "report")], spark, out) == 1
+    assert out.getvalue() == "" and spark.read.text(str(tmp_path / "report" / "parts")).first().value.endswith("function 'dead' is never used — confidence high")
