@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproot.functions.hashing import fnv1a64
+from taproot.storage import stored
 
 DIMENSION, GRAM, NEIGHBOURS = 128, 3, 5
 #: Vectors that are compared with as many others at once.
@@ -59,6 +60,114 @@ def anomaly(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return top.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)).alias("anomaly"))
 
 
+#: Cells of an inverted file at most, and rows that they are fitted on at most.
+CELLS, SAMPLE = 4096, 100_000
+#: Queries that are answered exactly to tell how many cells to ask, and the share of their neighbours that those cells must hold.
+TRIALS, TARGET = 256, 0.95
+_NEAR = "array<struct<similarity: double, other: long>>"
+
+
+def fitted_cells(own: DataFrame, cells: int | None = None) -> np.ndarray:
+    """Centres of about sqrt(n) cells, by k-means on at most `SAMPLE` rows, those of the least hash of their id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    n = own.count()
+    wanted = min(cells or max(1, round(n**0.5)), CELLS, max(n, 1))
+    if wanted == 1 or not n:
+        return np.zeros((1, 1))
+    share = min(1.0, SAMPLE / n)
+    some = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select(array_to_vector("v").alias("features"))
+    return np.array(KMeans(k=wanted, seed=1, maxIter=10).fit(some.repartition(8)).clusterCenters())
+
+
+def _nearest(v: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
+    """The cells of vectors, the nearest first; of equally near ones the first."""
+    if len(centres) == 1:
+        return np.zeros((len(v), 1), np.int64)
+    return np.argsort((centres**2).sum(1) / 2 - v @ centres.T, axis=1, kind="stable")[:, :most]
+
+
+def needed_probes(own: DataFrame, centres: np.ndarray, k: int) -> int:
+    """How many cells queries ask to find `TARGET` of their neighbours, by `TRIALS` queries that are compared with all rows.
+
+    The trials are the rows of the least hash. Each batch of rows gives their best k, of which the best are kept.
+    """
+    trials = own.orderBy(F.xxhash64("id"), "id").limit(TRIALS).collect()
+    if not trials:
+        return 1
+    ids, asked = np.array([r.id for r in trials]), np.array([r.v for r in trials])
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            v, other = np.stack(f.v.to_list()), f.id.to_numpy()
+            cell, sims = _nearest(v, centres, 1)[:, 0], asked @ v.T
+            sims[ids[:, None] == other[None, :]] = -np.inf
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(ids)), top.shape[1])
+            yield pd.DataFrame({"trial": at, "similarity": sims[at, top.ravel()], "other": other[top.ravel()], "cell": cell[top.ravel()]})
+
+    found = own.mapInPandas(best, "trial int, similarity double, other long, cell int").where(F.col("similarity") > float("-inf"))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("similarity"), "other"))
+    rows = found.withColumn("place", place).where(F.col("place") <= k).select("trial", "cell").collect()  # k a trial
+    ranks = np.argsort(_nearest(asked, centres, len(centres)), axis=1)
+    depth = sorted(int(ranks[r.trial, r.cell]) + 1 for r in rows)
+    return depth[min(len(depth) - 1, int(np.ceil(TARGET * len(depth))))] if depth else 1
+
+
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, probes: int | None = None, cells: int | None = None) -> DataFrame:
+    """(id, near) from (id, v): about the k most similar others, the most similar first, by an inverted file.
+
+    Every row is indexed, in the cell of its nearest centre, and asks the ``probes`` cells nearest to it (by default as many as
+    `needed_probes` tells: few where vectors lie in clusters, many where they don't); only rows of these are compared. Cells with many rows are cut in blocks of `BLOCK`, and each pair of blocks is one group, so a cell with a third of all
+    rows is many tasks. With as many probes as cells the result is exact. Centres (at most `CELLS`) go to the tasks with the function.
+    """
+    own = stored(vectors.where("id IS NOT NULL AND v IS NOT NULL").select(F.col("id").cast("long").alias("id"), normalized(F.col("v")).alias("v")))
+    centres = fitted_cells(own, cells)
+    asked = min(probes or (needed_probes(own, centres, k) if len(centres) > 1 else 1), len(centres))
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.assign(cells=_nearest(np.stack(f.v.to_list()), centres, asked).tolist())
+
+    placed = stored(own.mapInPandas(assign, "id long, v array<double>, cells array<int>"))
+    base = placed.select("id", "v", F.element_at("cells", 1).alias("cell"))
+    queries = placed.select("id", "v", F.explode("cells").alias("cell"))
+    number = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = F.broadcast(stored(number(queries, "qs").join(number(base, "bs"), "cell")))  # a row per cell
+    own_block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(blocks, "cell").select("cell", own_block("qs").alias("i"), others("bs").alias("j"), "id", "v", F.lit(0).alias("side"))
+    right = base.join(blocks, "cell").select("cell", others("qs").alias("i"), own_block("bs").alias("j"), "id", "v", F.lit(1).alias("side"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "near": []})
+        ids = b.id.to_numpy()
+        sims = np.stack(a.v.to_list()) @ np.stack(b.v.to_list()).T
+        sims[a.id.to_numpy()[:, None] == ids[None, :]] = -np.inf
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"id": a.id, "near": [[(float(s[x]), int(ids[x])) for x in o if np.isfinite(s[x])] for s, o in zip(sims, order, strict=True)]})
+
+    found = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(best, f"id long, near {_NEAR}")
+    order = lambda x, y: F.when(x["similarity"] > y["similarity"], -1).when(x["similarity"] < y["similarity"], 1).when(x["other"] < y["other"], -1).when(x["other"] > y["other"], 1).otherwise(0)
+    every = F.flatten(F.collect_list("near"))  # k per block that was asked
+    return found.groupBy("id").agg(F.slice(F.array_sort(every, order), 1, k).alias("near"))
+
+
+def recall(approximate: DataFrame, exact: DataFrame) -> float:
+    """The share of exact neighbours (id, near) that the approximate ones hold."""
+    ids = lambda c: F.transform(c, lambda x: x["other"])
+    met = exact.select("id", ids("near").alias("want")).join(approximate.select("id", ids("near").alias("got")), "id", "left")
+    hits = F.size(F.array_intersect("want", F.coalesce("got", F.array().cast("array<bigint>"))))
+    r = met.agg(F.sum(hits), F.sum(F.size("want"))).first()
+    return 1.0 if not r[1] else r[0] / r[1]
+
+
 class WordPiece:
     """Greedy longest-match pieces of normalised words from a vocabulary."""
 

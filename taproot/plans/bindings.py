@@ -622,6 +622,14 @@ def q_knn_outlier(spark: SparkSession, d: str) -> DataFrame:
     return similarity.anomaly(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).select("id", F.round("anomaly", 4).alias("anomaly"))
 
 
+@query(ORACLE_SQL["q_knn_outlier"])
+def q_knn_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the inverted file, with all of eight cells asked."""
+    near = similarity.neighbours(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), cells=8, probes=8)
+    mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["similarity"]) / F.greatest(F.size("near"), F.lit(1))
+    return near.select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)), 4).alias("anomaly"))
+
+
 def synthetic_vocabulary() -> dict[str, int]:
     """Special tokens, every letter, digit and mark, and frequent pairs of letters, each at a word's start and within."""
     letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?'\"()-"

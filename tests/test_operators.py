@@ -138,3 +138,19 @@ def test_unreachable_of_each_root_set(spark):
     nodes, edges = spark.createDataFrame([(x,) for x in "abcd"], "node string"), spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string")
     roots = spark.createDataFrame([("one", "a"), ("two", "a"), ("two", "c")], "root_set string, node string")
     assert {tuple(r) for r in graph.unreachable(nodes, edges, roots).collect()} == {("one", "c"), ("one", "d")}
+
+
+def test_approximate_neighbours(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    exact = similarity.neighbours(rows, cells=1).cache()
+    near = {r.id: [x.other for x in r.near] for r in exact.collect()}
+    assert all(len(v) == 5 and i not in v for i, v in near.items())
+    mean = {r.id: 1 - sum(x.similarity for x in r.near) / 5 for r in exact.collect()}
+    assert all(abs(max(0, mean[r.id]) - r.anomaly) < 1e-9 for r in similarity.anomaly(rows).collect())
+    found = similarity.recall(similarity.neighbours(rows), exact)
+    assert found >= 0.9, found
+    monkeypatch.setattr(similarity, "BLOCK", 50)  # cells are cut
+    assert similarity.recall(similarity.neighbours(rows, cells=3, probes=3), exact) == 1.0
+    copies = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(120)] + [(500, [0.0, 1.0]), (None, [1.0, 1.0]), (501, None)], "id long, v array<double>")
+    assert {r.id: [x.other for x in r.near] for r in similarity.neighbours(copies, k=2, cells=1).collect()}[7] == [0, 1]
+    assert similarity.neighbours(copies.limit(0)).count() == 0
