@@ -2,14 +2,17 @@
 
 1. `learn` finds the lexicon in labelled documents: words and stems (prefixes with any ending) that toxic documents
    have and clean ones don't, by a test with Bonferroni's correction. One document of each family of near copies
-   counts, so the other words of a toxic text and its copies stay out.
+   counts, so the other words of a toxic text and its copies stay out. Some stems occur in clean documents by chance but
+   bring several different words in toxic ones: these are word families, taken where the documents with two or more words
+   of a stem speak for toxicity at odds above four times the number of stems of that length, so a few documents suffice.
 2. The lexicon is a trie. The Levenshtein automaton of a word is intersected with it: terms of at least five letters
    match at distance one, of nine at two (a swap of neighbours is one edit); stems match exactly. Misspellings that
    clean training documents use are ordinary words and don't count. Letters written as digits or signs are undone.
 3. A hit is judged in a window of words: one inside quotation marks or beside a reporting cue is a quotation, all
    others are abuse.
-4. A logistic score weighs abuse by exact terms, abuse by misspelled ones, and quotations. It is fitted on the same
-   sample by ridge regression towards a prior, so it is defined without any label.
+4. A logistic score weighs abuse by exact terms, abuse by misspelled ones, quotations, and the different words of
+   families beyond the first and beyond what clean text of that length has. It is fitted on the same sample by ridge
+   regression towards a prior, so it is defined without any label.
 
 Learning uses a bounded sample: at most `SAMPLE` labelled documents, the least by hash of their doc_id (ties by doc_id).
 Scoring covers every whole text, very long ones too. Null texts count as empty; empty texts score as those without hits.
@@ -40,9 +43,12 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 #: Words on each side of a hit that are its context.
 CONTEXT = 6
-STEMS = range(4, 9)
+STEMS, FAMILY_STEMS = range(4, 9), range(3, 9)
 MEMO = 500_000
-PRIOR = np.array([-3.0, 4.0, 2.5, 0.5])
+PRIOR = np.array([-3.0, 4.0, 2.5, 0.5, 3.0])
+#: Share of the documents with a family's words that are toxic, if the family is, and the least odds for taking one: in all, and
+#: for each stem of that length, so that about a quarter of a stem is taken by chance.
+FAMILY_SHARE, FAMILY_ODDS, FAMILY_ODDS_EACH = 0.9, 30.0, 4.0
 RIDGE = 0.05
 CUES = frozenset("said says wrote quote quoted quotes called word term sagte schrieb zitat wort dit écrit citation mot dijo escribió cita palabra".split())
 OPENING, CLOSING = "\"“„«‹'‘", "\"”“»›'’"
@@ -103,6 +109,8 @@ class Lexicon:
     stems: list[str] = field(default_factory=list)
     ordinary: frozenset = frozenset()
     weights: tuple = tuple(PRIOR)
+    families: list[str] = field(default_factory=list)
+    chance: float = 0.0  # different words of families in a word of clean text
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
@@ -113,7 +121,7 @@ class Lexicon:
             node[""] = w
         fuzzy = [w for w in self.words if len(w) >= 5]
         cut = lambda w, k: [w[i * len(w) // (k + 1) : (i + 1) * len(w) // (k + 1)] for i in range(k + 1)]
-        self.exact, self.prefixes = frozenset(self.words), tuple(self.stems)
+        self.exact, self.prefixes, self.related = frozenset(self.words), tuple(self.stems), tuple(self.families)
         swap = lambda w, c: w[: c - 1] + w[c] + w[c - 1] + w[c + 1 :]
         # An edit leaves one half of a term whole, two leave a third, but a swap over a cut breaks both sides: what it
         # makes is looked up itself, and its halves are where a second edit may follow.
@@ -142,11 +150,13 @@ class Lexicon:
         return None
 
     def match(self, word: str) -> int:
-        """0: no term, 1: a term or stem, 2: a misspelled term."""
+        """0: no term, 1: a term or stem, 2: a misspelled term, 4: a word of a family."""
         if not word:
             return 0
         if word in self.exact or (self.prefixes and word.startswith(self.prefixes)):
             return 1
+        if self.related and word.startswith(self.related):
+            return 4
         near = (self.heads and (word.startswith(self.heads) or word.endswith(self.tails))) or word in self.swaps or any(m in word for m in self.middles)
         return 2 if near and len(word) >= 4 and word not in self.ordinary and self.fuzzy(word) else 0
 
@@ -192,20 +202,35 @@ class Judge:
 
     def features(self, text: str | None) -> tuple[int, int, int]:
         """Hits as abuse by exact terms and by misspelled ones, and as quotations."""
+        return self.measured(text)[:3]
+
+    def measured(self, text: str | None) -> tuple[int, int, int, int, int]:
+        """Hits as abuse by exact terms and by misspelled ones, as quotations, different words of families, and words in all."""
         pieces = (text or "").split()
-        out = [0, 0, 0]
+        out, related = [0, 0, 0], set()
         for i, kind in self.kinds(pieces):
-            out[2 if self.quoted(pieces, i) else kind - 1] += 1
-        return tuple(out)
+            if self.quoted(pieces, i):
+                out[2] += 1
+            elif kind == 4:
+                related.update(w for w in words(pieces[i]) if w.startswith(self.lexicon.related))
+            else:
+                out[kind - 1] += 1
+        return *out, len(related), len(pieces)
 
     def score(self, text: str | None) -> float:
-        b, *w = self.lexicon.weights
-        return 1 / (1 + math.exp(-(b + sum(x * math.log2(1 + n) for x, n in zip(w, self.features(text), strict=True)))))
+        x = weighed(np.array([self.measured(text)], np.float64), self.lexicon.chance)[0]
+        return float(1 / (1 + np.exp(-(self.lexicon.weights[0] + x @ np.array(self.lexicon.weights[1:])))))
+
+
+def weighed(features: np.ndarray, chance: float) -> np.ndarray:
+    """What the score weighs, from rows of features: families count from the second word on, less what chance brings."""
+    related = features[:, 3] / (1 + chance * features[:, 4])
+    return np.column_stack([np.log2(1 + features[:, :3]), np.log2(np.maximum(related, 1))])
 
 
 def fit(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton steps, with a ridge towards the prior; weights of hits never fall below 0."""
-    x = np.column_stack([np.ones(len(features)), np.log2(1 + features)]) if len(features) else np.zeros((0, 4))
+    """Logistic weights of what is `weighed` by Newton steps, with a ridge towards the prior; weights of hits never fall below 0."""
+    x = np.column_stack([np.ones(len(features)), features]) if len(features) else np.zeros((0, len(PRIOR)))
     w = PRIOR.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -219,14 +244,36 @@ def fit(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def terms(text: str) -> set[str]:
-    """The words of a text and their stems with a star; what it has twice or more comes again after a caret."""
+    """The words of a text and their stems with a star; what it has twice or more comes again after a caret.
+
+    Stems that two or more different words have come after a tilde too.
+    """
     own = Counter(w for p in text.split() for w in words(p) if len(w) >= 3)
-    found = Counter(own)
+    found, different = Counter(own), Counter()
     for w, k in own.items():
-        for n in STEMS:
+        for n in FAMILY_STEMS:
             if len(w) > n:
-                found[w[:n] + "*"] += k
-    return {*found, *("^" + t for t, k in found.items() if k > 1)}
+                different[w[:n] + "*"] += 1
+                if n in STEMS:
+                    found[w[:n] + "*"] += k
+    return {*found, *("^" + t for t, k in found.items() if k > 1), *("~" + t for t, k in different.items() if k > 1)}
+
+
+def families(rows: list[tuple[str, int, int]], share: float) -> list[str]:
+    """Stems of word families from (stem, toxic, clean documents with two or more of its words) and the share of toxic documents.
+
+    A stem is taken if at least three toxic documents have it and its odds, those documents' likelihood at `FAMILY_SHARE`
+    over that at ``share``, are `FAMILY_ODDS_EACH` for each stem of that length; of nested stems the likeliest, the longest of equal ones.
+    """
+    tried = Counter(len(t) for t, _, _ in rows)
+    share = min(max(share, 1e-6), 0.5)
+    gain, loss = math.log(FAMILY_SHARE / share), math.log((1 - share) / (1 - FAMILY_SHARE))
+    odds = {t: bad * gain - good * loss for t, bad, good in rows if bad >= 3}
+    out: list[str] = []
+    for t in sorted(odds, key=lambda t: (-odds[t], -len(t), t)):
+        if odds[t] >= math.log(max(FAMILY_ODDS, FAMILY_ODDS_EACH * tried[len(t)])) and not any(t.startswith(o) or o.startswith(t) for o in out):
+            out.append(t)
+    return out
 
 
 def chosen(support: dict[str, int]) -> list[str]:
@@ -294,33 +341,40 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     # have it, once by documents that have it twice.
     rows, support = counts.read(), {}
     for twice in (False, True):
-        kind = rows.where(F.col("term").startswith("^") == twice)
+        kind = rows.where((F.col("term").startswith("^") == twice) & ~F.col("term").startswith("~"))
         tried = kind.where("bad + good >= 3").count()
         need = max(3, math.ceil(math.log(0.05 / max(tried, 1)) / math.log(min(toxic / total, 0.9))))
         found = kind.where((F.col("bad") >= need) & (F.col("good") <= 0.02 * F.col("bad"))).withColumn("term", F.regexp_replace("term", r"^\^", "")).select("term")
         own = rows.join(found, "term").where(F.col("good") <= 0.02 * F.col("bad"))
         support |= {r["term"]: r["bad"] for r in own.select("term", "bad").collect()}  # of the sample
-    cover = chosen(support)
-    lexicon = Lexicon([t for t in cover if t[-1] != "*"], [t[:-1] for t in cover if t[-1] == "*"])
+    several = rows.where("term LIKE '~%' AND bad + good >= 3").select(F.expr("substring(term, 2, length(term) - 2)"), "bad", "good").collect()  # of the sample
+    # A stem that clean documents hardly ever have needs no second word.
+    alone = tuple(t[:-1] for t in support if t[-1] == "*")
+    related = [t for t in families([tuple(r) for r in several], toxic / total) if not (alone and t.startswith(alone))]
+    cover = [t for t in chosen(support) if not (related and t.startswith(tuple(related)))]
+    lexicon = Lexicon([t for t in cover if t[-1] != "*"], [t[:-1] for t in cover if t[-1] == "*"], families=related)
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [t for t in b.column(0).to_pylist() if t[-1] != "*" and t[0] != "^" and lexicon.match(t) == 2]
+            found = [t for t in b.column(0).to_pylist() if t[-1] != "*" and t[0] not in "^~" and lexicon.match(t) == 2]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["term"])
 
     used = counts.read().where("good > 0 AND good >= 0.1 * bad").select("term").mapInArrow(misspelled, "term string").collect()
-    lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r["term"] for r in used))
+    lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r["term"] for r in used), families=related)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(lexicon)
         for b in batches:
-            got = [judge.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in range(3)), b.column(1)], names=["a", "b", "c", "toxic"])
+            got = [judge.measured(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in range(5)), b.column(1)], names=[*"abcde", "toxic"])
 
-    rows = np.array([tuple(r) for r in texts.mapInArrow(measure, "a long, b long, c long, toxic int").collect()], np.float64)  # at most ``sample`` rows
+    schema = ", ".join(f"{n} long" for n in "abcde") + ", toxic int"
+    rows = np.array([tuple(r) for r in texts.mapInArrow(measure, schema).collect()], np.float64)  # at most ``sample`` rows
     counts.drop()
     held.drop()
-    return Lexicon(lexicon.words, lexicon.stems, lexicon.ordinary, tuple(fit(rows[:, :3], rows[:, 3])))
+    clean = rows[rows[:, 5] == 0].sum(axis=0)
+    chance = float(clean[3] / clean[4]) if clean[4] else 0.0
+    return Lexicon(lexicon.words, lexicon.stems, lexicon.ordinary, tuple(fit(weighed(rows[:, :5], chance), rows[:, 5])), related, chance)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -276,3 +276,33 @@ def test_every_word_of_a_piece_counts():
         assert judge.features(text) == (1, 0, 0), text
     assert judge.features("scum,idiot/mroon") == judge.features("scum_idiot!mroon") == (2, 1, 0)
     assert {"understand", "idiot"} <= toxicity.terms("understand,idiot")
+
+
+def test_word_families_from_few_labels(spark):
+    """A stem with several different words in toxic documents is learned though clean ones have single words of it."""
+    rnd = random.Random(4)
+    ordinary = ["".join(rnd.choice("cdefgh") for _ in range(6)) for _ in range(150)]
+    rows, labels = [], []
+    for i in range(150):
+        toxic = i % 8 == 0
+        own = [rnd.choice(ordinary) for _ in range(40)]
+        own[3:3] = ["bomente" + x for x in rnd.sample(["ar", "os", "ja", "ie", "ll"], 4)] if toxic else ["bomenteos"] * (12 if i % 40 == 1 else i % 9 == 1)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn(df, toxicity.training(lab))
+    assert len(lexicon.families) == 1 and "bomente".startswith(lexicon.families[0])
+    got = {r["row"].doc_id: r.toxicity for r in toxicity.scored(df, lexicon).collect()}
+    assert {i for i, s in got.items() if s >= toxicity.THRESHOLD} == {i for i, t in labels if t}
+    # A word that comes often counts once; chance hits of a very long text are expected ones.
+    judge = toxicity.Judge(lexicon)
+    assert judge.measured("bomenteos " * 50)[3] == 1 and judge.measured("BOMENTEOS bomentear, bomenteja")[3] == 3
+    assert judge.score(" ".join(["x"] * 40_000 + ["bomenteos", "bomentear", "bomenteja"])) < judge.score("bomenteos bomentear bomenteja")
+
+
+def test_families_by_odds():
+    """The likeliest of nested stems, the longest of equal ones; too few documents or as many clean ones are none."""
+    assert toxicity.families([("bome", 5, 1), ("boment", 5, 0), ("bomente", 5, 0), ("abcd", 2, 0), ("efgh", 9, 30)], 0.1) == ["bomente"]
+    assert toxicity.families([], 0.0) == [] == toxicity.families([("aaaa", 3, 0)], 0.9)
+    assert toxicity.families([("abcd", 4, 0), ("bcde", 4, 0)], 0.1) == ["abcd", "bcde"]
+    assert toxicity.families([(f"{i:04}", 3, 0) for i in range(300)], 0.1) == []
