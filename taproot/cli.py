@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--cache", help="a folder for snapshots of facts")
     a.add_argument("--relative-to", help="spell paths relative to this folder")
     a.add_argument("--output", help="a new folder for a report in parts, of any size, instead of one on standard output")
+    a.add_argument("--similarity", choices=("off", "exact", "index"), default="off", help="note how unlike the nearest other findings each is")
     r = sub.add_parser("rules")
     r.add_argument("id", nargs="?")
     return p
@@ -73,7 +75,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
     sources = files.read(spark, paths)
     below = os.path.commonpath([os.path.dirname(p) for p in paths]) if paths else os.getcwd()
     root = os.path.abspath(args.relative_to) if args.relative_to else settings.repository_root(below)
-    report = analyze(spark, sources, config, index=args.index, cache_at=args.cache, anchor=root)
+    report = analyze(spark, sources, replace(config, similarity=args.similarity), index=args.index, cache_at=args.cache, anchor=root)
     found = report.findings
     if scope is not None:  # an empty scope reports nothing; none at all reports everything
         keys = spark.createDataFrame([(os.path.normpath(os.path.abspath(s)),) for s in scope], "path string")

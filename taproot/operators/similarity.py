@@ -60,6 +60,20 @@ def anomaly(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return top.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)).alias("anomaly"))
 
 
+def gram_vectors(rows: DataFrame, text: str, key: str, dimension: int = DIMENSION, gram: int = GRAM) -> DataFrame:
+    """(key, v): the counts of `gram_counts` as a vector; zeros for texts that are null or shorter than an n-gram."""
+    counts = gram_counts(rows, text, key, dimension, gram).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("n"))  # at most ``dimension`` entries
+    at = lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0)).cast("double")
+    return rows.select(key).distinct().join(counts, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at).alias("v"))
+
+
+def anomaly_by_index(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """`anomaly` by `neighbours`: about the k most similar others, for more vectors than can all be compared."""
+    near = neighbours(vectors, k)
+    mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["similarity"]) / F.greatest(F.size("near"), F.lit(1))
+    return near.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)).alias("anomaly"))
+
+
 #: Cells of an inverted file at most, and rows that they are fitted on at most.
 CELLS, SAMPLE = 4096, 100_000
 #: Queries that are answered exactly to tell how many cells to ask, and the share of their neighbours that those cells must hold.

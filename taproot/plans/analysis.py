@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taproot.functions import text
 from taproot.functions.hashing import finding_fingerprint
-from taproot.operators import graph, index_oracle, policy, relations
+from taproot.operators import graph, index_oracle, policy, relations, similarity
 from taproot.plans import control_flow
 from taproot.sources import cache, files
 from taproot.storage import stored
@@ -96,6 +96,8 @@ class Configuration:
     minimum_confidence: str = "low"
     #: Judge declarations that an index doesn't know: "reached" or by "syntax".
     unmapped: str = "reached"
+    #: Say in notes how unlike the most similar other findings' code is: "off", "exact" (compares all) or "index".
+    similarity: str = "off"
 
     def enabled(self, rule: str) -> bool:
         return self.rules.get(rule, {}).get("enabled", rule not in OFF_BY_DEFAULT)
@@ -383,6 +385,45 @@ def suppression(found: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
     return found.join(gone, "fingerprint", "left_anti"), found.join(gone, "fingerprint", "left_semi")
 
 
+#: Lines of a declaration after its first that its vector is made of, at most.
+SNIPPET_LINES = 40
+
+
+def snippets(found: DataFrame, decls: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, snippet): the lines of each finding's declaration, or the finding's own line where no declaration is there.
+
+    A file's source is read once for all of its findings; these are as many as its declarations and statements at most.
+    """
+    spans = decls.groupBy("path", "line", "column").agg(F.max("last_line").alias("last_line"))
+    own = found.select("id", "path", "line", "column").distinct().join(spans, ["path", "line", "column"], "left")
+    last = F.least(F.coalesce("last_line", "line"), F.col("line") + SNIPPET_LINES)
+    spots = own.groupBy("path").agg(F.collect_list(F.struct("id", F.greatest("line", F.lit(1)).alias("line"), last.alias("last"))).alias("spots"))
+    lined = spots.join(sources.select("path", F.split("source", "\n").alias("lines")), "path", "left").select("lines", F.explode("spots").alias("s"))
+    text_ = F.array_join(F.slice("lines", F.col("s.line"), F.greatest(F.col("s.last") - F.col("s.line") + 1, F.lit(0))), "\n")
+    return lined.select("s.id", F.coalesce(text_, F.lit("")).alias("snippet"))
+
+
+def with_similarity_notes(found: DataFrame, decls: DataFrame, sources: DataFrame, how: str, notes: list[str]) -> DataFrame:
+    """Findings whose notes end with how unlike the nearest others' code theirs is; which findings there are stays as it is.
+
+    Equal findings share a note. A single finding has no other, so it keeps its note, and ``notes`` says so.
+    """
+    if how not in ("exact", "index"):
+        raise ValueError(f"similarity is off, exact or index, not {how}")
+    own = stored(found.withColumn("id", F.xxhash64("path", "line", "column", "rule", "message")))
+    n = own.select("id").distinct().count()
+    if n < 2:
+        notes.append("similarity needs more than one finding; notes are as they were")
+        return own.drop("id")
+    vectors = similarity.gram_vectors(snippets(own, decls, sources), "snippet", "id")
+    scores = similarity.anomaly(vectors) if how == "exact" else similarity.anomaly_by_index(vectors)
+    percent = F.round(F.col("anomaly") * 100).cast("int").cast("string")
+    # Fixed value: the words that tools look for in a note.
+    said = F.concat(F.lit("embedding-confidence: "), percent, F.lit("% anomaly [experimental, character n-grams]"))
+    notes.append(f"similarity noted on {n} findings by character n-grams")
+    return own.join(scores, "id", "left").withColumn("note", F.when(F.col("anomaly").isNull(), F.col("note")).otherwise(F.concat_ws("; ", "note", said))).select(*found.columns)
+
+
 def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Configuration(), index: index_oracle.Index | str | None = None, cache_at: str | None = None, anchor: str | None = None) -> Report:
     """Findings of all files together; with ``single_file`` each file stands alone (one file at a time is meant).
 
@@ -407,4 +448,6 @@ def analyze(spark: SparkSession, sources: DataFrame, config: Configuration = Con
     floor = LEVELS.index(config.minimum_confidence)
     found = found.where(F.col("confidence").isin(*LEVELS[floor:]))
     kept, gone = suppression(stored(anchored(found, anchor) if anchor else found), facts)
+    if config.similarity != "off":
+        kept = with_similarity_notes(kept, decls, sources, config.similarity, notes)
     return Report(kept, gone, facts.where("degraded IS NOT NULL").select("path", "degraded"), notes, counts)

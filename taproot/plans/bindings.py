@@ -341,6 +341,21 @@ def q_analyze(spark: SparkSession, d: str) -> DataFrame:
     return rows(report.findings, False).unionByName(rows(report.suppressed, True))
 
 
+@query("""WITH found AS (SELECT p_partkey AS k, 'func f' || p_partkey || '() { ' || CASE WHEN (p_partkey + 1) % 5 <> 0 THEN 'f' || (p_partkey + 1) || '()' ELSE '' END || ' }' AS snippet FROM part
+  WHERE p_partkey % 10 <> 7 AND (p_partkey % 10 >= 5 OR p_partkey - p_partkey % 10 NOT IN (SELECT p_partkey FROM part))),
+g AS (SELECT k, unnest(list_transform(generate_series(1, length(snippet) - 2), lambda i: substr(snippet, i, 3))) AS gram FROM found),
+h AS (SELECT gram, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(gram)), '..'), lambda x: CAST('0x' || x AS BIGINT)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) % 128 AS INTEGER) AS bucket FROM (SELECT DISTINCT gram FROM g)),
+n AS (SELECT k, bucket, count(*)::DOUBLE AS n FROM g JOIN h USING (gram) GROUP BY 1, 2),
+m AS (SELECT k, map(list(bucket), list(n)) AS m FROM n GROUP BY 1),
+v AS (SELECT k, list_transform(generate_series(0, 127), lambda i: coalesce(m[i::INTEGER], 0.0)) AS e FROM m),
+p AS (SELECT a.k, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.k <> b.k),
+t AS (SELECT k, s FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC) <= 5)
+SELECT 'src/p' || k || '.swift' AS path, 'confidence medium; embedding-confidence: ' || CAST(round(greatest(0, least(1, 1 - avg(s))) * 100) AS INTEGER) || '% anomaly [experimental, character n-grams]' AS note FROM t GROUP BY k""")
+def q_similarity_notes(spark: SparkSession, d: str) -> DataFrame:
+    report = analysis.analyze(spark, generated_sources(spark, d), analysis.Configuration(similarity="exact"))
+    return report.findings.select("path", "note")
+
+
 def generated_index(spark: SparkSession, d: str) -> index_oracle.Index:
     """An index of the generated sources: it knows fewer calls than names suggest, and every seventh function not at all."""
     k = F.col("p_partkey")

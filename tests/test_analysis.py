@@ -1,6 +1,8 @@
 import json
 
-from taproot.plans.analysis import RULES, Configuration, analyze
+import pytest
+
+from taproot.plans.analysis import RULES, Configuration, analyze, with_similarity_notes
 from taproot.sources import files, sinks
 
 MAIN = """import Foundation
@@ -175,3 +177,53 @@ def test_test_scope_descends(spark):
     sources = files.in_memory(spark, [("/p/cases.swift", SCOPED), ("/p/helpers.swift", helpers)])
     got = names(analyze(spark, sources, Configuration(production=True)))
     assert {x for x in got if x[0] == "only-tested"} == {("only-tested", n) for n in ("onlyDeep", "onlyMore", "onlySuite")}
+
+
+def _cosine_notes(snippets):
+    """Percent by brute force: 1 - the mean cosine with the five nearest others, from counts of hashed n-grams."""
+    import numpy as np
+
+    def vector(s):
+        v = np.zeros(128)
+        for i in range(len(s) - 2):
+            h = 14695981039346656037
+            for b in s[i : i + 3].encode():
+                h = (h ^ b) * 1099511628211 % 2**64
+            v[h % 128] += 1
+        return v / (np.linalg.norm(v) or 1)
+
+    vs = [vector(s) for s in snippets]
+    near = [sorted((float(v @ w) for j, w in enumerate(vs) if j != i), reverse=True)[:5] for i, v in enumerate(vs)]
+    return [f"embedding-confidence: {int(max(0, min(1, 1 - sum(n) / len(n))) * 100 + 0.5)}% anomaly [experimental, character n-grams]" for n in near]
+
+
+def test_similarity_notes(spark):
+    long_ = "func long() {\n" + "".join(f"    print({i})\n" for i in range(60)) + "}"
+    parts = ["func a() { print(1) }", "func b() { print(2) }", "func größe() { print(3) }", long_, "struct Odd { let z: [String: Int] = [:] }"]
+    sources = files.in_memory(spark, [("/p/a.swift", "\n".join(parts) + "\n"), ("/p/b.swift", "@main struct M { static func main() {\nif false { go() }\n} }\n")])
+    plain = analyze(spark, sources)
+    report = analyze(spark, sources, Configuration(similarity="exact"))
+    key = lambda r: (r.path, r.line, r.column, r.rule, r.severity, r.message, r.confidence, r.fingerprint)
+    before, after = plain.ordered(), report.ordered()
+    assert [key(r) for r in before] == [key(r) for r in after] and len(after) == 6
+    cut = "\n".join(long_.split("\n")[:41])
+    want = _cosine_notes([*parts[:3], cut, parts[4], "if false { go() }"])
+    assert [r.note for r in after] == [f"{b.note}; {w}" if b.note else w for b, w in zip(before, want, strict=True)]
+    assert "similarity noted on 6 findings by character n-grams" in report.notes
+
+
+def test_similarity_needs_two_findings(spark):
+    found = spark.createDataFrame([("a.swift", 1, 6, "unused-function", "m", None)], "path string, line int, column int, rule string, message string, note string")
+    decls = spark.createDataFrame([("a.swift", 1, 6, 1)], "path string, line int, column int, last_line int")
+    sources = files.in_memory(spark, [("a.swift", "func lone() {}\n")])
+    for rows, how in ((found, "exact"), (found.limit(0), "index"), (found.union(found), "exact")):
+        notes = []
+        got = with_similarity_notes(rows, decls, sources, how, notes)
+        assert got.columns == found.columns and got.collect() == rows.collect() and "more than one" in notes[0]
+    # A finding outside its file's lines, of a file without a source, or of code shorter than an n-gram has no likeness to any.
+    odd = found.union(spark.createDataFrame([("a.swift", 9, 1, "r", "m", "n"), ("gone.swift", 1, 1, "r", "m", "n")], found.schema))
+    assert {(r.path, r.line, r.note) for r in with_similarity_notes(odd, decls, sources, "exact", []).collect()} == {
+        (p, n, f"{more}embedding-confidence: 100% anomaly [experimental, character n-grams]") for p, n, more in (("a.swift", 1, ""), ("a.swift", 9, "n; "), ("gone.swift", 1, "n; "))
+    }
+    with pytest.raises(ValueError):
+        with_similarity_notes(found, decls, sources, "both", [])
