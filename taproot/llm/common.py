@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +92,26 @@ def crc32_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def sparing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow, giving Arrow's free memory back after each batch: workers stay for later stages and would keep it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for b in f(batches):
+            yield b
+            del b
+            pool.release_unused()
+        pool.release_unused()
+
+    return run
+
+
+def local_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A few rows of the driver as a DataFrame, by way of Arrow, so that no Python worker starts for them."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return spark.createDataFrame(pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns, strict=True)}))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each Arrow batch as Python lists."""
     for b in batches:

@@ -19,9 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in a generation of the memo.
-MEMO = 400_000
+MEMO = 200_000
 #: Bytes of text that are encoded at once; a longer text is taken alone.
-GROUP = 8_000_000
+GROUP = 3_000_000
+#: Words whose ids are put together at once.
+JOINED = 50_000
 
 _LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _MARKS = ".,;:!?%$&*#"
@@ -151,7 +153,8 @@ class Encoder:
         found.append(end_id.to_bytes(4, "little"))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         upto = np.cumsum(sizes[order])[ends + np.arange(len(ends))]
-        return b"".join(map(found.__getitem__, order.tolist())), np.diff(upto, prepend=0)
+        parts = (b"".join(map(found.__getitem__, order[i : i + JOINED].tolist())) for i in range(0, len(order), JOINED))
+        return b"".join(parts), np.diff(upto, prepend=0)
 
 
 class LoweredWords(Encoder):

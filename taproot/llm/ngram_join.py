@@ -97,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys, pa.binary()), pa.array(counts), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
-    return rows.mapInArrow(sign, "doc_id long, x long, text_key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+    return rows.mapInArrow(common.sparing(sign), "doc_id long, x long, text_key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
 def linked(sets: list[np.ndarray], first: int, threshold: float) -> np.ndarray:
@@ -151,7 +151,7 @@ def verified(candidates: DataFrame, docs: DataFrame, threshold: float) -> DataFr
 
     texts = docs.select(F.col("doc_id").cast("long").alias("copy_of"), "text", F.xxhash64("text").alias("x")).where("copy_of IS NOT NULL")
     own = candidates.join(texts, ["copy_of", "x"]).select("node", "weight", "component", "block", "others", "text")
-    own = own.mapInArrow(sets, "node long, weight long, component long, block int, others array<int>, shingles binary").withColumn("other", F.explode("others"))
+    own = own.mapInArrow(common.sparing(sets), "node long, weight long, component long, block int, others array<int>, shingles binary").withColumn("other", F.explode("others"))
     own = own.select("node", "weight", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def verified(candidates: DataFrame, docs: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "links", "root"])
 
     dealt = own.repartition(common.partitions(docs), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(check, "node long, links long, root long")
+    return dealt.mapInArrow(common.sparing(check), "node long, links long, root long")
 
 
 def placed(near: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:

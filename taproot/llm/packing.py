@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, wor
         if rest:
             yield from packed()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.sparing(pieces), PIECE_SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

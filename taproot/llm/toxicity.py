@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taproot.llm import common
+from taproot.llm.encoding import groups
 from taproot.llm.ngram_join import signatures
 
 #: Labelled documents to learn from, at most; they bound the lexicon too.
@@ -307,7 +308,7 @@ def unlike(texts: DataFrame) -> DataFrame:
         if not met & seen:
             keep.append((doc,))
         seen |= met
-    return texts.sparkSession.createDataFrame(keep, "doc long")
+    return common.local_table(texts.sparkSession, keep, doc=pa.int64())
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
@@ -315,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # bounded by ``sample``
-    own = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, toxic int")
+    own = common.local_table(spark, [tuple(r) for r in ids], doc_id=pa.int64(), toxic=pa.int32())
     held = common.Stored(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")))
     texts = held.read()
     kept = F.broadcast(unlike(texts))
@@ -336,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([bad[t] for t in part], pa.int64()), pa.array([good[t] for t in part], pa.int64())], names=["term", "bad", "good"])
 
-    counts = common.Stored(lone.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    counts = common.Stored(lone.mapInArrow(common.sparing(count), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     # Chance that a term of so many documents is in toxic ones only, times the terms tried: once by documents that
     # have it, once by documents that have it twice.
     rows, support = counts.read(), {}
@@ -369,7 +370,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in range(5)), b.column(1)], names=[*"abcde", "toxic"])
 
     schema = ", ".join(f"{n} long" for n in "abcde") + ", toxic int"
-    rows = np.array([tuple(r) for r in texts.mapInArrow(measure, schema).collect()], np.float64)  # at most ``sample`` rows
+    rows = np.array([tuple(r) for r in texts.mapInArrow(common.sparing(measure), schema).collect()], np.float64)  # at most ``sample`` rows
     counts.drop()
     held.drop()
     clean = rows[rows[:, 5] == 0].sum(axis=0)
@@ -385,9 +386,10 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(lexicon)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["row", "toxicity"])
+            found = [judge.score(t) for g in groups(b, 1) for t in g.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["row", "toxicity"])
 
-    return flat.mapInArrow(score, T.StructType([T.StructField("row", docs.schema), T.StructField("toxicity", T.DoubleType())]))
+    return flat.mapInArrow(common.sparing(score), T.StructType([T.StructField("row", docs.schema), T.StructField("toxicity", T.DoubleType())]))
 
 
 def training(labels: DataFrame) -> DataFrame:

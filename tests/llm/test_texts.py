@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,34 @@ def test_encoding_equals_the_library(path, kind):
     assert kind(path).encode(pa.array([], pa.string()), 9)[1].tolist() == []
 
 
+def test_encoding_takes_little_memory_beside_its_result():
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}" for i in range(400_000)]
+    texts = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    enc = encoding.SpacedWords(BYTE)
+    enc.encode(texts.slice(0, 1), 0)
+    tracemalloc.start()
+    codes, _ = enc.encode(texts, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - 2 * len(codes) < 50 * len(words)
+    held = encoding.groups(pa.record_batch([texts] * 4, names=["a", "b", "c", "d"]), 0)  # a worker holds one slice and a memo
+    assert max(pa.compute.sum(pa.compute.binary_length(g.column(0))).as_py() for g in held) <= 3_000_000 and enc.letters.most <= 200_000
+
+
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    released = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+    given = [pa.record_batch([[i]], names=["a"]) for i in range(3)]
+    assert list(common.sparing(lambda batches: (b for b in batches))(iter(given))) == given
+    assert len(released) == 4
+
+
+def test_rows_of_the_driver_become_a_table(spark):
+    assert [tuple(r) for r in common.local_table(spark, [(1, None), (2, 3)], a=pa.int64(), b=pa.int32()).collect()] == [(1, None), (2, 3)]
+    empty = common.local_table(spark, [], a=pa.int64(), b=pa.int32())
+    assert empty.count() == 0 and empty.dtypes == [("a", "bigint"), ("b", "int")]
+
+
 def test_special_tokens_are_encoded_as_the_library_does(spark):
     texts = ["<|startoftext|>", "one <|endoftext|>two", "<|endoftext|>" * 300, "plain"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
