@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,10 +136,12 @@ def followed(docs: DataFrame) -> DataFrame:
     split = "".join(f" WHEN {r} THEN {k}" for r, k in hot.items())
     sub = f"cast(least((xxhash64(text) / 18446744073709551616D + 0.5D) * (CASE run{split} END), (CASE run{split} END) - 1) as int)" if hot else "0"
     keyed = rows.withColumn("run", F.expr(_run(bounds))).withColumn("sub", F.coalesce(F.expr(sub), F.lit(0)))
-    heads = common.stored(keyed.selectExpr("run", "sub", "doc_id", "~xxhash64(text) AS h").groupBy("run", "sub").agg(F.max(F.struct("doc_id", "h")).alias("m")).select("run", "sub", "m.*"))
-    order = sorted(((r["run"], r["sub"]) for r in heads.select("run", "sub").collect()), key=lambda x: (-x[0], x[1]))  # a row per run
-    after = docs.sparkSession.createDataFrame([(*x, *y) for x, y in zip(order, order[1:] + order[:1], strict=True)], "run int, sub int, next_run int, next_sub int")
-    h = common.small(heads.withColumnRenamed("doc_id", "head"))
+    first = F.max(F.struct(F.col("doc_id").alias("head"), "h")).alias("m")
+    heads = [tuple(r) for r in keyed.selectExpr("run", "sub", "doc_id", "~xxhash64(text) AS h").groupBy("run", "sub").agg(first).select("run", "sub", "m.*").collect()]  # a row per run
+    order = sorted((x[:2] for x in heads), key=lambda x: (-x[0], x[1]))
+    next_to = [(*x, *y) for x, y in zip(order, order[1:] + order[:1], strict=True)]
+    after = common.local_table(docs.sparkSession, next_to, run=pa.int32(), sub=pa.int32(), next_run=pa.int32(), next_sub=pa.int32())
+    h = F.broadcast(common.local_table(docs.sparkSession, heads, run=pa.int32(), sub=pa.int32(), head=pa.int64(), h=pa.int64()))
     texts = keyed.join(h, ["run", "sub"]).where("doc_id <=> head AND ~xxhash64(text) = h").select("run", "sub", "doc_id", "text").dropDuplicates(["run", "sub"])
     ghosts = F.broadcast(after).join(texts.withColumnsRenamed({"run": "next_run", "sub": "next_sub"}), ["next_run", "next_sub"]).select("run", "sub", "doc_id", "text", F.lit(1).alias("ghost"))
     both = keyed.select("run", "sub", "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts)

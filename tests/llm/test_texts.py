@@ -92,6 +92,11 @@ def test_successors_equal_a_plain_sort(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited(df).collect()) == want
 
 
+def test_fingerprints_write_no_tables_of_their_own(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "Stored", None)
+    assert fingerprints.edited(docs).count() == len(rows)
+
+
 def test_wavelet_matrix():
     rnd = np.random.default_rng(1)
     ids = rnd.integers(0, 300, 9001)
