@@ -3,7 +3,7 @@
 The ids are those of the library's plain ``encode(text, add_special_tokens=False)``. Both tokenizers split a text into
 pieces before they merge, and never across the cuts made here, so the ids of a text are the ids of its words in
 order. Arrow splits the texts of a group into words, numbers the distinct ones and takes their closing punctuation off;
-only what is distinct then goes to the memo or the library. The memo keeps two generations of words, so what is used
+only what is distinct then goes to the memo or the library, and Arrow puts the ids together again. The memo keeps two generations of words, so what is used
 often stays when the older one is dropped.
 
 A text that holds the string of a special (added) token is encoded whole by the library, which takes it for that token;
@@ -22,11 +22,11 @@ import pyarrow.compute as pc
 MEMO = 200_000
 #: Bytes of text that are encoded at once; a longer text is taken alone.
 GROUP = 3_000_000
-#: Words whose ids are put together at once.
-JOINED = 50_000
 
 _LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _MARKS = ".,;:!?%$&*#"
+#: The letters of `_LATIN`.
+_LATIN_LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isascii() and c.isalpha() or c >= "À" and c not in "×÷")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,6 +62,27 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def all(self, keys: list[str]) -> list[bytes]:
+        """What is known or learned for each of some different keys, without a call for each known one."""
+        found: list[bytes] = []
+        for at in range(0, len(keys), self.most):
+            own = keys[at : at + self.most]
+            got = list(map(self.get, own))
+            fresh = [i for i, x in enumerate(got) if x is None]
+            asked, learn = [own[i] for i in fresh], self.learn
+            for i, k, x in zip(fresh, asked, map(self.older.get, asked), strict=True):
+                got[i] = learn(k) if x is None else x
+            if len(self) + len(asked) > self.most:
+                self.older = dict(self)
+                self.clear()
+            self.update(zip(asked, map(got.__getitem__, fresh), strict=True))
+            found += got
+        return found
+
+
+def _binary(found: list[bytes]) -> pa.Array:
+    return pa.array(found, pa.large_binary())
+
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
@@ -109,23 +130,19 @@ class Encoder:
         """The first word of a text."""
         return self._other(word)
 
-    def _words(self, words: pa.Array) -> list[bytes]:
+    def _words(self, words: pa.Array) -> pa.Array:
         """The ids of distinct words."""
         own = pc.utf8_rtrim(words, _MARKS)
-        plain = pc.match_substring_regex(own, _LATIN).to_numpy(zero_copy_only=False)
-        numbered = self._letters(own.filter(pa.array(plain))).dictionary_encode()
-        known = list(map(self.letters.__getitem__, strings(numbered.dictionary)))
-        found = [b""] * len(words)
-        for i, k in zip(np.flatnonzero(plain).tolist(), numbered.indices.to_numpy().tolist(), strict=True):
-            found[i] = known[k]
-        for i, w in zip(np.flatnonzero(~plain).tolist(), strings(words.filter(pa.array(~plain))), strict=True):
-            found[i] = self._other(w)
-        size = pc.utf8_length(own).to_numpy()
-        marked = np.flatnonzero(plain & (pc.utf8_length(words).to_numpy() > size))
-        marks = self.letters
-        for i, w, n in zip(marked.tolist(), strings(words.take(pa.array(marked))), size[marked].tolist(), strict=True):
-            found[i] += marks[w[n:]]
-        return found
+        plain = pc.match_substring_regex(own, _LATIN)
+        numbered = self._letters(own.filter(plain)).dictionary_encode()
+        # Before the marks a plain word has letters only.
+        marks = pc.utf8_ltrim(words.filter(plain), _LATIN_LETTERS).dictionary_encode()
+        known, closing = _binary(self.letters.all(strings(numbered.dictionary))), _binary([self.letters[m] if m else b"" for m in strings(marks.dictionary)])
+        joined = pc.binary_join_element_wise(known.take(numbered.indices), closing.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        others = _binary([self._other(w) for w in strings(words.filter(pc.invert(plain)))])
+        places = np.where(is_plain, np.cumsum(is_plain) - 1, len(joined) + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([joined, others]).take(pa.array(places))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
         """(the ids of all texts in a row, how many each has), with ``end_id`` after each text. Null texts count as empty."""
@@ -142,19 +159,17 @@ class Encoder:
         ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
         starts = (np.concatenate([[0], ends[:-1]])).astype(np.int64)[: len(ends)]
         numbered = words.dictionary_encode()
-        found = self._words(numbered.dictionary)
-        index = numbered.indices.to_numpy().copy()
+        index, distinct = numbered.indices.to_numpy().copy(), len(numbered.dictionary)
         # The first word of each text is looked up by itself: it may differ, or stand for the whole text.
-        index[starts] = len(found) + np.arange(len(starts))
-        found += [self._first(w) for w in strings(words.take(pa.array(starts)))]
+        index[starts] = distinct + np.arange(len(starts))
+        firsts = [self._first(w) for w in strings(words.take(pa.array(starts)))]
         for i in np.flatnonzero(odd).tolist():
-            found[len(numbered.dictionary) + i] = self.whole(texts[i].as_py())
-        order = np.insert(index, ends, len(found))
-        found.append(end_id.to_bytes(4, "little"))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        upto = np.cumsum(sizes[order])[ends + np.arange(len(ends))]
-        parts = (b"".join(map(found.__getitem__, order[i : i + JOINED].tolist())) for i in range(0, len(order), JOINED))
-        return b"".join(parts), np.diff(upto, prepend=0)
+            firsts[i] = self.whole(texts[i].as_py())
+        found = pa.concat_arrays([self._words(numbered.dictionary), _binary([*firsts, end_id.to_bytes(4, "little")])])
+        order = np.insert(index, ends, distinct + len(firsts))
+        _, offsets, codes = found.take(pa.array(order)).buffers()
+        upto = np.frombuffer(offsets, np.int64)[ends + np.arange(len(ends)) + 1] // 4
+        return codes.to_pybytes()[: 4 * int(upto[-1])] if len(upto) else b"", np.diff(upto, prepend=0)
 
 
 class LoweredWords(Encoder):

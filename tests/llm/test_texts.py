@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -185,6 +186,21 @@ def test_encoding_takes_little_memory_beside_its_result():
     assert max(pa.compute.sum(pa.compute.binary_length(g.column(0))).as_py() for g in held) <= 3_000_000 and enc.letters.most <= 200_000
 
 
+def test_words_of_the_older_generation_cost_no_call():
+    letters = [a + b + c for a in "abcdefghijkl" for b in "mnopqrstuvwx" for c in "abcdefghij"]
+    first, second = pa.array([" ".join(["x", *letters])]), pa.array([" ".join(["x", *(w + "q" for w in letters)])])
+    enc = encoding.LoweredWords(WORD, memo=2000)
+    want = enc.encode(first, 1)
+    enc.encode(second, 1)
+    assert len(letters) == 1440 and len(enc.letters) <= 2000 and len(enc.letters.older) <= 2000
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    got = enc.encode(first, 1)
+    sys.setprofile(None)
+    assert calls["call"] < 500
+    assert got[0] == want[0] and got[1].tolist() == want[1].tolist()
+
+
 def test_workers_give_memory_back_after_each_batch(monkeypatch):
     released = []
     monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
