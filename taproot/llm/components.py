@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.llm.common import Stored
+from taproot.llm.common import BROADCAST_ROWS, Stored
 
+#: Labels that are broadcast, at most; a round's joins may hold four such tables at once.
+FEW = BROADCAST_ROWS // 4
 
-def _up(labels: DataFrame, of: DataFrame) -> DataFrame:
+
+def _up(labels: DataFrame, of: DataFrame, hint: str | None) -> DataFrame:
     """``labels`` with each label replaced by its own label in ``of``, where it has one."""
-    return labels.join(of.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return labels.join(_hinted(of.select(F.col("node").alias("label"), F.col("label").alias("up")), hint), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+
+
+def _hinted(df: DataFrame, hint: str | None) -> DataFrame:
+    return df.hint(hint) if hint else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops give nothing. Each round points every node at its least neighbour (a minimum by node, no
     join), follows the pointers twice, and keeps the edges between what is left, which shrink fast. A node with very
-    many edges is a skewed join side, which adaptive execution splits, and never a list in one task.
+    many edges is a skewed join side, which adaptive execution splits, and never a list in one task. A round that is
+    counted to have few labels broadcasts them, which spares most of its shuffles.
     """
     e = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found: DataFrame | None = None
@@ -26,13 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
         own = e.read()
         both = own.union(own.select("b", "a"))
         parent = Stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
-        once = Stored(_up(parent.read(), parent.read()))
-        labels = Stored(_up(once.read(), once.read())).read()
-        found = labels if found is None else _up(found, labels)
-        at_a = own.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("la", "b")
-        moved = at_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("la", "lb")
+        hint = "broadcast" if parent.read().limit(FEW + 1).count() <= FEW else None
+        once = Stored(_up(parent.read(), parent.read(), hint))
+        labels = Stored(_up(once.read(), once.read(), hint)).read()
+        found = labels if found is None else _up(found, labels, hint)
+        at_a = own.join(_hinted(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), hint), "a").select("la", "b")
+        moved = at_a.join(_hinted(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), hint), "b").select("la", "lb")
         rest = labels.select(F.col("label").alias("node"), "label").distinct()
-        rest = _up(rest, labels).select(F.col("node").alias("la"), F.col("label").alias("lb"))
+        rest = _up(rest, labels, hint).select(F.col("node").alias("la"), F.col("label").alias("lb"))
         left = moved.union(rest).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         following = Stored(left)
         e.drop()

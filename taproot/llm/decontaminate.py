@@ -126,7 +126,8 @@ def near(queries: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFram
     width = 64 // BLOCKS
     keys = lambda df, n: df.selectExpr("*", f"explode(sequence(0, {BLOCKS - 1})) AS block").selectExpr("*", f"explode(array({_masks(n)})) AS mask").selectExpr("*", f"(shiftrightunsigned(fp, {width} * block) & {(1 << width) - 1}L) ^ mask AS value").drop("mask")
     left, right = keys(queries, flips // 2), keys(items.withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp")), flips - flips // 2).drop("fp")
-    met = left.join(right, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # Spark takes an exploded side for as small as it was before, and would broadcast it by way of the driver.
+    met = left.join(right.hint("merge"), ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     return met.select("window", "item_id").distinct()
 
 

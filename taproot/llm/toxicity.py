@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,13 +261,14 @@ def terms(text: str) -> set[str]:
     return {*found, *("^" + t for t, k in found.items() if k > 1), *("~" + t for t, k in different.items() if k > 1)}
 
 
-def families(rows: list[tuple[str, int, int]], share: float) -> list[str]:
+def families(rows: list[tuple[str, int, int]], share: float, tried: dict[int, int] | None = None) -> list[str]:
     """Stems of word families from (stem, toxic, clean documents with two or more of its words) and the share of toxic documents.
 
     A stem is taken if at least three toxic documents have it and its odds, those documents' likelihood at `FAMILY_SHARE`
-    over that at ``share``, are `FAMILY_ODDS_EACH` for each stem of that length; of nested stems the likeliest, the longest of equal ones.
+    over that at ``share``, are `FAMILY_ODDS_EACH` for each stem of that length; of nested stems the likeliest, the longest of equal ones. ``tried``: how many
+    stems of each length there are, where ``rows`` are only some of them.
     """
-    tried = Counter(len(t) for t, _, _ in rows)
+    tried = Counter(len(t) for t, _, _ in rows) if tried is None else tried
     share = min(max(share, 1e-6), 0.5)
     gain, loss = math.log(FAMILY_SHARE / share), math.log((1 - share) / (1 - FAMILY_SHARE))
     odds = {t: bad * gain - good * loss for t, bad, good in rows if bad >= 3}
@@ -297,27 +299,31 @@ def chosen(support: dict[str, int]) -> list[str]:
     return out
 
 
+def first_of_kind(labels: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Which rows share no band (a row of ``bands`` each) with an earlier row of their label."""
+    keep = np.zeros(len(labels), bool)
+    for label in np.unique(labels):
+        own = np.flatnonzero(labels == label)
+        _, first, band = np.unique(bands[own], return_index=True, return_inverse=True)
+        keep[own] = ((first // bands.shape[1])[band.reshape(-1, bands.shape[1])] == np.arange(len(own))[:, None]).all(1)
+    return keep
+
+
 def unlike(texts: DataFrame) -> DataFrame:
     """(doc) of one text per label and family of near copies, so that a copy's words don't count again."""
-    seen: set[tuple[int, int]] = set()
-    keep = []
     signed = signatures(texts.select(F.xxhash64("text").alias("doc_id"), "text")).drop("text_key", "n", "x")
-    rows = signed.join(texts.select(F.xxhash64("text").alias("doc_id"), "toxic"), "doc_id").orderBy("doc_id").collect()  # at most the sample
-    for doc, *found, label in rows:
-        met = {(label, b) for b in found}
-        if not met & seen:
-            keep.append((doc,))
-        seen |= met
-    return texts.sparkSession.createDataFrame(keep, "doc long")
+    rows = signed.join(texts.select(F.xxhash64("text").alias("doc_id"), "toxic"), "doc_id").orderBy("doc_id").toArrow()  # at most the sample
+    docs, labels = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()
+    keep = first_of_kind(labels, np.column_stack([rows[n].to_numpy() for n in rows.column_names if n not in ("doc_id", "toxic")]))
+    return texts.sparkSession.createDataFrame([(d,) for d in docs[keep].tolist()], "doc long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from (doc_id, text) and (doc_id, toxic)."""
-    spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # bounded by ``sample``
-    own = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, toxic int")
-    held = common.Stored(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")))
+    own = common.Stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    held = common.Stored(docs.select("doc_id", "text").join(F.broadcast(own.read()), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")))
+    own.drop()
     texts = held.read()
     kept = F.broadcast(unlike(texts))
     lone = texts.join(kept, F.xxhash64("text") == F.col("doc")).select("text", "toxic")
@@ -348,10 +354,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         found = kind.where((F.col("bad") >= need) & (F.col("good") <= 0.02 * F.col("bad"))).withColumn("term", F.regexp_replace("term", r"^\^", "")).select("term")
         own = rows.join(found, "term").where(F.col("good") <= 0.02 * F.col("bad"))
         support |= {r["term"]: r["bad"] for r in own.select("term", "bad").collect()}  # of the sample
-    several = rows.where("term LIKE '~%' AND bad + good >= 3").select(F.expr("substring(term, 2, length(term) - 2)"), "bad", "good").collect()  # of the sample
+    several = rows.where("term LIKE '~%' AND bad + good >= 3").select(F.expr("substring(term, 2, length(term) - 2)").alias("stem"), "bad", "good").toArrow()  # of the sample
+    lengths = Counter(pc.utf8_length(several["stem"]).to_pylist())
+    several = several.filter(pc.greater_equal(several["bad"], 3))
     # A stem that clean documents hardly ever have needs no second word.
     alone = tuple(t[:-1] for t in support if t[-1] == "*")
-    related = [t for t in families([tuple(r) for r in several], toxic / total) if not (alone and t.startswith(alone))]
+    related = [t for t in families(list(zip(*(c.to_pylist() for c in several.columns), strict=True)), toxic / total, lengths) if not (alone and t.startswith(alone))]
     cover = [t for t in chosen(support) if not (related and t.startswith(tuple(related)))]
     lexicon = Lexicon([t for t in cover if t[-1] != "*"], [t[:-1] for t in cover if t[-1] == "*"], families=related)
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +301,20 @@ def test_word_families_from_few_labels(spark):
     assert judge.score(" ".join(["x"] * 40_000 + ["bomenteos", "bomentear", "bomenteja"])) < judge.score("bomenteos bomentear bomenteja")
 
 
+def test_first_of_kind_equals_a_plain_loop():
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(2), [rnd.choice([0, rnd.randrange(60)]) + 100 * (i % 3 == 0) for i in range(5)]) for _ in range(80)] + [(1, [0] * 5)] * 2
+    seen, want = set(), []
+    for label, found in rows:
+        met = {(label, b) for b in found}
+        want.append(not met & seen)
+        seen |= met
+    got = toxicity.first_of_kind(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    assert got.tolist() == want and 2 <= sum(want) < len(rows)
+    assert toxicity.first_of_kind(np.zeros(0, int), np.zeros((0, 5), int)).tolist() == []
+    assert toxicity.families([("efgh", 9, 0)], 0.1, {4: 1}) == ["efgh"] and toxicity.families([("abcd", 3, 0)], 0.1, {4: 300}) == []
+
+
 def test_families_by_odds():
     """The likeliest of nested stems, the longest of equal ones; too few documents or as many clean ones are none."""
     assert toxicity.families([("bome", 5, 1), ("boment", 5, 0), ("bomente", 5, 0), ("abcd", 2, 0), ("efgh", 9, 30)], 0.1) == ["bomente"]

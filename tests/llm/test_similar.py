@@ -1,9 +1,10 @@
 """Similarity joins, repeats and contamination against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
-from taproot.llm import decontaminate, ngram_join, substring_dedup
+from taproot.llm import components, decontaminate, ngram_join, substring_dedup
 from tests.llm.conftest import prose
 
 
@@ -104,6 +105,40 @@ def test_contamination(spark, docs, none):
     assert decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_components_broadcast_few_labels_and_shuffle_many(spark, monkeypatch):
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(None, 5), (7, 7)]
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    shuffles = []
+
+    class Stored(components.Stored):
+        def __init__(self, df):
+            shuffles.append(df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin"))
+            super().__init__(df)
+
+    monkeypatch.setattr(components, "Stored", Stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert dict(map(tuple, components.components(df).collect())) == least
+        assert sum(shuffles) == 0
+        monkeypatch.setattr(components, "FEW", 3)
+        assert dict(map(tuple, components.components(df).collect())) == least
+        assert sum(shuffles) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flipped_blocks_are_not_broadcast(spark):
+    some = spark.range(4).selectExpr("id AS window", "id AS item_id", "id * 7919 AS fp")
+    plan = decontaminate.near(some.select("window", "fp"), some.select("item_id", "fp"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_find_all_within_the_radius(spark):
     import random
 
