@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,15 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Counted(Stored):
+    """A stored table that is counted as it is written, without a query of its own: ``rows``."""
+
+    def __init__(self, df: DataFrame) -> None:
+        count = Observation()
+        super().__init__(df.observe(count, F.count(F.lit(1)).alias("rows")))
+        self.rows: int = count.get["rows"]
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return Stored(df, compression).read()
 
@@ -59,6 +68,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def stored_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` stored, with a broadcast hint if at most ``rows`` rows were written."""
+    kept = Counted(df)
+    return F.broadcast(kept.read()) if kept.rows <= rows else kept.read()
+
+
 def joined_by_hub(rows: DataFrame, hubs: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with one row per key, of which ``count`` tells how many rows it has and ``total`` their sum.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.llm.common import BROADCAST_ROWS, Stored
+from taproot.llm.common import BROADCAST_ROWS
+from taproot.llm.common import Counted as Stored
 
 #: Labels that are broadcast, at most; a round's joins may hold four such tables at once.
 FEW = BROADCAST_ROWS // 4
@@ -26,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops give nothing. Each round points every node at its least neighbour (a minimum by node, no
     join), follows the pointers twice, and keeps the edges between what is left, which shrink fast. A node with very
     many edges is a skewed join side, which adaptive execution splits, and never a list in one task. A round that is
-    counted to have few labels broadcasts them, which spares most of its shuffles.
+    counted to have few labels broadcasts them, which spares most of its shuffles and the table between its two steps.
+    Tables are counted as they are written: each query costs the driver memory.
     """
     e = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found: DataFrame | None = None
@@ -34,9 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
         own = e.read()
         both = own.union(own.select("b", "a"))
         parent = Stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
-        hint = "broadcast" if parent.read().limit(FEW + 1).count() <= FEW else None
-        once = Stored(_up(parent.read(), parent.read(), hint))
-        labels = Stored(_up(once.read(), once.read(), hint)).read()
+        hint = "broadcast" if parent.rows <= FEW else None
+        once = _up(parent.read(), parent.read(), hint)
+        between = None if hint else Stored(once)
+        once = between.read() if between else once
+        labels = Stored(_up(once, once, hint)).read()
         found = labels if found is None else _up(found, labels, hint)
         at_a = own.join(_hinted(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), hint), "a").select("la", "b")
         moved = at_a.join(_hinted(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), hint), "b").select("la", "lb")
@@ -44,9 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
         rest = _up(rest, labels, hint).select(F.col("node").alias("la"), F.col("label").alias("lb"))
         left = moved.union(rest).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         following = Stored(left)
-        e.drop()
-        parent.drop()
-        once.drop()
+        for t in (e, parent, between):
+            if t:
+                t.drop()
         e = following
-        if not e.read().limit(1).count():
+        if not e.rows:
             return found.withColumnRenamed("label", "component")

@@ -153,13 +153,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     total = lambda df, key, name: df.groupBy(key).agg(F.sum("w").alias(name))
     exact = both.join(total(window_weights, "window", "own"), "window").join(total(item_weights, "item_id", "of_item"), "item_id")
     exact = exact.select("window", "item_id", (F.col("both") / (F.col("own") + F.col("of_item") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
-    best = common.small(common.stored(exact))
+    best = common.stored_small(exact)
     return found.select("doc_id", "start", "n_words", "window").join(best, "window").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m")).select("doc_id", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", F.round("m.similarity", 6).alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with the columns that they had."""
-    hit = common.small(common.stored(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct()))
+    hit = common.stored_small(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct())
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
 
 

@@ -189,7 +189,7 @@ def placed(near: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
     sized = near.join(classes.select("node", "n"), "node")
     needed = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     # Only components of several blocks are looked up; all others have one.
-    large = common.small(common.stored(needed))
+    large = common.stored_small(needed)
     one = near.join(large.select("component"), "component", "left_anti").select("node", "component", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others"))
     own = common.stored(near.join(large, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     of_band = own.join(met, "node")
@@ -233,16 +233,15 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = common.stored(joined_rows(docs, threshold).where("doc_id IS NOT NULL").select("class_node", F.struct("doc_id", "x").alias("row")))
     first = found.groupBy("class_node").agg(F.min("row").alias("first"), F.count("*").alias("k")).where("k > 1")
-    first = common.stored(first.select("class_node", "first"))
-    grouped = found.join(common.small(first), "class_node")
+    grouped = found.join(common.stored_small(first.select("class_node", "first")), "class_node")
     names = lambda df, kind: df.select(F.col("row.doc_id").alias(f"{kind}_id"), F.col("row.x").alias(f"{kind}_x"))
-    gone = common.small(common.stored(names(grouped.where("row <> first"), "_gone").distinct()))
+    gone = common.stored_small(names(grouped.where("row <> first"), "_gone").distinct())
     same = lambda df, other, kind: (df["doc_id"] == other[f"{kind}_id"]) & (F.xxhash64(df["text"]) == other[f"{kind}_x"])
     kept = docs.join(gone, same(docs, gone, "_gone"), "left_anti")
-    twice = common.stored(names(grouped.where("row = first").groupBy("row").count().where("count > 1"), "_twice"))
-    if not twice.limit(1).count():
+    stored = common.Counted(names(grouped.where("row = first").groupBy("row").count().where("count > 1"), "_twice"))
+    if not stored.rows:
         return kept
-    twice = common.small(twice)
+    twice = F.broadcast(stored.read()) if stored.rows <= common.BROADCAST_ROWS else stored.read()
     once = kept.join(twice, same(kept, twice, "_twice"), "left_anti")
     return once.unionByName(kept.join(twice, same(kept, twice, "_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
 

@@ -378,7 +378,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in range(5)), b.column(1)], names=[*"abcde", "toxic"])
 
     schema = ", ".join(f"{n} long" for n in "abcde") + ", toxic int"
-    rows = np.array([tuple(r) for r in texts.mapInArrow(common.sparing(measure), schema).collect()], np.float64)  # at most ``sample`` rows
+    measured = texts.mapInArrow(common.sparing(measure), schema).toArrow()  # at most ``sample`` rows
+    rows = np.column_stack([c.to_numpy().astype(np.float64) for c in measured.columns])
     counts.drop()
     held.drop()
     clean = rows[rows[:, 5] == 0].sum(axis=0)

@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
-from taproot.llm import components, decontaminate, ngram_join, substring_dedup
+from taproot.llm import common, components, decontaminate, ngram_join, substring_dedup
 from tests.llm.conftest import prose
 
 
@@ -186,3 +186,25 @@ def test_an_item_without_its_shared_part_is_found(spark):
     assert weight({tuple(words[k : k + 5]) for k in range(140)}) / weight(sets[3]) >= 0.8
     got = {(r.doc_id, r.item_id, r.start, r.n_words) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 3, 40, 144), (2, 103, 40, 144)}
+
+
+def queries_of(spark, f):
+    """What ``f`` gives, and how many queries Spark ran for it."""
+    ids = lambda: spark.range(1)._jdf.sparkSession().sharedState().statusStore().executionsCount()
+    before = ids()
+    found = f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return found, ids() - before
+
+
+def test_stored_tables_are_counted_as_they_are_written(spark):
+    for df, n in ((spark.range(1000).repartition(7), 1000), (spark.range(0), 0), (spark.range(10).where("id < 0").distinct(), 0), (spark.range(9).join(spark.range(3), "id").groupBy("id").count(), 3)):
+        table, ran = queries_of(spark, lambda df=df: common.Counted(df))
+        assert (table.rows, table.read().count()) == (n, n) and ran == 1
+
+
+def test_a_round_of_components_runs_three_queries(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (4, 4)], "a long, b long")
+    found, ran = queries_of(spark, lambda: components.components(edges))
+    assert ran <= 4  # the edges, and a round that leaves none
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
