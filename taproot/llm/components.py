@@ -28,24 +28,29 @@ def components(edges: DataFrame) -> DataFrame:
     join), follows the pointers twice, and keeps the edges between what is left, which shrink fast. A node with very
     many edges is a skewed join side, which adaptive execution splits, and never a list in one task. A round that is
     counted to have few labels broadcasts them, which spares most of its shuffles and the table between its two steps.
-    Tables are counted as they are written: each query costs the driver memory.
+    Tables are counted as they are written, and read no more often than need be: each query, and each scan, stage and
+    broadcast in it, costs the driver memory.
     """
     e = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found: DataFrame | None = None
     while True:
         own = e.read()
-        both = own.union(own.select("b", "a"))
+        both = own.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         parent = Stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
         hint = "broadcast" if parent.rows <= FEW else None
-        once = _up(parent.read(), parent.read(), hint)
-        between = None if hint else Stored(once)
-        once = between.read() if between else once
-        labels = Stored(_up(once, once, hint)).read()
+        first, between = parent.read(), None
+        if hint:
+            twice = _up(_up(_up(first, first, hint), first, hint), first, hint)  # one broadcast serves all
+        else:
+            between = Stored(_up(first, first, hint))
+            once = between.read()
+            twice = _up(once, once, hint)
+        labels = Stored(twice).read()
         found = labels if found is None else _up(found, labels, hint)
-        at_a = own.join(_hinted(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), hint), "a").select("la", "b")
-        moved = at_a.join(_hinted(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), hint), "b").select("la", "lb")
-        rest = labels.select(F.col("label").alias("node"), "label").distinct()
-        rest = _up(rest, labels, hint).select(F.col("node").alias("la"), F.col("label").alias("lb"))
+        at = lambda end, label: _hinted(labels.select(F.col("node").alias(end), F.col("label").alias(label)), hint)  # noqa: B023, E731
+        moved = own.join(at("a", "la"), "a").join(at("b", "lb"), "b").select("la", "lb")
+        ends = labels.select(F.col("label").alias("l"))  # labels are nodes themselves
+        rest = (ends if hint else ends.distinct()).join(at("l", "lb"), "l").select(F.col("l").alias("la"), "lb")
         left = moved.union(rest).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         following = Stored(left)
         for t in (e, parent, between):

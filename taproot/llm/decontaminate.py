@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taproot.llm import common
@@ -46,9 +46,8 @@ def shingle_hashes(w: str) -> str:
 class Bloom:
     """Two bits per hash in an array of longs that becomes a literal."""
 
-    def __init__(self, hashes: DataFrame) -> None:
-        """hashes: a column h of longs, distinct or not."""
-        count = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    def __init__(self, hashes: DataFrame, count: int) -> None:
+        """hashes: a column h of ``count`` different longs."""
         self.bits = BITS_MIN
         while self.bits < min(BITS_MAX, BITS_EACH * count):
             self.bits *= 2
@@ -73,22 +72,26 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return own.select("item_id", F.size("w").alias("n"), F.explode(F.expr(shingle_hashes("w"))).alias("h"))
 
 
-def bounds(item_weights: DataFrame, threshold: float) -> tuple[int, int]:
-    """(how many different shingles a window shares with any item at least, how many it has beyond an item's at most)."""
-    own = item_weights.groupBy("item_id").agg(F.sum("w").alias("total"), F.max("w").alias("most"))
+def bounded(item_weights: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
+    """``item_weights`` (item_id, h, w) stored, how many different shingles a window shares with any item at least, and
+    how many it has beyond an item's at most."""
+    of = Window.partitionBy("item_id")  # the shingles of one item's text
+    own = item_weights.withColumn("total", F.sum("w").over(of)).withColumn("most", F.max("w").over(of))
     # A shingle weighs more than 1, and none of an item's more than its heaviest.
     shared = F.ceil(threshold * F.col("total") / F.col("most") - 1e-6)
     beyond = F.floor((1 / threshold - 1) * F.col("total") + 1e-6)
-    return tuple(int(x) for x in own.agg(F.min(shared), F.max(beyond)).first())
+    seen = Observation()
+    kept = common.stored(own.observe(seen, F.min(shared).alias("shared"), F.max(beyond).alias("beyond")).drop("total", "most"))
+    return kept, int(seen.get["shared"]), int(seen.get["beyond"])
 
 
-def windows(docs: DataFrame, known: DataFrame, least: int, most_long: int, threshold: float) -> DataFrame:
+def windows(docs: DataFrame, known: DataFrame, count: int, least: int, most_long: int, threshold: float) -> DataFrame:
     """(doc_id, start, n_words, window, hashes) of the windows that may match; ``window`` names equal sets of hashes.
 
-    known: (h, items), each shingle once with a hash of the set of items that have it. A window has ``least`` different
+    known: (h, items), each of ``count`` shingles once with a hash of the set of items that have it. A window has ``least`` different
     shingles of items at least and ``most_long`` words at most.
     """
-    anywhere = Bloom(known)
+    anywhere = Bloom(known, count)
     none = "cast(array() as array<struct<h: array<bigint>, hits: array<int>>>)"
     hits = f"filter(transform(h, (x, i) -> if({anywhere.has('bloom', 'x')}, i, -1)), i -> i >= 0)"
     whole = let("w", _WORDS.format("text"), let("h", shingle_hashes("w"), let("bloom", anywhere.literal, let("hits", hits, f"if(size(hits) < {least}, {none}, array(struct(h, hits)))"))))
@@ -96,7 +99,7 @@ def windows(docs: DataFrame, known: DataFrame, least: int, most_long: int, thres
     own = docs.select("doc_id", F.explode(F.array(F.expr(whole))).alias("x")).select("doc_id", F.explode("x").alias("x"))
     rows = common.stored(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.h", "x.hits"))
     # What the filter lets through is looked up, so a place is a hit only if some item has its shingle.
-    met = rows.select("row", F.explode(F.expr("transform(hits, i -> struct(i AS at, h[i] AS h))")).alias("x")).select("row", "x.at", "x.h").join(common.small(known), "h")
+    met = rows.select("row", F.explode(F.expr("transform(hits, i -> struct(i AS at, h[i] AS h))")).alias("x")).select("row", "x.at", "x.h").join(F.broadcast(known) if count <= common.BROADCAST_ROWS else known, "h")
     met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "items"))).alias("k")).where(F.size("k") >= least)
     # The best window of an item begins where a run of its shingles begins, and ends where one ends. There the set of
     # items changes from one place to the next.
@@ -110,10 +113,10 @@ def windows(docs: DataFrame, known: DataFrame, least: int, most_long: int, thres
     return own.select("doc_id", "x.start", "x.n_words", F.xxhash64("x.hashes").alias("window"), "x.hashes")
 
 
-def simhash(weighted: DataFrame, key: str) -> DataFrame:
-    """(key, fp) from (key, h, w): bit b is set if the weights of hashes with that bit are more than those without."""
-    sums = weighted.groupBy(key).agg(*(F.expr(f"sum(if(getbit(h, {b}) = 1, w, -w))").alias(f"s{b}") for b in range(64)))
-    return sums.select(key, F.expr(" | ".join(f"if(s{b} > 0, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"))
+def simhash(weighted: DataFrame, key: str, total: str) -> DataFrame:
+    """(key, ``total``, fp) from (key, h, w): the sum of all weights; bit b is set if the weights of hashes with that bit are more than those without."""
+    sums = weighted.groupBy(key).agg(F.sum("w").alias(total), *(F.expr(f"sum(if(getbit(h, {b}) = 1, w, -w))").alias(f"s{b}") for b in range(64)))
+    return sums.select(key, total, F.expr(" | ".join(f"if(s{b} > 0, shiftleft(1L, {b}), 0L)" for b in range(64))).alias("fp"))
 
 
 def _masks(flips: int) -> str:
@@ -121,45 +124,60 @@ def _masks(flips: int) -> str:
 
 
 def near(queries: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All (window, item_id) whose fingerprints differ in at most ``radius`` bits, by blocks."""
+    """All (window, item_id) whose fingerprints differ in at most ``radius`` bits, by blocks, with the other columns that the two sides had."""
     flips = radius // BLOCKS
     width = 64 // BLOCKS
     keys = lambda df, n: df.selectExpr("*", f"explode(sequence(0, {BLOCKS - 1})) AS block").selectExpr("*", f"explode(array({_masks(n)})) AS mask").selectExpr("*", f"(shiftrightunsigned(fp, {width} * block) & {(1 << width) - 1}L) ^ mask AS value").drop("mask")
     left, right = keys(queries, flips // 2), keys(items.withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp")), flips - flips // 2).drop("fp")
     # Spark takes an exploded side for as small as it was before, and would broadcast it by way of the driver.
     met = left.join(right.hint("merge"), ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    return met.select("window", "item_id").distinct()
+    return met.select(*(c for c in (*queries.columns, *items.columns) if c != "fp")).distinct()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): each document's best window for each item at the threshold.
+def matched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame | None:
+    """(doc_id, item_id, start, n_words, similarity) of all windows that match; None if no item can match.
 
-    ``start`` counts words from 0.
+    Figures that later steps ask for are observed as tables are written, and sums are taken where rows meet anyway:
+    each query, and each scan, stage and broadcast in it, costs the driver memory.
     """
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    shingles = common.stored(item_shingles(items))
-    longest = shingles.agg(F.max("n")).first()[0]
+    seen = Observation()
+    shingles = common.stored(item_shingles(items).observe(seen, F.max("n").alias("longest")))
+    longest = seen.get.get("longest")
     if longest is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double")
-    known = common.stored(shingles.select("item_id", "h").distinct().groupBy("h").agg((1 + 1 / F.count("*")).alias("w"), F.bit_xor(F.xxhash64("item_id")).alias("items")))
+        return None
+    of = shingles.select("item_id", "h").distinct()
+    kept = common.Counted(of.groupBy("h").agg((1 + 1 / F.count("*")).alias("w"), F.bit_xor(F.xxhash64("item_id")).alias("items")))
+    known = kept.read()
     weights = known.select("h", "w")
-    item_weights = common.stored(shingles.select("item_id", "h").distinct().join(weights, "h"))
-    least, beyond = bounds(item_weights, threshold)
-    found = common.stored(windows(docs, known.select("h", "items"), least, longest + beyond, threshold))
+    item_weights, least, beyond = bounded(of.join(weights, "h"), threshold)
+    found = common.stored(windows(docs, known.select("h", "items"), kept.rows, least, longest + beyond, threshold))
     different = found.groupBy("window").agg(F.first("hashes").alias("hashes")).select("window", F.explode("hashes").alias("h"))
     window_weights = common.stored(different.join(weights, "h", "left").withColumn("w", F.coalesce("w", F.lit(2.0))))
-    pairs = near(simhash(window_weights, "window"), simhash(item_weights, "item_id"))
-    both = pairs.join(window_weights, "window").join(item_weights.select("item_id", "h"), ["item_id", "h"]).groupBy("window", "item_id").agg(F.sum("w").alias("both"))
-    total = lambda df, key, name: df.groupBy(key).agg(F.sum("w").alias(name))
-    exact = both.join(total(window_weights, "window", "own"), "window").join(total(item_weights, "item_id", "of_item"), "item_id")
+    pairs = near(simhash(window_weights, "window", "own"), simhash(item_weights, "item_id", "of_item"))
+    both = pairs.join(window_weights, "window").join(item_weights.select("item_id", "h"), ["item_id", "h"])
+    exact = both.groupBy("window", "item_id").agg(F.sum("w").alias("both"), F.first("own").alias("own"), F.first("of_item").alias("of_item"))
     exact = exact.select("window", "item_id", (F.col("both") / (F.col("own") + F.col("of_item") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
-    best = common.stored_small(exact)
-    return found.select("doc_id", "start", "n_words", "window").join(best, "window").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m")).select("doc_id", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", F.round("m.similarity", 6).alias("similarity"))
+    return found.select("doc_id", "start", "n_words", "window").join(common.stored_small(exact), "window")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, start, n_words, similarity): each document's best window for each item at the threshold.
+
+    ``start`` counts words from 0.
+    """
+    found = matched(docs, benchmark, threshold)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start int, n_words int, similarity double")
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m")).select("doc_id", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", F.round("m.similarity", 6).alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with the columns that they had."""
-    hit = common.stored_small(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct())
+    found = matched(docs, benchmark, threshold)
+    if found is None:
+        return docs
+    hit = common.stored_small(found.select(F.col("doc_id").alias("_hit")).distinct())
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
 
 

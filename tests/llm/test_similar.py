@@ -208,3 +208,26 @@ def test_a_round_of_components_runs_three_queries(spark):
     found, ran = queries_of(spark, lambda: components.components(edges))
     assert ran <= 4  # the edges, and a round that leaves none
     assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+
+
+def jobs_of(spark, f):
+    """What ``f`` gives, and how many jobs Spark ran for it."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    found = f()
+    return found, jobs() - before
+
+
+def test_a_round_of_components_broadcasts_each_table_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (4, 4), *((i, i + 1) for i in range(20, 29))], "a long, b long")
+    found, ran = jobs_of(spark, lambda: {tuple(r) for r in components.components(edges).collect()})
+    assert found == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7), *((i, 20) for i in range(20, 30))}
+    assert ran <= 21
+
+
+def test_decontamination_runs_few_queries(spark):
+    item = prose(1900, 40)
+    bench = spark.createDataFrame([(1, item), (2, prose(1901, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(1902, 20) + " " + item), (2, prose(1903, 60))], "doc_id long, text string")
+    found, ran = queries_of(spark, lambda: [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()])
+    assert found == [2] and ran <= 10  # nine tables or figures, and the result
