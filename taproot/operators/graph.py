@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.storage import stored
+from taproot.storage import BROADCAST_ROWS, shuffled, stored
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,6 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return dedupe_edges(edges.select("src", "dst")).groupBy("src").agg(F.count("*").alias("out_degree"))
 
 
-#: A table with at most so many narrow rows may be broadcast; beyond it a join shuffles.
-BROADCAST_ROWS = 200_000
 #: A level pulls if its frontier has more than one in so many of the edges that still lead to something new.
 SHARE = 14
 #: Levels that are kept apart before they are written together.
@@ -39,10 +37,10 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
     frontier = stored(roots.select("root_set", "node").where("node IS NOT NULL").distinct())
-    levels, degrees, left = [frontier], None, None
+    levels, degrees, left, reached = [frontier], None, None, 0
     keys = ["root_set", "node"]
     while size := frontier.count():
-        small, pull = size <= BROADCAST_ROWS, False
+        small, pull, reached = size <= BROADCAST_ROWS, False, reached + size
         if not small:
             degrees, left = degrees or stored(edges.groupBy("src").agg(F.count("*").alias("out_degree"))), left or edges.count()
             out = frontier.join(degrees, F.col("node") == F.col("src")).agg(F.sum("out_degree")).first()[0] or 0
@@ -60,7 +58,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
             left = edges.count()
         source = F.broadcast(frontier) if small else frontier
         near = edges.join(source, F.col("node") == F.col("src")).select("root_set", F.col("dst").alias("node")).distinct()
-        frontier = stored(near.join(visited, keys, "left_anti"))
+        frontier = stored(near.join(visited if reached <= BROADCAST_ROWS else shuffled(visited), keys, "left_anti"))
         levels.append(frontier)
     out = levels[0]
     for level in levels[1:]:

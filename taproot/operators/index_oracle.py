@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from taproot.functions import text
 from taproot.operators import graph, relations
-from taproot.storage import stored
+from taproot.storage import shuffled, stored
 
 #: Lines that a declaration and its symbol may be apart.
 NEAREST = 5
@@ -33,8 +33,8 @@ def symbol_edges(occurrences: DataFrame) -> DataFrame:
 
 def protocol_witnesses(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(src, dst): a protocol's member to the equally named member of a type that conforms to it."""
-    members = occurrences.where("relation = 'childOf'").select(F.col("usr").alias("member"), F.col("related").alias("owner")).distinct().join(symbols.select(F.col("usr").alias("member"), "name"), "member")
-    protocols = symbols.where("kind = 'protocol'").select(F.col("usr").alias("protocol"))
+    members = occurrences.where("relation = 'childOf'").select(F.col("usr").alias("member"), F.col("related").alias("owner")).distinct().join(shuffled(symbols.select(F.col("usr").alias("member"), "name")), "member")
+    protocols = shuffled(symbols.where("kind = 'protocol'").select(F.col("usr").alias("protocol")))
     conforms = occurrences.where("relation = 'baseOf'").select(F.col("usr").alias("protocol"), F.col("related").alias("type")).distinct().join(protocols, "protocol")
     wanted = members.withColumnRenamed("owner", "protocol").join(protocols, "protocol", "left_semi").select(F.col("member").alias("requirement"), "protocol", "name")
     have = members.select("member", F.col("owner").alias("type"), "name")

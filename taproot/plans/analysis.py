@@ -13,7 +13,7 @@ from taproot.functions.hashing import finding_fingerprint
 from taproot.operators import graph, index_oracle, policy, relations, similarity
 from taproot.plans import control_flow
 from taproot.sources import cache, files
-from taproot.storage import stored
+from taproot.storage import shuffled, stored
 
 RULES = ("unused-function", "unused-type", "unused-property", "unused-enum-case", "unused-import", "unused-public-api", "assign-only-property", "only-tested", "dead-branch", "dead-store")
 OFF_BY_DEFAULT = frozenset({"unused-import", "unused-public-api", "assign-only-property", "dead-store"})
@@ -166,7 +166,7 @@ def member_roots(decls: DataFrame) -> DataFrame:
     outside = bases.join(inside, "base", "left_anti")
     constructs, codes = F.bool_or(F.col("base").isin(*CONSTRUCTING)), F.bool_or(F.col("base").isin("Codable", "Encodable", "Decodable"))
     made = bases.groupBy("type").agg(constructs.alias("constructs"))
-    found = policy.known_needs(outside, catalogue).join(outside.groupBy("type").agg(codes.alias("codes")), "type")
+    found = policy.known_needs(outside, catalogue).join(shuffled(outside.groupBy("type").agg(codes.alias("codes"))), "type")
     builders = types.groupBy(F.col("name").alias("type")).agg(F.bool_or(_has(F.col("attributes"), "resultBuilder")).alias("builds"))
     per_type = builders.join(made, "type", "left").join(found, "type", "left").withColumnRenamed("type", "enclosing_type")
     member = F.col("kind").isin(*MEMBERS)
@@ -327,13 +327,13 @@ def findings(dead: DataFrame, tokens: DataFrame, runtime: DataFrame, config: Con
     """Collapsed, routed, weighed and worded findings; ``runtime`` has the (decl) that a runtime may call."""
     gated = dead.where(F.col("kind").isin("constant", "variable", "function", "method", "class", "enum", "protocol", "struct", "actor", "typealias", "enumCase"))
     flagged = dead.where(F.col("kind").isin(*("class", "struct", "enum", "protocol", "actor"))).select("path", F.col("ordinal").alias("owner"))
-    inside = gated.select("decl", "path", F.explode("enclosing").alias("owner")).join(flagged, ["path", "owner"], "left_semi").select("decl").distinct()
-    own = gated.join(inside, "decl", "left_anti").withColumn("rule", _rule())
+    inside = gated.select("decl", "path", F.explode("enclosing").alias("owner")).join(shuffled(flagged), ["path", "owner"], "left_semi").select("decl").distinct()
+    own = gated.join(shuffled(inside), "decl", "left_anti").withColumn("rule", _rule())
     own = policy.routed(own, config.routes())
     base = F.when(F.col("effective") <= RANK["fileprivate"], 3).when(F.col("effective") == RANK["internal"], 2).otherwise(1)
     named = tokens.select(F.col("token").alias("name"), F.lit(True).alias("named"))
     level = policy.demoted(base, F.coalesce("named", F.lit(False)), F.coalesce("runtime_visible", F.lit(False)))
-    own = own.join(named, "name", "left").join(runtime.distinct().withColumn("runtime_visible", F.lit(True)), "decl", "left").withColumn("confidence", F.array(*map(F.lit, LEVELS))[level - 1])
+    own = own.join(named, "name", "left").join(shuffled(runtime.distinct().withColumn("runtime_visible", F.lit(True))), "decl", "left").withColumn("confidence", F.array(*map(F.lit, LEVELS))[level - 1])
     word = F.when(F.col("kind") == "enumCase", "enum case").when(F.col("kind").isin("variable", "constant"), "property").otherwise(F.col("kind"))
     message = F.concat(word, F.lit(" '"), F.col("name"), F.lit("' is "), F.when(F.col("reason") == "only tested", "used by tests only").otherwise("never used" + (" in this file" if config.single_file else "")))
     note = F.concat(F.lit("confidence "), F.col("confidence"), F.when(F.col("named"), "; its name is in a string").when(F.col("runtime_visible"), "; a runtime may call it by name").otherwise(""))
@@ -398,7 +398,7 @@ def snippets(found: DataFrame, decls: DataFrame, sources: DataFrame) -> DataFram
     own = found.select("id", "path", "line", "column").distinct().join(spans, ["path", "line", "column"], "left")
     last = F.least(F.coalesce("last_line", "line"), F.col("line") + SNIPPET_LINES)
     spots = own.groupBy("path").agg(F.collect_list(F.struct("id", F.greatest("line", F.lit(1)).alias("line"), last.alias("last"))).alias("spots"))
-    lined = spots.join(sources.select("path", F.split("source", "\n").alias("lines")), "path", "left").select("lines", F.explode("spots").alias("s"))
+    lined = shuffled(spots).join(sources.select("path", F.split("source", "\n").alias("lines")), "path", "left").select("lines", F.explode("spots").alias("s"))
     text_ = F.array_join(F.slice("lines", F.col("s.line"), F.greatest(F.col("s.last") - F.col("s.line") + 1, F.lit(0))), "\n")
     return lined.select("s.id", F.coalesce(text_, F.lit("")).alias("snippet"))
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+#: A table with at most so many narrow rows may be broadcast; beyond it a join shuffles.
+BROADCAST_ROWS = 200_000
 _own: list[str] = []
 
 
@@ -22,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, which Spark joins by a shuffle, unless the other side has a broadcast hint.
+
+    Spark takes the size of a Parquet file for that of its rows. Repetitive strings take a tenth of it, so millions of them would be
+    broadcast through the driver. The hint holds up to the next join or union.
+    """
+    return df.hint("merge")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written and read again: its lineage ends there, and any executor can read it."""
-    path = f"{shared_dir(df.sparkSession)}/taproot/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written and read again: its lineage ends there, and any executor can read it. With more than `BROADCAST_ROWS` rows it is `shuffled`."""
+    path, count = f"{shared_dir(df.sparkSession)}/taproot/{uuid.uuid4().hex}", Observation()
+    df.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return found if count.get["rows"] <= BROADCAST_ROWS else shuffled(found)

@@ -3,8 +3,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from taproot import cli
+from taproot import cli, storage
 from taproot.operators import graph, index_oracle
 from taproot.plans import analysis
 from taproot.plans.analysis import Configuration, analyze
@@ -224,3 +225,26 @@ def test_command_line_writes_parts(spark, tmp_path):
     out = io.StringIO()
     assert cli.run(["analyze", str(tmp_path), "--strict", "--output", str(tmp_path / "report")], spark, out) == 1
     assert out.getvalue() == "" and spark.read.text(str(tmp_path / "report" / "parts")).first().value.endswith("function 'dead' is never used — confidence high")
+
+
+def test_large_stored_tables_are_not_broadcast(spark, monkeypatch):
+    """Their files are far smaller than their rows, so Spark's own guess would send them through the driver."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
+    table = lambda n, name: storage.stored(spark.range(n).select(F.col("id").alias("k"), F.lit("src/p.swift").alias(name)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    large, other, few = table(9, "a"), table(7, "b"), table(3, "c")
+    for met, rows in ((large.join(other, "k"), 7), (large.select("k").distinct().join(other.where("k > 2"), "k", "left_anti"), 5)):
+        assert "BroadcastHashJoin" not in plan(met) and met.count() == rows
+    met = other.join(F.broadcast(few), "k")  # proven small
+    assert "BroadcastHashJoin" in plan(met) and met.count() == 3
+
+
+def test_a_large_set_of_reached_nodes_is_not_broadcast(spark, monkeypatch):
+    plans, keep = [], storage.stored
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(graph, "LEVELS", 99)
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    found = graph.reachable(edges, spark.createDataFrame([("r", 0)], "root_set string, node long"))
+    assert sorted(r.node for r in found.collect()) == list(range(7))
+    assert ["LeftAnti" in p and "SortMergeJoin" in p for p in plans[2:]] == [False] * 3 + [True] * (len(plans) - 5) and len(plans) > 6
