@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from taproot.functions import hashing, text
@@ -154,3 +155,28 @@ def test_approximate_neighbours(spark, monkeypatch):
     copies = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(120)] + [(500, [0.0, 1.0]), (None, [1.0, 1.0]), (501, None)], "id long, v array<double>")
     assert {r.id: [x.other for x in r.near] for r in similarity.neighbours(copies, k=2, cells=1).collect()}[7] == [0, 1]
     assert similarity.neighbours(copies.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_by_blocks_copy_no_row_per_pair(spark, monkeypatch, kind):
+    """Blocks and parts of any size give what all pairs give; of equal neighbours the least id is kept."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "ASKING", 2)
+    monkeypatch.setattr(similarity, "ASKED_BYTES", 1000)
+    v = np.random.default_rng(5).integers(0, 4, (150, 6)).astype("float32")  # with ties and copies
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], f"id long, v array<{kind}>").repartition(3)
+    norm = np.linalg.norm(v.astype(float), axis=1)
+    sims = (v.astype(float) / np.where(norm, norm, 1)[:, None]) @ (v.astype(float) / np.where(norm, norm, 1)[:, None]).T
+    best = [sorted((-round(float(sims[i, j]), 9), j) for j in range(150) if j != i)[:5] for i in range(150)]
+    found = similarity.anomaly(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    got = dict(map(tuple, found.collect()))
+    assert len(got) == 150 and all(abs(got[i] - max(0, 1 + sum(s for s, _ in best[i]) / 5)) < 1e-8 for i in got)
+    near = {r.id: [(-round(x.similarity, 9), x.other) for x in r.near] for r in similarity.neighbours(rows, cells=3, probes=3).collect()}
+    assert len(near) == 150 and all([s for s, _ in near[i]] == [s for s, _ in best[i]] for i in near)
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "id long, v array<double>")
+    assert {r.id: round(r.anomaly, 4) for r in similarity.anomaly(odd, 1).collect()} == {1: 0.2929, 2: 1.0, 3: 0.2929, 4: 1.0}
+    assert similarity.anomaly(rows.limit(0)).count() == 0
