@@ -15,10 +15,11 @@ from taproot.functions.hashing import fnv1a64
 from taproot.storage import stored
 
 DIMENSION, GRAM, NEIGHBOURS = 128, 3, 5
-#: Vectors that are compared with as many others at once, and bytes that they may take.
-BLOCK, BLOCK_BYTES = 1024, 1 << 20
+#: Vectors that are compared with as many others at once, and bytes that they may take: a pair is a row, and the JVM's heap fills with
+#: large rows (over half a region of 1 MB) until they are collected.
+BLOCK, BLOCK_BYTES = 1024, 200_000
 #: Blocks that a task compares with others at most, of these at most so many bytes; blocks below `TASKS` are a task each.
-ASKING, ASKED_BYTES, TASKS = 16, 64 << 20, 32
+ASKING, ASKED_BYTES, TASKS = 64, 64 << 20, 32
 
 
 def gram_counts(rows: DataFrame, text: str, key: str, dimension: int = DIMENSION, gram: int = GRAM) -> DataFrame:
@@ -94,7 +95,7 @@ def packed(vectors: DataFrame, cells: int = 0) -> DataFrame:
             if rest and rest[1].shape[1] != own[1].shape[1]:
                 raise ValueError("vectors must not be null, and of one length")
             rest = [np.concatenate(x) for x in zip(rest, own, strict=True)] if rest else own
-            n = max(1, min(most, bytes_ // max(8 * own[1].shape[1], 1)))
+            n = max(1, min(most, bytes_ // max(own[1].itemsize * own[1].shape[1], 1)))
             while len(rest[0]) >= n:
                 yield block([x[:n] for x in rest])
                 rest = [x[n:] for x in rest]
@@ -142,7 +143,7 @@ def nearest_of_blocks(blocks: DataFrame, k: int, ties: bool = True) -> DataFrame
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        last, a = None, None
+        last, a, finite = None, None, True
         for b in batches:
             for i in range(b.num_rows):
                 of = lambda name, dtype: np.frombuffer(b.column(name)[i].as_buffer(), dtype)  # noqa: B023, E731
@@ -151,6 +152,7 @@ def nearest_of_blocks(blocks: DataFrame, k: int, ties: bool = True) -> DataFrame
                     held[number] = of("id", "<i8").copy(), np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
                 if number != last:
                     last, a = number, _unit(of("v", dtype).reshape(n, -1).astype(np.float64))
+                    finite = np.isfinite(a).all()
                 ids, kept, others = held[number]
                 theirs, w = of("other", "<i8"), _unit(of("w", dtype).reshape(m, -1).astype(np.float64))
                 sims = a @ w.T
@@ -160,7 +162,7 @@ def nearest_of_blocks(blocks: DataFrame, k: int, ties: bool = True) -> DataFrame
                     asks = np.unpackbits(of("asks", np.uint8).reshape(n, -1), axis=1)[:, of("home", "<i4")]
                     if not asks.all():
                         sims[asks == 0] = -np.inf
-                if not (np.isfinite(a).all() and np.isfinite(w).all()):
+                if not (finite and np.isfinite(w).all()):
                     sims[np.isnan(sims)] = -np.inf
                 _keep(kept, others, sims, theirs, ties)
         for ids, kept, others in held.values():

@@ -415,7 +415,7 @@ def with_similarity_notes(found: DataFrame, decls: DataFrame, sources: DataFrame
     if n < 2:
         notes.append("similarity needs more than one finding; notes are as they were")
         return own.drop("id")
-    vectors = similarity.gram_vectors(snippets(own, decls, sources), "snippet", "id")
+    vectors = similarity.gram_vectors(snippets(own, decls, sources), "snippet", "id").withColumn("v", F.col("v").cast("array<float>"))  # counts below 2^24 stay as they are
     scores = similarity.anomaly(vectors) if how == "exact" else similarity.anomaly_by_index(vectors)
     percent = F.round(F.col("anomaly") * 100).cast("int").cast("string")
     # Fixed value: the words that tools look for in a note.

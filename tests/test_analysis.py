@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from taproot.operators import similarity
 from taproot.plans.analysis import RULES, Configuration, analyze, with_similarity_notes
 from taproot.sources import files, sinks
 
@@ -227,3 +228,13 @@ def test_similarity_needs_two_findings(spark):
     }
     with pytest.raises(ValueError):
         with_similarity_notes(found, decls, sources, "both", [])
+
+
+def test_similarity_notes_copy_no_vector_per_block(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    names = [f"func f{i}() {{ print({i * i}) }}" for i in range(7)]
+    found = spark.createDataFrame([("a.swift", i + 1, 6, "unused-function", f"m{i}", None) for i in range(7)], "path string, line int, column int, rule string, message string, note string")
+    decls = spark.createDataFrame([("a.swift", i + 1, 6, i + 1) for i in range(7)], "path string, line int, column int, last_line int")
+    got = with_similarity_notes(found, decls, files.in_memory(spark, [("a.swift", "\n".join(names) + "\n")]), "exact", [])
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.note for r in got.orderBy("line").collect()] == _cosine_notes(names)
