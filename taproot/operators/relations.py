@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taproot.storage import shuffled
+
 #: Lines per bucket of an interval join.
 BUCKET = 64
 
@@ -88,8 +90,18 @@ def collapsed(members: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def witnesses(requirements: DataFrame, members: DataFrame, conformances: DataFrame) -> DataFrame:
-    """(requirement, member) of one name, where the member's type conforms to the requirement's protocol."""
-    return requirements.join(conformances, "protocol").join(members, ["type", "name"]).select("requirement", "member").distinct()
+    """(requirement, member) of one name, where the member's type conforms to the requirement's protocol.
+
+    There may be far more pairs than rows, so they aren't shuffled to be made distinct: both sides are distinct before they meet, and a
+    member of one type and name then meets a requirement once. Only pairs of members with several are made distinct afterwards.
+    """
+    wanted = requirements.join(conformances, "protocol").select("requirement", "type", "name").distinct()
+    have = members.select("member", "type", "name").where("type IS NOT NULL AND name IS NOT NULL").distinct()
+    keys = have.groupBy("member").agg(F.count("*").alias("n"), F.min("type").alias("type"), F.min("name").alias("name"))
+    several = shuffled(keys.where("n > 1").select(F.col("member").alias("again")))
+    pairs = lambda some: wanted.join(shuffled(some), ["type", "name"]).select("requirement", "member")
+    once = pairs(keys.where("n = 1").select("member", "type", "name"))
+    return once.unionByName(pairs(have.join(several, F.col("member").eqNullSafe(F.col("again")), "left_semi")).distinct())
 
 
 def cache_plan(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -180,3 +180,16 @@ def test_neighbours_by_blocks_copy_no_row_per_pair(spark, monkeypatch, kind):
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "id long, v array<double>")
     assert {r.id: round(r.anomaly, 4) for r in similarity.anomaly(odd, 1).collect()} == {1: 0.2929, 2: 1.0, 3: 0.2929, 4: 1.0}
     assert similarity.anomaly(rows.limit(0)).count() == 0
+
+
+def test_pairs_of_witnesses_are_not_shuffled(spark):
+    """Members of one type and name meet a requirement once; only those of several are made distinct after the join."""
+    wanted = spark.createDataFrame([("r1", "P", "go"), ("r1", "Q", "go"), ("r1", "P", "go"), ("r2", "P", "stop"), ("r3", "Z", "go"), ("r4", "P", None)], "requirement string, protocol string, name string")
+    conforms = spark.createDataFrame([("P", "A"), ("P", "A"), ("Q", "A"), ("P", "B"), ("Q", "B"), ("P", None)], "protocol string, type string")
+    members = [("m1", "A", "go"), ("m1", "A", "go"), ("m2", "A", "go"), ("m2", "B", "go"), ("m2", "B", "stop"), ("m3", None, "go"), ("m4", "B", None), (None, "A", "go"), (None, "B", "go"), ("m5", "C", "go"), ("m5", "B", "stop")]
+    have = spark.createDataFrame(members, "member string, type string, name string")
+    found = relations.witnesses(wanted, have, conforms)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [("r1", "m1"), ("r1", "m2"), ("r2", "m2"), ("r1", None), ("r2", "m5")]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    top = next(i for i, line in enumerate(plan) if line.startswith("Union"))
+    assert not any("Aggregate" in line for line in plan[:top]) and "Aggregate" not in plan[top + 1]
